@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import dimensions
 from ..catalog import fixed_values as fv
+from ..functions.arrays import explode_each
 from ..functions.text import base64_alphabet, decode_base64, non_empty
 from ..sources.scanner import array_at, text_at
 from .extract import ENVELOPE
 
-LEVELS = 6
+LEVELS = 4
 
 _NODE = "array<struct<path:array<int>,node:variant>>"
 
@@ -83,10 +84,12 @@ def flatten_activities(documents: DataFrame, levels: int = LEVELS) -> DataFrame:
     ))
     for depth in range(1, levels + 1):
         df = df.withColumn(f"_l{depth}", _next_level(F.col(f"_l{depth - 1}")))
-    below = F.size(f"_l{levels}") > 0
-    shallow = F.flatten(F.array(*[F.col(f"_l{d}").cast(_NODE) for d in range(levels)]))
-    unrolled = df.filter(~below).select(*keys, F.explode(shallow).alias("a")).select(*keys, "a.*")
-    rest = df.filter(below).select(*keys, "text")
+    deeper = F.size(f"_l{levels}") > 0
+    levels_in_order = F.flatten(F.array(*[F.col(f"_l{d}").cast(_NODE) for d in range(levels)]))
+    unrolled = explode_each(df, keys, F.when(~deeper, levels_in_order), "_no", "a").select(*keys, "a.*")
+    # Nesting needs one typeProperties per level: a cheap test before the real one.
+    may_be_deep = (F.regexp_count("text", F.lit('"typeProperties"')) >= levels) | F.col("text").contains("\\u")
+    rest = df.filter(may_be_deep & deeper).select(*keys, "text")
     return unrolled.unionByName(_walk_deep(rest, keys))
 
 
@@ -142,12 +145,13 @@ def activity_refs(activities: DataFrame) -> DataFrame:
         roles += [role(side, side), role(f"{side}.datasetSettings", f"{side}.datasetSettings")]
     roles += [role(name, name) for name in fv.ROOT_REF_ROLES]
     objects = F.filter(F.array(*roles), lambda r: _is_object(r["ref"]))
-    return activities.select(
-        *keys,
+    named = [
         F.coalesce(text_at(node, "$.name"), F.lit("?")).alias("activity_name"),
         F.coalesce(text_at(node, "$.type"), F.lit("?")).alias("activity_type"),
-        F.posexplode(objects).alias("role_idx", "r"),
-    ).select(*keys, "activity_name", "activity_type", "role_idx", "r.*")
+    ]
+    return explode_each(activities, [*keys, *named], objects, "role_idx", "r").select(
+        *keys, "activity_name", "activity_type", "role_idx", "r.*"
+    )
 
 
 def ref_connections(refs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import dimensions
 from ..catalog import fixed_values as fv
 from ..functions import classify, text
+from ..functions.arrays import explode_each
 
 _NAME = r"\b([A-Za-z][A-Za-z0-9]*+(?:\.[A-Za-z][A-Za-z0-9]*+)++)\s*+"
 _CALL = r"(?U)" + _NAME + r"\("
@@ -30,7 +31,7 @@ def _balanced(depth: int) -> str:
 
 _BALANCED = _balanced(_DEPTH)
 _CALL_WINDOW = r"(?Us)" + _NAME + r"(?=(" + _BALANCED + r"|\(.*))\("
-_CALL_BEFORE = r"(?Us)(?<=(\A.{0,39}|.{40}))" + _NAME + r"\("
+_CALL_BEFORE = r"(?Us)(?=" + _NAME + r"\()(?<=(\A.{0,39}|.{40}))" + _NAME + r"\("
 _CALL_AFTER = r"(?Us)" + _NAME + r"\((?=(.{0,160}))"
 _IMPLEMENTATION = r"""(?iU)Implementation\s*=\s*['"]([^'"]+)['"]"""
 
@@ -80,14 +81,13 @@ def call_sites(expressions: DataFrame, excerpts: bool = True) -> DataFrame:
     ]
     if excerpts:
         found += [
-            F.regexp_extract_all(source, F.lit(_CALL_BEFORE), F.lit(1)).alias("before"),
+            F.regexp_extract_all(source, F.lit(_CALL_BEFORE), F.lit(2)).alias("before"),
             F.regexp_extract_all(source, F.lit(_CALL_AFTER), F.lit(2)).alias("after"),
         ]
     base = [c for c in expressions.columns if c != "expression"]
     site = F.col("_site")
     rows = (
-        hidden.select(*base, F.arrays_zip(*found).alias("_found"))
-        .select(*base, F.posexplode("_found").alias("_pos", "_site"))
+        explode_each(hidden, base, F.arrays_zip(*found), "_pos", "_site")
         .withColumn("m_function", F.regexp_extract(site["head"], r"^[A-Za-z0-9.]+", 0))
         .withColumn("prefix", F.lower(F.substring_index("m_function", ".", 1)))
         .filter(~F.col("prefix").isin(fv.BUILTIN_PREFIXES))

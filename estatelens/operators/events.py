@@ -100,10 +100,15 @@ def percentiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, flo
 
 
 def bag_rollup(rows: DataFrame, prefix: str, name: str, total: str) -> DataFrame:
-    """Sums of the properties whose key starts with ``prefix``, per rest of the key."""
+    """Sums of the properties whose key starts with ``prefix``, per rest of the key.
+
+    Other properties are dropped before the explode (its outer form: a plain one
+    would filter on, and so compute, the map twice).
+    """
     wanted = F.map_filter("custom_dimensions", lambda k, v: F.lower(k).startswith(prefix))
     return (
-        rows.select(F.explode(wanted).alias("_k", "_v"))
+        rows.select(F.explode_outer(wanted).alias("_k", "_v"))
+        .filter("_k IS NOT NULL")
         .groupBy(F.substring("_k", F.lit(len(prefix) + 1), F.length("_k")).alias(name))
         .agg(F.sum(F.col("_v").try_cast("bigint")).alias(total))
         .orderBy(F.desc(total), name)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import fixed_values as fv
+from ..functions.arrays import explode_each
 from ..functions.text import (
     base64_alphabet,
     decode_base64,
@@ -46,7 +47,7 @@ def definition_parts(definitions: DataFrame) -> DataFrame:
     keys = [c for c in definitions.columns if c != "definition"]
     parts = F.from_json("definition", ENVELOPE)["definition"]["parts"]
     return (
-        definitions.select(*keys, F.posexplode(parts).alias("part_idx", "p"))
+        explode_each(definitions, keys, parts, "part_idx", "p")
         .select(
             *keys,
             "part_idx",
@@ -154,7 +155,7 @@ def strings_for_key(documents: DataFrame, text: str, key: str) -> DataFrame:
     """Every string stored under ``key`` at any depth, in document order."""
     keys = [c for c in documents.columns if c != text]
     hits = F.filter(keyed_strings(F.col(text)), lambda p: p["key"] == key)
-    return documents.select(*keys, F.posexplode(hits).alias("hit_idx", "h")).select(
+    return explode_each(documents, keys, hits, "hit_idx", "h").select(
         *keys, "hit_idx", F.col("h.value").alias("value")
     )
 
@@ -200,13 +201,9 @@ def definition_expressions(definitions: DataFrame) -> DataFrame:
     parts = definition_parts(definitions)
     keys = [c for c in parts.columns if c != "text"]
     is_model = F.col("item_type").isin(fv.DATASET_TYPES) & F.col("path").endswith(".bim")
-    return (
-        parts.withColumn("_doc", model_json(F.when(is_model, F.col("text"))))
-        .select(*keys, F.posexplode(
-            part_entries(F.col("item_type"), F.col("path"), F.col("text"), F.col("_doc"))
-        ).alias("expr_idx", "e"))
-        .select(*keys, "expr_idx", "e.*")
-    )
+    parsed = parts.withColumn("_doc", model_json(F.when(is_model, F.col("text"))))
+    entries = part_entries(F.col("item_type"), F.col("path"), F.col("text"), F.col("_doc"))
+    return explode_each(parsed, keys, entries, "expr_idx", "e").select(*keys, "expr_idx", "e.*")
 
 
 def prefer_fast_source(fast: DataFrame, parsed: DataFrame, keys) -> DataFrame:

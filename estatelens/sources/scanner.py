@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_each
 from ..functions.text import looks_like_m, non_empty
 
 # Items stay VARIANT: their shape differs between export versions, and keys
@@ -27,6 +28,10 @@ def array_at(node: Column, path: str) -> Column:
 def export_items(payloads: DataFrame) -> DataFrame:
     """Workspace documents (``payload`` JSON text) to one row per dataset or dataflow."""
     ws = payloads.select(F.from_json("payload", EXPORT_SCHEMA).alias("w"))
+    keys = [
+        F.coalesce("w.id", F.lit("")).alias("workspace_id"),
+        F.coalesce("w.name", F.lit("")).alias("workspace_name"),
+    ]
 
     def item(kind):
         def shape(node):
@@ -49,11 +54,7 @@ def export_items(payloads: DataFrame) -> DataFrame:
         return F.coalesce(found, none)
 
     both = F.concat(listed("w.datasets", "SemanticModel"), listed("w.dataflows", "Dataflow"))
-    return ws.select(
-        F.coalesce("w.id", F.lit("")).alias("workspace_id"),
-        F.coalesce("w.name", F.lit("")).alias("workspace_name"),
-        F.explode(both).alias("i"),
-    ).select("workspace_id", "workspace_name", "i.*")
+    return explode_each(ws, keys, both, "_no", "i").select("workspace_id", "workspace_name", "i.*")
 
 
 def _named(name: Column, expression: Column) -> Column:
@@ -109,6 +110,4 @@ def export_expressions(items: DataFrame) -> DataFrame:
         dataset_entries(F.col("node"))
     )
     keys = [c for c in items.columns if c != "node"]
-    return items.select(*keys, F.posexplode(entries).alias("expr_idx", "e")).select(
-        *keys, "expr_idx", "e.*"
-    )
+    return explode_each(items, keys, entries, "expr_idx", "e").select(*keys, "expr_idx", "e.*")

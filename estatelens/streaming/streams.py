@@ -75,9 +75,8 @@ def first_terminal(
     )
     joined = left.join(right, same & in_time, "leftOuter")
     return (
-        joined.groupBy(*keys, F.window("switch_time", "1 minute"))
+        joined.groupBy(*keys, "switch_time", F.window("switch_time", "1 minute"))
         .agg(
-            F.min("switch_time").alias("switch_time"),
             F.min(F.when(F.col("start_time").isNotNull(),
                          F.struct("start_time", "request_id", "refresh_status"))).alias("r"),
         )

@@ -146,7 +146,7 @@ def expressions(spark, sf) -> DataFrame:
 
 
 def _b64(text):
-    return F.base64(F.encode(text, "UTF-8"))
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "\\s", "")
 
 
 def _envelope(path, payload):
@@ -259,7 +259,7 @@ def shared_frame(spark, sf) -> DataFrame:
 _WRAPS = 9
 
 
-def activity_definitions(spark, sf) -> DataFrame:
+def activity_definitions(spark, sf, readable_only=True) -> DataFrame:
     """Documents of orchestration items: copy, lookup, or nested containers."""
     j = F.floor(F.col("k") / 10)
     cid = F.when(j % 6 == 0, F.concat(F.lit("missing-"), "k")).otherwise((j % 10).cast("string"))
@@ -288,17 +288,13 @@ def activity_definitions(spark, sf) -> DataFrame:
     deep = text(wrap * _WRAPS, script, "]}}" * _WRAPS)
     body = F.when(j % 3 == 0, copy).when(j % 3 == 1, lookup).when(j % 4 == 0, deep).otherwise(nested)
     doc = text('{"properties":{"activities":[', body, "]}}")
-    return items(spark, sf).filter("item_type = 'DataPipeline'").select(
+    kept = "item_type = 'DataPipeline'" + (" AND fetch_status = 'ok'" if readable_only else "")
+    return items(spark, sf).filter(kept).select(
         "workspace_id", "item_id", "item_type",
         _envelope(F.lit("pipeline-content.json"), _b64(doc)).alias("definition"),
     )
 
 
-def readable_activity_definitions(spark, sf) -> DataFrame:
-    ok = items(spark, sf).filter("fetch_status = 'ok'").select("workspace_id", "item_id")
-    return activity_definitions(spark, sf).join(ok, ["workspace_id", "item_id"], "left_semi")
-
-
 def raw_connections(spark, sf) -> DataFrame:
     s = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(

@@ -51,7 +51,7 @@ def flat_connections(spark, sf) -> DataFrame:
 
 def flat_activities(spark, sf) -> DataFrame:
     return activities.flatten_activities(
-        activities.activity_documents(fx.readable_activity_definitions(spark, sf)))
+        activities.activity_documents(fx.activity_definitions(spark, sf)))
 
 
 def refs(spark, sf) -> DataFrame:
@@ -1047,7 +1047,8 @@ def stream_scan_calls(spark, sf):
 @query
 def estate_scan(spark, sf):
     """Definitions to risk counts per workspace, end to end."""
-    definitions = fx.definitions(spark, sf).unionByName(fx.activity_definitions(spark, sf))
+    definitions = fx.definitions(spark, sf).unionByName(
+        fx.activity_definitions(spark, sf, readable_only=False))
     report = estate.scan_items(
         fx.plain_items(spark, sf), definitions, flat_connections(spark, sf), fx.datasources(spark, sf))
     return impact.counts_by_risk(report.artifacts, ["workspace_id"])
