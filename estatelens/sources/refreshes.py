@@ -25,7 +25,7 @@ def dataset_refreshes(feed: DataFrame) -> DataFrame:
 
 
 def job_refreshes(feed: DataFrame) -> DataFrame:
-    """Dataflow job feed; ``failureReason`` is JSON text of an object or a bare string."""
+    """Dataflow job feed; ``failureReason`` is JSON text of an object, or plain text."""
     return feed.select(
         "workspace_id",
         "item_id",
@@ -38,7 +38,7 @@ def job_refreshes(feed: DataFrame) -> DataFrame:
 
 
 def failure_text(reason: Column) -> Column:
-    """Message, else error code, else the bare string."""
+    """Message, else error code, of an object; plain text as it is."""
     is_object = reason.startswith("{")
     return F.when(
         is_object,
@@ -46,7 +46,7 @@ def failure_text(reason: Column) -> Column:
             non_empty(F.get_json_object(reason, "$.message")),
             non_empty(F.get_json_object(reason, "$.errorCode")),
         ),
-    ).otherwise(non_empty(F.coalesce(F.get_json_object(reason, "$"), reason)))
+    ).otherwise(non_empty(reason))
 
 
 def iso_time(text: Column) -> Column:

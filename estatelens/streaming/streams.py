@@ -61,7 +61,7 @@ def first_terminal(
     ``request_id``, ``status``) meet in a time-bounded left outer join; the bound
     lets Spark drop join state, and its end emits the items that saw nothing.
     """
-    left = switches.withWatermark("switch_time", lateness)
+    left = switches.withColumn("_switch", F.unix_micros("switch_time")).withWatermark("switch_time", lateness)
     right = (
         refreshes.filter(F.col("status").isin(fv.TERMINAL_STATUSES))
         .select(*[F.col(k).alias(f"_{k}") for k in keys], "start_time", "request_id", F.col("status").alias("refresh_status"))
@@ -75,13 +75,13 @@ def first_terminal(
     )
     joined = left.join(right, same & in_time, "leftOuter")
     return (
-        joined.groupBy(*keys, "switch_time", F.window("switch_time", "1 minute"))
+        joined.groupBy(*keys, "_switch", F.window("switch_time", "1 minute"))
         .agg(
             F.min(F.when(F.col("start_time").isNotNull(),
                          F.struct("start_time", "request_id", "refresh_status"))).alias("r"),
         )
         .select(
-            *keys, "switch_time", "r.start_time", "r.request_id",
+            *keys, F.timestamp_micros("_switch").alias("switch_time"), "r.start_time", "r.request_id",
             F.coalesce("r.refresh_status", F.lit("no_new_refresh")).alias("outcome"),
         )
     )

@@ -722,14 +722,15 @@ oracle("tenant_usage", """SELECT tenant_hash, '' AS tenant_id, count(*)::BIGINT
   min(ts) AS first_seen, max(ts) AS last_seen FROM progress GROUP BY 1""")
 oracle("first_run_impact", """SELECT ts AS timestamp, tenant_hash, workspace_id, first_risk_high AS high_risk, first_pinned_odbc AS pinned_odbc,
   first_custom_dsn AS custom_dsn, first_total_calls AS total_calls FROM progress WHERE is_first""")
-PARTS["last_scans"] = "SELECT * FROM progress QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, run_id DESC) = 1"
+# Event properties are text, so the tie between two scans of a day is broken by text order.
+PARTS["last_scans"] = "SELECT * FROM progress QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, run_id::VARCHAR DESC) = 1"
 oracle("improvement", """SELECT tenant_hash, workspace_id, run_count AS run_number, first_risk_high AS first_high, risk_high AS current_high,
   resolved_risk_high AS delta_high, first_pinned_odbc AS first_pinned, pinned_odbc AS current_pinned, resolved_pinned_odbc AS delta_pinned,
   ts AS latest_scan FROM progress QUALIFY run_count = max(run_count) OVER (PARTITION BY workspace_id) AND run_count >= 2""")
 oracle("connector_mix", f"""SELECT key AS connector, sum(n)::BIGINT AS total_calls FROM kind_counts JOIN progress USING (run_id)
 WHERE {_recent(30)} GROUP BY 1""")
 oracle("stay_at_risk", f"""SELECT tenant_hash, workspace_id, pinned_at_risk FROM (SELECT * FROM progress WHERE {_recent(30)}
-  QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, run_id DESC) = 1) WHERE pinned_at_risk > 0""")
+  QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, run_id::VARCHAR DESC) = 1) WHERE pinned_at_risk > 0""")
 oracle("top_issues", f"SELECT substring({_ISSUE_KEY}, 7) AS issue, count(*)::BIGINT AS occurrences FROM outcomes WHERE issue IS NOT NULL GROUP BY 1")
 oracle("reach", """SELECT count(*)::BIGINT AS scans, count(DISTINCT nullif(user_hash, ''))::BIGINT AS users, count(DISTINCT workspace_id)::BIGINT AS workspaces,
   count(DISTINCT tenant_hash)::BIGINT AS tenants, count(DISTINCT version)::BIGINT AS versions FROM progress""")
