@@ -42,7 +42,7 @@ def activity_documents(definitions: DataFrame) -> DataFrame:
 
 
 def _is_object(node: Column) -> Column:
-    return F.schema_of_variant(node).startswith("OBJECT")
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
 
 
 def _objects(nodes: Column) -> Column:

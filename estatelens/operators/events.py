@@ -1,8 +1,9 @@
-"""Questions over the event log.
+"""Questions over scan events.
 
-The log is (timestamp, name, custom_dimensions MAP<STRING,STRING>). ``typed_scans``
-reads the properties once into typed columns; every question is an aggregation
-over that frame. ``as_of`` stands for "now" and defaults to the newest event.
+Input is the typed fact table (``runstate.scan_facts``): one column per property,
+so a question reads the few columns it needs. ``typed_scans`` brings an event log
+of property bags, (timestamp, name, custom_dimensions MAP<STRING,STRING>), into
+that shape. ``as_of`` stands for "now" and defaults to the newest event.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import fixed_values as fv
+from .runstate import FACT_MAPS
 
 # --- fixed values: scan properties read as numbers ----------------------------
 WHOLE = [
@@ -46,10 +48,17 @@ def typed_scans(log: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
         *[prop(c).alias(c) for c in TEXT],
         *[whole(c).alias(c) for c in WHOLE],
         *[real(c).alias(c) for c in REAL],
-        "custom_dimensions",
+        *[counts_at(prefix).alias(c) for c, prefix in FACT_MAPS.items()],
     )
 
 
+def counts_at(prefix: str) -> Column:
+    """The properties whose key starts with ``prefix``, as a map rest-of-key -> number."""
+    wanted = F.map_filter("custom_dimensions", lambda k, v: F.lower(k).startswith(prefix))
+    bare = F.transform_keys(wanted, lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
+    return F.transform_values(bare, lambda k, v: v.try_cast("bigint"))
+
+
 def since(rows: DataFrame, days: int, as_of=None) -> DataFrame:
     """Rows newer than ``days`` before ``as_of`` (default: the newest row)."""
     if as_of is None:
@@ -99,18 +108,17 @@ def percentiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, flo
     return grouped.agg(*[c.cast("double").alias(out) for out, c in at.items()])
 
 
-def bag_rollup(rows: DataFrame, prefix: str, name: str, total: str) -> DataFrame:
-    """Sums of the properties whose key starts with ``prefix``, per rest of the key.
+def map_rollup(rows: DataFrame, counts: Column, name: str, total: str) -> DataFrame:
+    """Sums of a map column's values per key.
 
-    Other properties are dropped before the explode (its outer form: a plain one
-    would filter on, and so compute, the map twice).
+    The outer explode keeps the optimizer from adding a size filter, which
+    would compute the map twice.
     """
-    wanted = F.map_filter("custom_dimensions", lambda k, v: F.lower(k).startswith(prefix))
     return (
-        rows.select(F.explode_outer(wanted).alias("_k", "_v"))
+        rows.select(F.explode_outer(counts).alias("_k", "_v"))
         .filter("_k IS NOT NULL")
-        .groupBy(F.substring("_k", F.lit(len(prefix) + 1), F.length("_k")).alias(name))
-        .agg(F.sum(F.col("_v").try_cast("bigint")).alias(total))
+        .groupBy(F.col("_k").alias(name))
+        .agg(F.sum("_v").alias(total))
         .orderBy(F.desc(total), name)
     )
 
@@ -171,7 +179,7 @@ def improvement(scans: DataFrame) -> DataFrame:
 
 def connector_mix(scans: DataFrame, days: int | None = 30, as_of=None) -> DataFrame:
     rows = scans if days is None else since(scans, days, as_of)
-    return bag_rollup(rows, "impacts_by_connector_", "connector", "total_calls")
+    return map_rollup(rows, F.col("impacts_by_connector"), "connector", "total_calls")
 
 
 def stay_at_risk(scans: DataFrame, days: int = 30, as_of=None) -> DataFrame:
@@ -183,7 +191,7 @@ def stay_at_risk(scans: DataFrame, days: int = 30, as_of=None) -> DataFrame:
 
 def top_issues(validations: DataFrame, days: int | None = 30, as_of=None) -> DataFrame:
     rows = validations if days is None else since(validations, days, as_of)
-    return bag_rollup(rows, "issue_", "issue", "occurrences")
+    return map_rollup(rows, counts_at("issue_"), "issue", "occurrences")
 
 
 def reach(scans: DataFrame) -> DataFrame:
@@ -260,7 +268,7 @@ def workspace_progress(scans: DataFrame, returning: bool = False) -> DataFrame:
 
 
 def skip_reason_rollup(scans: DataFrame) -> DataFrame:
-    return bag_rollup(scans, "skipped_by_reason_", "reason", "items")
+    return map_rollup(scans, F.col("skipped_by_reason"), "reason", "items")
 
 
 def backend_split(scans: DataFrame) -> DataFrame:
@@ -279,7 +287,7 @@ def pins_resolved_daily(scans: DataFrame) -> DataFrame:
 
 
 def resolved_connector_rollup(scans: DataFrame) -> DataFrame:
-    rolled = bag_rollup(return_scans(scans), "resolved_by_connector_", "connector", "resolved")
+    rolled = map_rollup(return_scans(scans), F.col("resolved_by_connector"), "connector", "resolved")
     return rolled.filter("resolved <> 0")
 
 
@@ -364,7 +372,7 @@ def _newest_traffic(log: DataFrame) -> DataFrame:
 
 def release_downloads(log: DataFrame) -> DataFrame:
     """Downloads per release as the newest event lists them."""
-    rolled = bag_rollup(_newest_traffic(log), "release_downloads_", "release", "downloads")
+    rolled = map_rollup(_newest_traffic(log), counts_at("release_downloads_"), "release", "downloads")
     return rolled.orderBy(F.desc("release"))
 
 

@@ -152,39 +152,22 @@ def hours_saved(inspected: Column) -> Column:
 # --- events -------------------------------------------------------------------------
 
 
-def _text(value: Column, type_name: str) -> Column:
-    """Values as the event log writes them: booleans as True / False, NULL as ''."""
-    if type_name == "boolean":
-        value = F.when(value, F.lit("True")).otherwise("False")
-    return F.coalesce(value.cast("string"), F.lit(""))
-
-
-def _prefixed(counts: Column, prefix: str) -> Column:
-    """map kind -> n as prefixed property keys with text values."""
-    entries = F.transform(
-        F.map_entries(counts),
-        lambda e: F.struct(
-            F.concat(F.lit(prefix), safe_key(e["key"])).alias("k"), e["value"].cast("string").alias("v")
-        ),
-    )
-    return F.map_from_entries(_last_per_key(entries))
-
-
-def _last_per_key(entries: Column) -> Column:
-    """Kinds whose names collide once made safe: the later entry wins."""
-    def is_last(entry, i):
-        later = F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
-        return ~F.exists(later, lambda x: x["k"] == entry["k"])
-
-    return F.filter(entries, is_last)
-
+# The maps of a fact row and the property prefix each has in the event log.
+FACT_MAPS = {
+    "impacts_by_connector": "impacts_by_connector_",
+    "first_impacts_by_connector": "first_impacts_by_connector_",
+    "resolved_by_connector": "resolved_by_connector_",
+    "skipped_by_reason": "skipped_by_reason_",
+}
 
-def scan_events(states: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
-    """Scans with state to log events: (timestamp, name, custom_dimensions).
 
-    Every column that is no map becomes one property; the maps ``counts_by_connector``,
-    ``first_counts_by_connector`` and ``skipped_by_reason`` become one property per key.
+def scan_facts(states: DataFrame) -> DataFrame:
+    """Scans with state as typed fact rows: ``timestamp``, one column per property,
+    four map columns. Stored as a table, each question reads only its columns.
     """
+    first, current = F.col("first_counts_by_connector"), F.col("counts_by_connector")
+    no_counts = F.create_map().cast("map<string,bigint>")
+    skipped = F.col("skipped_by_reason") if "skipped_by_reason" in states.columns else no_counts
     rows = resolved(states).withColumns({
         "time_since_first_scan_days": days_since_first(
             F.col("first_run_at"), F.col("ts"), F.col("is_first_run")),
@@ -197,27 +180,47 @@ def scan_events(states: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
         "odbc_pinned_count": F.col("pinned_odbc"),
         "odbc_pinned_at_risk_count": F.col("pinned_at_risk"),
         "run_id": F.col("run_id").cast("string"),
-    })
-    internal = {"ts", "last_run_at", "first_run_id", "pinned_at_risk", *COUNTERS,
-                "first_risk_low", "first_risk_unknown", "first_risk_na"}
-    flat = [f for f in rows.schema.fields
-            if f.name not in internal and not f.dataType.simpleString().startswith("map")]
-    props = F.create_map(*[
-        part for f in flat
-        for part in (F.lit(f.name), _text(F.col(f.name), f.dataType.simpleString()))
-    ])
-    maps = {
-        "impacts_by_connector_": F.col("counts_by_connector"),
-        "first_impacts_by_connector_": F.col("first_counts_by_connector"),
-        "resolved_by_connector_": resolved_map(
-            F.col("first_counts_by_connector"), F.col("counts_by_connector")),
+        "impacts_by_connector": _safe_keys(current),
+        "first_impacts_by_connector": _safe_keys(first),
+        "resolved_by_connector": _safe_keys(resolved_map(first, current)),
+        "skipped_by_reason": _safe_keys(skipped),
+    }).withColumnRenamed("ts", "timestamp")
+    flags = {
+        c: F.when(F.col(c), F.lit("True")).otherwise("False")
+        for c in ("is_first_run", "sempy_used") if c in rows.columns
     }
-    if "skipped_by_reason" in rows.columns:
-        maps["skipped_by_reason_"] = F.col("skipped_by_reason")
-    bag = reduce(F.map_concat, [_prefixed(m, p) for p, m in maps.items()], props)
-    return rows.select(
-        F.col("ts").alias("timestamp"), F.lit(name).alias("name"), bag.alias("custom_dimensions")
+    internal = [
+        "last_run_at", "first_run_id", "pinned_at_risk", *COUNTERS, "first_risk_low",
+        "first_risk_unknown", "first_risk_na", "counts_by_connector", "first_counts_by_connector",
+    ]
+    return rows.withColumns(flags).drop(*internal)
+
+
+def _safe_keys(counts: Column) -> Column:
+    """Keys made safe for property names; of names that collide the later wins."""
+    def is_last(entry, i):
+        later = F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
+        return ~F.exists(later, lambda x: x["key"] == entry["key"])
+
+    entries = F.transform(
+        F.map_entries(counts), lambda e: F.struct(safe_key(e["key"]).alias("key"), e["value"].alias("value"))
     )
+    return F.map_from_entries(F.filter(entries, is_last))
+
+
+def _text(value: Column) -> Column:
+    """Values as the event log writes them: text, NULL as ''."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def scan_events(facts: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
+    """Fact rows to log events: (timestamp, name, custom_dimensions of text)."""
+    flat = [c for c in facts.columns if c != "timestamp" and c not in FACT_MAPS]
+    bag = F.create_map(*[part for c in flat for part in (F.lit(c), _text(F.col(c)))])
+    for column, prefix in FACT_MAPS.items():
+        named = F.transform_keys(column, lambda k, _, p=prefix: F.concat(F.lit(p), k))
+        bag = F.map_concat(bag, F.transform_values(named, lambda _, v: v.cast("string")))
+    return facts.select("timestamp", F.lit(name).alias("name"), bag.alias("custom_dimensions"))
 
 
 def validation_events(results: DataFrame, base: DataFrame) -> DataFrame:
@@ -244,7 +247,7 @@ def validation_events(results: DataFrame, base: DataFrame) -> DataFrame:
     flat = [f for f in rows.schema.fields if f.name not in ("ts", "issues")]
     props = F.create_map(*[
         part for f in flat
-        for part in (F.lit(f.name), _text(F.col(f.name), f.dataType.simpleString()))
+        for part in (F.lit(f.name), _text(F.col(f.name)))
     ])
     none = F.create_map().cast("map<string,string>")
     return rows.select(

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import events
 
 
-def snapshot(log: DataFrame) -> DataFrame:
-    """(section, row) with one JSON object per row of each section."""
-    scans = events.typed_scans(log)
+def snapshot(scans: DataFrame) -> DataFrame:
+    """(section, row) with one JSON object per row of each section of the fact table."""
     sections = {
         "reach": events.reach(scans),
         "resolution": events.resolution_rollup(scans),

@@ -11,7 +11,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -20,7 +19,14 @@ SETTINGS = {
 def local_session(cores: str = "8", **settings: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster use its own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("estatelens")
-    options = {**SETTINGS, "spark.sql.shuffle.partitions": cores, "spark.driver.memory": "12g", **settings}
+    options = {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": cores,
+        # One partition per core already: merging them would idle cores.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.driver.memory": "12g",
+        **settings,
+    }
     for key, value in options.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

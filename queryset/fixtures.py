@@ -14,6 +14,7 @@ from estatelens.functions.numbers import rounded
 from estatelens.functions.text import identity_hash
 from estatelens.operators import runstate, validation
 from estatelens.sources.items import gateway_states
+from estatelens.sources.spread import spread
 
 FUNCTIONS = [fn for _, fns, _, _ in fv.CONNECTOR_RULES for fn in fns] + [
     "Sql.Database", "Web.Contents", "Excel.Workbook", "Salesforce.Reports", "Odbc.DataSource",
@@ -53,6 +54,10 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def documents(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 # --- items and expressions -------------------------------------------------------
 
 
@@ -60,7 +65,8 @@ def items(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     kind = k % 10
     status = k % 37
-    return table(spark, sf, "part").select(
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    return spread(part, "p_partkey").select(
         F.concat(F.lit("ws-"), k % 23).alias("workspace_id"),
         F.concat(F.lit("Workspace "), k % 23).alias("workspace_name"),
         F.concat(F.lit("item-"), k).alias("item_id"),
@@ -444,8 +450,12 @@ def opt_outs(spark, sf, step: int) -> DataFrame:
     )
 
 
+def facts(spark, sf) -> DataFrame:
+    return runstate.scan_facts(states(spark, sf))
+
+
 def scan_log(spark, sf) -> DataFrame:
-    return runstate.scan_events(states(spark, sf))
+    return runstate.scan_events(facts(spark, sf))
 
 
 def validation_log(spark, sf) -> DataFrame:

@@ -734,6 +734,7 @@ oracle("stay_at_risk", f"""SELECT tenant_hash, workspace_id, pinned_at_risk FROM
 oracle("top_issues", f"SELECT substring({_ISSUE_KEY}, 7) AS issue, count(*)::BIGINT AS occurrences FROM outcomes WHERE issue IS NOT NULL GROUP BY 1")
 oracle("reach", """SELECT count(*)::BIGINT AS scans, count(DISTINCT nullif(user_hash, ''))::BIGINT AS users, count(DISTINCT workspace_id)::BIGINT AS workspaces,
   count(DISTINCT tenant_hash)::BIGINT AS tenants, count(DISTINCT version)::BIGINT AS versions FROM progress""")
+ORACLES["reach_from_log"] = ORACLES["reach"]
 oracle("resolution_rollup", """SELECT sum(resolved_pinned_odbc)::BIGINT AS resolved_pinned, sum(resolved_risk_high)::BIGINT AS resolved_high,
   sum(resolved_risk_medium)::BIGINT AS resolved_medium, sum(resolved_custom_dsn)::BIGINT AS resolved_custom_dsn,
   sum(resolved_migrating_artifacts)::BIGINT AS resolved_artifacts, count(*)::BIGINT AS return_scans FROM progress WHERE NOT is_first""")
@@ -759,6 +760,7 @@ oracle("pins_resolved_daily", """SELECT date_trunc('day', ts)::TIMESTAMP AS day,
 FROM progress WHERE NOT is_first GROUP BY 1""")
 oracle("resolved_connector_rollup", """SELECT key AS connector, sum(resolved)::BIGINT AS resolved FROM kind_deltas WHERE NOT is_first
 GROUP BY 1 HAVING sum(resolved) <> 0""")
+ORACLES["resolved_connectors_from_log"] = ORACLES["resolved_connector_rollup"]
 oracle("hours_daily", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, sum(hours::DECIMAL(18, 2))::DOUBLE AS hours FROM progress GROUP BY 1")
 oracle("hours_30d", """SELECT make_timestamp((epoch(ts)::BIGINT // 2592000) * 2592000 * 1000000) AS bin_start, count(*)::BIGINT AS scans,
   count(DISTINCT workspace_id)::BIGINT AS workspaces, sum(hours::DECIMAL(18, 2))::DOUBLE AS hours FROM progress GROUP BY 1""")

@@ -83,10 +83,6 @@ def skips(spark, sf) -> DataFrame:
     return impact.skip_reasons(fx.plain_items(spark, sf), found, all_calls(spark, sf))
 
 
-def typed(spark, sf) -> DataFrame:
-    return events.typed_scans(fx.scan_log(spark, sf))
-
-
 # --- 2.1 sources and sinks --------------------------------------------------------
 
 
@@ -158,7 +154,7 @@ def sink_validation(spark, sf):
 
 @query
 def sink_snapshot(spark, sf):
-    return snapshot.snapshot(fx.scan_log(spark, sf))
+    return snapshot.snapshot(fx.facts(spark, sf))
 
 
 @query
@@ -217,7 +213,7 @@ def expr_dataflow_json_walk(spark, sf):
 
 @query
 def looks_like_m(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", text.looks_like_m(F.col("text")).alias("is_m"))
+    return fx.documents(spark, sf).select("doc_id", text.looks_like_m(F.col("text")).alias("is_m"))
 
 
 @query
@@ -307,7 +303,7 @@ def excerpt(spark, sf):
 
 @query
 def redact_secrets(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
+    return fx.documents(spark, sf).select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
 
 
 @query
@@ -317,7 +313,7 @@ def redact_pages(spark, sf):
 
 @query
 def truncate_marked(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id", text.truncate_marked(F.col("text"), fv.EXCERPT_CAP).alias("text"))
 
 
@@ -817,37 +813,37 @@ def session_rollup(spark, sf):
 
 @query
 def adoption_30d(spark, sf):
-    return events.adoption(typed(spark, sf))
+    return events.adoption(fx.facts(spark, sf))
 
 
 @query
 def adoption_approx(spark, sf):
-    return events.adoption(typed(spark, sf), days=20000, exact=False)
+    return events.adoption(fx.facts(spark, sf), days=20000, exact=False)
 
 
 @query
 def tenant_usage(spark, sf):
-    return events.tenant_usage(typed(spark, sf))
+    return events.tenant_usage(fx.facts(spark, sf))
 
 
 @query
 def first_run_impact(spark, sf):
-    return events.first_run_impact(typed(spark, sf))
+    return events.first_run_impact(fx.facts(spark, sf))
 
 
 @query
 def improvement(spark, sf):
-    return events.improvement(typed(spark, sf))
+    return events.improvement(fx.facts(spark, sf))
 
 
 @query
 def connector_mix(spark, sf):
-    return events.connector_mix(typed(spark, sf))
+    return events.connector_mix(fx.facts(spark, sf))
 
 
 @query
 def stay_at_risk(spark, sf):
-    return events.stay_at_risk(typed(spark, sf))
+    return events.stay_at_risk(fx.facts(spark, sf))
 
 
 @query
@@ -856,84 +852,94 @@ def top_issues(spark, sf):
     return events.top_issues(log.filter(F.col("name") == fv.VALIDATION_EVENT))
 
 
+@query
+def reach_from_log(spark, sf):
+    return events.reach(events.typed_scans(fx.scan_log(spark, sf)))
+
+
+@query
+def resolved_connectors_from_log(spark, sf):
+    return events.resolved_connector_rollup(events.typed_scans(fx.scan_log(spark, sf)))
+
+
 @query
 def reach(spark, sf):
-    return events.reach(typed(spark, sf))
+    return events.reach(fx.facts(spark, sf))
 
 
 @query
 def resolution_rollup(spark, sf):
-    return events.resolution_rollup(typed(spark, sf))
+    return events.resolution_rollup(fx.facts(spark, sf))
 
 
 @query
 def value_rollup(spark, sf):
-    return events.value_rollup(typed(spark, sf))
+    return events.value_rollup(fx.facts(spark, sf))
 
 
 @query
 def daily_trend(spark, sf):
-    return events.daily_trend(typed(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.daily_trend(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
 def version_adoption(spark, sf):
-    return events.version_adoption(typed(spark, sf))
+    return events.version_adoption(fx.facts(spark, sf))
 
 
 @query
 def workspace_progress(spark, sf):
-    return events.workspace_progress(typed(spark, sf))
+    return events.workspace_progress(fx.facts(spark, sf))
 
 
 @query
 def workspace_progress_returning(spark, sf):
-    return events.workspace_progress(typed(spark, sf), returning=True)
+    return events.workspace_progress(fx.facts(spark, sf), returning=True)
 
 
 @query
 def skip_reason_rollup(spark, sf):
-    return events.skip_reason_rollup(typed(spark, sf))
+    return events.skip_reason_rollup(fx.facts(spark, sf))
 
 
 @query
 def backend_split(spark, sf):
-    return events.backend_split(typed(spark, sf))
+    return events.backend_split(fx.facts(spark, sf))
 
 
 @query
 def first_vs_return(spark, sf):
-    return events.first_vs_return(typed(spark, sf))
+    return events.first_vs_return(fx.facts(spark, sf))
 
 
 @query
 def first_vs_return_by_version(spark, sf):
-    return events.first_vs_return(typed(spark, sf), by_version=True)
+    return events.first_vs_return(fx.facts(spark, sf), by_version=True)
 
 
 @query
 def pins_resolved_daily(spark, sf):
-    return events.pins_resolved_daily(typed(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.pins_resolved_daily(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
 def resolved_connector_rollup(spark, sf):
-    return events.resolved_connector_rollup(typed(spark, sf))
+    return events.resolved_connector_rollup(fx.facts(spark, sf))
 
 
 @query
 def hours_daily(spark, sf):
-    return events.hours_daily(typed(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.hours_daily(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
 def hours_30d(spark, sf):
-    return events.hours_30d(typed(spark, sf)).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
+    return events.hours_30d(fx.facts(spark, sf)).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
 
 
 @query
 def duration_percentiles(spark, sf):
-    return events.duration_percentiles(typed(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.duration_percentiles(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
@@ -943,12 +949,12 @@ def validation_outcomes(spark, sf):
 
 @query
 def days_to_return(spark, sf):
-    return events.days_to_return(typed(spark, sf))
+    return events.days_to_return(fx.facts(spark, sf))
 
 
 @query
 def volume_30d(spark, sf):
-    return events.volume(typed(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.volume(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
