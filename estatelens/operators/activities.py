@@ -1,17 +1,11 @@
 """Connection references of activity documents (orchestration items).
 
-A document's activity tree is flattened inside its row, level by level, with
-array functions over VARIANT nodes, then exploded once. Documents nested deeper
-than the unrolled levels are finished by a small per-document helper, so depth
-is no limit.
+A document's activity tree is flattened inside its row, level by level and to
+any depth, with array functions over VARIANT nodes, then exploded once.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +16,7 @@ from ..functions.text import base64_alphabet, decode_base64, non_empty
 from ..sources.scanner import array_at, text_at
 from .extract import ENVELOPE
 
-LEVELS = 4
-
-_NODE = "array<struct<path:array<int>,node:variant>>"
+_NODES = "array<struct<path:array<int>,node:variant>>"
 
 
 def activity_documents(definitions: DataFrame) -> DataFrame:
@@ -71,59 +63,30 @@ def _next_level(level: Column) -> Column:
     )))
 
 
-def flatten_activities(documents: DataFrame, levels: int = LEVELS) -> DataFrame:
+def flatten_activities(documents: DataFrame) -> DataFrame:
     """One row per activity, containers included, ordered by ``path`` (pre-order).
 
     ``path`` holds the position at every level; sorting by it gives the order in
-    which the document lists its activities.
+    which the document lists its activities. Level follows level until no child
+    is left; a level opens at least one object, so the braces bound the depth.
     """
     keys = [c for c in documents.columns if c not in ("text", "doc")]
-    roots = _objects(array_at(F.col("doc"), "$.properties.activities"))
-    df = documents.withColumn("_l0", F.transform(
-        roots, lambda n, i: F.struct(F.array(i).alias("path"), n.alias("node"))
-    ))
-    for depth in range(1, levels + 1):
-        df = df.withColumn(f"_l{depth}", _next_level(F.col(f"_l{depth - 1}")))
-    deeper = F.size(f"_l{levels}") > 0
-    levels_in_order = F.flatten(F.array(*[F.col(f"_l{d}").cast(_NODE) for d in range(levels)]))
-    unrolled = explode_each(df, keys, F.when(~deeper, levels_in_order), "_no", "a").select(*keys, "a.*")
-    # Nesting needs one typeProperties per level: a cheap test before the real one.
-    may_be_deep = (F.regexp_count("text", F.lit('"typeProperties"')) >= levels) | F.col("text").contains("\\u")
-    rest = df.filter(may_be_deep & deeper).select(*keys, "text")
-    return unrolled.unionByName(_walk_deep(rest, keys))
-
-
-def _walk_deep(documents: DataFrame, keys) -> DataFrame:
-    """The same flattening for documents nested beyond the unrolled levels."""
-    fields = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", path array<int>, node_json string"
-    containers, child_keys = list(fv.CONTAINER_TYPES), list(fv.CHILD_KEYS)
-
-    def children(activity):
-        props = activity.get("typeProperties")
-        if activity.get("type") not in containers or not isinstance(props, dict):
-            return []
-        lists = [props.get(k) for k in child_keys]
-        cases = props.get("cases")
-        lists += [c.get("activities") for c in (cases if isinstance(cases, list) else []) if isinstance(c, dict)]
-        lists.append(props.get("defaultActivities"))
-        return [n for nodes in lists if isinstance(nodes, list) for n in nodes if isinstance(n, dict)]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                found = json.loads(row["text"])["properties"]["activities"]
-                todo = [([i], n) for i, n in enumerate(x for x in found if isinstance(x, dict))]
-                out = []
-                while todo:
-                    path, node = todo.pop()
-                    out.append({**{k: row[k] for k in keys}, "path": path, "node_json": json.dumps(node)})
-                    todo += [(path + [i], c) for i, c in enumerate(children(node))]
-                yield pd.DataFrame(out, columns=[*keys, "path", "node_json"])
-
-    return documents.mapInPandas(walk, schema).select(
-        *keys, "path", F.parse_json("node_json").alias("node")
+    roots = F.transform(
+        _objects(array_at(F.col("doc"), "$.properties.activities")),
+        lambda node, i: F.struct(F.array(i).alias("path"), node.alias("node")),
     )
+    start = F.struct(F.array().cast(_NODES).alias("done"), roots.cast(_NODES).alias("level"))
+
+    def step(acc, _):
+        deeper = F.struct(
+            F.concat(acc["done"], acc["level"]).alias("done"),
+            _next_level(acc["level"]).cast(_NODES).alias("level"),
+        )
+        return F.when(F.size(acc["level"]) > 0, deeper).otherwise(acc)
+
+    levels = F.sequence(F.lit(0), F.regexp_count("text", F.lit(r"\{")))
+    nodes = F.aggregate(levels, start, step, lambda acc: acc["done"])
+    return explode_each(documents, keys, nodes, "_no", "a").select(*keys, "a.*")
 
 
 # --- references --------------------------------------------------------------------

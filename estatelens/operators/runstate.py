@@ -208,6 +208,11 @@ def _safe_keys(counts: Column) -> Column:
     return F.map_from_entries(F.filter(entries, is_last))
 
 
+def _prefixed(column: str, prefix: str) -> Column:
+    named = F.transform_keys(column, lambda k, v: F.concat(F.lit(prefix), k))
+    return F.transform_values(named, lambda k, v: v.cast("string"))
+
+
 def _text(value: Column) -> Column:
     """Values as the event log writes them: text, NULL as ''."""
     return F.coalesce(value.cast("string"), F.lit(""))
@@ -217,9 +222,7 @@ def scan_events(facts: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
     """Fact rows to log events: (timestamp, name, custom_dimensions of text)."""
     flat = [c for c in facts.columns if c != "timestamp" and c not in FACT_MAPS]
     bag = F.create_map(*[part for c in flat for part in (F.lit(c), _text(F.col(c)))])
-    for column, prefix in FACT_MAPS.items():
-        named = F.transform_keys(column, lambda k, _, p=prefix: F.concat(F.lit(p), k))
-        bag = F.map_concat(bag, F.transform_values(named, lambda _, v: v.cast("string")))
+    bag = reduce(F.map_concat, [_prefixed(c, p) for c, p in FACT_MAPS.items()], bag)
     return facts.select("timestamp", F.lit(name).alias("name"), bag.alias("custom_dimensions"))
 
 
