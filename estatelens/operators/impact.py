@@ -93,20 +93,34 @@ def skipped_by_reason(skips: DataFrame) -> DataFrame:
 # --- artifacts ----------------------------------------------------------------------
 
 
-def artifacts(calls: DataFrame) -> DataFrame:
-    """One row per item with calls: worst risk and its totals."""
-    return (
-        calls.groupBy(*KEYS)
-        .agg(
-            F.max("risk_rank").alias("_rank"),
-            F.bool_or("is_migrating").alias("has_migrating"),
-            F.count("*").alias("calls"),
-            F.count_if("is_pinned_odbc").alias("pinned_odbc"),
-            F.count_if("custom_dsn").alias("custom_dsn"),
-            F.count_if(F.col("is_pinned_odbc") & (F.col("has_gateway") == F.lit(False))).alias("pinned_at_risk"),
+def artifacts(calls: DataFrame, gateways: DataFrame) -> DataFrame:
+    """One row per item with calls: worst risk and its totals.
+
+    The gateway belongs to the item, so calls are first reduced to one row per
+    item with the worst risk under each gateway state, map-side, and the state is
+    joined to items, not to calls. An item with very many calls stays cheap.
+    """
+    def worst_if(gateway):
+        risk = classify.call_risk(
+            F.col("migration"), F.col("implementation"), F.col("custom_dsn"), F.lit(gateway).cast("boolean")
         )
-        .withColumn("worst_risk", classify.risk_of_rank(F.col("_rank")))
-        .drop("_rank")
+        return F.max(classify.risk_rank(risk))
+
+    per_item = calls.groupBy(*KEYS).agg(
+        worst_if(True).alias("_with"),
+        worst_if(False).alias("_without"),
+        worst_if(None).alias("_unknown"),
+        F.bool_or("is_migrating").alias("has_migrating"),
+        F.count("*").alias("calls"),
+        F.count_if("is_pinned_odbc").alias("pinned_odbc"),
+        F.count_if("custom_dsn").alias("custom_dsn"),
+    )
+    gateway = F.col("has_gateway")
+    rank = F.when(gateway, F.col("_with")).when(~gateway, F.col("_without")).otherwise(F.col("_unknown"))
+    return per_item.join(gateways.select(*KEYS, "has_gateway"), KEYS, "left").select(
+        *KEYS, "has_gateway", classify.risk_of_rank(rank).alias("worst_risk"), "has_migrating",
+        "calls", "pinned_odbc", "custom_dsn",
+        F.when(~gateway, F.col("pinned_odbc")).otherwise(0).alias("pinned_at_risk"),
     )
 
 
@@ -180,10 +194,9 @@ def scan_totals(per_artifact: DataFrame, skips: DataFrame, connections: DataFram
     return main.join(skipped, "_k").join(listed, "_k").drop("_k")
 
 
-def pinned_at_risk(calls: DataFrame) -> DataFrame:
+def pinned_at_risk(per_artifact: DataFrame) -> DataFrame:
     """Pinned calls on artifacts known to have no gateway, per workspace."""
-    at_risk = F.col("is_pinned_odbc") & (F.col("has_gateway") == F.lit(False))
-    return calls.groupBy("workspace_id").agg(F.count_if(at_risk).alias("pinned_at_risk"))
+    return per_artifact.groupBy("workspace_id").agg(F.sum("pinned_at_risk").alias("pinned_at_risk"))
 
 
 # --- coverage ----------------------------------------------------------------------

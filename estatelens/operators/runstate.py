@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import fixed_values as fv
@@ -40,19 +40,22 @@ def real_scans(scans: DataFrame) -> DataFrame:
     return scans.filter(F.col("risk_high").isNotNull())
 
 
-def first_run_baseline(scans: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The first real scan per key locks every ``first_*`` value."""
-    by = by or KEYS
-    first = F.struct(
+def _first_values() -> Column:
+    return F.struct(
         F.col("ts").alias("first_run_at"),
         F.col("run_id").alias("first_run_id"),
         *[F.col(c).alias(f"first_{c}") for c in COUNTERS],
         F.col("counts_by_connector").alias("first_counts_by_connector"),
     )
+
+
+def first_run_baseline(scans: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The first real scan per key locks every ``first_*`` value."""
+    by = by or KEYS
     return (
         real_scans(scans)
         .groupBy(*by)
-        .agg(F.min_by(first, F.struct(*ORDER)).alias("b"), F.max("ts").alias("last_run_at"))
+        .agg(F.min_by(_first_values(), F.struct(*ORDER)).alias("b"), F.max("ts").alias("last_run_at"))
         .select(*by, "b.*", "last_run_at")
     )
 
@@ -78,9 +81,35 @@ def with_epochs(scans: DataFrame, resets: DataFrame, slice_unit: str = "month")
 
 
 def with_state(scans: DataFrame, by: list[str] | None = None, slice_unit: str = "month") -> DataFrame:
-    """Every scan with its run count and its baseline."""
+    """Every scan with its run count and its baseline, in one exchange of the scans.
+
+    Scans are placed by (key, time slice). Per slice, map-side, come the scan
+    count and the earliest scan; over the short list of a key's slices these
+    become the slice's starting count and the key's baseline, joined back on the
+    same placement.
+    """
     by = by or KEYS
-    return with_run_count(scans, by, slice_unit).join(first_run_baseline(scans, by), by)
+    sliced = real_scans(scans).withColumn("_slice", F.date_trunc(slice_unit, "ts"))
+    per_slice = sliced.groupBy(*by, "_slice").agg(
+        F.count("*").alias("_n"),
+        F.min_by(_first_values(), F.struct(*ORDER)).alias("_first"),
+        F.max("ts").alias("_last"),
+    )
+    slices = Window.partitionBy(*by).orderBy("_slice")
+    placed = per_slice.select(
+        *by,
+        "_slice",
+        F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+        F.first("_first").over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
+        F.max("_last").over(Window.partitionBy(*by)).alias("last_run_at"),
+    )
+    in_slice = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*ORDER))
+    rows = sliced.withColumn("_no", in_slice).join(placed, [*by, "_slice"])
+    return (
+        rows.withColumn("run_count", F.col("_start") + F.col("_no"))
+        .withColumn("is_first_run", F.col("run_count") == 1)
+        .select(*scans.columns, "run_count", "is_first_run", "_first.*", "last_run_at")
+    )
 
 
 def guard_states(states: DataFrame, schema_version: int = fv.STATE_SCHEMA_VERSION) -> DataFrame:

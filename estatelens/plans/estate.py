@@ -77,8 +77,10 @@ def scan_items(
     gateways = gateway_states(items, datasources, fv.DATASET_TYPES)
     yielded = parsed.select(*KEYS).unionByName(refs.select(*KEYS))
     skips = impact.skip_reasons(items, yielded, every, include_non_migrating)
-    risky = impact.with_risk(impact.relevant(every, include_non_migrating), gateways)
-    return ImpactReport(items, risky, impact.artifacts(risky), skips, connections)
+    kept = impact.relevant(every, include_non_migrating)
+    return ImpactReport(
+        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections
+    )
 
 
 def scan_export(payloads: DataFrame, include_non_migrating: bool = False) -> DataFrame:

@@ -36,12 +36,10 @@ def write_snapshot(snapshot_rows: DataFrame, folder: str) -> None:
 
 
 def write_calls(call_table: DataFrame, folder: str) -> None:
-    """The report table as parquet.
+    """The report table as parquet, in ranges of (workspace, item).
 
-    Partitioned by workspace, which makes one folder per workspace; rows are
-    spread over (workspace, item) first so that a big workspace is written by
-    many tasks.
+    A file covers few workspaces, so its statistics let readers skip it; a big
+    workspace is cut into several ranges, and small ones share a file.
     """
-    call_table.repartition("workspace_id", "item_id").write.mode("overwrite").partitionBy(
-        "workspace_id"
-    ).parquet(folder)
+    ranged = call_table.repartitionByRange("workspace_id", "item_id", "m_function")
+    ranged.sortWithinPartitions("workspace_id", "item_id").write.mode("overwrite").parquet(folder)

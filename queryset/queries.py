@@ -74,8 +74,8 @@ def risky(spark, sf, everything=False, excerpts=False) -> DataFrame:
         impact.relevant(all_calls(spark, sf, excerpts), everything), fx.gateways(spark, sf))
 
 
-def artifact_rows(spark, sf) -> DataFrame:
-    return impact.artifacts(risky(spark, sf))
+def artifact_rows(spark, sf, everything=False) -> DataFrame:
+    return impact.artifacts(impact.relevant(all_calls(spark, sf), everything), fx.gateways(spark, sf))
 
 
 def skips(spark, sf) -> DataFrame:
@@ -147,7 +147,7 @@ def sink_calls(spark, sf):
 
 @query
 def sink_validation(spark, sf):
-    kinds = impact.connector_lists(risky(spark, sf), ORDER)
+    kinds = impact.connector_lists(impact.relevant(all_calls(spark, sf)), ORDER)
     return validation.validation_table(
         fx.validation_results(spark, sf), kinds, fx.plain_items(spark, sf))
 
@@ -513,13 +513,13 @@ def artifact_worst_risk(spark, sf):
 
 @query
 def artifact_connectors(spark, sf):
-    return impact.connectors_in_order(risky(spark, sf, everything=True), ORDER).select(
+    return impact.connectors_in_order(all_calls(spark, sf), ORDER).select(
         *ITEM, "connector_kind", *_long("position"))
 
 
 @query
 def artifact_migrating(spark, sf):
-    return impact.artifacts(risky(spark, sf, everything=True)).select(*ITEM, "has_migrating", "calls")
+    return artifact_rows(spark, sf, everything=True).select(*ITEM, "has_migrating", "calls")
 
 
 @query
@@ -554,7 +554,7 @@ def scan_totals(spark, sf):
 
 @query
 def pinned_at_risk(spark, sf):
-    return impact.pinned_at_risk(risky(spark, sf))
+    return impact.pinned_at_risk(artifact_rows(spark, sf))
 
 
 @query
@@ -622,7 +622,7 @@ def inventory_by_type(spark, sf):
 @query
 def validation_scope(spark, sf):
     return validation.validation_scope(
-        impact.artifacts(risky(spark, sf, everything=True)), only_migrating=True).select(*ITEM)
+        artifact_rows(spark, sf, everything=True), only_migrating=True).select(*ITEM)
 
 
 @query
@@ -680,13 +680,13 @@ def issue_counts(spark, sf):
 
 @query
 def preferred_call(spark, sf):
-    return validation.preferred_calls(risky(spark, sf, everything=True), ORDER).select(
+    return validation.preferred_calls(all_calls(spark, sf), ORDER).select(
         *ITEM, "connector_kind", "m_function", "is_migrating")
 
 
 @query
 def validation_groups(spark, sf):
-    preferred = validation.preferred_calls(risky(spark, sf, everything=True), ORDER)
+    preferred = validation.preferred_calls(all_calls(spark, sf), ORDER)
     return validation.validation_groups(
         validation.validation_rows(fx.validation_results(spark, sf), preferred)
     ).withColumn("group_rank", F.col("group_rank").cast("bigint"))

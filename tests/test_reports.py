@@ -42,11 +42,14 @@ def risky(spark):
 
 
 def test_worst_risk_and_counts(risky):
-    worst = {r.item_id: r.worst_risk for r in impact.artifacts(risky).collect()}
+    gateways = risky.select("workspace_id", "item_id", "has_gateway").distinct()
+    arts = impact.artifacts(risky.drop("has_gateway"), gateways)
+    assert {r.item_id: r.pinned_at_risk for r in arts.collect()}["a"] == 1
+    worst = {r.item_id: r.worst_risk for r in arts.collect()}
     assert worst == {"a": "high", "b": "unknown", "c": "na", "d": "medium", "e": "medium"}
-    counts = {r.risk: r.artifacts for r in impact.counts_by_risk(impact.artifacts(risky)).collect()}
+    counts = {r.risk: r.artifacts for r in impact.counts_by_risk(arts).collect()}
     assert counts == {"high": 1, "medium": 2, "unknown": 1, "low": 0, "na": 1}
-    none = impact.counts_by_risk(impact.artifacts(risky.filter("false"))).collect()
+    none = impact.counts_by_risk(arts.filter("false")).collect()
     assert {r.risk: r.artifacts for r in none} == dict.fromkeys(fv.RISK_RANK, 0)
 
 
