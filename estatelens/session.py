@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call-site capture per column expression takes longer than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

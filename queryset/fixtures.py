@@ -438,9 +438,16 @@ def states(spark, sf) -> DataFrame:
 
 
 def resets(spark, sf) -> DataFrame:
-    return scans(spark, sf).filter(
-        (F.substring("workspace_id", 4, 20).cast("bigint") % 29 == 0) & (F.col("run_id") % 7 == 3)
-    ).select("workspace_id", "tenant_hash", "ts", "run_id")
+    """Reset markers: a few scans of some workspaces."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    marked = table(spark, sf, "orders").filter((c % 29 == 0) & (o % 7 == 3))
+    return marked.join(customers, c == F.col("c_custkey")).select(
+        F.concat(F.lit("ws-"), c).alias("workspace_id"),
+        identity_hash(F.concat(F.lit("tenant-"), "c_nationkey")).alias("tenant_hash"),
+        F.col("o_orderdate").alias("ts"),
+        o.alias("run_id"),
+    )
 
 
 def opt_outs(spark, sf, step: int) -> DataFrame:
