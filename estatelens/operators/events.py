@@ -139,7 +139,12 @@ def adoption(scans: DataFrame, days: int = 30, as_of=None, exact: bool = True) -
 
 
 def tenant_usage(scans: DataFrame) -> DataFrame:
-    """Per tenant: scans, workspaces, first and last scan."""
+    """Per tenant: scans, workspaces, first and last scan.
+
+    Raw tenant ids are not stored with facts; old logs may carry some.
+    """
+    if "tenant_id" not in scans.columns:
+        scans = scans.withColumn("tenant_id", F.lit(""))
     cells = scans.groupBy("tenant_hash", "tenant_id", "workspace_id").agg(
         F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("z")
     )

@@ -298,6 +298,17 @@ def test_questions(facts):
     assert events.value_rollup(facts).first().median_coverage == 20.0
 
 
+def test_tenant_usage_and_snapshot(facts, tmp_path):
+    from estatelens.plans import snapshot
+    row = events.tenant_usage(facts).first()
+    assert (row.tenant_hash, row.tenant_id, row.scans, row.workspaces) == ("t", "", 3, 2)
+    sections = snapshot.snapshot(facts)
+    snapshot.write_snapshot(sections, str(tmp_path / "snap"))
+    back = facts.sparkSession.read.json(str(tmp_path / "snap"))
+    assert {r.section for r in back.select("section").distinct().collect()} >= {"reach", "trend", "per_workspace", "versions"}
+    assert back.count() == sections.count()
+
+
 def test_percentiles_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(rng.choice("ab"), float(rng.randint(0, 30))) for _ in range(500)]
