@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules
+from . import bin_slack, host_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -53,3 +53,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND source NOT IN (SELECT source FROM bad) IS NOT FALSE AS kept
 FROM b
 """
+
+
+@query
+def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
