@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, host_rules
+from . import bin_slack, host_rules, license_join
 from .common import table
 
 QUERIES: dict = {}
@@ -58,3 +58,32 @@ FROM b
 @query
 def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+@query
+def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({n}, '{label}', {words!r})" for n, (label, words) in enumerate(license_join.template_sets(license_join.TEMPLATES)))
+ORACLES["op5_license_join"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+low AS (SELECT r, doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d),
+w AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+p AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM w),
+s AS (SELECT r, i, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM p WINDOW x AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache'
+        WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM s),
+base AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM h WHERE label IS NOT NULL GROUP BY r),
+t(n, label, words) AS (VALUES """ + _TEMPLATE_ROWS + r"""),
+b AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM low),
+bt AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM b),
+o AS (SELECT r, label, len(words) AS size, len(list_intersect(bt.w, words)) AS n FROM bt, t),
+m AS (SELECT r, list(DISTINCT label) AS labels, max(n::DOUBLE / size) AS share FROM o WHERE n >= ceil(0.9 * size - 1e-9) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+  coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,
+  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), 'string_agg', ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1 ELSE coalesce(m.share, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN m USING (r)
+"""
