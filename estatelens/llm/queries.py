@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, host_rules, license_join
+from . import bin_slack, host_rules, html_templates, license_join
 from .common import table
 
 QUERIES: dict = {}
@@ -87,3 +87,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
   CASE WHEN base.n > 0 THEN 1 ELSE coalesce(m.share, 0) END::DOUBLE AS score
 FROM w LEFT JOIN base USING (r) LEFT JOIN m USING (r)
 """
+
+
+@query
+def op10_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(table(spark, sf_dir, "pages"))
