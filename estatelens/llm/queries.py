@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, host_rules, html_templates, license_join
+from . import bin_slack, host_rules, html_templates, license_join, quality_knn, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -92,3 +92,13 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN m USING (r)
 @query
 def op10_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_templates.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
