@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, host_rules, html_templates, license_join, quality_knn, toxicity
+from . import bin_slack, fm_index, host_rules, html_templates, license_join, quality_knn, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -102,3 +102,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.contaminated(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

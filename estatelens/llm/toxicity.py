@@ -23,9 +23,9 @@ from .labelled import fold, training_sample
 
 ship(__name__)
 
-ORDERS = (4, 5, 6)
+ORDERS = (5, 6, 7)
 BUCKET_BITS = 20
-FEATURES = 4096  # of the buckets, those that enter the regression
+FEATURES = 2048  # of the buckets, those that enter the regression
 MAX_TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -112,7 +112,7 @@ def _summed(parts):
 
 
 def fit_logistic(first: np.ndarray, feature: np.ndarray, scale: np.ndarray, label: np.ndarray,
-                 penalty: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+                 penalty: float = 1e-5, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights (scaled back to presence) and intercept by accelerated gradient descent; classes weigh alike.
 
     first: of each row the first of its entries in `feature`, and at the end the number of entries.
