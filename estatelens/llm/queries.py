@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, fm_index, host_rules, html_templates, license_join, quality_knn, toxicity
+from . import bin_slack, fm_index, host_rules, html_templates, license_join, quality_knn, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -112,3 +112,8 @@ def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
