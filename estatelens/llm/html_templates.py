@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 
 ship(__name__)
 
@@ -205,7 +205,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             titles += [xxhash.xxh64_intdigest(page.title) - (1 << 63)] * (len(found) + 1)
             hashes += [*found, None]  # the last stands for the page itself
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64())],
+            [pa.array(hosts, pa.int64()), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64())],
             names=["host", "title", "subtree"])
 
 
@@ -223,17 +223,23 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def host_key() -> Column:
+    """The host as a number, which is what is counted and joined."""
+    return F.xxhash64(host_of(F.col("url")))
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """One row per host: the hashes of its template subtrees.
+    """One row per host (as hash): the hashes of its template subtrees.
 
     Two steps of counting: distinct (host, subtree, title) first, which spreads a hot host over its subtrees and
     titles, then per subtree. Of a host at most 1 / MIN_SHARE times a page's subtrees pass, so lists stay short.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _subtrees, "host string, title bigint, subtree bigint").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    seen = pages.select(host_key().alias("host"), "html").mapInArrow(
+        _subtrees, "host bigint, title bigint, subtree bigint").distinct()
+    counts = stored(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(
+        F.col("subtree").isNull() | (F.col("n") >= MIN_PAGES)))
     totals = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("n_host"))
-    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= MIN_PAGES)).join(totals, "host")
+    often = counts.where(F.col("subtree").isNotNull()).join(totals, "host")
     return often.where(F.col("n") >= MIN_SHARE * F.col("n_host")).groupBy("host").agg(
         F.collect_list("subtree").alias("_templates"))
 
@@ -242,7 +248,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; a hot host's pages meet its templates in SALT parts."""
     salted = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
     templates = site_templates(pages).select("host", "_templates", salted)
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).withColumn(
+    keyed = pages.select("page_id", "url", "html", host_key().alias("host")).withColumn(
         "_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     joined = keyed.join(templates, ["host", "_salt"], "left").select("page_id", "url", "html", "_templates")
     return joined.mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
