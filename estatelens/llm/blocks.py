@@ -59,6 +59,33 @@ def to_blocks(docs: DataFrame, carry: str, carry_type: str, table: bytes) -> Dat
         run, f"block bigint, n_docs bigint, carry array<{carry_type}>, words binary")
 
 
+def text_blocks(docs: DataFrame, carry: str, carry_type: str, table: bytes | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (block, carry, sizes, data): the column `carry` of the block's documents, and their texts as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in in_slices(batches, chars):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            data = b"".join(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(carry)),
+                 pa.array([list(map(len, texts))], pa.list_(pa.int64())),
+                 pa.array([pack(data.translate(table) if table else data)], pa.binary())],
+                names=["block", "carry", "sizes", "data"])
+            block += 1
+
+    return docs.select(carry, F.col("text")).mapInArrow(
+        run, f"block bigint, carry array<{carry_type}>, sizes array<bigint>, data binary")
+
+
+def texts_of(row) -> tuple[list, list[bytes]]:
+    """What a block carries, and the texts, in order."""
+    data, sizes = unpack(row["data"].as_py()), row["sizes"].as_py()
+    ends = np.cumsum(sizes).tolist()
+    return row["carry"].as_py(), [data[e - n:e] for e, n in zip(ends, sizes)]
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a block in order, the ends of documents left out, and words per document."""
     words = data.split()
@@ -84,12 +111,12 @@ def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
+def ask_shards(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
     """Rows (block, replies): replies is an array of (shard, reply) of the answers to a block's questions.
 
-    question(row) gives (keys ascending, list of arrays beside them); answer(list of such tuples of one shard) gives
-    as many byte strings. A shard holds a fixed part of the hash space: with the session's partitions, its size
-    stays, however large the input is.
+    question(row, shards) gives (shard, bytes) pairs; answer(list of such bytes of one shard) gives as many byte
+    strings. A shard holds a fixed part of the hash space: with the session's partitions, its size stays, however
+    large the input is.
     """
     shards = partitions_for(blocks.sparkSession)
 
@@ -97,10 +124,7 @@ def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                keys, beside = question(row)
-                cut = shard_bounds(keys, shards)
-                packed = [(s, b"".join([len(keys[a:b]).to_bytes(8, "little"), keys[a:b].tobytes(), *(x[a:b].tobytes() for x in beside)]))
-                          for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                packed = question(row, shards)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"].as_py()] * len(packed), pa.int64()), pa.array([p[0] for p in packed], pa.int32()),
                      pa.array([p[1] for p in packed], pa.binary())], names=["block", "shard", "question"])
@@ -114,6 +138,18 @@ def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
     return replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "reply"))).alias("replies"))
 
 
+def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
+    """ask_shards for plain keys: question(row) gives (keys ascending, list of arrays beside them)."""
+
+    def by_shard(row, shards: int) -> list[tuple[int, bytes]]:
+        keys, beside = question(row)
+        cut = shard_bounds(keys, shards).tolist()
+        return [(s, b"".join([(b - a).to_bytes(8, "little"), keys[a:b].tobytes(), *(x[a:b].tobytes() for x in beside)]))
+                for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+
+    return ask_shards(blocks, by_shard, answer)
+
+
 def unpacked(question: bytes, *types) -> list[np.ndarray]:
     """The keys and the arrays beside them."""
     n = int.from_bytes(question[:8], "little")

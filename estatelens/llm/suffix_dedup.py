@@ -2,7 +2,8 @@
 
 1. Anchors. Each window of LENGTH bytes picks the K-gram with the least hash in it, so equal windows pick the same
    one. The windows of an anchor go by a longer string around it, left or right of the anchor, whichever lies inside
-   the window: equal windows have equal keys, and a key that stands at one place of one text holds no repeat.
+   the window: equal windows have equal keys, and a key that stands at one place of one text holds no repeat. Which
+   keys stand at two places or more is asked of shards of the key space, block by block (see `blocks`).
 2. Segments. The text around repeated keys (a run of window starts and LENGTH - 1 bytes more) is grouped by key; equal
    segments count once, with the places they stand at.
 3. Suffix arrays. A task sorts the suffixes of its segments in two stages: those smaller than their successors
@@ -27,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import ask, mixed, text_blocks, texts_of, unpacked
 from .common import partitions_for, ship, stored
-from .toxicity import in_slices
 
 ship(__name__)
 
 LENGTH = 400
 K = 128
-BATCH = 2_000_000  # bytes of segments sorted at once, unless one group is larger
+BLOCK_CHARS = 6_000_000
+HASHED_AT_ONCE = 1_000_000  # bytes, unless one text is longer
+BATCH = 1_000_000  # bytes of segments sorted at once, unless one group is larger
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -179,61 +182,101 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a:a + n]) for a, n in zip(begins.tolist(), sizes.tolist())]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        number, first, last, key = runs_of_windows(texts)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h").take(pa.array(number)), pa.array(key), pa.array(first), pa.array(last)],
-            names=["h", "key", "first", "last"])
+def _texts_of(row) -> tuple[list[bytes], list[bytes]]:
+    """Names and bytes of the distinct texts of a block."""
+    texts = dict(zip(*texts_of(row)))
+    return list(texts), list(texts.values())
+
+
+def _block_runs(names: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, first start, last start, key, place) of all runs; the texts are hashed some at a time."""
+    parts, begin, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= HASHED_AT_ONCE or i + 1 == len(texts):
+            number, first, last, key = runs_of_windows(texts[begin:i + 1])
+            parts.append((number + begin, first, last, key.view(np.uint64)))
+            begin, size = i + 1, 0
+    number, first, last, key = (np.concatenate(x) for x in zip(*parts))
+    name = np.array([int.from_bytes(h[:8], "little") for h in names], np.uint64)
+    return number, first, last, key, mixed(name[number] + first.astype(np.uint64) * np.uint64(_BASE))
+
+
+def _places_question(row):
+    """Keys of the block, each with its least and greatest place."""
+    names, texts = _texts_of(row)
+    if not texts:
+        return np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]
+    *_, key, place = _block_runs(names, texts)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.append(True, key[1:] != key[:-1])[:len(key)]
+    ends = new | np.append(new[1:], True)[:len(key)]
+    return key[ends], [place[ends]]
+
+
+def _places_answer(questions: list[bytes]) -> list[bytes]:
+    """For every key sent whether it stands at two places or more."""
+    asked = [unpacked(q, np.uint64) for q in questions]
+    key, place = (np.concatenate(x) for x in zip(*asked))
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    last = np.append(first[1:], len(key)) - 1
+    back = np.empty(len(key), np.uint8)
+    back[order] = np.repeat(place[first] != place[last], last - first + 1)
+    return [x.tobytes() for x in np.split(back, np.cumsum([len(k) for k, _ in asked])[:-1])]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
-        rows = []
-        for h, text, runs in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "runs"))):
-            data = text.encode("utf-8", "surrogatepass")
-            rows += [(r["key"], data[r["first"]:r["last"] + LENGTH], h, r["first"]) for r in runs]
-        key, segment, h, first = zip(*rows) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(segment, pa.binary()), pa.array(h, pa.binary()), pa.array(first, pa.int64())],
-            names=["key", "segment", "h", "first"])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            names, texts = _texts_of(row)
+            sent, _ = _places_question(row)
+            repeated = np.frombuffer(b"".join(r["reply"] for r in row["replies"].as_py() or ()), np.uint8) > 0
+            if not repeated.any():
+                continue
+            number, first, last, key, _ = _block_runs(names, texts)
+            chosen = np.flatnonzero(np.isin(key, sent[repeated]))
+            for part in np.split(chosen, range(4096, len(chosen), 4096)):
+                t, f, e = number[part].tolist(), first[part].tolist(), (last[part] + LENGTH).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[part].view(np.int64)), pa.array([texts[n][a:b] for n, a, b in zip(t, f, e)], pa.binary()),
+                     pa.array([names[n] for n in t], pa.binary()), pa.array(f, pa.int64()),
+                     pa.array([row["block"].as_py()] * len(part), pa.int64())], names=["key", "segment", "h", "first", "block"])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and segment: groups are gathered up to BATCH bytes, equal segments once."""
     segments: list[bytes] = []
-    places: list[list[tuple[bytes, int]]] = []
+    places: list[dict[tuple[bytes, int], int]] = []
     size, last_key = 0, None
 
     def solved() -> pa.RecordBatch:
-        h, begin, end = [], [], []
+        found = []
         for segment, owners, starts in zip(segments, places, repeated_starts(segments)):
+            spans = []
             if len(owners) > 1:
                 spans = [(0, len(segment))]
             elif len(starts):
                 cut = np.flatnonzero(np.append(True, np.diff(starts) > 1))
                 spans = list(zip(starts[cut].tolist(), (starts[np.append(cut[1:], len(starts)) - 1] + LENGTH).tolist()))
-            else:
-                continue
-            for owner, first in owners:
-                for a, b in spans:
-                    h.append(owner)
-                    begin.append(first + a)
-                    end.append(first + b)
+            found += [(h, block, first + a, first + b) for (h, first), block in owners.items() for a, b in spans]
+        h, block, begin, end = zip(*found) if found else ((),) * 4
         return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["h", "begin", "end"])
+            [pa.array(h, pa.binary()), *(pa.array(x, pa.int64()) for x in (block, begin, end))], names=["h", "block", "begin", "end"])
 
     for batch in batches:
-        for key, segment, h, first in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "h", "first"))):
+        for key, segment, h, first, block in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "h", "first", "block"))):
             if key != last_key and size >= BATCH:
                 yield solved()
                 segments, places, size = [], [], 0
             if key == last_key and segments and segments[-1] == segment:
-                places[-1].append((h, first))
+                places[-1].setdefault((h, first), block)  # copies of a text stand at one place
             else:
                 segments.append(segment)
-                places.append([(h, first)])
+                places.append({(h, first): block})
                 size += len(segment)
             last_key = key
     if segments:
@@ -241,22 +284,24 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
-        rows = []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-            data, spans = text.encode("utf-8", "surrogatepass"), []
-            for r in sorted(ranges, key=lambda r: r["begin"]):
-                if spans and r["begin"] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r["end"])
-                else:
-                    spans.append([r["begin"], r["end"]])
-            edges = [0, *(x for s in spans for x in s), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        removed, n, sha, kept = zip(*rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())],
-            names=["h", "n_removed", "n_spans", "kept_sha256", "kept"])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            texts, rows = dict(zip(*_texts_of(row))), []
+            for found in row["found"].as_py():
+                data, spans = texts[found["h"]], []
+                for r in sorted(found["ranges"], key=lambda r: r["begin"]):
+                    if spans and r["begin"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], r["end"])
+                    else:
+                        spans.append([r["begin"], r["end"]])
+                edges = [0, *(x for s in spans for x in s), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                rows.append((found["h"], sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+            h, removed, n, sha, kept = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.binary()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
+                 pa.array(kept, pa.binary())], names=["h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -270,17 +315,15 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         {"h": F.unhex(F.md5(text)), "n_bytes": F.octet_length(text).cast("bigint"), "_sha": F.sha2(text, 256)})
     rows = own if keep_text else own.drop("text")
     long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
-    anchors = stored(long.mapInArrow(_anchors, "h binary, key bigint, first bigint, last bigint"))
-    place = F.struct("h", "first")
-    repeated = anchors.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("key")
-    runs = anchors.join(repeated, "key").groupBy("h").agg(F.collect_set(F.struct("first", "last", "key")).alias("runs"))
-    texts = stored(long.groupBy("h").agg(F.first("text").alias("text")).join(runs, "h"))
-    segments = texts.mapInArrow(_segments, "key bigint, segment binary, h binary, first bigint")
+    blocks = stored(text_blocks(long, "h", "binary", chars=BLOCK_CHARS))
+    answered = blocks.join(ask(blocks, _places_question, _places_answer), "block")
+    segments = answered.mapInArrow(_segments, "key bigint, segment binary, h binary, first bigint, block bigint")
     ranges = segments.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key", "segment").mapInArrow(
-        _ranges, "h binary, begin bigint, end bigint")
-    per_text = ranges.groupBy("h").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+        _ranges, "h binary, block bigint, begin bigint, end bigint")
+    per_text = ranges.groupBy("h").agg(F.min("block").alias("block"), F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    per_block = per_text.groupBy("block").agg(F.collect_list(F.struct("h", "ranges")).alias("found"))
     columns = ["h", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
-    found = texts.select("h", "text").join(per_text, "h").mapInArrow(
+    found = blocks.join(per_block, "block").mapInArrow(
         _cut, "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").select(
         "h", *(F.col(c).alias(f"_{c}") for c in columns[1:]))
     copies = own.where(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")

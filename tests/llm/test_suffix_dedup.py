@@ -45,6 +45,8 @@ def test_against_brute_force(spark, docs, folder, monkeypatch, seed):
     monkeypatch.setattr(suffix_dedup, "LENGTH", 20)
     monkeypatch.setattr(suffix_dedup, "K", 6)
     monkeypatch.setattr(suffix_dedup, "BATCH", 500)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CHARS", 700)
+    monkeypatch.setattr(suffix_dedup, "HASHED_AT_ONCE", 300)
     texts = sample_texts(seed)
     found = {r.doc_id: r for r in QUERIES["op8_suffix_dedup"](spark, folder(documents=docs(texts))).collect()}
     got = [(found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) for i in range(len(texts))]
