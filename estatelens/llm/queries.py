@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, fm_index, host_rules, html_templates, icws, license_join, quality_knn, suffix_dedup, toxicity
+from . import bin_slack, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, quality_knn, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -122,3 +122,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
