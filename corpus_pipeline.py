@@ -1,26 +1,71 @@
-"""The corpus pipeline: documents through quality rules, and further stages."""
+"""The corpus pipeline: quality rules, near-dedup, repeated strings, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's
+documents. All but the last return the columns of documents; the last one returns packed pieces with their ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from estatelens.llm import bin_slack, fm_index, host_rules, icws, suffix_dedup
+from estatelens.llm.common import shared_folder, table
+
+ORACLE_SQL = None  # stages 2 to 5 have no SQL form; tests/llm/test_pipeline.py runs them against plain versions
 
-from estatelens.llm import host_rules
-from estatelens.llm.common import shared_folder
 
-ORACLE_SQL = None
+def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Documents whose texts changed: n_chars follows the text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    return docs.select(columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host passes them."""
-    judged = host_rules.judge(docs, keep_text=True)
-    return judged.where("kept").select(docs.columns)
+    """Documents that pass the rules, of hosts that pass them."""
+    return host_rules.judge(docs, keep_text=True).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return icws.without_near_duplicates(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that start elsewhere too; bytes of cut characters go as well.
+
+    A document of which nothing is left has no text to train on and goes.
+    """
+    cut = suffix_dedup.dedup(docs, keep_text=True)
+    gone = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
+    return _with_length(cut.where(~gone).withColumnRenamed("kept_text", "text"), docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the benchmark's passages; a document of nothing else goes."""
+    cut = fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = (F.size("spans") > 0) & (F.trim("text") == "")
+    return _with_length(cut.where(~gone), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences."""
+    return bin_slack.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_strings),
+    ("decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written to the shared folder before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = shared_folder(spark)
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -301,7 +301,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, removed, n, sha, kept = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.binary()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.binary())], names=["h", "n_removed", "n_spans", "kept_sha256", "kept"])
+                 pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                names=["h", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -309,9 +310,9 @@ RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Columns of docs without the text, with n_bytes, n_removed, n_spans, kept_sha256; on request `kept`, the bytes
-    that stay (binary, since a cut may fall inside a character)."""
+    that stay, and `kept_text`, their whole characters (a cut may fall inside one)."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.drop(*RESULT, "h", "kept").withColumns(
+    own = docs.drop(*RESULT, "h", "kept", "kept_text").withColumns(
         {"h": F.unhex(F.md5(text)), "n_bytes": F.octet_length(text).cast("bigint"), "_sha": F.sha2(text, 256)})
     rows = own if keep_text else own.drop("text")
     long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
@@ -322,16 +323,19 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         _ranges, "h binary, block bigint, begin bigint, end bigint")
     per_text = ranges.groupBy("h").agg(F.min("block").alias("block"), F.collect_set(F.struct("begin", "end")).alias("ranges"))
     per_block = per_text.groupBy("block").agg(F.collect_list(F.struct("h", "ranges")).alias("found"))
-    columns = ["h", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    columns = ["h", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if keep_text else [])]
     found = blocks.join(per_block, "block").mapInArrow(
-        _cut, "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").select(
+        _cut, "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string").select(
         "h", *(F.col(c).alias(f"_{c}") for c in columns[1:]))
     copies = own.where(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")
     copied = F.col("_copies").isNotNull()
-    kept = F.when(copied, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("text").cast("binary"))) if keep_text else None
+    kept = [
+        F.when(copied, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("text").cast("binary"))).alias("kept"),
+        F.when(copied, F.lit("")).otherwise(F.coalesce("_kept_text", "text")).alias("kept_text"),
+    ] if keep_text else []
     return rows.join(copies, "h", "left").join(found, "h", "left").select(
-        *(c for c in docs.columns if c not in ("text", "kept", "h", *RESULT)), "n_bytes",
+        *(c for c in docs.columns if c not in ("text", "kept", "kept_text", "h", *RESULT)), "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept_sha256", "_sha")).alias("kept_sha256"),
-        *([kept.alias("kept")] if keep_text else []))
+        *kept)
