@@ -22,7 +22,7 @@ from .toxicity import in_slices
 ship(__name__)
 
 DOC_END = b"\x01"
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def pack(data: bytes) -> bytes:
@@ -138,13 +138,41 @@ def ask_shards(blocks: DataFrame, question: Callable, answer: Callable) -> DataF
     return replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "reply"))).alias("replies"))
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned numbers, one plane after the other."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def packed_keys(keys: np.ndarray, beside: bytes) -> bytes:
+    """Ascending keys, by the steps between them, and other bytes, compressed."""
+    steps = np.diff(keys, prepend=keys[:1])
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    small = pack(beside)
+    head = np.array([len(keys), int(keys[0]) if len(keys) else 0, width, len(small)], np.uint64).tobytes()
+    return b"".join([head, small, planes(steps, width)])
+
+
+def unpacked_keys(question: bytes) -> tuple[np.ndarray, bytes, int]:
+    """The keys, the bytes beside them, and where the question goes on."""
+    n, first, width, size = np.frombuffer(question, np.uint64, 4).tolist()
+    end = 32 + size + n * width
+    steps = from_planes(question[32 + size:end], n, width)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), unpack(question[32:32 + size]), end
+
+
 def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
     """ask_shards for plain keys: question(row) gives (keys ascending, list of arrays beside them)."""
 
     def by_shard(row, shards: int) -> list[tuple[int, bytes]]:
         keys, beside = question(row)
         cut = shard_bounds(keys, shards).tolist()
-        return [(s, b"".join([(b - a).to_bytes(8, "little"), keys[a:b].tobytes(), *(x[a:b].tobytes() for x in beside)]))
+        return [(s, packed_keys(keys[a:b], b"".join(x[a:b].tobytes() for x in beside)))
                 for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
     return ask_shards(blocks, by_shard, answer)
@@ -152,10 +180,9 @@ def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
 
 def unpacked(question: bytes, *types) -> list[np.ndarray]:
     """The keys and the arrays beside them."""
-    n = int.from_bytes(question[:8], "little")
-    out, at = [], 8
-    for t in (np.uint64, *types):
-        size = n * np.dtype(t).itemsize
-        out.append(np.frombuffer(question, t, n, at))
-        at += size
+    keys, beside, _ = unpacked_keys(question)
+    out, at = [keys], 0
+    for t in types:
+        out.append(np.frombuffer(beside, t, len(keys), at))
+        at += out[-1].nbytes
     return out

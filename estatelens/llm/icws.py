@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, mixed, to_blocks, unpack, unpacked, word_hashes
+from .blocks import DOC_END, ask, mixed, pack, to_blocks, unpack, unpacked, word_hashes
 from .common import ship, stored
 from .fm_index import _TO_WORDS as WORD_BYTES
 
@@ -35,45 +35,55 @@ ship(__name__)
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-LEADERS = 16  # texts of an unfinished bucket that meet the others in a round
+LEADERS = 128  # texts of an unfinished bucket that meet the others in a round
 PART = 256  # texts that meet a copy of their leader
-PIECE = 1 << 17  # shingles sampled at once
+PIECE = 1 << 15  # shingles sampled at once
 _GRID = 1 << 16
 
 
-def shingles(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document number, shingle, tf), sorted, of a block; and its number of documents."""
-    words, sizes = word_hashes(data)
-    n = len(words)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    hashes, docs = [], []
-    if n >= SHINGLE:
-        state = words[:n - SHINGLE + 1].copy()
-        for i in range(1, SHINGLE):
-            state = state * np.uint64(0x100000001B3) + words[i:n - SHINGLE + 1 + i]
-        whole = doc[:n - SHINGLE + 1] == doc[SHINGLE - 1:]
-        hashes.append(mixed(state[whole]))
-        docs.append(doc[:n - SHINGLE + 1][whole])
-    begins = np.cumsum(sizes) - sizes
-    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
-    if len(short):
-        with np.errstate(over="ignore"):
+class Shingles:
+    """Distinct (shingle, document) of a block with tf, ordered by shingle; `key` numbers the distinct shingles."""
+
+    def __init__(self, data: bytes):
+        words, sizes = word_hashes(data)
+        n, self.n_docs = len(words), len(sizes)
+        narrow = np.uint16 if self.n_docs < 1 << 16 else np.int64  # short numbers are sorted by radix
+        doc = np.repeat(np.arange(self.n_docs).astype(narrow), sizes)
+        hashes, docs = [], []
+        if n >= SHINGLE:
+            state = words[:n - SHINGLE + 1].copy()
+            for i in range(1, SHINGLE):
+                state = state * np.uint64(0x100000001B3) + words[i:n - SHINGLE + 1 + i]
+            whole = doc[:n - SHINGLE + 1] == doc[SHINGLE - 1:]
+            hashes.append(mixed(state[whole]))
+            docs.append(doc[:n - SHINGLE + 1][whole])
+        begins = np.cumsum(sizes) - sizes
+        short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+        if len(short):
             sums = [np.bitwise_xor.reduce(mixed(words[begins[d]:begins[d] + sizes[d]] + np.arange(1, sizes[d] + 1).astype(np.uint64)))
                     for d in short.tolist()]
-        hashes.append(np.array(sums, np.uint64))
-        docs.append(short)
-    hashes, docs = (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(hashes, kind="stable")
-    order = order[np.argsort(docs[order], kind="stable")]
-    hashes, docs = hashes[order], docs[order]
-    new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1]))[:len(hashes)])
-    return docs[new], hashes[new], np.diff(np.append(new, len(hashes))), len(sizes)
+            hashes.append(np.array(sums, np.uint64))
+            docs.append(short.astype(narrow))
+        hashes, docs = (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), doc)
+        order = np.argsort(docs, kind="stable")
+        hashes, docs = hashes[order], docs[order]
+        order = np.argsort(hashes, kind="stable")  # documents ascend within a shingle
+        hashes, docs = hashes[order], docs[order]
+        other = np.append(True, hashes[1:] != hashes[:-1])[:len(hashes)]
+        new = np.flatnonzero(other | np.append(True, docs[1:] != docs[:-1])[:len(hashes)])
+        self.hashes, self.docs = hashes[new], docs[new]
+        self.tf = np.diff(np.append(new, len(hashes)))
+        self.key = np.cumsum(other[new]) - 1
+
+    def by_document(self, *arrays: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(self.docs, kind="stable")
+        return [a[order] for a in (self.docs.astype(np.int64), self.hashes, self.tf, *arrays)]
 
 
 def _frequency_question(row):
-    _, hashes, _, _ = shingles(unpack(row["words"].as_py()))
-    keys, counts = np.unique(hashes, return_counts=True)
-    return keys, [counts.astype(np.uint32)]
+    found = Shingles(unpack(row["words"].as_py()))
+    first = np.flatnonzero(np.append(True, np.diff(found.key) > 0)[:len(found.key)])
+    return found.hashes[first], [np.diff(np.append(first, len(found.key))).astype(np.uint32)]
 
 
 def _frequency_answer(n_docs: int):
@@ -92,13 +102,6 @@ def _frequency_answer(n_docs: int):
     return answer
 
 
-def weighted(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, shingle, tf, code of the document frequency) of a block with its replies."""
-    docs, hashes, tf, _ = shingles(unpack(row["words"].as_py()))
-    codes = np.frombuffer(b"".join(r["reply"] for r in row["replies"].as_py() or ()), np.uint8)
-    return docs, hashes, tf, codes[np.searchsorted(np.unique(hashes), hashes)]
-
-
 def idf(code: np.ndarray) -> np.ndarray:
     return 1.5 - code.astype(np.float64) / 510
 
@@ -125,7 +128,8 @@ def band_keys(docs: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tupl
         starts = first[at:stop] - a
         index = np.arange(b - a)
         for sample in range(BANDS * ROWS):
-            u = mixed(h + np.uint64((sample + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
+            u = (h ^ np.uint64((sample + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+            u ^= u >> np.uint64(32)
             r = gamma[(u & np.uint64(0xFFFF)).astype(np.int32)]
             log_c = log_gamma[(u >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int32)]
             beta = (u >> np.uint64(48)).astype(np.float32) * np.float32(1 / _GRID)
@@ -140,40 +144,44 @@ def band_keys(docs: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tupl
     return names, keys
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per distinct text of a block: its bucket keys, total weight and the codes of its shingles."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
-            docs, hashes, tf, code = weighted(row)
-            names = row["carry"].as_py()
-            own = list({name: d for d, name in enumerate(names)}.values())
-            once = np.isin(docs, own)  # copies in the block are sampled once
-            found, keys = band_keys(docs[once], hashes[once], tf[once] * idf(code[once]))
-            who = [names[d] for d in found.tolist()]
+            found, names = Shingles(unpack(row["words"].as_py())), row["carry"].as_py()
+            codes = np.frombuffer(b"".join(r["reply"] for r in row["replies"].as_py() or ()), np.uint8)
+            docs, hashes, tf, code = found.by_document(codes[found.key])
+            once = np.zeros(len(names), bool)  # copies in the block are sampled once
+            once[list({name: d for d, name in enumerate(names)}.values())] = True
+            once = once[docs]
+            docs, hashes, tf, code = docs[once], hashes[once], tf[once], code[once]
+            weights = tf * idf(code)
+            who, keys = band_keys(docs, hashes, weights)
+            cut = np.append(np.searchsorted(docs, who), len(docs))
+            total = np.add.reduceat(weights, cut[:-1]) if len(who) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"].as_py()] * (len(who) * BANDS), pa.int64()),
-                 pa.array([w for w in who for _ in range(BANDS)], pa.binary()),
-                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(who))), pa.array(keys.ravel().view(np.int64))],
-                names=["block", "h", "band", "key"])
+                [pa.array([row["block"].as_py()] * len(who), pa.int64()), pa.array([names[d] for d in who.tolist()], pa.binary()),
+                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(total, pa.float64()),
+                 pa.array([pack(code[a:b].tobytes()) for a, b in zip(cut, cut[1:])], pa.binary())],
+                names=["block", "h", "keys", "weight", "codes"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles, tf and codes of the wanted texts of a block; only their words are read."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
-            docs, hashes, tf, code = weighted(row)
-            wanted, names = set(row["wanted"].as_py()), row["carry"].as_py()
-            who, shingle, times, codes = [], [], [], []
-            for d, name in enumerate(names):
-                if name in wanted:
-                    wanted.discard(name)
-                    a, b = np.searchsorted(docs, [d, d + 1])
-                    who.append(name)
-                    shingle.append(hashes[a:b].tobytes())
-                    times.append(tf[a:b].astype(np.uint32).tobytes())
-                    codes.append(code[a:b].tobytes())
+            wanted = {w["h"]: w["codes"] for w in row["wanted"].as_py()}
+            texts = dict(zip(row["carry"].as_py(), unpack(row["words"].as_py()).split(DOC_END)))
+            names = list(wanted)
+            docs, hashes, tf = Shingles(b" ".join(texts[n] + b" " + DOC_END for n in names)).by_document()
+            cut = np.searchsorted(docs, np.arange(len(names) + 1))
+            spans = list(zip(cut, cut[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.binary()) for x in (who, shingle, times, codes)], names=["h", "shingle", "times", "codes"])
+                [pa.array(names, pa.binary()), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()),
+                 pa.array([tf[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
+                 pa.array([unpack(wanted[n]) for n in names], pa.binary())], names=["h", "shingle", "times", "codes"])
 
 
 def similarity(a: tuple[bytes, bytes, bytes], b: tuple[bytes, bytes, bytes]) -> float:
@@ -210,19 +218,22 @@ def links(buckets: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
 
     First all texts of a bucket meet its leader, the text that most others share buckets with (the original among its
     edited copies). Buckets whose texts are then connected are done. In the others, pairs not connected yet are
-    compared, for LEADERS texts of a bucket per round.
+    compared, for LEADERS texts of a bucket per round. The similarity of two texts is at most the ratio of their total
+    weights, so pairs of too unlike weights are not looked at.
     """
+    alike = F.least("weight", "leader_weight") >= F.greatest("weight", "leader_weight") * (threshold - 1e-9)
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
     popular = buckets.join(sizes, ["band", "key"]).groupBy("h").agg(F.sum(F.col("n") - 1).alias("popular"))
-    members = stored(buckets.select("band", "key", "h").join(popular, "h"))
-    leaders = members.groupBy("band", "key").agg(F.max(F.struct("popular", "h"))["h"].alias("leader"))
-    edges = members.join(leaders, ["band", "key"]).where("h != leader").select("h", "leader").distinct()
+    members = stored(buckets.select("band", "key", "h", "weight").join(popular, "h"))
+    leaders = members.groupBy("band", "key").agg(F.max(F.struct("popular", "h", "weight")).alias("l")).select(
+        "band", "key", F.col("l.h").alias("leader"), F.col("l.weight").alias("leader_weight"))
+    edges = members.join(leaders, ["band", "key"]).where((F.col("h") != F.col("leader")) & alike).select("h", "leader").distinct()
     near = F.col("similarity") >= threshold
     found = stored(compare(stored(edges), vectors).where(near).select("h", "leader"))
 
     roots = components(found, "h", "leader")
     rooted = members.join(roots, F.col("h") == F.col("node"), "left").select(
-        "band", "key", "h", F.coalesce("root", "h").alias("root"))
+        "band", "key", "h", "weight", F.coalesce("root", "h").alias("root"))
     mixed_buckets = rooted.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
     rounds = F.ceil(F.col("n") / LEADERS).cast("int")
@@ -230,9 +241,10 @@ def links(buckets: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
         "part", F.pmod(F.xxhash64("h"), F.col("rounds")).cast("int")))
     for part in range(left.agg(F.max("rounds")).first()[0] or 0):
         first = left.where(F.col("part") == part).select(
-            "band", "key", F.col("h").alias("leader"), F.col("root").alias("leader_root"))
+            "band", "key", F.col("h").alias("leader"), F.col("root").alias("leader_root"), F.col("weight").alias("leader_weight"))
         later = (F.col("part") > part) | (F.col("part") == part) & (F.col("h") > F.col("leader"))
-        pairs = left.join(first, ["band", "key"]).where(later & (F.col("root") != F.col("leader_root"))).select("h", "leader").distinct()
+        apart = F.col("root") != F.col("leader_root")
+        pairs = left.join(first, ["band", "key"]).where(later & apart & alike).select("h", "leader").distinct()
         found = found.union(stored(compare(stored(pairs), vectors).where(near).select("h", "leader")))
     return found
 
@@ -262,14 +274,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.unhex(F.md5("text")))
     blocks = stored(to_blocks(keyed, "h", "binary", WORD_BYTES))
     n_docs = blocks.agg(F.sum("n_docs")).first()[0] or 0
-    asked = stored(ask(blocks, _frequency_question, _frequency_answer(n_docs)))
-    answered = blocks.join(asked, "block", "left")
-    sampled = stored(answered.mapInArrow(_buckets, "block bigint, h binary, band int, key bigint"))
-    buckets = sampled.groupBy("band", "key", "h").agg(F.min("block").alias("block"))
+    answered = blocks.join(ask(blocks, _frequency_question, _frequency_answer(n_docs)), "block", "left")
+    sampled = stored(answered.mapInArrow(
+        _samples, "block bigint, h binary, keys array<bigint>, weight double, codes binary"))
+    buckets = sampled.select("h", "weight", F.posexplode("keys").alias("band", "key")).groupBy("band", "key", "h").agg(
+        F.min("weight").alias("weight"))
     met = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(buckets.join(met, ["band", "key"]))
-    wanted = shared.groupBy("h").agg(F.min("block").alias("block")).groupBy("block").agg(F.collect_list("h").alias("wanted"))
-    vectors = stored(answered.join(wanted, "block").mapInArrow(
+    place = F.struct("block", "codes")
+    wanted = (
+        sampled.join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min_by(place, "block").alias("p"))
+        .groupBy("p.block").agg(F.collect_list(F.struct("h", F.col("p.codes").alias("codes"))).alias("wanted")))
+    vectors = stored(blocks.join(wanted, "block").mapInArrow(
         _vectors, "h binary, shingle binary, times binary, codes binary"))
     near = stored(links(shared, vectors, threshold))
     degree = near.select(F.explode(F.array("h", "leader")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))

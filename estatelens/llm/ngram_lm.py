@@ -35,7 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, ask_shards, mixed, pack, shard_bounds, text_blocks, texts_of, unpack, unpacked
+from .blocks import (
+    ask, ask_shards, mixed, pack, packed_keys, shard_bounds, text_blocks, texts_of, unpack, unpacked, unpacked_keys,
+)
 from .common import partitions_for, ship, stored
 from .labelled import fold
 
@@ -44,7 +46,7 @@ ship(__name__)
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 BACK_OFF = 20.0  # M
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 5_000_000
 STEPS = 4096  # codes per power of ten
 NONE = 65535  # code of probability 0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -283,17 +285,6 @@ def _word_answer(questions: list[bytes]) -> list[bytes]:
     return [head + pack(x.tobytes()) for x in np.split(back, np.cumsum([len(k) for k, _ in asked])[:-1])]
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned numbers, one plane after the other."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(data: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
-    return out.view(np.uint64).ravel()
-
-
 def _trigram_question(row, shards: int) -> list[tuple[int, bytes]]:
     pairs, sizes, words, counts, _, _ = Tokens(row).trigrams()
     first = np.append(0, np.cumsum(sizes))
@@ -302,22 +293,17 @@ def _trigram_question(row, shards: int) -> list[tuple[int, bytes]]:
     for shard, (a, b) in enumerate(zip(cut, cut[1:])):
         if a == b:
             continue
-        steps = np.diff(pairs[a:b], prepend=pairs[a:a + 1])  # what lies between sorted keys takes fewer bytes
-        width = max(1, (int(steps.max()).bit_length() + 7) // 8)
         x, y = int(first[a]), int(first[b])
-        head = np.array([b - a, y - x, width, 0], np.int64).tobytes() + pairs[a:a + 1].tobytes()
-        small = pack(sizes[a:b].astype(np.uint32).tobytes() + counts[x:y].tobytes())
-        out.append((shard, b"".join([
-            head, len(small).to_bytes(8, "little"), small, _planes(steps, width), words[x:y].tobytes()])))
+        small = sizes[a:b].astype(np.uint32).tobytes() + counts[x:y].tobytes()
+        out.append((shard, packed_keys(pairs[a:b], small) + words[x:y].tobytes()))
     return out
 
 
 def _asked_trigrams(question: bytes) -> tuple[np.ndarray, ...]:
-    n, m, width, _ = np.frombuffer(question, np.int64, 4).tolist()
-    at = 48 + int.from_bytes(question[40:48], "little")
-    small = np.frombuffer(unpack(question[48:at]), np.uint32)
-    pairs = np.cumsum(_from_planes(question[at:at + n * width], n, width), dtype=np.uint64) + np.frombuffer(question, np.uint64, 1, 32)
-    return pairs, small[:n].astype(np.int64), np.frombuffer(question, np.uint32, m, at + n * width), small[n:]
+    """Pairs, successors per pair, successor words, training counts."""
+    pairs, beside, at = unpacked_keys(question)
+    small = np.frombuffer(beside, np.uint32)
+    return pairs, small[:len(pairs)].astype(np.int64), np.frombuffer(question[at:], np.uint32), small[len(pairs):]
 
 
 def _trigram_answer(questions: list[bytes]) -> list[bytes]:
