@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
+from .toxicity import in_slices
 
 ship(__name__)
 
 MIN_PAGES = 10  # differently titled pages of the host that hold the subtree
 MIN_SHARE = 0.2  # of all differently titled pages of the host
+PART_BYTES = 1_000_000  # pages parsed at once, unless one is longer
 SALT = 32  # parts of a host's pages that meet its templates apart
 
 # Element kinds of HTML.
@@ -196,7 +198,7 @@ class Page:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, PART_BYTES, "html"):
         hosts, titles, hashes = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(source or "")
@@ -210,7 +212,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, PART_BYTES, "html"):
         templates = [frozenset(t or ()) for t in batch.column("_templates").to_pylist()]
         texts = [Page(s or "").text(t) for s, t in zip(batch.column("html").to_pylist(), templates)]
         yield pa.RecordBatch.from_arrays(

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +76,10 @@ def present(texts: list[str], wanted: np.ndarray | None, width: int) -> tuple[np
     return keys // width, keys % width
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a part holds about `chars` of the column `text`, or one longer text."""
+def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part holds about `chars` of the column, or one longer text."""
     for batch in batches:
-        sizes = np.cumsum(np.fromiter((len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column("text")),
-                                      np.int64, batch.num_rows))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
             base = sizes[begin - 1] if begin else 0
