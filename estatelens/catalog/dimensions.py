@@ -76,8 +76,3 @@ def _advice_table(spark, key, key_type, rows, contact) -> DataFrame:
         "suggested_actions": [[a.replace("{contact}", contact) for a in r[3]] for r in rows],
         "docs": [r[4] for r in rows],
     }))
-
-
-def values_table(spark: SparkSession, **columns) -> DataFrame:
-    """A tiny dimension from parallel lists, e.g. the five risk buckets."""
-    return bounded(spark, pa.table(columns))

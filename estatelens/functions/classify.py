@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import fixed_values as fv
-from .text import non_empty
+from .text import non_empty, read_json
 
 
 def any_match(text: Column, patterns) -> Column:
@@ -131,7 +131,7 @@ def error_rule_no(error_text: Column, rules=None) -> Column:
 
 
 def uncategorized_cause(error_text: Column) -> Column:
-    head = F.regexp_replace(F.substring(error_text, 1, 200), "\n", " ")
+    head = F.regexp_replace(error_text, "\n", " ")
     return F.concat(F.lit(fv.UNCATEGORIZED_CAUSE_PREFIX), head)
 
 
@@ -178,9 +178,9 @@ def delivery_status(
     retried = first_status.isNull() | first_status.isin(429, 503)
     no_retry_answer = retried & retry_status.isNull()
     final = F.when(retried, retry_status).otherwise(first_status)
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 2048))
-    html = head.contains("<html") | head.contains("<!doctype html")
-    answer = F.from_json(body, "itemsReceived INT, itemsAccepted INT, errors ARRAY<STRING>")
+    answered = F.lower(F.coalesce(body, F.lit("")))
+    html = answered.contains("<html") | answered.contains("<!doctype html")
+    answer = read_json(body, "itemsReceived INT, itemsAccepted INT, errors ARRAY<STRING>")
     received = F.coalesce(answer["itemsReceived"], F.lit(0))
     accepted_n = F.coalesce(answer["itemsAccepted"], F.lit(0))
     errors = F.coalesce(F.size(answer["errors"]), F.lit(0))

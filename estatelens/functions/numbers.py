@@ -27,7 +27,3 @@ def half_even_pct(part: Column, total: Column) -> Column:
     """Whole percent rounded half to even; an empty total counts as 100."""
     exact = (part * 100).cast("decimal(28,6)") / total.cast("decimal(28,6)")
     return F.when(total == 0, F.lit(100)).otherwise(F.bround(exact, 0).cast("int"))
-
-
-def as_number(text: Column, type_name: str = "bigint") -> Column:
-    return text.try_cast(type_name)

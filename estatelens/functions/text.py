@@ -123,3 +123,14 @@ def decode_base64(kept: Column) -> Column:
     """Base64 text to UTF-8 text; bad base64 gives '', bad bytes give U+FFFD."""
     decoded = F.make_valid_utf8(F.try_to_binary(kept, F.lit("base64")).cast("string"))
     return F.when(F.length(kept) % 4 == 0, F.coalesce(decoded, F.lit(""))).otherwise("")
+
+
+# --- JSON -------------------------------------------------------------------------
+
+# Spark's JSON reader gives NULL for a document with a longer string, number or nesting than its defaults.
+WHOLE_JSON = {"maxStringLen": "2147483647", "maxNumLen": "2147483647", "maxNestingDepth": "2147483647"}
+
+
+def read_json(text: Column, schema: str) -> Column:
+    """from_json without length limits; invalid JSON is NULL."""
+    return F.from_json(text, schema, WHOLE_JSON)

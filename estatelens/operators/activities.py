@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import dimensions
 from ..catalog import fixed_values as fv
 from ..functions.arrays import explode_each
-from ..functions.text import base64_alphabet, decode_base64, non_empty
+from ..functions.text import base64_alphabet, decode_base64, non_empty, read_json
 from ..sources.scanner import array_at, text_at
 from .extract import ENVELOPE
 
@@ -22,12 +22,12 @@ _NODES = "array<struct<path:array<int>,node:variant>>"
 def activity_documents(definitions: DataFrame) -> DataFrame:
     """One document per item: its first part named ...pipeline-content.json."""
     keys = [c for c in definitions.columns if c != "definition"]
-    parts = F.from_json("definition", ENVELOPE)["definition"]["parts"]
+    parts = read_json(F.col("definition"), ENVELOPE)["definition"]["parts"]
     matching = F.filter(parts, lambda p: F.lower(p["path"]).endswith("pipeline-content.json"))
     return (
         definitions.select(*keys, base64_alphabet(F.get(matching, F.lit(0))["payload"]).alias("_kept"))
         .withColumn("text", decode_base64(F.col("_kept")))
-        .withColumn("doc", F.try_parse_json("text"))
+        .withColumn("doc", read_json(F.col("text"), "variant"))
         .filter(F.col("doc").isNotNull())
         .drop("_kept")
     )
@@ -125,9 +125,9 @@ def ref_connections(refs: DataFrame) -> DataFrame:
         return non_empty(text_at(ref, path))
 
     named = F.try_variant_get(ref, "$.linkedServiceName", "variant")
-    service = F.when(
-        named.isNotNull() & ~F.schema_of_variant(named).isin("VOID", "OBJECT<>"), named
-    ).otherwise(F.try_variant_get(ref, "$.linkedService", "variant"))
+    empty = F.schema_of_variant(named).isin("VOID", "OBJECT<>", "ARRAY<VOID>") | F.coalesce(
+        text_at(ref, "$.linkedServiceName") == "", F.lit(False))
+    service = F.when(named.isNotNull() & ~empty, named).otherwise(F.try_variant_get(ref, "$.linkedService", "variant"))
     with_service = refs.withColumn("_service", service)
     svc = F.col("_service")
     return with_service.select(
@@ -142,23 +142,22 @@ def ref_connections(refs: DataFrame) -> DataFrame:
             non_empty(text_at(svc, "$.properties.typeProperties.connectionId")),
         ).alias("connection_id"),
         non_empty(text_at(svc, "$.properties.type")).alias("inline_type"),
-        F.substring(F.to_json("ref"), 1, 200).alias("ref_excerpt"),
     ).filter(F.col("connection_id").isNotNull() | F.col("inline_type").isNotNull())
 
 
 def resolve_connections(refs: DataFrame, connections: DataFrame, names=None) -> DataFrame:
     """Connector prefix and display name of each reference.
 
-    ``connections`` is the flattened listing (one row per connection_id). An id
-    that is not listed stays visible as an unresolved connection. The listing is
+    ``connections`` is the flattened listing; of rows with one id the greatest
+    (type, name) counts. An id that is not listed stays visible as an unresolved connection. The listing is
     joined without a hint: its size is the estate's, and Spark picks the strategy.
     """
     spark = refs.sparkSession
-    listed = connections.filter(F.col("connection_id") != "").select(
-        "connection_id",
-        F.col("connector_type").alias("_type"),
-        F.col("display_name").alias("_title"),
-        F.lit(True).alias("_listed"),
+    listed = (
+        connections.filter(F.col("connection_id") != "")
+        .groupBy("connection_id")
+        .agg(F.max(F.struct(F.col("connector_type").alias("_type"), F.col("display_name").alias("_title"))).alias("_c"))
+        .select("connection_id", "_c.*", F.lit(True).alias("_listed"))
     )
     friendly = dimensions.prefix_names(spark, names)
     joined = refs.join(listed, "connection_id", "left").withColumn(
@@ -171,7 +170,7 @@ def resolve_connections(refs: DataFrame, connections: DataFrame, names=None) ->
         *refs.columns,
         F.lower("_written").alias("connector_prefix"),
         F.when(F.col("_written").isNotNull(), F.coalesce("friendly_name", "_written"))
-        .when(F.col("_listed"), F.coalesce(non_empty(F.col("_title")), F.lit("Unresolved connection")))
+        .when(F.col("_listed"), F.coalesce(non_empty(F.col("_title")), F.lit("Connection")))
         .when(F.col("connection_id").isNotNull(), F.lit("Unresolved connection"))
         .otherwise("Unknown")
         .alias("connector_kind"),
@@ -198,13 +197,13 @@ def refs_to_calls(resolved: DataFrame, rules=None) -> DataFrame:
     ).otherwise(F.concat(F.lit(" -> inline linkedService.type="), "inline_type"))
     dropped = {
         "activity_name", "activity_type", "role", "role_idx", "path", "connection_id",
-        "inline_type", "ref_excerpt", "connector_prefix", "connector_kind",
+        "inline_type", "connector_prefix", "connector_kind",
     }
     keys = [c for c in resolved.columns if c not in dropped]
     migration = ref_migration(F.col("connector_kind"), F.col("connector_prefix"), rules)
     return resolved.select(
         *keys,
-        F.concat_ws(".", F.transform("path", lambda i: F.lpad(i.cast("string"), 6, "0"))).alias("expr_name"),
+        F.concat_ws(".", F.transform("path", lambda i: F.lpad(i.cast("string"), 10, "0"))).alias("expr_name"),
         F.col("role_idx").alias("call_pos"),
         F.col("activity_type").alias("m_function"),
         "connector_kind",

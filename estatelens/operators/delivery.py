@@ -31,11 +31,11 @@ def last_n(log: DataFrame, n: int = fv.SEND_LOG_CAP, by: list[str] | None = None
 
 
 def pending_retries(
-    attempts: DataFrame, cap: int = fv.RETRY_FLUSH_CAP, buffered: int | None = fv.RETRY_BUFFER_CAP
+    attempts: DataFrame, cap: int = fv.RETRY_FLUSH_CAP, buffered: int | None = None
 ) -> DataFrame:
     """Failed envelopes not accepted since: the next flush, oldest first.
 
-    The buffer keeps the newest ``buffered`` failures; one without a body to
+    On request only the newest ``buffered`` failures are kept; one without a body to
     send (``envelope`` NULL or '') takes a place in the flush but is dropped.
     """
     accepted = attempts.filter(F.col("status").isin(OK)).select("envelope_id")

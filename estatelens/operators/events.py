@@ -77,15 +77,20 @@ def distinct_counts(
 ) -> DataFrame:
     """Row count and distinct counts, one output per keyword.
 
-    The rows are first reduced to one per combination, map-side, so that the
-    distinct stage works on combinations and not on events.
+    Exact counts first reduce the rows to one per combination, map-side, so that
+    the distinct stage works on combinations and not on events. Sketches need no
+    such step: they are merged from one per task.
     """
+    if not exact:
+        return rows.groupBy(*by).agg(
+            F.count("*").alias("scans"),
+            *[F.approx_count_distinct(c).alias(out) for out, c in columns.items()],
+        )
     keys = list(dict.fromkeys(columns.values()))
     cells = rows.groupBy(*by, *keys).agg(F.count("*").alias("_n"))
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     return cells.groupBy(*by).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("scans"),
-        *[distinct(c).alias(out) for out, c in columns.items()],
+        *[F.count_distinct(c).alias(out) for out, c in columns.items()],
     )
 
 
@@ -163,7 +168,7 @@ def first_run_impact(scans: DataFrame) -> DataFrame:
         F.col("first_pinned_odbc").alias("pinned_odbc"),
         F.col("first_custom_dsn").alias("custom_dsn"),
         F.col("first_total_calls").alias("total_calls"),
-    ).orderBy(F.desc("pinned_odbc"))
+    ).orderBy(F.desc("pinned_odbc"), "tenant_hash", "workspace_id", "timestamp")
 
 
 def improvement(scans: DataFrame) -> DataFrame:
@@ -179,7 +184,7 @@ def improvement(scans: DataFrame) -> DataFrame:
         F.col("current_pinned_odbc").alias("current_pinned"),
         (F.col("first_pinned_odbc") - F.col("current_pinned_odbc")).alias("delta_pinned"),
         F.col("timestamp").alias("latest_scan"),
-    ).orderBy(F.desc("delta_pinned"), F.desc("delta_high"))
+    ).orderBy(F.desc("delta_pinned"), F.desc("delta_high"), "tenant_hash", "workspace_id")
 
 
 def connector_mix(scans: DataFrame, days: int | None = 30, as_of=None) -> DataFrame:
@@ -191,7 +196,7 @@ def stay_at_risk(scans: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     latest = latest_per(since(scans, days, as_of), ["workspace_id"], ["timestamp", "run_id"])
     return latest.filter("odbc_pinned_at_risk_count > 0").select(
         "tenant_hash", "workspace_id", F.col("odbc_pinned_at_risk_count").alias("pinned_at_risk")
-    ).orderBy(F.desc("pinned_at_risk"))
+    ).orderBy(F.desc("pinned_at_risk"), "tenant_hash", "workspace_id")
 
 
 def top_issues(validations: DataFrame, days: int | None = 30, as_of=None) -> DataFrame:
@@ -269,7 +274,7 @@ def workspace_progress(scans: DataFrame, returning: bool = False) -> DataFrame:
             F.col("resolved_risk_high").alias("resolved_high"),
             F.col("time_since_first_scan_days").alias("days_since_first"),
         ]
-    return latest.select(*cols).orderBy(F.desc("resolved_pinned"))
+    return latest.select(*cols).orderBy(F.desc("resolved_pinned"), "workspace")
 
 
 def skip_reason_rollup(scans: DataFrame) -> DataFrame:

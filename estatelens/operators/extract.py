@@ -15,6 +15,7 @@ from ..functions.text import (
     base64_alphabet,
     decode_base64,
     looks_like_m,
+    read_json,
     strip,
 )
 
@@ -45,7 +46,7 @@ _SOURCE_BLOCK = (
 def definition_parts(definitions: DataFrame) -> DataFrame:
     """Envelope JSON to one decoded text per part, in part order."""
     keys = [c for c in definitions.columns if c != "definition"]
-    parts = F.from_json("definition", ENVELOPE)["definition"]["parts"]
+    parts = read_json(F.col("definition"), ENVELOPE)["definition"]["parts"]
     return (
         explode_each(definitions, keys, parts, "part_idx", "p")
         .select(
@@ -76,7 +77,7 @@ def join_lines(value: Column) -> Column:
 
 def model_json(text: Column) -> Column:
     """Parsed model document; invalid JSON is NULL and yields nothing."""
-    return F.from_json(text, _MODEL)
+    return read_json(text, _MODEL)
 
 
 def _model(doc: Column, field: str) -> Column:
@@ -129,7 +130,7 @@ def keyed_strings(text: Column) -> Column:
     pairs = F.filter(
         F.arrays_zip(keys.alias("key"), values.alias("value")), lambda p: p["value"] != ""
     )
-    valid = F.try_parse_json(text).isNotNull()
+    valid = read_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>").isNotNull()
     return F.when(valid, F.transform(pairs, lambda p: F.struct(
         _unquote(p["key"]).alias("key"), _unquote(p["value"]).alias("value")
     )))
@@ -137,7 +138,7 @@ def keyed_strings(text: Column) -> Column:
 
 def _unquote(literal: Column) -> Column:
     plain = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    escaped = F.get_json_object(F.concat(F.lit("["), literal, F.lit("]")), "$[0]")
+    escaped = F.get(read_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
     return F.when(literal.contains("\\"), escaped).otherwise(plain)
 
 

@@ -52,12 +52,14 @@ def skip_reasons(
     expressions: DataFrame,
     calls: DataFrame,
     include_non_migrating: bool = False,
+    served: DataFrame | None = None,
 ) -> DataFrame:
     """Items with ``skip_reason``; NULL means the item is part of the report.
 
     ``items.fetch_status`` is ok, denied, deleted, unavailable or error:<type>.
     ``expressions`` holds one row or more per item that yielded something to
-    inspect (M expressions or references).
+    inspect (M expressions or references). ``served`` holds the items a frame
+    answered: whether their definition could be fetched does not matter.
     """
     inspected = F.col("item_type").isin(fv.INSPECTED_TYPES)
     todo = items.filter(inspected).select(*KEYS)
@@ -67,6 +69,9 @@ def skip_reasons(
     )
     found = todo.join(has_expr, KEYS, "left").join(per_item, KEYS, "left")
     status = F.col("fetch_status")
+    if served is not None:
+        found = found.join(served.select(*KEYS).distinct().withColumn("_served", F.lit(True)), KEYS, "left")
+        status = F.when(F.col("_served"), F.lit("ok")).otherwise(status)
     reason = (
         F.when(~inspected, F.lit("type_not_inspected"))
         .when(status == "denied", F.lit("permission_denied"))

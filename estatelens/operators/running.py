@@ -8,6 +8,9 @@ one slice at a time. A key with a third of all rows is spread over its slices.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +32,27 @@ def running_sum(
     sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(order[0]))).withColumn("_v", value)
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    placed = [*keys, "_slice"]
     starts = totals.select(
-        *keys, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start")
+        *[F.col(k).alias(f"_at_{k}") for k in placed],
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"),
     )
     so_far = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         sliced.withColumn("_in_slice", F.sum("_v").over(so_far))
-        .join(starts, [*keys, "_slice"])
+        .join(starts, same_keys(placed))
         .withColumn(out, F.col("_start") + F.col("_in_slice"))
-        .drop("_slice", "_v", "_start", "_in_slice")
+        .drop("_slice", "_v", "_start", "_in_slice", *[f"_at_{k}" for k in placed])
     )
 
 
+def same_keys(keys: list[str]) -> Column:
+    """``k`` equals ``_at_k`` for all keys; NULL is a key like any other."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
+
+
 def running_count(df: DataFrame, keys, order, out: str, slice_unit: str = "day") -> DataFrame:
     """1, 2, 3, ... per key in ``order``."""
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, slice_unit)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog import fixed_values as fv
 from ..functions.numbers import rounded
 from ..functions.text import safe_key
-from .running import running_count, running_sum
+from .running import running_count, running_sum, same_keys
 
 KEYS = ["workspace_id", "tenant_hash"]
 ORDER = ["ts", "run_id"]
@@ -97,14 +97,13 @@ def with_state(scans: DataFrame, by: list[str] | None = None, slice_unit: str =
     )
     slices = Window.partitionBy(*by).orderBy("_slice")
     placed = per_slice.select(
-        *by,
-        "_slice",
+        *[F.col(k).alias(f"_at_{k}") for k in (*by, "_slice")],
         F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
         F.first("_first").over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
         F.max("_last").over(Window.partitionBy(*by)).alias("last_run_at"),
     )
     in_slice = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*ORDER))
-    rows = sliced.withColumn("_no", in_slice).join(placed, [*by, "_slice"])
+    rows = sliced.withColumn("_no", in_slice).join(placed, same_keys([*by, "_slice"]))
     return (
         rows.withColumn("run_count", F.col("_start") + F.col("_no"))
         .withColumn("is_first_run", F.col("run_count") == 1)
@@ -251,7 +250,9 @@ def scan_events(facts: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
     """Fact rows to log events: (timestamp, name, custom_dimensions of text)."""
     flat = [c for c in facts.columns if c != "timestamp" and c not in FACT_MAPS]
     bag = F.create_map(*[part for c in flat for part in (F.lit(c), _text(F.col(c)))])
-    bag = reduce(F.map_concat, [_prefixed(c, p) for c, p in FACT_MAPS.items()], bag)
+    none = F.create_map().cast("map<string,string>")
+    maps = [F.coalesce(_prefixed(c, p), none) for c, p in FACT_MAPS.items()]
+    bag = reduce(F.map_concat, maps, bag)
     return facts.select("timestamp", F.lit(name).alias("name"), bag.alias("custom_dimensions"))
 
 

@@ -60,11 +60,6 @@ def first_terminal_after(
     )
 
 
-def latest_refresh(history: DataFrame) -> DataFrame:
-    """(keys, latest): the newest entry of each item."""
-    return history.groupBy(*KEYS).agg(F.max_by(_entry(), _when()).alias("latest"))
-
-
 def new_refresh_since(history: DataFrame, cutover: Column) -> DataFrame:
     """(keys, pre, post): passive mode in one pass.
 
@@ -150,7 +145,7 @@ def judge(rows: DataFrame, trigger_refresh: bool = True, include_dataflows: bool
         .when(F.col("status") == "passed_with_regression", F.concat(
             F.lit(fv.REASON_COMPLETED),
             F.format_string(" (regression: %+.1f%% slower than baseline)", delta)))
-        .otherwise(F.substring("_error", 1, 600))
+        .otherwise(F.col("_error"))
     )
     advice = (
         F.when(F.col("status") == "refresh_not_triggered", F.lit("not_triggered"))
@@ -209,7 +204,7 @@ def validation_table(results: DataFrame, connectors: DataFrame, items: DataFrame
             *KEYS, "item_name", "item_type",
             text("connectors").alias("connectors"),
             "status",
-            F.substring("reason", 1, 400).alias("reason"),
+            "reason",
             "duration_delta_pct",
             F.col("pre.end_time").alias("pre_refresh_end"),
             F.col("post.end_time").alias("post_refresh_end"),
@@ -236,17 +231,16 @@ def recent_refreshes(history: DataFrame, top: int = 5) -> DataFrame:
 def refresh_errors(history: DataFrame, requests: DataFrame) -> DataFrame:
     """Error text of each asked-for request.
 
-    Looked up among the item's five newest entries; without a match (or without
-    a request id) the newest entry answers. A failed entry without text says so.
+    Looked up in the item's whole history; without a match (or without a request
+    id) the newest entry answers. A failed entry without text says so.
     """
-    recent = recent_refreshes(history, 5).withColumnRenamed("request_id", "_entry_id")
-    joined = requests.join(recent, KEYS)
-    match = F.coalesce(F.col("_entry_id") == F.col("request_id"), F.lit(False))
-    picked = joined.groupBy(*KEYS, "request_id").agg(
-        F.min_by(
-            F.struct("error_text", "status", "end_time"), F.struct(~match, F.col("entry_no"))
-        ).alias("e")
-    )
+    entry = F.struct("error_text", "status", "end_time")
+    age = F.struct("start_time", "request_id")
+    newest = history.groupBy(*KEYS).agg(F.max_by(entry, age).alias("_newest"))
+    asked = requests.select(*KEYS, "request_id").distinct()
+    own = history.groupBy(*KEYS, "request_id").agg(F.max_by(entry, age).alias("_own"))
+    picked = asked.join(newest, KEYS).join(own, [*KEYS, "request_id"], "left").withColumn(
+        "e", F.coalesce("_own", "_newest"))
     at = F.date_format("e.end_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fallback = F.when(
         F.col("e.status") == "Failed",

@@ -37,11 +37,14 @@ def local_session(cores: str = "8", **settings: str) -> SparkSession:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, local runs) a local folder is made.
+    Only a local master may go without that setting (tests, local runs): it gets a
+    folder of its own. On a cluster a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="estatelens-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

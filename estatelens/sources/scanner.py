@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_each
-from ..functions.text import looks_like_m, non_empty
+from ..functions.text import looks_like_m, non_empty, read_json
 
 # Items stay VARIANT: their shape differs between export versions, and keys
 # that differ only in case (m, M) must stay apart.
@@ -27,7 +27,7 @@ def array_at(node: Column, path: str) -> Column:
 
 def export_items(payloads: DataFrame) -> DataFrame:
     """Workspace documents (``payload`` JSON text) to one row per dataset or dataflow."""
-    ws = payloads.select(F.from_json("payload", EXPORT_SCHEMA).alias("w"))
+    ws = payloads.select(read_json(F.col("payload"), EXPORT_SCHEMA).alias("w"))
     keys = [
         F.coalesce("w.id", F.lit("")).alias("workspace_id"),
         F.coalesce("w.name", F.lit("")).alias("workspace_name"),

@@ -138,7 +138,7 @@ _SHAPES = (
        ("nested", "1", "Pick", "Switch"), ("nested", "1.0", "Script1", "Script"),
        ("nested", "1.1", "Web1", "WebActivity")])
 PARTS["shape_rows"] = _values(
-    [(*row, ".".join(step.zfill(6) for step in row[1].split("."))) for row in _SHAPES],
+    [(*row, ".".join(step.zfill(10) for step in row[1].split("."))) for row in _SHAPES],
     "shape, path, activity_name, activity_type, padded_path")
 PARTS["acts"] = """
 SELECT d.workspace_id, d.item_id, d.item_type, d.k, d.j, d.cid, s.* FROM docs d JOIN shape_rows s USING (shape)"""
@@ -570,12 +570,12 @@ SELECT item_id, string_agg(connector_kind, ', ' ORDER BY first) AS connectors FR
   SELECT item_id, connector_kind, min(expr_name || lpad(call_pos::VARCHAR, 4, '0')) AS first FROM rel GROUP BY 1, 2) GROUP BY 1"""
 oracle("sink_validation", f"""
 SELECT workspace_id, item_id, item_name, item_type, coalesce(connectors, '') AS connectors, outcome AS status,
-  left({_REASON}, 400) AS reason, delta AS duration_delta_pct,
+  {_REASON} AS reason, delta AS duration_delta_pct,
   CASE WHEN item_type = 'SemanticModel' THEN pre_end END AS pre_refresh_end,
   CASE WHEN outcome IN ('passed', 'passed_with_regression', 'failed') THEN post_end END AS post_refresh_end,
   coalesce(o.issue, '') AS diagnosis_issue,
   CASE WHEN outcome = 'passed_with_regression' THEN {_CAUSE}
-    WHEN outcome = 'failed' AND d.rule_no = 0 THEN {_lit(fv.UNCATEGORIZED_CAUSE_PREFIX)} || replace(left(failure, 200), chr(10), ' ')
+    WHEN outcome = 'failed' AND d.rule_no = 0 THEN {_lit(fv.UNCATEGORIZED_CAUSE_PREFIX)} || replace(failure, chr(10), ' ')
     ELSE coalesce(d.likely_cause, a.cause, '') END AS diagnosis_likely_cause,
   coalesce(d.actions, a.actions, '') AS diagnosis_suggested_actions,
   coalesce(d.docs, CASE WHEN a.actions IS NOT NULL THEN {_lit(fv.DOCS_URL)} END, '') AS diagnosis_docs
@@ -585,7 +585,7 @@ oracle("refresh_error_lookup", """
 SELECT q.workspace_id, q.item_id, q.request_id, coalesce(nullif(e.error_text, ''), CASE WHEN e.status = 'Failed' THEN
   'Refresh failed at ' || strftime(e.end_time, '%Y-%m-%dT%H:%M:%SZ') || ' (no detail returned)' END) AS error
 FROM refreshes q JOIN (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY start_time DESC, request_id DESC) AS n FROM refreshes) e USING (item_id)
-WHERE q.status = 'Failed' AND e.n <= 5
+WHERE q.status = 'Failed'
 QUALIFY row_number() OVER (PARTITION BY q.request_id ORDER BY e.request_id = q.request_id DESC, e.n) = 1""")
 oracle("status_counts", "SELECT outcome AS status, count(*)::BIGINT AS items FROM outcomes GROUP BY 1")
 oracle("issue_counts", "SELECT issue, count(*)::BIGINT AS items FROM outcomes WHERE issue IS NOT NULL GROUP BY 1")
@@ -692,9 +692,9 @@ oracle("last_n_log_all", "SELECT attempt_id, status FROM sent ORDER BY sent_at D
 PARTS["undelivered"] = """
 SELECT * FROM sent WHERE envelope_id NOT IN (SELECT envelope_id FROM sent WHERE status IN ('ok', 'retried_ok'))"""
 oracle("pending_retries", """
-SELECT envelope_id, attempt_id, status FROM (SELECT * FROM (
+SELECT envelope_id, attempt_id, status FROM (
   SELECT * FROM (SELECT * FROM undelivered QUALIFY row_number() OVER (PARTITION BY envelope_id ORDER BY sent_at DESC, attempt_id DESC) = 1)
-  ORDER BY sent_at DESC, attempt_id DESC LIMIT 200) ORDER BY sent_at, attempt_id LIMIT 50) WHERE has_envelope""")
+  ORDER BY sent_at, attempt_id LIMIT 50) WHERE has_envelope""")
 oracle("delivery_health", """
 SELECT count(*)::BIGINT AS attempts, (count(*) FILTER (status IN ('ok', 'retried_ok')))::BIGINT AS delivered,
   (count(*) FILTER (status NOT IN ('ok', 'retried_ok')))::BIGINT AS failed, max(sent_at) FILTER (status IN ('ok', 'retried_ok')) AS last_ok_at,
@@ -797,8 +797,7 @@ oracle("clones_patch", """SELECT timestamp, (SELECT sum(clones) FROM traffic)::B
 # --- 2.11 -----------------------------------------------------------------------------
 
 oracle("stream_dedup_events", "SELECT o_orderkey AS run_id, 'ws-' || o_custkey AS workspace_id FROM orders")
-oracle("stream_daily_trend", """SELECT * FROM (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*)::BIGINT AS scans FROM orders GROUP BY 1)
-WHERE day + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY""")
+oracle("stream_daily_trend", "SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*)::BIGINT AS scans FROM orders GROUP BY 1")
 oracle("stream_first_terminal", """
 SELECT s.user_id, s.ts AS switch_time, r.ts AS start_time, r.event_id AS request_id,
   CASE r.event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Disabled' WHEN 'click' THEN 'Completed' ELSE 'no_new_refresh' END AS outcome

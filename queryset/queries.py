@@ -1007,7 +1007,7 @@ def _order_events(spark: SparkSession, sf) -> DataFrame:
 
 @query
 def stream_daily_trend(spark, sf):
-    return streams.drain(streams.daily_trend(_order_events(spark, sf), "1 day")).select(
+    return streams.drain(streams.daily_trend(_order_events(spark, sf), "1 day"), "update", ["day"]).select(
         *_ntz("day"), "scans")
 
 
