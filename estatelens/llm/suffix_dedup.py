@@ -5,7 +5,7 @@
    the window: equal windows have equal keys, and a key that stands at one place of one text holds no repeat. Which
    keys stand at two places or more is asked of shards of the key space, block by block (see `blocks`).
 2. Segments. The text around repeated keys (a run of window starts and LENGTH - 1 bytes more) is grouped by key; equal
-   segments count once, with the places they stand at.
+   segments of a block are one row with the places they stand at, and count once.
 3. Suffix arrays. A task sorts the suffixes of its segments in two stages: those smaller than their successors
    directly, the others induced from them by one scan over the buckets. Neighbours in the order whose common prefix
    has LENGTH bytes are repeats; so are the windows of a segment that stands at several places.
@@ -239,11 +239,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             number, first, last, key, _ = _block_runs(names, texts)
             chosen = np.flatnonzero(np.isin(key, sent[repeated]))
-            for part in np.split(chosen, range(4096, len(chosen), 4096)):
-                t, f, e = number[part].tolist(), first[part].tolist(), (last[part] + LENGTH).tolist()
+            places: dict[tuple[int, bytes], tuple[list[bytes], list[int]]] = {}
+            for k, n, a, b in zip(key[chosen].view(np.int64).tolist(), number[chosen].tolist(), first[chosen].tolist(),
+                                  (last[chosen] + LENGTH).tolist()):
+                owners, starts = places.setdefault((k, texts[n][a:b]), ([], []))
+                owners.append(names[n])
+                starts.append(a)
+            found = list(places.items())
+            for part in (found[i:i + 4096] for i in range(0, len(found), 4096)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part].view(np.int64)), pa.array([texts[n][a:b] for n, a, b in zip(t, f, e)], pa.binary()),
-                     pa.array([names[n] for n in t], pa.binary()), pa.array(f, pa.int64()),
+                    [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
+                     pa.array([x[1][0] for x in part], pa.list_(pa.binary())), pa.array([x[1][1] for x in part], pa.list_(pa.int64())),
                      pa.array([row["block"].as_py()] * len(part), pa.int64())], names=["key", "segment", "h", "first", "block"])
 
 
@@ -268,16 +274,16 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(h, pa.binary()), *(pa.array(x, pa.int64()) for x in (block, begin, end))], names=["h", "block", "begin", "end"])
 
     for batch in batches:
-        for key, segment, h, first, block in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "h", "first", "block"))):
+        for key, segment, owners, starts, block in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
             if key != last_key and size >= BATCH:
                 yield solved()
                 segments, places, size = [], [], 0
-            if key == last_key and segments and segments[-1] == segment:
-                places[-1].setdefault((h, first), block)  # copies of a text stand at one place
-            else:
+            if key != last_key or not segments or segments[-1] != segment:
                 segments.append(segment)
-                places.append({(h, first): block})
+                places.append({})
                 size += len(segment)
+            for place in zip(owners, starts):
+                places[-1].setdefault(place, block)  # copies of a text stand at one place
             last_key = key
     if segments:
         yield solved()
@@ -318,7 +324,7 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
     blocks = stored(text_blocks(long, "h", "binary", chars=BLOCK_CHARS))
     answered = blocks.join(ask(blocks, _places_question, _places_answer), "block")
-    segments = answered.mapInArrow(_segments, "key bigint, segment binary, h binary, first bigint, block bigint")
+    segments = answered.mapInArrow(_segments, "key bigint, segment binary, h array<binary>, first array<bigint>, block bigint")
     ranges = segments.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key", "segment").mapInArrow(
         _ranges, "h binary, block bigint, begin bigint, end bigint")
     per_text = ranges.groupBy("h").agg(F.min("block").alias("block"), F.collect_set(F.struct("begin", "end")).alias("ranges"))
