@@ -814,3 +814,29 @@ PARTS["every_expr"] = PARTS["texts"].replace("FROM pieces", "FROM every_piece")
 PARTS["every_call"] = PARTS["mcalls"].replace("FROM exprs", "FROM every_expr")
 oracle("stream_scan_calls", "SELECT item_id, m_function, connector_kind, migration, implementation, endpoint_hint FROM every_call")
 oracle("estate_scan", _PER_WS)
+PARTS["record_rows"] = """
+SELECT c.workspace_id, 'run-' || c.workspace_id AS run_id, coalesce(a.artifacts_scanned, 0)::BIGINT AS artifacts_scanned,
+  coalesce(risk_high, 0)::BIGINT AS risk_high, coalesce(risk_medium, 0)::BIGINT AS risk_medium, coalesce(risk_low, 0)::BIGINT AS risk_low,
+  coalesce(risk_unknown, 0)::BIGINT AS risk_unknown, coalesce(risk_na, 0)::BIGINT AS risk_na,
+  coalesce(total_calls, 0)::BIGINT AS total_calls, coalesce(migrating, 0)::BIGINT AS migrating_artifacts,
+  coalesce(po, 0)::BIGINT AS pinned_odbc, coalesce(pr, 0)::BIGINT AS pinned_at_risk, coalesce(cd, 0)::BIGINT AS custom_dsn,
+  coalesce(s.n, 0)::BIGINT AS skipped_count, c.inspected::BIGINT AS inspected_artifacts,
+  round_even(100.0 * c.inspected / c.total, 0)::DOUBLE AS coverage_score_pct, (SELECT count(*) FROM supplier)::BIGINT AS fabric_connection_count,
+  coalesce(k.pairs, '') AS counts_by_connector, coalesce(s.pairs, '') AS skipped_by_reason
+FROM cover c LEFT JOIN (
+  SELECT workspace_id, count(*) AS artifacts_scanned, count(*) FILTER (worst_risk = 'high') AS risk_high,
+    count(*) FILTER (worst_risk = 'medium') AS risk_medium, count(*) FILTER (worst_risk = 'low') AS risk_low,
+    count(*) FILTER (worst_risk = 'unknown') AS risk_unknown, count(*) FILTER (worst_risk = 'na') AS risk_na,
+    sum(calls) AS total_calls, count(*) FILTER (has_migrating) AS migrating, sum(pinned_odbc) AS po, sum(pinned_at_risk) AS pr,
+    sum(custom_dsn) AS cd FROM arts GROUP BY 1) a USING (workspace_id)
+LEFT JOIN (SELECT workspace_id, string_agg(connector_kind || '=' || n, ';' ORDER BY connector_kind) AS pairs FROM (
+  SELECT workspace_id, connector_kind, count(*) AS n FROM rel GROUP BY 1, 2) GROUP BY 1) k USING (workspace_id)
+LEFT JOIN (SELECT workspace_id, sum(n) AS n, string_agg(skip_reason || '=' || n, ';' ORDER BY skip_reason) AS pairs FROM (
+  SELECT workspace_id, skip_reason, count(*) AS n FROM skip_rows WHERE skip_reason IS NOT NULL GROUP BY 1, 2) GROUP BY 1) s USING (workspace_id)"""
+oracle("scan_record", "SELECT * FROM record_rows")
+oracle("scan_record_events", """SELECT k, v, count(*)::BIGINT AS n FROM (
+  SELECT 'workspace_id' AS k, workspace_id AS v FROM record_rows UNION ALL SELECT 'run_count', '1' FROM record_rows
+  UNION ALL SELECT 'is_first_run', 'True' FROM record_rows UNION ALL SELECT 'current_risk_high', risk_high::VARCHAR FROM record_rows
+  UNION ALL SELECT 'first_risk_high', risk_high::VARCHAR FROM record_rows UNION ALL SELECT 'resolved_risk_high', '0' FROM record_rows
+  UNION ALL SELECT 'impacted_count', migrating_artifacts::VARCHAR FROM record_rows
+  UNION ALL SELECT 'skipped_count', skipped_count::VARCHAR FROM record_rows) GROUP BY 1, 2""")

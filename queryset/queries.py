@@ -11,7 +11,7 @@ from estatelens.functions.numbers import seconds_between
 from estatelens.operators import (
     activities, calls, delivery, events, extract, impact, runstate, validation,
 )
-from estatelens.plans import estate, snapshot
+from estatelens.plans import estate, record, snapshot
 from estatelens.sources import connections, frames, refreshes, scanner
 from estatelens.sources import items as item_sources
 from estatelens.streaming import streams
@@ -1058,3 +1058,35 @@ def estate_scan(spark, sf):
     report = estate.scan_items(
         fx.plain_items(spark, sf), definitions, flat_connections(spark, sf), fx.datasources(spark, sf))
     return impact.counts_by_risk(report.artifacts, ["workspace_id"])
+
+
+def scan_records(spark, sf) -> DataFrame:
+    report = estate.ImpactReport(
+        fx.plain_items(spark, sf), risky(spark, sf), artifact_rows(spark, sf), skips(spark, sf), flat_connections(spark, sf))
+    return record.scan_records(
+        report, F.concat(F.lit("run-"), "workspace_id"), F.lit("2024-05-01").cast("timestamp"), F.lit("t1"))
+
+
+@query
+def scan_record(spark, sf):
+    """A report as the scan record of each workspace; maps as sorted text."""
+    def shown(name):
+        pairs = F.transform(F.sort_array(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+        return F.array_join(pairs, ";").alias(name)
+
+    return scan_records(spark, sf).select(
+        "workspace_id", "run_id", "artifacts_scanned", "risk_high", "risk_medium", "risk_low", "risk_unknown", "risk_na",
+        "total_calls", "migrating_artifacts", "pinned_odbc", "pinned_at_risk", "custom_dsn", "skipped_count",
+        *_long("inspected_artifacts"), "coverage_score_pct", "fabric_connection_count",
+        shown("counts_by_connector"), shown("skipped_by_reason"))
+
+
+@query
+def scan_record_events(spark, sf):
+    """The same records through run state to log events: properties as rows."""
+    facts = runstate.scan_facts(runstate.with_state(scan_records(spark, sf)))
+    bags = runstate.scan_events(facts)
+    wanted = ["workspace_id", "run_count", "is_first_run", "current_risk_high", "first_risk_high", "resolved_risk_high",
+              "impacted_count", "skipped_count"]
+    return bags.select(F.explode(F.map_filter("custom_dimensions", lambda k, v: k.isin(wanted))).alias("k", "v")).groupBy(
+        "k", "v").agg(F.count("*").alias("n"))
