@@ -87,3 +87,23 @@ def scan_export(payloads: DataFrame, include_non_migrating: bool = False) -> Dat
     """Tenant export (workspace documents) to calls per item."""
     expressions = scanner.export_expressions(scanner.export_items(payloads))
     return impact.tenant_rollup(calls.scan_expressions(expressions, excerpts=False), include_non_migrating)
+
+
+def scan_tenant(
+    exported: DataFrame, connections: DataFrame, include_non_migrating: bool = False
+) -> ImpactReport:
+    """A tenant export as the same report as a scan of items.
+
+    ``exported``: one row per item with its ``node`` (``scanner.export_items`` makes
+    them of workspace documents; exports by item bring them along). The export
+    names no bound gateways, so every gateway is unknown; every item was read.
+    """
+    items = exported.drop("node").withColumn("fetch_status", F.lit("ok"))
+    expressions = scanner.export_expressions(exported)
+    every = calls.scan_expressions(expressions, excerpts=False)
+    gateways = items.select(*KEYS, F.lit(None).cast("boolean").alias("has_gateway"))
+    skips = impact.skip_reasons(items, expressions, every, include_non_migrating)
+    kept = impact.relevant(every, include_non_migrating)
+    return ImpactReport(
+        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections
+    )

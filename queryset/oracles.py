@@ -840,3 +840,23 @@ oracle("scan_record_events", """SELECT k, v, count(*)::BIGINT AS n FROM (
   UNION ALL SELECT 'first_risk_high', risk_high::VARCHAR FROM record_rows UNION ALL SELECT 'resolved_risk_high', '0' FROM record_rows
   UNION ALL SELECT 'impacted_count', migrating_artifacts::VARCHAR FROM record_rows
   UNION ALL SELECT 'skipped_count', skipped_count::VARCHAR FROM record_rows) GROUP BY 1, 2""")
+PARTS["exported_calls"] = """
+SELECT workspace_id, item_id, migration, fn = 'Odbc.DataSource' AS custom_dsn,
+  CASE WHEN trap = 3 THEN '2.0' WHEN pin > 0 THEN pin || '.0' ELSE '' END AS implementation
+FROM texts WHERE expression IS NOT NULL"""
+PARTS["exported_risks"] = """
+SELECT *, CASE WHEN migration = 'none' THEN 3 WHEN migration LIKE 'deprecation:%' THEN CASE WHEN implementation LIKE '1%' THEN 4 ELSE 3 END
+  WHEN implementation LIKE '2%' THEN 1 WHEN implementation LIKE '1%' THEN 2 WHEN custom_dsn THEN 3 ELSE 1 END AS r
+FROM exported_calls WHERE migration <> 'none' OR custom_dsn"""
+oracle("tenant_scan", """
+SELECT workspace_id, item_id, CASE max(r) WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'unknown' ELSE 'low' END AS worst_risk,
+  bool_or(migration <> 'none') AS has_migrating, count(*)::BIGINT AS calls,
+  (count(*) FILTER (implementation LIKE '1%'))::BIGINT AS pinned_odbc, (count(*) FILTER (custom_dsn))::BIGINT AS custom_dsn
+FROM exported_risks GROUP BY 1, 2""")
+oracle("tenant_skips", """
+SELECT t.workspace_id, t.item_id, CASE WHEN e.item_id IS NULL AND item_type = 'Dataflow' THEN 'definition_parsed_but_no_expressions'
+  WHEN e.item_id IS NULL THEN 'no_external_connectors' WHEN e.migration = 'none' AND NOT e.custom_dsn THEN 'no_migrating_connectors' END AS skip_reason
+FROM texts t LEFT JOIN exported_calls e USING (item_id)""")
+oracle("tenant_coverage", """
+SELECT workspace_id, count(*)::BIGINT AS total_items, count(*)::BIGINT AS inspected_items, 0::BIGINT AS not_inspected_items,
+  0::BIGINT AS other_items, 100::BIGINT AS score_pct FROM texts GROUP BY 1""")

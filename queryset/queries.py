@@ -1090,3 +1090,25 @@ def scan_record_events(spark, sf):
               "impacted_count", "skipped_count"]
     return bags.select(F.explode(F.map_filter("custom_dimensions", lambda k, v: k.isin(wanted))).alias("k", "v")).groupBy(
         "k", "v").agg(F.count("*").alias("n"))
+
+
+def tenant_report(spark, sf):
+    return estate.scan_tenant(
+        scanner.export_items(fx.scanner_payloads(spark, sf)), flat_connections(spark, sf))
+
+
+@query
+def tenant_scan(spark, sf):
+    """The export's items with their worst risk and totals."""
+    return tenant_report(spark, sf).artifacts.drop("has_gateway", "pinned_at_risk")
+
+
+@query
+def tenant_skips(spark, sf):
+    return tenant_report(spark, sf).skips.select(*ITEM, "skip_reason")
+
+
+@query
+def tenant_coverage(spark, sf):
+    return impact.coverage(tenant_report(spark, sf).items, ["workspace_id"]).withColumn(
+        "score_pct", F.col("score_pct").cast("bigint"))
