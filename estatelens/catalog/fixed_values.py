@@ -359,8 +359,7 @@ UNCATEGORIZED_ACTIONS = [
 REGRESSION_THRESHOLD_PCT = 50
 REGRESSION_ISSUE = "Refresh regression - ADBC noticeably slower than ODBC baseline"
 REGRESSION_CAUSE = (
-    "Refresh completed but took ",
-    "% longer than the pre-migration baseline. Possible causes: query folding regression, DirectQuery translation difference, or streaming pattern change in the ADBC driver.",
+    "Refresh completed but took {delta}% longer than the pre-migration baseline. Possible causes: query folding regression, DirectQuery translation difference, or streaming pattern change in the ADBC driver."
 )
 REGRESSION_ACTIONS = [
     "Capture a repro: baseline duration, ADBC duration, connector, and the M query.",

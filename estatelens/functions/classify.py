@@ -140,7 +140,7 @@ def is_regression(delta_pct: Column) -> Column:
 
 
 def regression_cause(delta_pct: Column) -> Column:
-    head, tail = fv.REGRESSION_CAUSE
+    head, tail = fv.REGRESSION_CAUSE.split("{delta}")
     whole = F.format_string("%+d", F.bround(delta_pct, 0).cast("bigint"))
     return F.concat(F.lit(head), whole, F.lit(tail))
 

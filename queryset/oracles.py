@@ -558,7 +558,8 @@ LEFT JOIN (SELECT n.item_id, round(((n.seconds - pre.seconds) / greatest(pre.sec
 oracle("validation_status", "SELECT workspace_id, item_id, item_type, outcome AS status FROM outcomes")
 oracle("duration_delta", "SELECT workspace_id, item_id, delta AS duration_delta_pct FROM outcomes")
 oracle("failure_reason", f"SELECT workspace_id, item_id, {_REASON} AS reason, issue AS diagnosis_issue FROM outcomes")
-_CAUSE = f"{_lit(fv.REGRESSION_CAUSE[0])} || printf('%+d', round_even(delta::DECIMAL(28, 6), 0)::BIGINT) || {_lit(fv.REGRESSION_CAUSE[1])}"
+_CAUSE_HEAD, _CAUSE_TAIL = fv.REGRESSION_CAUSE.split("{delta}")
+_CAUSE = f"{_lit(_CAUSE_HEAD)} || printf('%+d', round_even(delta::DECIMAL(28, 6), 0)::BIGINT) || {_lit(_CAUSE_TAIL)}"
 oracle("regression_diagnosis", f"""SELECT workspace_id, item_id, delta AS duration_delta_pct, delta > 50 AS is_regression,
   CASE WHEN delta > 50 THEN {_CAUSE} END AS cause FROM outcomes WHERE delta IS NOT NULL""")
 PARTS["outcome_advice"] = _values(
