@@ -139,14 +139,24 @@ def ask_shards(blocks: DataFrame, question: Callable, answer: Callable) -> DataF
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned numbers, one plane after the other."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def from_planes(data: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
-    return out.view(np.uint64).ravel()
+    """The low bytes of unsigned numbers, one plane after the other; each as it is or compressed, whatever is shorter."""
+    out = []
+    for plane in np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T):
+        raw, small = plane.tobytes(), pack(plane.tobytes())
+        kept = min(raw, small, key=len)
+        out.append(len(kept).to_bytes(8, "little") + kept)
+    return b"".join(out)
+
+
+def from_planes(data: bytes, n: int, width: int) -> tuple[np.ndarray, int]:
+    """The numbers, and where the planes end."""
+    out, at = np.zeros((n, 8), np.uint8), 0
+    for i in range(width):
+        size = int.from_bytes(data[at:at + 8], "little")
+        plane = data[at + 8:at + 8 + size]
+        out[:, i] = np.frombuffer(plane if size == n else unpack(plane), np.uint8, n)
+        at += 8 + size
+    return out.view(np.uint64).ravel(), at
 
 
 def packed_keys(keys: np.ndarray, beside: bytes) -> bytes:
@@ -161,9 +171,8 @@ def packed_keys(keys: np.ndarray, beside: bytes) -> bytes:
 def unpacked_keys(question: bytes) -> tuple[np.ndarray, bytes, int]:
     """The keys, the bytes beside them, and where the question goes on."""
     n, first, width, size = np.frombuffer(question, np.uint64, 4).tolist()
-    end = 32 + size + n * width
-    steps = from_planes(question[32 + size:end], n, width)
-    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), unpack(question[32:32 + size]), end
+    steps, end = from_planes(question[32 + size:], n, width)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), unpack(question[32:32 + size]), 32 + size + end
 
 
 def ask(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:

@@ -5,9 +5,9 @@
    logarithm one edited word, unique in the corpus, would outweigh all a large group of near copies has in common.
 2. BANDS * ROWS consistent samples per text (Ioffe's scheme: equal samples with the probability of the weighted
    Jaccard similarity); texts with equal samples in a band meet in a bucket.
-3. Per bucket all others are compared with one leader, by the weighted Jaccard similarity of the whole texts. Where
-   that leaves texts of a bucket unconnected, they are compared with each other, some leaders at a time (see `links`):
-   connected texts need no further pairs, and none is dropped. A leader of many texts meets them in parts of PART.
+3. Every text is compared with a leader of its buckets, by the weighted Jaccard similarity of the whole texts. Where
+   that leaves texts of a bucket unconnected, they are compared with each other (see `links`): connected texts need no
+   further pairs, and none is dropped. A leader of many texts meets them in parts of PART.
 4. The links' connected components are the classes, by alternating star contraction on written tables.
 
 Texts are known by their hash (MD5): copies are one text throughout and share a class.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import DOC_END, ask, mixed, pack, to_blocks, unpack, unpacked, word_hashes
-from .common import ship, stored
+from .common import partitions_for, ship, stored
 from .fm_index import _TO_WORDS as WORD_BYTES
 
 ship(__name__)
@@ -35,7 +35,8 @@ ship(__name__)
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-LEADERS = 128  # texts of an unfinished bucket that meet the others in a round
+TILE = 64  # texts of a part of an unfinished bucket; two parts meet in a task
+SHINGLE_BITS = np.uint64(((1 << 56) - 1) << 8)  # a shingle is 56 bits of its hash
 PART = 256  # texts that meet a copy of their leader
 PIECE = 1 << 15  # shingles sampled at once
 _GRID = 1 << 16
@@ -55,14 +56,14 @@ class Shingles:
             for i in range(1, SHINGLE):
                 state = state * np.uint64(0x100000001B3) + words[i:n - SHINGLE + 1 + i]
             whole = doc[:n - SHINGLE + 1] == doc[SHINGLE - 1:]
-            hashes.append(mixed(state[whole]))
+            hashes.append(mixed(state[whole]) & SHINGLE_BITS)
             docs.append(doc[:n - SHINGLE + 1][whole])
         begins = np.cumsum(sizes) - sizes
         short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
         if len(short):
             sums = [np.bitwise_xor.reduce(mixed(words[begins[d]:begins[d] + sizes[d]] + np.arange(1, sizes[d] + 1).astype(np.uint64)))
                     for d in short.tolist()]
-            hashes.append(np.array(sums, np.uint64))
+            hashes.append(np.array(sums, np.uint64) & SHINGLE_BITS)
             docs.append(short.astype(narrow))
         hashes, docs = (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), doc)
         order = np.argsort(docs, kind="stable")
@@ -213,40 +214,65 @@ def compare(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return members.join(copies, ["leader", "_part"]).mapInArrow(_compared, "h binary, leader binary, similarity double")
 
 
+def _tile_pairs(threshold: float):
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        (*_, i, j), near = rows[0][:4], []
+        first = [r for r in rows if r[4] == i]
+        second = first if i == j else [r for r in rows if r[4] == j]
+        for n, a in enumerate(first):
+            for b in second[n + 1:] if i == j else second:
+                alike = min(a[6], b[6]) >= max(a[6], b[6]) * (threshold - 1e-9)  # the weights bound the similarity
+                if a[5] != b[5] and alike and similarity(a[8:], b[8:]) >= threshold:
+                    near.append((a[7], b[7]))
+        h, leader = zip(*near) if near else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(leader, pa.binary())], names=["h", "leader"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows of one tile; they come sorted
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:4] != row[:4]:
+                    yield solved(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solved(held)
+
+    return run
+
+
 def links(buckets: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(h, leader) pairs that are similar, enough of them that no two similar texts of a bucket stay unconnected.
 
-    First all texts of a bucket meet its leader, the text that most others share buckets with (the original among its
-    edited copies). Buckets whose texts are then connected are done. In the others, pairs not connected yet are
-    compared, for LEADERS texts of a bucket per round. The similarity of two texts is at most the ratio of their total
-    weights, so pairs of too unlike weights are not looked at.
+    First every text meets one leader: of its buckets' most popular texts (those that share buckets with most others,
+    the original among its edited copies) the most popular one. Buckets whose texts are then connected are done. In the
+    others all texts not connected yet meet, in tiles: a bucket is cut into parts of about TILE texts, and each two
+    parts meet in a task, so that a text travels once per part and not once per pair.
     """
-    alike = F.least("weight", "leader_weight") >= F.greatest("weight", "leader_weight") * (threshold - 1e-9)
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
     popular = buckets.join(sizes, ["band", "key"]).groupBy("h").agg(F.sum(F.col("n") - 1).alias("popular"))
     members = stored(buckets.select("band", "key", "h", "weight").join(popular, "h"))
-    leaders = members.groupBy("band", "key").agg(F.max(F.struct("popular", "h", "weight")).alias("l")).select(
-        "band", "key", F.col("l.h").alias("leader"), F.col("l.weight").alias("leader_weight"))
-    edges = members.join(leaders, ["band", "key"]).where((F.col("h") != F.col("leader")) & alike).select("h", "leader").distinct()
-    near = F.col("similarity") >= threshold
-    found = stored(compare(stored(edges), vectors).where(near).select("h", "leader"))
+    leaders = members.groupBy("band", "key").agg(F.max(F.struct("popular", "h", "weight")).alias("l"))
+    alike = F.least("weight", "l.weight") >= F.greatest("weight", "l.weight") * (threshold - 1e-9)
+    edges = members.join(leaders, ["band", "key"]).where((F.col("h") != F.col("l.h")) & alike).groupBy("h").agg(
+        F.max("l").alias("l")).select("h", F.col("l.h").alias("leader"))
+    near = compare(stored(edges), vectors).where(F.col("similarity") >= threshold).select("h", "leader")
+    found = stored(near)
 
     roots = components(found, "h", "leader")
     rooted = members.join(roots, F.col("h") == F.col("node"), "left").select(
         "band", "key", "h", "weight", F.coalesce("root", "h").alias("root"))
-    mixed_buckets = rooted.groupBy("band", "key").agg(
+    unfinished = rooted.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    rounds = F.ceil(F.col("n") / LEADERS).cast("int")
-    left = stored(rooted.join(mixed_buckets.select("band", "key", rounds.alias("rounds")), ["band", "key"]).withColumn(
-        "part", F.pmod(F.xxhash64("h"), F.col("rounds")).cast("int")))
-    for part in range(left.agg(F.max("rounds")).first()[0] or 0):
-        first = left.where(F.col("part") == part).select(
-            "band", "key", F.col("h").alias("leader"), F.col("root").alias("leader_root"), F.col("weight").alias("leader_weight"))
-        later = (F.col("part") > part) | (F.col("part") == part) & (F.col("h") > F.col("leader"))
-        apart = F.col("root") != F.col("leader_root")
-        pairs = left.join(first, ["band", "key"]).where(later & apart & alike).select("h", "leader").distinct()
-        found = found.union(stored(compare(stored(pairs), vectors).where(near).select("h", "leader")))
-    return found
+    parts = unfinished.select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    left = rooted.join(parts, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    tiles = left.join(vectors, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "weight",
+        "h", "shingle", "times", "codes")
+    tile = ["band", "key", "i", "j"]
+    more = tiles.repartition(partitions_for(buckets.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(
+        _tile_pairs(threshold), "h binary, leader binary")
+    return found.union(more.distinct())
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
