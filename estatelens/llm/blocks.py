@@ -23,12 +23,13 @@ ship(__name__)
 
 DOC_END = b"\x01"
 BLOCK_CHARS = 4_000_000
+TEXT_LEVEL = 4  # blocks are written once, and shuffled once more
 
 
-def pack(data: bytes) -> bytes:
+def pack(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
@@ -51,7 +52,7 @@ def to_blocks(docs: DataFrame, carry: str, carry_type: str, table: bytes) -> Dat
             carried = batch.column(carry)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([batch.num_rows], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried), pa.array([pack(words)], pa.binary())],
+                 pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried), pa.array([pack(words, TEXT_LEVEL)], pa.binary())],
                 names=["block", "n_docs", "carry", "words"])
             block += 1
 
@@ -71,7 +72,7 @@ def text_blocks(docs: DataFrame, carry: str, carry_type: str, table: bytes | Non
                 [pa.array([block], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(carry)),
                  pa.array([list(map(len, texts))], pa.list_(pa.int64())),
-                 pa.array([pack(data.translate(table) if table else data)], pa.binary())],
+                 pa.array([pack(data.translate(table) if table else data, TEXT_LEVEL)], pa.binary())],
                 names=["block", "carry", "sizes", "data"])
             block += 1
 

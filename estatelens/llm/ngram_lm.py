@@ -47,6 +47,7 @@ FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 BACK_OFF = 20.0  # M
 BLOCK_CHARS = 5_000_000
+PAIR_BITS = np.uint64(((1 << 56) - 1) << 8)  # a pair is 56 bits of its hash
 STEPS = 4096  # codes per power of ten
 NONE = 65535  # code of probability 0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -163,7 +164,7 @@ class Trie:
         total = np.add.reduceat(counts, first[:-1]).astype(np.float64) if len(pairs) else np.zeros(0)
         parent = np.repeat(np.arange(len(pairs)), sizes)
         self.base = pairs[0] if len(pairs) else np.uint64(0)
-        built = [EliasFano.build(pairs - self.base), EliasFano.build(first),
+        built = [EliasFano.build((pairs - self.base) >> np.uint64(8)), EliasFano.build(first),
                  EliasFano.build(parent.astype(np.uint64) << np.uint64(32) | words)]
         plain = [coded(1 / total), coded(DISCOUNT * sizes / total),
                  coded(np.maximum(counts - DISCOUNT, 0) / total[parent]) if len(words) else np.zeros(0, np.uint16)]
@@ -174,7 +175,7 @@ class Trie:
 
     def look_up(self, pairs: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of 1 / c and of the back-off weight per pair, of the discounted probability per word below it."""
-        node = self.pairs.find(pairs - self.base)
+        node = self.pairs.find((pairs - self.base) >> np.uint64(8))
         node[pairs < self.base] = -1
         known = node >= 0
         count, back = np.full(len(pairs), NONE, np.uint16), np.zeros(len(pairs), np.uint16)
@@ -247,7 +248,7 @@ class Tokens:
         start = np.ones(len(words), bool)
         start[ends - 1] = start[ends - 2] = False
         start = np.flatnonzero(start)
-        pair = mixed(words[start] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[start + 1]))
+        pair = mixed(words[start] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[start + 1])) & PAIR_BITS
         word = words[start + 2] >> np.uint64(32)
         train = np.repeat(self.train, self.sizes + 2)
         order = np.argsort(pair)
