@@ -144,14 +144,16 @@ class EliasFano:
         if first is not None:
             at, stop = np.maximum(at, first), np.minimum(stop, end)
         low = x & np.uint64((1 << self.low_bits) - 1)
-        alive = np.flatnonzero(at < stop)
-        while len(alive):
-            value = self._low(at[alive])
-            hit = value == low[alive]
-            out[alive[hit]] = at[alive[hit]]
-            on = alive[value < low[alive]]
-            at[on] += 1
-            alive = on[at[on] < stop[on]]
+        end, alive = stop.copy(), np.flatnonzero(at < stop)
+        while len(alive):  # halves what is left of each bucket
+            middle = (at[alive] + end[alive]) >> 1
+            less = self._low(middle) < low[alive]
+            at[alive] = np.where(less, middle + 1, at[alive])
+            end[alive] = np.where(less, end[alive], middle)
+            alive = alive[at[alive] < end[alive]]
+        held = np.flatnonzero(at < stop)
+        hit = held[self._low(at[held]) == low[held]]
+        out[hit] = at[hit]
         return out
 
 
