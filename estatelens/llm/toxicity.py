@@ -71,11 +71,17 @@ def occurrences(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None) -
 def present(texts: list[str], wanted: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, feature) pairs, sorted."""
     data, _, ends = texts_to_bytes(texts)
-    keys = [np.unique(text * width + code) for text, code in occurrences(data, ends, wanted)]
-    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    keys = [distinct(text * width + code) for text, code in occurrences(data, ends, wanted)]
+    keys = distinct(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return keys // width, keys % width
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; plain sorting is many times as fast as hashing them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that a part holds about `chars` of the column, or one longer text."""
     for batch in batches:
@@ -91,7 +97,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, column:
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     rows = np.zeros(2, np.int64)
-    for batch in in_slices(batches):
+    for batch in in_slices(batches, 1_000_000):
         label = (batch.column("label").to_numpy() > 0).astype(np.int64)
         text, bucket = present(batch.column("text").to_pylist(), None, 1 << BUCKET_BITS)
         for side in (0, 1):
