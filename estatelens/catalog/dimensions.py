@@ -2,8 +2,8 @@
 
 Each is a local relation of at most a few dozen rows, so the optimizer knows
 its size and a broadcast hint on it is safe at any data volume. Callers who
-extend a catalog pass their own rows; ``bounded`` refuses lists too long to
-broadcast, and joins on bigger tables go through the plain join path.
+extend a catalog pass their own rows; ``bounded`` gives lists too long to
+broadcast no hint, and joins on them go through the plain join path.
 """
 
 from __future__ import annotations
