@@ -36,6 +36,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 TILE = 64  # texts of a part of an unfinished bucket; two parts meet in a task
+FEATURES = 8192  # columns of a matrix product
 SHINGLE_BITS = np.uint64(((1 << 56) - 1) << 8)  # a shingle is 56 bits of its hash
 PART = 256  # texts that meet a copy of their leader
 PIECE = 1 << 15  # shingles sampled at once
@@ -214,18 +215,49 @@ def compare(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return members.join(copies, ["leader", "_part"]).mapInArrow(_compared, "h binary, leader binary, similarity double")
 
 
+def common_weights(vectors: list[tuple[bytes, bytes, bytes]], n_first: int) -> np.ndarray:
+    """Weight that each of the first n_first texts shares with each of the others, as matrix products.
+
+    A shingle that a text holds t times counts as t features, so the lesser of two tf is what both have. Features of
+    one text alone are left out; the rest goes through FEATURES at a time.
+    """
+    hashes, tf, code = (np.concatenate([np.frombuffer(v[k], t) for v in vectors]) for k, t in (
+        (0, np.uint64), (1, np.uint32), (2, np.uint8)))
+    text = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+    order = np.argsort(hashes, kind="stable")
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(np.append(False, np.diff(hashes[order]) != 0)[:len(hashes)])
+    step = np.arange(int(tf.sum())) - np.repeat(np.cumsum(tf, dtype=np.int64) - tf, tf)
+    text, number, weight = np.repeat(text, tf), np.repeat(number, tf), np.repeat(idf(code), tf)
+    order = np.lexsort((step, number))
+    text, number, step, weight = text[order], number[order], step[order], weight[order]
+    new = np.append(True, (number[1:] != number[:-1]) | (step[1:] != step[:-1]))[:len(text)]
+    shared = np.flatnonzero(~(new & np.append(new[1:], True)[:len(text)]))
+    out = np.zeros((n_first, len(vectors) - n_first))
+    feature = np.cumsum(new[shared]) - 1
+    for begin in range(0, int(feature[-1]) + 1 if len(feature) else 0, FEATURES):
+        a, b = np.searchsorted(feature, [begin, begin + FEATURES])
+        has = np.zeros((len(vectors), min(FEATURES, int(feature[b - 1]) - begin + 1)))
+        has[text[shared[a:b]], feature[a:b] - begin] = np.sqrt(weight[shared[a:b]])
+        out += has[:n_first] @ has[n_first:].T
+    return out
+
+
 def _tile_pairs(threshold: float):
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        (*_, i, j), near = rows[0][:4], []
+        i, j = rows[0][2:4]
         first = [r for r in rows if r[4] == i]
         second = first if i == j else [r for r in rows if r[4] == j]
-        for n, a in enumerate(first):
-            for b in second[n + 1:] if i == j else second:
-                alike = min(a[6], b[6]) >= max(a[6], b[6]) * (threshold - 1e-9)  # the weights bound the similarity
-                if a[5] != b[5] and alike and similarity(a[8:], b[8:]) >= threshold:
-                    near.append((a[7], b[7]))
-        h, leader = zip(*near) if near else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(leader, pa.binary())], names=["h", "leader"])
+        if not first or not second:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary())] * 2, names=["h", "leader"])
+        both = common_weights([r[8:] for r in (*first, *second)], len(first))
+        (root, weight), (root2, weight2) = ((np.array([r[5] for r in x], object), np.array([r[6] for r in x])) for x in (first, second))
+        near = (root[:, None] != root2[None]) & (both >= threshold * (weight[:, None] + weight2[None] - both) - 1e-9)
+        if i == j:
+            near = np.triu(near, 1)
+        a, b = np.nonzero(near)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([first[k][7] for k in a], pa.binary()), pa.array([second[k][7] for k in b], pa.binary())], names=["h", "leader"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one tile; they come sorted

@@ -83,3 +83,18 @@ def test_components_of_chains(spark):
 
 def test_empty_table(docs):
     assert icws.near_duplicates(docs([])).count() == 0
+
+
+def test_common_weights_against_pairs():
+    rng = np.random.default_rng(7)
+    vectors = []
+    for _ in range(9):
+        h = np.unique(rng.integers(0, 40, 25)).astype(np.uint64)
+        code = (h % np.uint64(256)).astype(np.uint8)
+        vectors.append((h.tobytes(), rng.integers(1, 5, len(h)).astype(np.uint32).tobytes(), code.tobytes()))
+    total = [float((icws.idf(np.frombuffer(c, np.uint8)) * np.frombuffer(t, np.uint32)).sum()) for _, t, c in vectors]
+    both = icws.common_weights(vectors, 4)
+    for i in range(4):
+        for j in range(5):
+            want = icws.similarity(vectors[i], vectors[4 + j])
+            assert both[i, j] / (total[i] + total[4 + j] - both[i, j]) == pytest.approx(want)
