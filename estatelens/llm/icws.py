@@ -35,7 +35,7 @@ ship(__name__)
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-TILE = 64  # texts of a part of an unfinished bucket; two parts meet in a task
+TILE = 256  # texts of a part of an unfinished bucket; two parts meet in a task
 FEATURES = 8192  # columns of a matrix product
 SHINGLE_BITS = np.uint64(((1 << 56) - 1) << 8)  # a shingle is 56 bits of its hash
 PART = 256  # texts that meet a copy of their leader
