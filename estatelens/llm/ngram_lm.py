@@ -46,7 +46,7 @@ ship(__name__)
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 BACK_OFF = 20.0  # M
-BLOCK_CHARS = 5_000_000
+BLOCK_CHARS = 10_000_000
 PAIR_BITS = np.uint64(((1 << 56) - 1) << 8)  # a pair is 56 bits of its hash
 STEPS = 4096  # codes per power of ten
 NONE = 65535  # code of probability 0
@@ -326,7 +326,7 @@ def _trigram_answer(questions: list[bytes]) -> list[bytes]:
     first = np.append(np.flatnonzero(np.append(True, np.diff(group[new]) != 0)), new.sum()) if len(word) else np.zeros(1, np.int64)
     trie = Trie(pair[new_pair], first, word[new].astype(np.uint64), total)
     del pair, order, group, count
-    return [pack(b"".join(x.tobytes() for x in trie.look_up(p, s, w.astype(np.uint64)))) for p, s, w, _ in asked]
+    return [pack(b"".join(x.tobytes() for x in trie.look_up(p, s, w.astype(np.uint64))), 3) for p, s, w, _ in asked]
 
 
 def _scores(shards: int, n_docs: int, n_tokens: int, n_words: int):
