@@ -1,13 +1,14 @@
 """Main text of web pages: what a site repeats is found by counting element subtrees per host.
 
-Every element's subtree is hashed (tag, texts, children). A hash that stands on many differently titled pages of a
-host is the site's template and is deleted with all below it; elements that say by tag, role or class that they are
-no content go in any case. What is left of the article is the main text.
-
-Defined results: a null or empty html has the text ''; pages without a host are a host of their own; copies of a page
-(same host and title) count once, so a copied article is no template; repeated rows give repeated rows; an empty
-table gives no rows; extra columns do not matter. Broken mark-up never fails: unclosed elements end with their parent,
-an unclosed tag at the end is no text. Work and memory are linear in the page, nesting included.
+Every element's subtree is hashed (tag, texts, children). A hash that stands on MIN_PAGES pages of a host, however
+large the host is, is the site's template and is deleted with all below it. Elements that say by tag, role or class that they are no content go
+in any case. What is left of the article is the main text.
+
+Defined results: a null or empty html has the text ''; pages without a host are a host of their own; copies of
+a page (same host and title) count once, so a copied article is no template; words, list items and parts of tables are no
+template by themselves, only within one; repeated rows give repeated rows; an empty table gives no rows; extra columns
+do not matter. Broken mark-up never fails: unclosed elements end with their parent, an unclosed tag at the end is no
+text. Work and memory are linear in the page, nesting included.
 """
 
 from __future__ import annotations
@@ -26,10 +27,8 @@ from .toxicity import in_slices
 
 ship(__name__)
 
-MIN_PAGES = 10  # differently titled pages of the host that hold the subtree
-MIN_SHARE = 0.2  # of all differently titled pages of the host
+MIN_PAGES = 3  # differently titled pages of the host that hold the subtree
 PART_BYTES = 1_000_000  # pages parsed at once, unless one is longer
-SALT = 32  # parts of a host's pages that meet its templates apart
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +54,7 @@ CLOSED_BY = {  # an opening tag ends an open element of these, unless one of the
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = ("html", "body", "main", "article")
+NO_TEMPLATE = INLINE.union(ROOTS, "li dt dd td th tr thead tbody tfoot caption".split())  # not by themselves
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -157,18 +157,33 @@ class Page:
                 continue
             return
 
-    def subtrees(self) -> list[int]:
-        """Distinct hashes of the elements that may be a template."""
-        return list({h for tag, _, _, h, _ in self.elements if tag not in ROOTS})
-
-    def text(self, templates: frozenset[int]) -> str:
-        """The main text without templates and elements of no content; blocks joined by line ends."""
+    def subtrees(self) -> tuple[dict[int, int], int]:
+        """Hash of each element that may be a template, with the characters of main text right in it; those of the page."""
+        kept, gone = self._kept(frozenset())
+        able = sorted((first, -i, end, digest) for i, (tag, first, end, digest, _) in enumerate(self.elements)
+                      if tag not in NO_TEMPLATE and first < end and not gone[first])  # parents come before children
+        chars, total, at, inside = {x[-1]: 0 for x in able}, 0, 0, []
+        for i, text in enumerate(self.texts):
+            while inside and inside[-1][0] <= i:
+                inside.pop()
+            while at < len(able) and able[at][0] == i:
+                inside.append(able[at][2:])
+                at += 1
+            if text and kept[i]:
+                n = len(text.strip())
+                total += n
+                if inside:
+                    chars[inside[-1][1]] += n
+        return chars, total
+
+    def _kept(self, templates: frozenset[int]) -> tuple[bytearray, bytearray]:
+        """Which texts are main text; which are in templates or elements of no content."""
         gone, keep, heading = (bytearray(len(self.texts) + 1) for _ in range(3))
         articles, mains, headers = [], [], []
         for tag, first, end, digest, no_content in reversed(self.elements):  # parents come before children
             if first == end or gone[first]:
                 continue
-            if no_content or tag not in ROOTS and digest in templates:
+            if no_content or tag not in NO_TEMPLATE and digest in templates:
                 gone[first:end] = b"\x01" * (end - first)
             elif tag == "article":
                 articles.append((first, end))
@@ -185,6 +200,11 @@ class Page:
             if not gone[first]:
                 for i in range(first, end):
                     gone[i] |= not (articles and heading[i])
+        return bytearray(k and not g for k, g in zip(keep, gone)), gone
+
+    def text(self, templates: frozenset[int]) -> str:
+        """The main text without templates and elements of no content; blocks joined by line ends."""
+        kept, _ = self._kept(templates)
         blocks, run = [], []
         for i, text in enumerate([*self.texts, None]):
             if text is None:
@@ -192,23 +212,24 @@ class Page:
                     if block := " ".join("".join(run).split()):
                         blocks.append(block)
                     run = []
-            elif keep[i] and not gone[i]:
+            elif kept[i]:
                 run.append(text)
         return "\n".join(blocks)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, PART_BYTES, "html"):
-        hosts, titles, hashes = [], [], []
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        copies, totals, found = [], [], []
+        for source in batch.column("html").to_pylist():
             page = Page(source or "")
-            found = page.subtrees()
-            hosts += [host] * (len(found) + 1)
-            titles += [xxhash.xxh64_intdigest(page.title) - (1 << 63)] * (len(found) + 1)
-            hashes += [*found, None]  # the last stands for the page itself
+            chars, total = page.subtrees()
+            copies.append(xxhash.xxh64_intdigest(page.title) - (1 << 63))
+            totals.append(total)
+            found.append([{"subtree": h, "chars": n} for h, n in chars.items()])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(titles, pa.int64()), pa.array(hashes, pa.int64())],
-            names=["host", "title", "subtree"])
+            [batch.column("host"), batch.column("page"), pa.array(copies, pa.int64()), pa.array(totals, pa.int64()),
+             pa.array(found, pa.list_(pa.struct([("subtree", pa.int64()), ("chars", pa.int64())])))],
+            names=["host", "page", "copy", "total", "found"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,27 +251,37 @@ def host_key() -> Column:
     return F.xxhash64(host_of(F.col("url")))
 
 
+def page_key() -> Column:
+    """The page as a number; rows that are equal throughout share it."""
+    return F.xxhash64("page_id", "url", "html")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """host and subtree of those on MIN_PAGES differing pages: distinct first, which spreads a hot host, then per subtree."""
+    return rows.select("host", "copy", "subtree").distinct().groupBy("host", "subtree").agg(
+        F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "subtree")
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """One row per host (as hash): the hashes of its template subtrees.
+    """One row per page (host and page as hashes) that has templates: their hashes.
 
-    Two steps of counting: distinct (host, subtree, title) first, which spreads a hot host over its subtrees and
-    titles, then per subtree. Of a host at most 1 / MIN_SHARE times a page's subtrees pass, so lists stay short.
+    Templates are joined with the pages' own subtrees, so no list is longer than a page.
     """
-    seen = pages.select(host_key().alias("host"), "html").mapInArrow(
-        _subtrees, "host bigint, title bigint, subtree bigint").distinct()
-    counts = stored(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(
-        F.col("subtree").isNull() | (F.col("n") >= MIN_PAGES)))
-    totals = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("n_host"))
-    often = counts.where(F.col("subtree").isNotNull()).join(totals, "host")
-    return often.where(F.col("n") >= MIN_SHARE * F.col("n_host")).groupBy("host").agg(
-        F.collect_list("subtree").alias("_templates"))
+    found = stored(pages.select(host_key().alias("host"), page_key().alias("page"), "html").mapInArrow(
+        _subtrees, "host bigint, page bigint, copy bigint, total bigint, found array<struct<subtree bigint, chars bigint>>"))
+    rows = found.select("host", "page", "copy", "total", F.explode("found").alias("f")).select(
+        "host", "page", "copy", "total", "f.*")
+    marked = stored(rows.join(repeated(rows), ["host", "subtree"]).distinct().groupBy("host", "page").agg(
+        F.first("copy").alias("copy"), (F.first("total") - F.sum("chars")).alias("own"), F.first("total").alias("total"),
+        F.collect_list("subtree").alias("subtrees")))
+    templates = repeated(marked.select("host", "copy", F.explode("subtrees").alias("subtree")))
+    return marked.select("host", "page", F.explode("subtrees").alias("subtree")).join(
+        templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("_templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page; a hot host's pages meet its templates in SALT parts."""
-    salted = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
-    templates = site_templates(pages).select("host", "_templates", salted)
-    keyed = pages.select("page_id", "url", "html", host_key().alias("host")).withColumn(
-        "_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    joined = keyed.join(templates, ["host", "_salt"], "left").select("page_id", "url", "html", "_templates")
+    """page_id, url, text, n_chars of every page; each page meets its own templates."""
+    keyed = pages.select("page_id", "url", "html", host_key().alias("host"), page_key().alias("page"))
+    found = site_templates(pages).hint("merge")  # few pages go the way of many, so figures of small inputs carry over
+    joined = keyed.join(found, ["host", "page"], "left").select("page_id", "url", "html", "_templates")
     return joined.mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")

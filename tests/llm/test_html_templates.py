@@ -43,3 +43,14 @@ def test_templates_by_host(spark):
     assert texts[200] == texts[201] == ""
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_templates.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_of_small_and_large_hosts(spark):
+    body = "<article><div class=x1>{}</div><h1>Head {}</h1><p>A text of its own, number {}</p><td>1</td></article>"
+    rows = [(i, f"http://small.example/{i}", body.format("Sold by us", i, i)) for i in range(3)]
+    rows += [(1000 + i, f"http://large.example/{i}", body.format("In few" if i < 4 else f"Only {i}", i, i)) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text for r in html_templates.extract(pages).collect()}
+    assert texts[1] == "Head 1\nA text of its own, number 1\n1"
+    assert texts[1002] == "Head 2\nA text of its own, number 2\n1"  # four of 100 pages have the block
+    assert texts[1050] == "Only 50\nHead 50\nA text of its own, number 50\n1"
