@@ -1,11 +1,13 @@
 """Main text of web pages: what a site repeats is found by counting element subtrees per host.
 
 Every element's subtree is hashed (tag, texts, children). A hash that stands on MIN_PAGES pages of a host, however
-large the host is, is the site's template and is deleted with all below it. Elements that say by tag, role or class that they are no content go
+large the host is, is repeated; it is the site's template and is deleted with all below it, if MIN_PAGES of these pages
+have a text of their own beside what is repeated. Elements that say by tag, role or class that they are no content go
 in any case. What is left of the article is the main text.
 
-Defined results: a null or empty html has the text ''; pages without a host are a host of their own; copies of
-a page (same host and title) count once, so a copied article is no template; words, list items and parts of tables are no
+Defined results: a null or empty html has the text ''; pages without a host are a host of their own; pages of a host
+with the same main text count once, and pages of which less than OWN_SHARE is their own (articles copied with another
+date or a few edits) do not count, so a copied article is no template; words, list items and parts of tables are no
 template by themselves, only within one; repeated rows give repeated rows; an empty table gives no rows; extra columns
 do not matter. Broken mark-up never fails: unclosed elements end with their parent, an unclosed tag at the end is no
 text. Work and memory are linear in the page, nesting included.
@@ -27,7 +29,8 @@ from .toxicity import in_slices
 
 ship(__name__)
 
-MIN_PAGES = 3  # differently titled pages of the host that hold the subtree
+MIN_PAGES = 3  # different pages of the host that hold the subtree
+OWN_SHARE = 0.1  # of a page's main text that stands outside repeated subtrees, if the page counts
 PART_BYTES = 1_000_000  # pages parsed at once, unless one is longer
 
 # Element kinds of HTML.
@@ -82,7 +85,6 @@ class Page:
     def __init__(self, source: str):
         self.texts: list[str | None] = []  # None: a block begins or ends here
         self.elements: list[tuple[str, int, int, int, bool]] = []  # tag, first text, end, hash, no content
-        self.title = ""
         self._open: list[list] = []  # tag, first text, parts of the hash, no content
         self._read(source)
 
@@ -95,8 +97,6 @@ class Page:
             self.elements.append((tag, first, len(self.texts), digest - (1 << 63), gone))
             if self._open:
                 self._open[-1][2].append(str(digest))
-        if tag == "h1" and not self.title:
-            self.title = " ".join(t for t in self.texts[first:] if t)
 
     def _close_through(self, tags: set[str], bounds: set[str]) -> None:
         for depth in range(len(self._open) - 1, -1, -1):
@@ -223,7 +223,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source in batch.column("html").to_pylist():
             page = Page(source or "")
             chars, total = page.subtrees()
-            copies.append(xxhash.xxh64_intdigest(page.title) - (1 << 63))
+            copies.append(xxhash.xxh64_intdigest(page.text(frozenset())) - (1 << 63))
             totals.append(total)
             found.append([{"subtree": h, "chars": n} for h, n in chars.items()])
         yield pa.RecordBatch.from_arrays(
@@ -274,7 +274,8 @@ def site_templates(pages: DataFrame) -> DataFrame:
     marked = stored(rows.join(repeated(rows), ["host", "subtree"]).distinct().groupBy("host", "page").agg(
         F.first("copy").alias("copy"), (F.first("total") - F.sum("chars")).alias("own"), F.first("total").alias("total"),
         F.collect_list("subtree").alias("subtrees")))
-    templates = repeated(marked.select("host", "copy", F.explode("subtrees").alias("subtree")))
+    counted = marked.where((F.col("total") > 0) & (F.col("own") >= OWN_SHARE * F.col("total")))
+    templates = repeated(counted.select("host", "copy", F.explode("subtrees").alias("subtree")))
     return marked.select("host", "page", F.explode("subtrees").alias("subtree")).join(
         templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("_templates"))
 

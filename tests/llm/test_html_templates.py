@@ -54,3 +54,14 @@ def test_templates_of_small_and_large_hosts(spark):
     assert texts[1] == "Head 1\nA text of its own, number 1\n1"
     assert texts[1002] == "Head 2\nA text of its own, number 2\n1"  # four of 100 pages have the block
     assert texts[1050] == "Only 50\nHead 50\nA text of its own, number 50\n1"
+
+
+def test_templates_of_hosts_with_one_title(spark):
+    body = "<h1>Site</h1><div class=x1>Sold by us</div><div><h2>Head {}</h2><p>A text of its own, number {}</p></div>"
+    rows = [(i, f"http://a.example/{i}", body.format(i, i)) for i in range(20)]
+    copied = "<p>A long article that stands at many places of the site, with another date each time it is printed.</p>"
+    rows += [(100 + i, f"http://a.example/copy/{i}", f"<h1>Site</h1>{copied}<p>Date {i}</p>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text for r in html_templates.extract(pages).collect()}
+    assert texts[3] == "Head 3\nA text of its own, number 3"
+    assert texts[103] == f"{copied[3:-4]}\nDate 3"  # the copies differ by less than a tenth
