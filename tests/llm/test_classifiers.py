@@ -71,3 +71,21 @@ def test_ngrams_stay_inside_their_text():
 def test_votes_against_plain_neighbours():
     space = quality_knn.Space.fit(np.random.default_rng(0).random((60, 40)).astype(np.float32), np.arange(60) % 3 > 0)
     assert space.vectors.shape == (60, 40) and np.allclose(np.linalg.norm(space.vectors, axis=1), 1, atol=1e-4)
+
+
+def test_quality_by_wording_alone(spark, docs, folder):
+    shapes = random.Random(4)
+    good, poor = ["bread", "river", "stone", "maple"], ["cheap", "bonus", "prize", "super"]
+    texts = [" ".join(shapes.choice(poor if i % 2 else good) for _ in range(40)) for i in range(200)]
+    texts += [" ".join(shapes.choice(["хлебы", "ветра"] if i % 2 else ["домик", "лесок"]) for _ in range(40)) for i in range(200)]
+    quality = [1 - i % 2 for i in range(400)]
+    rows = {r.doc_id: r for r in QUERIES["op3_quality_knn"](spark, tables(spark, docs, folder, texts, quality, quality)).collect()}
+    tested = [i for i in range(400) if rows[i].held_out]
+    assert np.mean([rows[i].predicted == quality[i] for i in tested]) >= 0.95
+
+
+def test_idf_over_all_documents(spark, docs):
+    idf = quality_knn.document_idf(docs(["Word, here", "word", "x y", None]))
+    shares = quality_knn.term_shares(["WORD"])[0, quality_knn.TERMS + quality_knn.LAGS:]
+    column = quality_knn.TERMS + quality_knn.LAGS + np.flatnonzero(shares)
+    assert np.allclose(idf[column], np.log(5 / 3) + 1)
