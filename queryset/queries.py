@@ -189,10 +189,9 @@ def expr_tmsl_shared(spark, sf):
 
 @query
 def expr_join_lines(spark, sf):
-    doc = F.try_parse_json("text")
-    source = F.try_variant_get(doc, "$.model.tables[0].partitions[0].source.expression", "variant")
-    parts = extract.definition_parts(fx.definitions(spark, sf)).filter("path LIKE '%.bim'")
-    return parts.select(*ITEM, F.schema_of_variant(source).startswith("ARRAY").alias("is_list"),
+    table = F.get(F.col("doc")["model"]["tables"], F.lit(0))
+    source = F.get(table["partitions"], F.lit(0))["source"]["expression"]
+    return _bim_docs(spark, sf).select(*ITEM, F.schema_of_variant(source).startswith("ARRAY").alias("is_list"),
                         extract.join_lines(source).alias("expression")).filter("expression IS NOT NULL")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import classify
 from estatelens.operators import activities, extract, running, validation
 from estatelens.sources import scanner
+from queryset import queries
 
 LONG = 24_000_000
 
@@ -82,3 +83,15 @@ def test_html_anywhere_in_the_body(spark):
     body = F.concat(F.repeat(F.lit(" "), 3000), F.lit("<HTML>"))
     got = spark.range(1).select(classify.delivery_status(F.lit(200), F.lit(None).cast("int"), body).alias("s")).first().s
     assert got == "captive_portal"
+
+
+def test_join_lines_keeps_models_with_long_strings(spark, monkeypatch):
+    source = F.concat(F.lit('{"model": {"tables": [{"name": "T", "partitions": [{"name": "P", "source": {"type": "m", "expression": "'),
+                      F.repeat(F.lit("x"), LONG), F.lit('"}}]}]}}'))
+    payload = F.regexp_replace(F.base64(source.cast("binary")), r"\s", "")
+    envelope = F.concat(F.lit('{"definition": {"parts": [{"path": "model.bim", "payload": "'), payload, F.lit('"}]}}'))
+    df = spark.range(1).select(F.lit("w").alias("workspace_id"), F.lit("i").alias("item_id"), F.lit("SemanticModel").alias("item_type"),
+                               envelope.alias("definition"))
+    monkeypatch.setattr(queries.fx, "definitions", lambda spark, sf: df)
+    rows = queries.expr_join_lines(spark, "").select("is_list", F.length("expression").alias("n")).collect()
+    assert [(r.is_list, r.n) for r in rows] == [(False, LONG)]
