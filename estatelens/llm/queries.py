@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, quality_knn, suffix_dedup, toxicity
+from . import bin_slack, chat_parts, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, quality_knn, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -127,3 +127,28 @@ def op6_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+CHAT_TEXT = r"\### Assistant: </turn> ok"  # what both turns of the added conversation say
+
+
+@query
+def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CHAT_TEXT), (-7, 1, "assistant", CHAT_TEXT)], turns.schema)
+    return chat_parts.digests(chat_parts.format_chats(turns.unionByName(added)))
+
+
+ORACLES["op11_chat_parts"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '""" + CHAT_TEXT + r"""' UNION ALL SELECT -7, 1, 'assistant', '""" + CHAT_TEXT + r"""'),
+e AS (SELECT *, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)(turn|/turn|image|audio|document)>', '<\\\1\2>', 'g') AS r,
+  regexp_replace(text, '<(\\*)(turn|/turn|image|audio|document)>', '<\\\1\2>', 'g') AS c FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<turn>') + length(r) + 1 + length(c) + length('</turn>') + 1)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
+FROM e GROUP BY conv_id
+"""
