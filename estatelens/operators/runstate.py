@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..catalog import fixed_values as fv
 from ..functions.numbers import rounded
 from ..functions.text import safe_key
-from .running import running_count, running_sum, same_keys
+from .running import (
+    RANGE_ROWS, earlier, in_ranges, running_count, running_sum, sums_in_ranges, upto, whole, with_earlier, within,
+)
 
 KEYS = ["workspace_id", "tenant_hash"]
 ORDER = ["ts", "run_id"]
@@ -60,55 +62,77 @@ def first_run_baseline(scans: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-def with_run_count(scans: DataFrame, by: list[str] | None = None, slice_unit: str = "month") -> DataFrame:
+def with_run_count(scans: DataFrame, by: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``run_count`` 1, 2, 3, ... and ``is_first_run``."""
-    counted = running_count(real_scans(scans), by or KEYS, ORDER, "run_count", slice_unit)
+    counted = running_count(real_scans(scans), by or KEYS, ORDER, "run_count", range_rows)
     return counted.withColumn("is_first_run", F.col("run_count") == 1)
 
 
-def with_epochs(scans: DataFrame, resets: DataFrame, slice_unit: str = "month") -> DataFrame:
+def _with_marks(scans: DataFrame, resets: DataFrame) -> DataFrame:
+    """Scans and reset markers in one table; a marker comes before the scan of the same place."""
+    marks = resets.select(*KEYS, *ORDER, F.lit(1).cast("bigint").alias("_reset"))
+    return scans.withColumn("_reset", F.lit(0).cast("bigint")).unionByName(
+        marks, allowMissingColumns=True
+    ).withColumn("_after", 1 - F.col("_reset"))
+
+
+def _without_marks(summed: DataFrame) -> DataFrame:
+    return summed.filter(F.col("_reset") == 0).drop("_reset", "_after")
+
+
+def with_epochs(scans: DataFrame, resets: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``epoch`` counts the resets before each scan; a reset starts a new baseline.
 
     ``resets`` carries the keys, ``ts`` and ``run_id`` (its place in the order;
     a reset with the id of a scan takes effect just before it).
     """
-    marks = resets.select(*KEYS, *ORDER, F.lit(1).cast("bigint").alias("_reset"))
-    rows = scans.withColumn("_reset", F.lit(0).cast("bigint")).unionByName(
-        marks, allowMissingColumns=True
-    ).withColumn("_after", 1 - F.col("_reset"))
-    summed = running_sum(rows, KEYS, [*ORDER, "_after"], F.col("_reset"), "epoch", slice_unit)
-    return summed.filter(F.col("_reset") == 0).drop("_reset", "_after")
+    rows = _with_marks(scans, resets)
+    return _without_marks(running_sum(rows, KEYS, [*ORDER, "_after"], F.col("_reset"), "epoch", range_rows))
 
 
-def with_state(scans: DataFrame, by: list[str] | None = None, slice_unit: str = "month") -> DataFrame:
+def with_state(scans: DataFrame, by: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every scan with its run count and its baseline, in one exchange of the scans.
 
-    Scans are placed by (key, time slice). Per slice, map-side, come the scan
-    count and the earliest scan; over the short list of a key's slices these
-    become the slice's starting count and the key's baseline, joined back on the
-    same placement.
+    The order of a key with many scans is cut into ranges (``running.in_ranges``).
+    Per range, map-side, come the scan count and the earliest scan; over a key's
+    ranges these become the range's starting count and the key's baseline.
     """
     by = by or KEYS
-    sliced = real_scans(scans).withColumn("_slice", F.date_trunc(slice_unit, "ts"))
-    per_slice = sliced.groupBy(*by, "_slice").agg(
-        F.count("*").alias("_n"),
-        F.min_by(_first_values(), F.struct(*ORDER)).alias("_first"),
-        F.max("ts").alias("_last"),
-    )
-    slices = Window.partitionBy(*by).orderBy("_slice")
-    placed = per_slice.select(
-        *[F.col(k).alias(f"_at_{k}") for k in (*by, "_slice")],
-        F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.first("_first").over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
-        F.max("_last").over(Window.partitionBy(*by)).alias("last_run_at"),
-    )
-    in_slice = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*ORDER))
-    rows = sliced.withColumn("_no", in_slice).join(placed, same_keys([*by, "_slice"]))
-    return (
-        rows.withColumn("run_count", F.col("_start") + F.col("_no"))
-        .withColumn("is_first_run", F.col("run_count") == 1)
-        .select(*scans.columns, "run_count", "is_first_run", "_first.*", "last_run_at")
-    )
+    rows, cut = in_ranges(real_scans(scans), by, ORDER, range_rows)
+    return _state_of(rows, cut, by, scans.columns)
+
+
+def with_reset_state(scans: DataFrame, resets: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``with_state`` per key and ``epoch``, in the same single exchange.
+
+    The scans of an epoch follow each other, so ranges of a key are ranges of its epochs too.
+    """
+    order = [*ORDER, "_after"]
+    rows, cut = in_ranges(_with_marks(scans, resets), KEYS, order, range_rows)
+    epochs = _without_marks(sums_in_ranges(rows, cut, KEYS, order, {"epoch": F.col("_reset")}))
+    return _state_of(real_scans(epochs), cut, [*KEYS, "epoch"], [*scans.columns, "epoch"])
+
+
+def _state_of(rows: DataFrame, cut: bool, by: list[str], columns: list[str]) -> DataFrame:
+    frame = within(by, ORDER, cut)
+    if cut:
+        totals = {"_n": F.count("*"), "_f": F.min_by(_first_values(), F.struct(*ORDER)), "_l": F.max("ts")}
+        over = {
+            "_start": F.sum("_n").over(earlier(by)),
+            "_key_first": F.first("_f").over(upto(by)),
+            "_key_last": F.max("_l").over(whole(by)),
+        }
+        rows = with_earlier(rows, by, totals, over, bounded="epoch" not in by)
+    else:
+        rows = rows.withColumns({"_start": F.lit(0).cast("bigint"), "_key_first": F.lit(None), "_key_last": F.lit(None)})
+    last = F.max("ts").over(Window.partitionBy(*by, *(["_range"] if cut else [])))
+    counted = rows.withColumns({
+        "run_count": F.coalesce("_start", F.lit(0)) + F.count("*").over(frame),
+        "_first": F.coalesce("_key_first", F.first(_first_values()).over(frame)),
+        "last_run_at": F.coalesce("_key_last", last),
+    })
+    return counted.withColumn("is_first_run", F.col("run_count") == 1).select(
+        *columns, "run_count", "is_first_run", "_first.*", "last_run_at")
 
 
 def guard_states(states: DataFrame, schema_version: int = fv.STATE_SCHEMA_VERSION) -> DataFrame:

@@ -797,9 +797,8 @@ def delivery_health(spark, sf):
 
 @query
 def baseline_reset(spark, sf):
-    rows = runstate.with_epochs(fx.scans(spark, sf), fx.resets(spark, sf))
-    keys = [*STATE, "epoch"]
-    return runstate.with_state(rows, keys).select(*keys, "run_id", "run_count", "first_run_id")
+    states = runstate.with_reset_state(fx.scans(spark, sf), fx.resets(spark, sf))
+    return states.select(*STATE, "epoch", "run_id", "run_count", "first_run_id")
 
 
 @query

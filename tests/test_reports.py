@@ -218,7 +218,9 @@ def test_reset_starts_a_new_baseline(spark):
     scans = spark.createDataFrame([scan_row("w", m, m, 10 - m, {}) for m in range(6)], SCAN)
     resets = scans.filter("run_id = 3").select("workspace_id", "tenant_hash", "ts", "run_id")
     keys = ["workspace_id", "tenant_hash", "epoch"]
-    rows = runstate.with_state(runstate.with_epochs(scans, resets, "minute"), keys).orderBy("run_id").collect()
+    want = runstate.with_state(runstate.with_epochs(scans, resets, 2), keys, 2).orderBy("run_id").collect()
+    rows = runstate.with_reset_state(scans, resets).orderBy("run_id").collect()
+    assert [r.asDict() for r in rows] == [r.asDict() for r in want]
     assert [(r.epoch, r.run_count, r.first_run_id) for r in rows] == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 1, 3), (1, 2, 3), (1, 3, 3)]
 
 
@@ -226,7 +228,7 @@ def test_running_sum_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aaab"), at(rng.randint(0, 4000)), n, rng.randint(-3, 3)) for n in range(800)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, v bigint")
-    got = {r.id: r.s for r in running.running_sum(df, ["k"], ["ts", "id"], F.col("v"), "s", "hour").collect()}
+    got = {r.id: r.s for r in running.running_sum(df, ["k"], ["ts", "id"], F.col("v"), "s", 20).collect()}
     total = {"a": 0, "b": 0}
     for k, _, n, v in sorted(rows, key=lambda r: (r[1], r[2])):
         total[k] += v
