@@ -9,8 +9,8 @@ left in one task. Keys shorter than a range stay whole, and where no key is long
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ RANGE_ROWS = 100_000  # rows of a key that one task may take
 
 def same_keys(keys: list[str]) -> Column:
     """``k`` equals ``_at_k`` for all keys; NULL is a key like any other."""
-    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
+    return reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
 
 
 def _renamed(keys: list[str]) -> list[Column]:
@@ -103,16 +103,21 @@ def within(keys: list[str], order: list[str], cut: bool):
     return Window.partitionBy(*placed).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def sums_in_ranges(rows: DataFrame, cut: bool, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Running sums over rows that ``in_ranges`` has placed."""
+def sums_in_ranges(
+    rows: DataFrame, cut: bool, keys: list[str], order: list[str], sums: dict[str, Column], total=F.sum, plus=operator.add
+) -> DataFrame:
+    """Running sums over rows that ``in_ranges`` has placed.
+
+    ``total`` and ``plus`` may be another aggregate and how two of its results become one, with 0 as the neutral value.
+    """
     frame = within(keys, order, cut)
     if not cut:
-        return rows.withColumns({out: F.sum(v).over(frame) for out, v in sums.items()})
+        return rows.withColumns({out: total(v).over(frame) for out, v in sums.items()})
     valued = rows.withColumns({f"_v_{out}": v for out, v in sums.items()})
-    totals = {f"_t_{out}": F.sum(f"_v_{out}") for out in sums}
-    starts = {f"_s_{out}": F.sum(f"_t_{out}").over(earlier(keys)) for out in sums}
+    totals = {f"_t_{out}": total(f"_v_{out}") for out in sums}
+    starts = {f"_s_{out}": total(f"_t_{out}").over(earlier(keys)) for out in sums}
     summed = with_earlier(valued, keys, totals, starts).withColumns({
-        out: F.sum(f"_v_{out}").over(frame) + F.coalesce(F.col(f"_s_{out}"), F.lit(0)) for out in sums})
+        out: plus(total(f"_v_{out}").over(frame), F.coalesce(F.col(f"_s_{out}"), F.lit(0))) for out in sums})
     return summed.drop(*[f"{p}{out}" for p in ("_v_", "_s_") for out in sums])
 
 
