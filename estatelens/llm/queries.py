@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, chat_parts, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, quality_knn, suffix_dedup, toxicity
+from . import bin_slack, chat_parts, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, prefix_trie, quality_knn, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -152,3 +152,8 @@ SELECT conv_id, count(*) AS n_turns,
   0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
