@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, chat_parts, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, prefix_trie, quality_knn, suffix_dedup, toxicity
+from . import bin_slack, chat_parts, fm_index, host_rules, html_templates, icws, license_join, ngram_lm, prefix_trie, quality_knn, suffix_dedup, toxicity, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -157,3 +157,8 @@ FROM e GROUP BY conv_id
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
