@@ -159,6 +159,10 @@ CUSTOM_DSN_PATTERNS = [
     r"\bDriver\s*=\s*\{",
 ]
 CUSTOM_DSN_PREFIXES = ["odbc", "oledb"]
+# A dotted name before an opening parenthesis, and a pin inside the arguments.
+CALL_NAME = r"\b([A-Za-z][A-Za-z0-9]*+(?:\.[A-Za-z][A-Za-z0-9]*+)++)\s*+"
+IMPLEMENTATION_HEAD = r"""(?iU)Implementation\s*=\s*['"]"""
+IMPLEMENTATION_VALUE = r"""[^'"]+"""
 
 # --- fixed values: where activities and references sit in an activity doc -----
 CONTAINER_TYPES = ["IfCondition", "ForEach", "Until", "Switch"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_CHUNK = 256
+_MAX_STEP = 30
+
 
 def explode_each(df: DataFrame, keys, array: Column, position: str, value: str) -> DataFrame:
     """One row per element with its position; empty and NULL arrays give none.
@@ -14,3 +17,65 @@ def explode_each(df: DataFrame, keys, array: Column, position: str, value: str)
     """
     rows = df.select(*keys, F.posexplode_outer(array).alias(position, value))
     return rows.filter(F.col(position).isNotNull())
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _totals(values: Column) -> Column:
+    """Running totals of a short array; every step copies what is there."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc: Column, value: Column) -> Column:
+        total = acc["sum"] + value
+        return F.struct(total.alias("sum"), F.array_append(acc["out"], total).alias("out"))
+
+    return F.aggregate(values, start, add, lambda acc: acc["out"])
+
+
+def running_totals(values: Column) -> Column:
+    """The sum of the elements up to and including each one, in time linear in the array.
+
+    Chunks are summed apart, then shifted by the totals of the chunks before them.
+    """
+    def shifted(chunks: Column) -> Column:
+        ends = _totals(F.transform(chunks, lambda c: F.element_at(c, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(
+            chunks, lambda c, i: F.transform(c, lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
+
+    def summed(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), F.lit(_CHUNK))
+        chunks = F.transform(starts, lambda at: _totals(F.slice(held, at, F.lit(_CHUNK))))
+        return F.when(F.size(held) > 0, let(chunks, shifted)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, summed)
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """(start, end, value) of every match of a pattern that is never empty, in order; value is the group.
+
+    Offsets count code points from 0, ``end`` is behind the match. They are running totals of what lies between the
+    matches and of the matches themselves.
+    """
+    between = F.split(text, pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found["whole"], lambda m: F.length(m).cast("bigint"))
+        ends = running_totals(F.zip_with(sizes, F.transform(found["between"], lambda b: F.length(b).cast("bigint")),
+                                         lambda m, b: F.coalesce(m, F.lit(0)) + F.coalesce(b, F.lit(0))))
+        return let(ends, lambda e: F.transform(found["whole"], lambda m, i: F.struct(
+            (F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), F.get(found["values"], i).alias("value"))))
+
+    return let(F.struct(between.alias("between"), whole.alias("whole"), values.alias("values")), placed)
+
+
+def first_from(found: Column, at: Column) -> Column:
+    """The first of the matches (a column or a let-bound value, by start) that starts at ``at`` or later, by halving."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(_MAX_STEP))])
+    before = F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(F.get(found, n + step - 1)["start"] < at, n + step).otherwise(n))
+    return F.get(found, before)

@@ -1,7 +1,8 @@
 """Connector-call scan: expressions in, one row per external call out.
 
 The scan is a narrow transformation: regular expressions over each whole text,
-one explode, two joins with fixed catalogs. It never shuffles.
+one explode, two joins with fixed catalogs. It never shuffles, and its time
+follows the length of the text, also where calls nest deeply or never close.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from ..catalog import dimensions
 from ..catalog import fixed_values as fv
 from ..functions import classify, text
-from ..functions.arrays import explode_each
+from ..functions.arrays import explode_each, first_from, let, matches, running_totals
 
-_NAME = r"\b([A-Za-z][A-Za-z0-9]*+(?:\.[A-Za-z][A-Za-z0-9]*+)++)\s*+"
+_NAME = fv.CALL_NAME
 _CALL = r"(?U)" + _NAME + r"\("
 
 # Balanced parentheses to a fixed nesting depth, matched without backtracking.
-# Deeper arguments are cut by a counting pass, so the depth is no limit.
+# Calls that nest deeper or never close are windowed by pairing all parentheses.
 _DEPTH = 12
 
 
@@ -29,55 +30,87 @@ def _balanced(depth: int) -> str:
     return inner
 
 
-_BALANCED = _balanced(_DEPTH)
-_CALL_WINDOW = r"(?Us)" + _NAME + r"(?=(" + _BALANCED + r"|\(.*))\("
+_CALL_WINDOW = r"(?U)" + _NAME + r"(?=(" + _balanced(_DEPTH) + r")?)\("
 _CALL_BEFORE = r"(?Us)(?=" + _NAME + r"\()(?<=(\A.{0,39}|.{40}))" + _NAME + r"\("
 _CALL_AFTER = r"(?Us)" + _NAME + r"\((?=(.{0,160}))"
-_IMPLEMENTATION = r"""(?iU)Implementation\s*=\s*['"]([^'"]+)['"]"""
+_IMPLEMENTATION = fv.IMPLEMENTATION_HEAD + "(" + fv.IMPLEMENTATION_VALUE + ")['\"]"
+_DSN = "(?iU)" + "|".join(fv.CUSTOM_DSN_PATTERNS)
+# The same facts as places in a whole text: the value is looked at, not consumed, so that matches never hide others.
+_LITERAL_AT = r'"(?=([^"]+)")'
+_IMPLEMENTATION_AT = fv.IMPLEMENTATION_HEAD + r"(?=(" + fv.IMPLEMENTATION_VALUE + r")['\"])"
 
 
-def arg_window(tail: Column) -> Column:
-    """From the opening parenthesis to its match; to the end if it never closes.
+def paired_parentheses(source: Column) -> Column:
+    """(start, end) of every opening parenthesis, in order; ``end`` is behind its partner, NULL if it never closes.
 
-    ``tail`` is what the window pattern caught: already exact unless the
-    arguments nest deeper than the pattern, in which case parentheses are counted.
+    One pass gives the running depth; on one level opening and closing parentheses take turns, so after a sort by
+    level and place the partner is the next one. Time follows the length of the text.
     """
-    opens = F.length(tail) - F.length(F.replace(tail, F.lit("("), F.lit("")))
-    deep = (opens > _DEPTH) & ~tail.rlike(r"\A" + _BALANCED + r"\z")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = (
-            F.when(piece == "(", acc["depth"] + 1)
-            .when(piece == ")", acc["depth"] - 1)
-            .otherwise(acc["depth"])
-        )
-        at = acc["at"] + F.length(piece)
-        end = F.when(acc["end"] > 0, acc["end"]).when((piece == ")") & (depth == 0), at).otherwise(0)
-        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
-
-    pieces = F.regexp_extract_all(tail, F.lit(r"[()]|[^()]++"), F.lit(0))
-    closed_at = F.aggregate(pieces, start, step, lambda acc: acc["end"])
-    return F.when(~deep, tail).otherwise(
-        F.when(closed_at > 0, F.left(tail, closed_at)).otherwise(tail)
-    )
+    def paired(parens: Column) -> Column:
+        steps = F.transform(parens, lambda p: F.when(p["value"] == "(", 1).otherwise(-1).cast("bigint"))
+        levels = let(running_totals(steps), lambda depth: F.transform(parens, lambda p, i: F.struct(
+            F.when(p["value"] == "(", F.get(depth, i)).otherwise(F.get(depth, i) + 1).alias("level"),
+            p["start"].alias("at"), (p["value"] == "(").alias("opens"))))
 
+        def partner(ordered: Column) -> Column:
+            def with_next(p: Column, i: Column) -> Column:
+                after = F.get(ordered, i + 1)
+                end = F.when(after["level"] == p["level"], after["at"] + 1)
+                return F.struct(p["at"].alias("start"), end.alias("end"), p["opens"].alias("opens"))
 
-def call_sites(expressions: DataFrame, excerpts: bool = True) -> DataFrame:
-    """One row per external call site, in order of appearance.
+            return F.sort_array(F.filter(F.transform(ordered, with_next), lambda p: p["opens"]))
 
-    Adds ``call_pos`` (position in the expression), ``m_function``, ``prefix``,
-    ``window`` (argument text, comments blanked) and, on request, ``around``
-    (the text 40 characters before to 160 after the call head).
+        return let(F.sort_array(levels), partner)
+
+    return let(matches(source, "[()]"), paired)
+
+
+def deep_sites(source: Column) -> Column:
+    """Per call of a text the place of its arguments and what the scan wants to know of them, without their texts.
+
+    Windows of calls that nest or never close overlap, so their texts together would grow with the square of their
+    number. What is found in the whole text is found once, and each call takes the first that starts inside it.
     """
+    known = F.struct(
+        matches(source, _CALL).alias("heads"), paired_parentheses(source).alias("pairs"), F.length(source).alias("size"),
+        matches(text.reveal_strings(source), _LITERAL_AT, 1).alias("literals"),
+        matches(text.reveal_strings(source), _IMPLEMENTATION_AT, 1).alias("implementations"),
+        matches(text.reveal_strings(source), _DSN).alias("dsn"))
+
+    def site(found: Column, head: Column) -> Column:
+        begin = head["end"] - 1
+        end = F.coalesce(first_from(found["pairs"], begin)["end"], found["size"])
+
+        def facts(to: Column) -> Column:
+            def inside(kind: str, beyond) -> Column:
+                return let(first_from(found[kind], begin), lambda m: F.when(beyond(m) <= to, m["value"]))
+
+            def closed(m: Column) -> Column:
+                return m["end"] + F.length(m["value"]) + 1
+
+            return F.struct(
+                begin.alias("start"), to.alias("end"), inside("literals", closed).alias("endpoint"),
+                inside("implementations", closed).alias("implementation"),
+                inside("dsn", lambda m: m["end"]).isNotNull().alias("custom_dsn"))
+
+        return let(end, facts)
+
+    return let(known, lambda found: F.transform(found["heads"], lambda head: site(found, head)))
+
+
+def _found_sites(expressions: DataFrame, excerpts: bool) -> DataFrame:
+    """Call sites with ``_tail`` (argument text; NULL for calls that nest deeply or never close, which have ``_deep``)."""
     may_call = F.col("expression").contains(".") & F.col("expression").contains("(")
+    source = F.col("_hidden")
+    tails = F.regexp_extract_all(source, F.lit(_CALL_WINDOW), F.lit(2))
     hidden = expressions.filter(may_call).withColumn(
         "_hidden", text.hide_strings(F.col("expression"))
-    )
-    source = F.col("_hidden")
+    ).withColumn("_tails", tails)
+    is_hard = F.exists("_tails", lambda t: t == "")
     found = [
         F.regexp_extract_all(source, F.lit(_CALL), F.lit(0)).alias("head"),
-        F.regexp_extract_all(source, F.lit(_CALL_WINDOW), F.lit(2)).alias("tail"),
+        F.col("_tails").alias("tail"),
+        F.when(is_hard, deep_sites(source)).otherwise(F.array()).alias("deep"),
     ]
     if excerpts:
         found += [
@@ -87,24 +120,32 @@ def call_sites(expressions: DataFrame, excerpts: bool = True) -> DataFrame:
     base = [c for c in expressions.columns if c != "expression"]
     site = F.col("_site")
     rows = (
-        explode_each(hidden, base, F.arrays_zip(*found), "_pos", "_site")
+        explode_each(hidden, [*base, "_hidden"], F.arrays_zip(*found), "_pos", "_site")
         .withColumn("m_function", F.regexp_extract(site["head"], r"^[A-Za-z0-9.]+", 0))
         .withColumn("prefix", F.lower(F.substring_index("m_function", ".", 1)))
         .filter(~F.col("prefix").isin(fv.BUILTIN_PREFIXES))
     )
-    out = [
-        *base,
-        F.col("_pos").alias("call_pos"),
-        "m_function",
-        "prefix",
-        text.reveal_strings(arg_window(site["tail"])).alias("window"),
-    ]
+    out = [*base, F.col("_pos").alias("call_pos"), "m_function", "prefix", "_hidden",
+           text.reveal_strings(text.non_empty(site["tail"])).alias("_tail"), site["deep"].alias("_deep")]
     if excerpts:
         around = F.concat(site["before"], site["head"], site["after"])
         out.append(text.reveal_strings(around).alias("around"))
     return rows.select(*out)
 
 
+def call_sites(expressions: DataFrame, excerpts: bool = True) -> DataFrame:
+    """One row per external call site, in order of appearance.
+
+    Adds ``call_pos`` (position in the expression), ``m_function``, ``prefix``,
+    ``window`` (argument text, comments blanked) and, on request, ``around``
+    (the text 40 characters before to 160 after the call head).
+    """
+    deep = F.col("_deep")
+    cut = F.substring(F.col("_hidden"), (deep["start"] + 1).cast("int"), (deep["end"] - deep["start"]).cast("int"))
+    window = F.coalesce("_tail", text.reveal_strings(cut))
+    return _found_sites(expressions, excerpts).withColumn("window", window).drop("_hidden", "_tail", "_deep")
+
+
 def classify_sites(sites: DataFrame, rules=None, names=None) -> DataFrame:
     """Connector kind and migration bucket of every call site."""
     spark = sites.sparkSession
@@ -121,18 +162,20 @@ def classify_sites(sites: DataFrame, rules=None, names=None) -> DataFrame:
 
 
 def site_details(sites: DataFrame) -> DataFrame:
-    """Pin, endpoint, raw-DSN flag and excerpt read from the call's own window."""
-    window = F.col("window")
-    endpoint = text.non_empty(F.regexp_extract(window, '"([^"]+)"', 1))
+    """Pin, endpoint, raw-DSN flag and excerpt read from the call's own arguments."""
+    tail, deep = F.col("_tail"), F.col("_deep")
+    whole = tail.isNotNull()
+    endpoint = F.when(whole, text.non_empty(F.regexp_extract(tail, '"([^"]+)"', 1))).otherwise(deep["endpoint"])
+    pinned = F.when(whole, text.non_empty(F.regexp_extract(tail, _IMPLEMENTATION, 1))).otherwise(deep["implementation"])
     out = sites.withColumns({
-        "implementation": text.non_empty(F.regexp_extract(window, _IMPLEMENTATION, 1)),
+        "implementation": pinned,
         "endpoint_hint": text.truncate_marked(text.redact_secrets(endpoint), fv.ENDPOINT_CAP),
         "custom_dsn": F.col("prefix").isin(fv.CUSTOM_DSN_PREFIXES)
-        | classify.any_match(window, fv.CUSTOM_DSN_PATTERNS),
+        | F.when(whole, classify.any_match(tail, fv.CUSTOM_DSN_PATTERNS)).otherwise(deep["custom_dsn"]),
     })
     if "around" in sites.columns:
         out = out.withColumn("excerpt", excerpt(F.col("around")))
-    return out
+    return out.drop("_hidden", "_tail", "_deep")
 
 
 def excerpt(around: Column) -> Column:
@@ -148,8 +191,8 @@ def scan_expressions(
     ``expressions`` carries key columns of any kind plus ``expression``; the key
     columns come back on each call row with ``call_pos`` giving the order.
     """
-    sites = classify_sites(call_sites(expressions, excerpts), rules, names)
-    calls = site_details(sites).drop("window", "around", "prefix")
+    sites = classify_sites(_found_sites(expressions, excerpts), rules, names)
+    calls = site_details(sites).drop("around", "prefix")
     return calls.withColumns({
         "is_migrating": classify.is_migrating(F.col("migration")),
         "is_pinned_odbc": classify.is_pinned_odbc(F.col("implementation")),

@@ -1,12 +1,15 @@
 """The expression scan on literal M texts."""
 
+import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from estatelens.catalog import fixed_values as fv
-from estatelens.functions import text
+from estatelens.functions import arrays, text
 from estatelens.operators import calls
 
 
@@ -188,3 +191,76 @@ def test_windows_against_brute_force(spark):
                 want.add((n, t[i + 3:end]))
                 n += 1
         assert got.get(t, set()) == want, t
+
+
+def _reference_facts(t):
+    """Per call of a text without comments: window, first literal, pin and raw-DSN flag, by plain walks."""
+    quoted, shown = False, []
+    for ch in t:
+        quoted ^= ch == '"'
+        shown.append("_" if quoted and ch in "()" else ch)
+    shown = "".join(shown)
+    for head in re.finditer(r"\b[A-Za-z]+(?:\.[A-Za-z]+)+\s*\(", shown):
+        depth, end = 0, len(t)
+        for j in range(head.end() - 1, len(t)):
+            depth += (shown[j] == "(") - (shown[j] == ")")
+            if depth == 0:
+                end = j + 1
+                break
+        window = t[head.end() - 1:end]
+        literal = re.search('"([^"]+)"', window)
+        pin = re.search(r"""(?i)Implementation\s*=\s*['"]([^'"]+)['"]""", window)
+        dsn = any(re.search("(?i)" + p, window) for p in fv.CUSTOM_DSN_PATTERNS)
+        yield window, literal and literal[1], pin and pin[1], dsn
+
+
+def test_deep_and_open_calls_against_brute_force(spark):
+    rng = random.Random(11)
+    pieces = ["Sql.Database(", "A.b (", "(", ")", '"x"', '""', '"a)b("', '"', ", ", "Implementation = '", '[Implementation="2.0"]',
+              "Implementation='A.b(Implementation='2')", "Driver={x}", 'DSN="', "Odbc.Query(", " é ", "'"]
+    nested = ["A.b(" * d + rng.choice(pieces[4:]) + ")" * rng.randint(0, d) for d in (11, 12, 13, 14, 20, 40)]
+    texts = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(400)} | set(nested))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, expression string")
+    windows, details = {}, {}
+    for r in calls.call_sites(df, excerpts=False).collect():
+        windows.setdefault(r.id, {})[r.call_pos] = r.window
+    for r in calls.scan_expressions(df, excerpts=False).collect():
+        details.setdefault(r.id, {})[r.call_pos] = (r.endpoint_hint, r.implementation, r.custom_dsn, r.m_function)
+    for i, t in enumerate(texts):
+        for n, (window, literal, pin, dsn) in enumerate(_reference_facts(t)):
+            if n not in windows.get(i, {}):
+                continue  # a built-in prefix
+            assert windows[i][n] == window, t
+            got = details[i][n]
+            assert got[:3] == (text_of(literal), pin, dsn or got[3].split(".")[0].lower() in fv.CUSTOM_DSN_PREFIXES), (t, n)
+
+
+def text_of(literal):
+    return literal if literal is None or len(literal) <= fv.ENDPOINT_CAP else literal[:fv.ENDPOINT_CAP] + fv.TRUNCATION_MARK
+
+
+@pytest.mark.parametrize("shape", ["open", "nested", "mixed"])
+def test_time_follows_the_length_of_the_text(spark, shape):
+    def text_with(n):
+        call = 'Sql.Database("s", [Implementation="1.0"], '
+        return call * n + {"open": "", "nested": ")" * n, "mixed": ")" * (n // 2)}[shape]
+
+    def seconds(n):
+        df = spark.createDataFrame([(text_with(n),)], "expression string")
+        start = time.perf_counter()
+        rows = calls.scan_expressions(df).agg(F.count("*"), F.count("implementation"), F.count("endpoint_hint")).collect()[0]
+        assert list(rows) == [n, n, n]
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 6 * max(seconds(4_000), 0.5)
+
+
+def test_totals_and_matches(spark):
+    rng = random.Random(4)
+    rows = [([rng.randint(-9, 9) for _ in range(n)], "".join(rng.choice("ab(é)𝄞") for _ in range(n))) for n in (0, 1, 255, 256, 257, 700, 70_000)]
+    df = spark.createDataFrame(rows, "v array<bigint>, t string").select(
+        "v", "t", arrays.running_totals(F.col("v")).alias("sums"), arrays.matches(F.col("t"), "[ab]+").alias("m"))
+    for r in df.collect():
+        assert r.sums == list(itertools.accumulate(r.v))
+        assert [(m.start, m.end, m.value) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("[ab]+", r.t)]
