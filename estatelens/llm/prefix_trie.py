@@ -8,7 +8,7 @@ A node is a distinct sequence of first turns. Its name is exact: the smallest co
 2. Nodes are counted by that hash, map-side first, and meet their parents.
 3. Nodes that follow each other without a branch are one run (64 at most), which enters the tour as one pair of arcs:
    enter carries the run's leaves and savings, exit nothing. Enter goes on to the first child or to the own exit, exit
-   to the next sibling or to the exit of the parent. Siblings are ordered in buckets of some 4,096, so that the children
+   to the next sibling or to the exit of the parent. Siblings are ordered in buckets of some 256, so that the children
    of a popular node are in many tasks; only one row per parent names its first and last child.
 4. The tour is ranked by `list_rank`: sums from every arc to the end. What lies between a run's enter and exit is its
    subtree, so a difference of two sums gives leaves and savings; inside a run the nodes subtract what comes before them.
@@ -39,7 +39,7 @@ from .list_rank import SMALL, sums_to_end
 ship(__name__)
 
 RUN = 64  # nodes of a run, at most
-SIBLINGS = 4096  # siblings of a bucket, about
+SIBLINGS = 256  # siblings of a bucket, about
 CHUNK_BITS = 12  # ids of a chunk of members: 1 << CHUNK_BITS at most
 KEY = ["depth", "s", "t"]
 
