@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 256
-_MAX_STEP = 30
+_MAX_BITS = 30
 
 
 def explode_each(df: DataFrame, keys, array: Column, position: str, value: str) -> DataFrame:
@@ -19,63 +19,66 @@ def explode_each(df: DataFrame, keys, array: Column, position: str, value: str)
     return rows.filter(F.col(position).isNotNull())
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+# --- expressions as SQL text -------------------------------------------------------
+# Nested lambdas built call by call take seconds; as text they are parsed at once. Arguments are SQL text too, and the
+# names that a helper binds begin with its own prefix, so that they hide nothing an argument means.
 
 
-def _totals(values: Column) -> Column:
-    """Running totals of a short array; every step copies what is there."""
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+def literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for the value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def add(acc: Column, value: Column) -> Column:
-        total = acc["sum"] + value
-        return F.struct(total.alias("sum"), F.array_append(acc["out"], total).alias("out"))
 
-    return F.aggregate(values, start, add, lambda acc: acc["out"])
+def _totals(values: str) -> str:
+    """Running totals of a short array; every step copies what is there."""
+    return (f"aggregate({values}, named_struct('sum', 0L, 'out', cast(array() as array<bigint>)), (tot_acc, tot_x) -> "
+            "named_struct('sum', tot_acc.sum + tot_x, 'out', array_append(tot_acc.out, tot_acc.sum + tot_x)), tot_acc -> tot_acc.out)")
 
 
-def running_totals(values: Column) -> Column:
+def running_totals(values: str) -> str:
     """The sum of the elements up to and including each one, in time linear in the array.
 
     Chunks are summed apart, then shifted by the totals of the chunks before them.
     """
-    def shifted(chunks: Column) -> Column:
-        ends = _totals(F.transform(chunks, lambda c: F.element_at(c, -1)))
-        return let(ends, lambda e: F.flatten(F.transform(
-            chunks, lambda c, i: F.transform(c, lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
-
-    def summed(held: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), F.lit(_CHUNK))
-        chunks = F.transform(starts, lambda at: _totals(F.slice(held, at, F.lit(_CHUNK))))
-        return F.when(F.size(held) > 0, let(chunks, shifted)).otherwise(F.array().cast("array<bigint>"))
-
-    return let(values, summed)
+    starts = f"sequence(1, greatest(size(run_all), 1), {_CHUNK})"
+    chunks = f"transform({starts}, run_at -> {_totals(f'slice(run_all, run_at, {_CHUNK})')})"
+    shifted = ("flatten(transform(run_chunks, (run_chunk, run_i) -> "
+               "transform(run_chunk, run_x -> run_x + coalesce(get(run_ends, run_i - 1), 0L))))")
+    ends = _totals("transform(run_chunks, run_chunk -> element_at(run_chunk, -1))")
+    summed = let("run_chunks", chunks, let("run_ends", ends, shifted))
+    return let("run_all", values, f"if(size(run_all) > 0, {summed}, cast(array() as array<bigint>))")
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: str, pattern: str, group: int = 0) -> str:
     """(start, end, value) of every match of a pattern that is never empty, in order; value is the group.
 
     Offsets count code points from 0, ``end`` is behind the match. They are running totals of what lies between the
     matches and of the matches themselves.
     """
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    def placed(found: Column) -> Column:
-        sizes = F.transform(found["whole"], lambda m: F.length(m).cast("bigint"))
-        ends = running_totals(F.zip_with(sizes, F.transform(found["between"], lambda b: F.length(b).cast("bigint")),
-                                         lambda m, b: F.coalesce(m, F.lit(0)) + F.coalesce(b, F.lit(0))))
-        return let(ends, lambda e: F.transform(found["whole"], lambda m, i: F.struct(
-            (F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), F.get(found["values"], i).alias("value"))))
-
-    return let(F.struct(between.alias("between"), whole.alias("whole"), values.alias("values")), placed)
-
-
-def first_from(found: Column, at: Column) -> Column:
-    """The first of the matches (a column or a let-bound value, by start) that starts at ``at`` or later, by halving."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(_MAX_STEP))])
-    before = F.aggregate(
-        steps, F.lit(0), lambda n, step: F.when(F.get(found, n + step - 1)["start"] < at, n + step).otherwise(n))
-    return F.get(found, before)
+    found = literal(pattern)
+    held = (f"struct(split({text}, {found}, -1) as gaps, regexp_extract_all({text}, {found}, 0) as whole, "
+            f"regexp_extract_all({text}, {found}, {group}) as vals)")
+    steps = "transform(mat.whole, (mat_m, mat_i) -> cast(length(mat_m) + length(get(mat.gaps, mat_i)) as bigint))"
+    placed = ("transform(mat.whole, (mat_m, mat_i) -> struct(get(mat_ends, mat_i) - length(mat_m) as start, "
+              "get(mat_ends, mat_i) as end, get(mat.vals, mat_i) as value))")
+    return let("mat", held, let("mat_ends", running_totals(steps), placed))
+
+
+def leading(found: str, fits, bits: int = _MAX_BITS) -> str:
+    """How many elements of an array fit, if those that do come first; found by halving, up to 2 ** bits of them.
+
+    ``fits`` makes a condition out of the text for an element; ``found`` should be a name.
+    """
+    steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
+    condition = fits(f"get({found}, lead_n + lead_step - 1)")
+    return f"aggregate(array({steps}), 0, (lead_n, lead_step) -> if({condition}, lead_n + lead_step, lead_n))"
+
+
+def first_from(found: str, at: str) -> str:
+    """The first of the matches that starts at ``at`` or later."""
+    return f"get({found}, {leading(found, lambda m: f'{m}.start < {at}')})"

@@ -19,7 +19,7 @@ _TOKEN = r'"[^"]*+(?:""[^"]*+)*+"?|//[^\n]*+|(?s:/\*.*?(?:\*/|\z))|[^"/]++|/'
 # Parentheses inside string literals stand in as two code points that Unicode
 # reserves for internal use, so that structure can be matched on the text and
 # the literal read back afterwards.
-_HIDDEN = "\ufdd0\ufdd1"
+HIDDEN = "\ufdd0\ufdd1"
 
 _KV_SECRET = rf"(?iUd)\b({fv.SECRET_KEYS})\s*=\s*(\"[^\"]*\"|'[^']*'|[^;\s]+)"
 _SHARED_SECRET = rf"(?iUd)\b(shared\s+(?:{fv.SECRET_KEYS})[A-Za-z0-9_]*)\s*=\s*\"([^\"]+)\""
@@ -62,13 +62,13 @@ def mask_strings(text: Column) -> Column:
 def hide_strings(text: Column) -> Column:
     """Comments blanked, parentheses inside string literals hidden."""
     return F.when(
-        text.rlike('["/]'), _rewrite(text, lambda t: F.translate(t, "()", _HIDDEN))
+        text.rlike('["/]'), _rewrite(text, lambda t: F.translate(t, "()", HIDDEN))
     ).otherwise(text)
 
 
 def reveal_strings(text: Column) -> Column:
     """Undo the hiding of ``hide_strings``."""
-    return F.translate(text, _HIDDEN, "()")
+    return F.translate(text, HIDDEN, "()")
 
 
 def redact_secrets(text: Column) -> Column:

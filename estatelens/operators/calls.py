@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..catalog import dimensions
 from ..catalog import fixed_values as fv
 from ..functions import classify, text
-from ..functions.arrays import explode_each, first_from, let, matches, running_totals
+from ..functions.arrays import explode_each, first_from, let, literal, matches, running_totals
 
 _NAME = fv.CALL_NAME
 _CALL = r"(?U)" + _NAME + r"\("
@@ -40,62 +40,43 @@ _LITERAL_AT = r'"(?=([^"]+)")'
 _IMPLEMENTATION_AT = fv.IMPLEMENTATION_HEAD + r"(?=(" + fv.IMPLEMENTATION_VALUE + r")['\"])"
 
 
-def paired_parentheses(source: Column) -> Column:
+def paired_parentheses(source: str) -> str:
     """(start, end) of every opening parenthesis, in order; ``end`` is behind its partner, NULL if it never closes.
 
     One pass gives the running depth; on one level opening and closing parentheses take turns, so after a sort by
-    level and place the partner is the next one. Time follows the length of the text.
+    level and place the partner is the next one. Time follows the length of the text. SQL text in and out.
     """
-    def paired(parens: Column) -> Column:
-        steps = F.transform(parens, lambda p: F.when(p["value"] == "(", 1).otherwise(-1).cast("bigint"))
-        levels = let(running_totals(steps), lambda depth: F.transform(parens, lambda p, i: F.struct(
-            F.when(p["value"] == "(", F.get(depth, i)).otherwise(F.get(depth, i) + 1).alias("level"),
-            p["start"].alias("at"), (p["value"] == "(").alias("opens"))))
+    depth = running_totals("transform(par, par_p -> if(par_p.value = '(', 1L, -1L))")
+    levels = ("transform(par, (par_p, par_i) -> struct(get(par_depth, par_i) + if(par_p.value = '(', 0, 1) as level, "
+              "par_p.start as at, par_p.value = '(' as opens))")
+    partner = "if(get(par_by, par_i + 1).level = par_p.level, get(par_by, par_i + 1).at + 1, null)"
+    paired = f"transform(par_by, (par_p, par_i) -> struct(par_p.at as start, {partner} as end, par_p.opens as opens))"
+    ordered = let("par_by", f"sort_array({let('par_depth', depth, levels)})", f"sort_array(filter({paired}, par_p -> par_p.opens))")
+    return let("par", matches(source, "[()]"), ordered)
 
-        def partner(ordered: Column) -> Column:
-            def with_next(p: Column, i: Column) -> Column:
-                after = F.get(ordered, i + 1)
-                end = F.when(after["level"] == p["level"], after["at"] + 1)
-                return F.struct(p["at"].alias("start"), end.alias("end"), p["opens"].alias("opens"))
 
-            return F.sort_array(F.filter(F.transform(ordered, with_next), lambda p: p["opens"]))
-
-        return let(F.sort_array(levels), partner)
-
-    return let(matches(source, "[()]"), paired)
-
-
-def deep_sites(source: Column) -> Column:
+def deep_sites(source: str) -> str:
     """Per call of a text the place of its arguments and what the scan wants to know of them, without their texts.
 
     Windows of calls that nest or never close overlap, so their texts together would grow with the square of their
     number. What is found in the whole text is found once, and each call takes the first that starts inside it.
+    SQL text in and out.
     """
-    known = F.struct(
-        matches(source, _CALL).alias("heads"), paired_parentheses(source).alias("pairs"), F.length(source).alias("size"),
-        matches(text.reveal_strings(source), _LITERAL_AT, 1).alias("literals"),
-        matches(text.reveal_strings(source), _IMPLEMENTATION_AT, 1).alias("implementations"),
-        matches(text.reveal_strings(source), _DSN).alias("dsn"))
-
-    def site(found: Column, head: Column) -> Column:
-        begin = head["end"] - 1
-        end = F.coalesce(first_from(found["pairs"], begin)["end"], found["size"])
-
-        def facts(to: Column) -> Column:
-            def inside(kind: str, beyond) -> Column:
-                return let(first_from(found[kind], begin), lambda m: F.when(beyond(m) <= to, m["value"]))
-
-            def closed(m: Column) -> Column:
-                return m["end"] + F.length(m["value"]) + 1
-
-            return F.struct(
-                begin.alias("start"), to.alias("end"), inside("literals", closed).alias("endpoint"),
-                inside("implementations", closed).alias("implementation"),
-                inside("dsn", lambda m: m["end"]).isNotNull().alias("custom_dsn"))
+    shown = f"translate({source}, {literal(text.HIDDEN)}, '()')"
+    known = ", ".join(f"{value} as {name}" for name, value in {
+        "heads": matches(source, _CALL), "pairs": paired_parentheses(source), "size": f"length({source})",
+        "literals": matches(shown, _LITERAL_AT, 1), "implementations": matches(shown, _IMPLEMENTATION_AT, 1),
+        "dsn": matches(shown, _DSN)}.items())
 
-        return let(end, facts)
+    def inside(kind: str, beyond: str) -> str:
+        return let("deep_m", first_from(f"deep.{kind}", "deep_begin"), f"if({beyond} <= deep_end, deep_m.value, null)")
 
-    return let(known, lambda found: F.transform(found["heads"], lambda head: site(found, head)))
+    closed = "deep_m.end + length(deep_m.value) + 1"
+    facts = (f"struct(deep_begin as start, deep_end as end, {inside('literals', closed)} as endpoint, "
+             f"{inside('implementations', closed)} as implementation, {inside('dsn', 'deep_m.end')} is not null as custom_dsn)")
+    end = f"coalesce({first_from('deep.pairs', 'deep_begin')}.end, deep.size)"
+    site = let("deep_begin", "deep_head.end - 1", let("deep_end", end, facts))
+    return let("deep", f"struct({known})", f"transform(deep.heads, deep_head -> {site})")
 
 
 def _found_sites(expressions: DataFrame, excerpts: bool) -> DataFrame:
@@ -110,7 +91,7 @@ def _found_sites(expressions: DataFrame, excerpts: bool) -> DataFrame:
     found = [
         F.regexp_extract_all(source, F.lit(_CALL), F.lit(0)).alias("head"),
         F.col("_tails").alias("tail"),
-        F.when(is_hard, deep_sites(source)).otherwise(F.array()).alias("deep"),
+        F.when(is_hard, F.expr(deep_sites("_hidden"))).otherwise(F.array()).alias("deep"),
     ]
     if excerpts:
         found += [

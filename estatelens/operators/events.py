@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import fixed_values as fv
+from ..functions.arrays import leading, let, literal, running_totals
+from .running import same_keys
 from .runstate import FACT_MAPS
 
 # --- fixed values: scan properties read as numbers ----------------------------
@@ -95,22 +97,57 @@ def distinct_counts(
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact discrete percentiles per group.
+    """Exact discrete percentiles per group, by rank selection over value ranges.
 
-    Rows are reduced to (group, value, count) first; the ordered pass sees each
-    distinct value once, not each event. Whole group totals ride along the same
-    window, so the result needs one exchange after the reduction.
+    Rows are reduced to (group, value, count) first. Some values, chosen by a hash, cut the values of a group into
+    ranges of about RANGE_VALUES values; counts per range tell which range holds a wanted rank, and only the values of
+    that range are put in order. No task sees more of a group than its range counts and one range of values per
+    percentile, also if there is one group only. All three steps read the same exchange of reduced rows.
     """
-    cells = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cells.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(group))
-    at = {
-        out: F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("_all") * p)), F.col(value)))
-        for out, p in probs.items()
-    }
-    grouped = placed.groupBy(*by) if by else placed.groupBy()
-    return grouped.agg(*[c.cast("double").alias(out) for out, c in at.items()])
+    cells = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")).select(
+        *by, F.col(value).alias("_value"), "_n")
+    is_cut = F.pmod(F.xxhash64(*by, "_value", "_n"), F.lit(RANGE_VALUES)) == 0
+    cuts = _grouped(cells.filter(is_cut), by).agg(F.sort_array(F.collect_list("_value")).alias("_cuts"))
+    cut = _joined(cells, cuts, by) if by else cells.withColumn("_cuts", cuts.scalar())
+    ranged = cut.withColumn("_range", F.expr(leading("_cuts", lambda c: f"{c} <= _value"))).drop("_cuts")
+    counts = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"))
+    per_group = _grouped(counts, by).agg(_sorted_counts("_range"))
+    ranks = ", ".join(
+        f"struct({literal(out)} as _out, greatest(1, cast(ceil(element_at(_ends, -1) * {p}D) as bigint)) as _rank)" for out, p in probs.items())
+    targets = per_group.filter(F.size("_cells") > 0).withColumn("_ends", _running("_cells")).select(
+        *by, "_cells", "_ends", F.expr(f"inline(array({ranks}))")).withColumn("_t", _holding("_range", "_rank")).select(*by, "_out", "_t.*")
+    held = _joined(ranged, targets if by else F.broadcast(targets), [*by, "_range"], "inner")
+    found = held.groupBy(*by, "_out", "_rest").agg(_sorted_counts("_value")).withColumn("_ends", _running("_cells")).select(
+        *by, "_out", _holding("_value", "_rest")["_value"].cast("double").alias("_value"))
+    return _grouped(found, by).agg(*[F.max(F.when(F.col("_out") == out, F.col("_value"))).alias(out) for out in probs])
+
+
+RANGE_VALUES = 4096
+
+
+def _grouped(rows: DataFrame, by: list[str]):
+    return rows.groupBy(*by) if by else rows.groupBy()
+
+
+def _joined(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """An equi-join in which NULL is a key like any other; the keys of ``side`` go."""
+    renamed = side.withColumnsRenamed({k: f"_at_{k}" for k in keys})
+    return rows.join(renamed, same_keys(keys), how).drop(*[f"_at_{k}" for k in keys])
+
+
+def _sorted_counts(name: str) -> Column:
+    return F.sort_array(F.collect_list(F.struct(name, "_n"))).alias("_cells")
+
+
+def _running(cells: str) -> Column:
+    return F.expr(running_totals(f"transform({cells}, c -> c._n)"))
+
+
+def _holding(name: str, rank: str) -> Column:
+    """Of sorted ``_cells`` with running counts ``_ends`` the one that holds a rank, and the rank within it."""
+    at = leading("_ends", lambda end: f"{end} < {rank}")
+    place = f"struct(get(_cells, at).{name} as {name}, cast({rank} - if(at > 0, get(_ends, at - 1), 0) as bigint) as _rest)"
+    return F.expr(let("at", at, place))
 
 
 def map_rollup(rows: DataFrame, counts: Column, name: str, total: str) -> DataFrame:
@@ -232,13 +269,12 @@ def resolution_rollup(scans: DataFrame) -> DataFrame:
 
 def value_rollup(scans: DataFrame) -> DataFrame:
     """Hours saved, items inspected, median coverage, share of scans on the fast path."""
-    sums = scans.agg(
+    median = percentiles(scans, [], "coverage_score_pct", {"median_coverage": 0.5})
+    return scans.agg(
         F.sum(F.col("estimated_manual_hours_saved").cast("decimal(18,2)")).cast("double").alias("hours_saved"),
         F.sum("inspected_artifacts").alias("inspected"),
         (100.0 * F.count_if(F.col("sempy_used") == "True") / F.count("*")).alias("sempy_used_pct"),
-    ).withColumn("_k", F.lit(1))
-    median = percentiles(scans, [], "coverage_score_pct", {"median_coverage": 0.5}).withColumn("_k", F.lit(1))
-    return sums.join(median, "_k").drop("_k")
+    ).withColumn("median_coverage", median.scalar())
 
 
 def daily_trend(scans: DataFrame, days: int | None = 60, as_of=None) -> DataFrame:
@@ -445,12 +481,9 @@ def clones_wide(daily: DataFrame, days: int = 14) -> DataFrame:
 
 
 def clones_patch(latest: DataFrame, direct: DataFrame) -> DataFrame:
-    """Newer direct aggregates override what the newest event says."""
-    left = latest.withColumn("_k", F.lit(1))
-    right = direct.select(
-        F.col("count").alias("_count"), F.col("uniques").alias("_uniques"), F.lit(1).alias("_k")
-    )
-    return left.join(right, "_k", "left").withColumns({
-        "clones": F.coalesce("_count", "clones"),
-        "unique_cloners": F.coalesce("_uniques", "unique_cloners"),
-    }).drop("_k", "_count", "_uniques")
+    """Newer direct aggregates (one row; the largest of several) override what the newest event says."""
+    newer = direct.agg(F.max_by(F.struct("count", "uniques"), F.struct("count", "uniques"))).scalar()
+    return latest.withColumn("_direct", newer).withColumns({
+        "clones": F.coalesce("_direct.count", "clones"),
+        "unique_cloners": F.coalesce("_direct.uniques", "unique_cloners"),
+    }).drop("_direct")

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import leading
+
 SAMPLE_ROWS = 4096  # bounds the cuts, and so the totals that are sent to all tasks
 RANGE_ROWS = 100_000  # rows of a key that one task may take
 
@@ -60,14 +62,9 @@ def in_ranges(df: DataFrame, keys: list[str], order: list[str], range_rows: int
         return df.withColumn("_range", F.lit(None).cast("int")), False
     cuts = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_cuts")).select(
         *_renamed(keys), "_cuts")
-    here = F.struct(*order)
-
-    def halve(before: Column, step: Column) -> Column:
-        fits = (before + step <= F.size("_cuts")) & (F.get(F.col("_cuts"), before + step - 1) <= here)
-        return F.when(fits, before + step).otherwise(before)
-
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(SAMPLE_ROWS.bit_length()))])
-    number = F.when(F.col("_cuts").isNotNull(), F.aggregate(steps, F.lit(0), halve))
+    here = ", ".join(f"`{c}`" for c in order)
+    before = leading("_cuts", lambda cut: f"{cut} <= struct({here})", SAMPLE_ROWS.bit_length())
+    number = F.when(F.col("_cuts").isNotNull(), F.expr(before))
     placed = df.join(F.broadcast(cuts), same_keys(keys), "left").withColumn("_range", number)
     return placed.drop("_cuts", *[f"_at_{k}" for k in keys]), True
 

@@ -260,7 +260,7 @@ def test_totals_and_matches(spark):
     rng = random.Random(4)
     rows = [([rng.randint(-9, 9) for _ in range(n)], "".join(rng.choice("ab(é)𝄞") for _ in range(n))) for n in (0, 1, 255, 256, 257, 700, 70_000)]
     df = spark.createDataFrame(rows, "v array<bigint>, t string").select(
-        "v", "t", arrays.running_totals(F.col("v")).alias("sums"), arrays.matches(F.col("t"), "[ab]+").alias("m"))
+        "v", "t", F.expr(arrays.running_totals("v")).alias("sums"), F.expr(arrays.matches("t", "[ab]+")).alias("m"))
     for r in df.collect():
         assert r.sums == list(itertools.accumulate(r.v))
         assert [(m.start, m.end, m.value) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("[ab]+", r.t)]
