@@ -804,9 +804,10 @@ SELECT s.user_id, s.ts AS switch_time, r.ts AS start_time, r.event_id AS request
   CASE r.event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Disabled' WHEN 'click' THEN 'Completed' ELSE 'no_new_refresh' END AS outcome
 FROM events s LEFT JOIN events r ON r.user_id = s.user_id AND r.event_type IN ('error', 'signup', 'click')
   AND r.ts >= s.ts AND r.ts <= s.ts + INTERVAL 720 MINUTE
-WHERE s.event_type = 'purchase' AND date_trunc('minute', s.ts) + INTERVAL 721 MINUTE <= (
-  SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type IN ('error', 'signup', 'click'))) FROM events) - INTERVAL 10 MINUTE
+WHERE s.event_type = 'purchase'
 QUALIFY row_number() OVER (PARTITION BY s.event_id ORDER BY r.ts, r.event_id) = 1""")
+oracle("stream_late_rows", """SELECT 'scans' AS stream, count(*)::BIGINT AS input_rows, (count(*) FILTER (year(o_orderdate) < 1996
+  AND o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 500 DAY))::BIGINT AS dropped_rows FROM orders""")
 oracle("stream_latest_run", """SELECT 'ws-' || o_custkey AS workspace_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run_id,
   arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority, min(o_orderdate) AS first_run_at, max(o_orderdate) AS last_run_at,
   count(*)::BIGINT AS run_count FROM orders GROUP BY 1""")

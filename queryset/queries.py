@@ -13,8 +13,9 @@ from estatelens.operators import (
 )
 from estatelens.plans import estate, record, snapshot
 from estatelens.sources import connections, frames, refreshes, scanner
+from estatelens.session import work_folder
 from estatelens.sources import items as item_sources
-from estatelens.streaming import streams
+from estatelens.streaming import metrics, streams
 
 from . import fixtures as fx
 
@@ -1017,9 +1018,16 @@ def stream_dedup_events(spark, sf):
 
 @query
 def stream_latest_run(spark, sf):
+    """Stored states of the older scans, the newer ones as a stream on top of them."""
+    keys, payload = ["workspace_id"], ["run_id", "o_orderpriority"]
     scans = _order_events(spark, sf).withColumnRenamed("timestamp", "ts")
-    rows = streams.latest_run(scans, ["workspace_id"], ["run_id", "o_orderpriority"])
-    return streams.drain(rows, "update", ["workspace_id"]).select(
+    older = fx.table(spark, sf, "orders").select(
+        F.concat(F.lit("ws-"), "o_custkey").alias("workspace_id"), F.col("o_orderkey").alias("run_id"), "o_orderpriority",
+        F.col("o_orderdate").cast("timestamp").alias("ts")).filter(F.year("ts") < 1995)
+    folder = work_folder(spark)
+    streams.upsert_states(scans.filter(F.year("ts") >= 1995), folder, keys, payload)
+    states = streams.stored_states(spark, folder, keys, streams.run_states(older, keys, payload))
+    return streams.latest_run(states, keys).select(
         "workspace_id", "run_id", "o_orderpriority", *_ntz("first_run_at", "last_run_at"), "run_count")
 
 
@@ -1032,8 +1040,33 @@ def stream_first_terminal(spark, sf):
         "user_id", F.col("ts").cast("timestamp").alias("start_time"), F.col("event_id").alias("request_id"),
         F.when(F.col("event_type") == "error", F.lit("Failed")).when(F.col("event_type") == "signup", F.lit("Disabled"))
         .when(F.col("event_type") == "click", F.lit("Completed")).otherwise("InProgress").alias("status"))
-    out = streams.first_terminal(switches, finished, ["user_id"], wait_minutes=720)
-    return streams.drain(out).select("user_id", *_ntz("switch_time", "start_time"), "request_id", "outcome")
+    clock, ticks = streams.start_clock(spark)
+    out = streams.first_terminal(switches, finished, ["user_id"], wait_minutes=720, clock=clock)
+    until = fx.table(spark, sf, "events").agg(F.max("ts") + F.make_dt_interval(F.lit(1))).first()[0]
+    return streams.drain(out, ticks=ticks, until=until).select("user_id", *_ntz("switch_time", "start_time"), "request_id", "outcome")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Newer scans come first, then older ones: those behind the watermark are dropped, and counted."""
+    arrived = f"{work_folder(spark)}/arrived"
+    schema = "timestamp timestamp, run_id bigint"
+    scans = fx.table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.col("o_orderkey").alias("run_id"))
+    scans.limit(0).write.parquet(arrived)
+    reports = f"{work_folder(spark)}/reports"
+    listener = metrics.LateRows(spark, reports)
+    sent = spark.readStream.schema(schema).parquet(arrived)
+    spark.streams.addListener(listener)
+    try:
+        for part in (F.year("timestamp") >= 1996, F.year("timestamp") < 1996):
+            scans.filter(part).write.mode("append").parquet(arrived)
+            run = streams.dedup_events(sent, lateness="500 days").writeStream.queryName("scans").format("noop").option(
+                "checkpointLocation", f"{reports}-progress").trigger(availableNow=True).start()
+            run.awaitTermination()
+            listener.wait_for(str(run.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    return metrics.late_rows(spark, reports).select("stream", "input_rows", "dropped_rows")
 
 
 @query
