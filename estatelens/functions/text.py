@@ -129,8 +129,18 @@ def decode_base64(kept: Column) -> Column:
 
 # Spark's JSON reader gives NULL for a document with a longer string, number or nesting than its defaults.
 WHOLE_JSON = {"maxStringLen": "2147483647", "maxNumLen": "2147483647", "maxNestingDepth": "2147483647"}
+# A VARIANT is built by recursion, a few stack frames per level: what nests deeper than this is not read into one.
+VARIANT_DEPTH = 1500
 
 
 def read_json(text: Column, schema: str) -> Column:
-    """from_json without length limits; invalid JSON is NULL."""
-    return F.from_json(text, schema, WHOLE_JSON)
+    """from_json without length limits; invalid JSON is NULL, and so is what nests too deeply for a VARIANT."""
+    limit = {"maxNestingDepth": str(VARIANT_DEPTH)} if "variant" in schema.lower() else {}
+    return F.from_json(text, schema, {**WHOLE_JSON, **limit})
+
+
+def is_too_deep(text: Column) -> Column:
+    """Valid JSON that ``read_json`` does not read into a VARIANT."""
+    may_be = F.regexp_count(text, F.lit(r"[\[{]")) > VARIANT_DEPTH
+    as_rows = F.from_json(text, "_bad STRING", {**WHOLE_JSON, "columnNameOfCorruptRecord": "_bad"})
+    return F.when(may_be, read_json(text, "variant").isNull() & as_rows["_bad"].isNull()).otherwise(False)

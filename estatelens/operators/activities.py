@@ -1,7 +1,9 @@
 """Connection references of activity documents (orchestration items).
 
-A document's activity tree is flattened inside its row, level by level and to
-any depth, with array functions over VARIANT nodes, then exploded once.
+A document's activity tree is flattened inside its row, level by level, with
+array functions over VARIANT nodes, then exploded once. A document that nests
+deeper than ``text.VARIANT_DEPTH`` JSON levels (some 500 containers) is not read;
+``extract.too_deep`` names its item.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ from ..functions.text import (
     base64_alphabet,
     decode_base64,
     looks_like_m,
+    is_too_deep,
     read_json,
     strip,
 )
@@ -207,6 +208,15 @@ def definition_expressions(definitions: DataFrame) -> DataFrame:
     return explode_each(parsed, keys, entries, "expr_idx", "e").select(*keys, "expr_idx", "e.*")
 
 
+def too_deep(definitions: DataFrame) -> DataFrame:
+    """Items with a model or activity document that nests too deeply to be read; they yield nothing."""
+    keys = [c for c in definitions.columns if c not in ("definition", "item_type")]
+    path = F.col("path")
+    is_model = F.col("item_type").isin(fv.DATASET_TYPES) & path.endswith(".bim")
+    read = is_model | F.lower(path).endswith("pipeline-content.json")
+    return definition_parts(definitions).filter(read).filter(is_too_deep(F.col("text"))).select(*keys).distinct()
+
+
 def prefer_fast_source(fast: DataFrame, parsed: DataFrame, keys) -> DataFrame:
     """Frame rows of a model where there are any, else its parsed definition."""
     fallback = parsed.join(fast.select(*keys).distinct(), keys, "left_anti")

@@ -53,13 +53,15 @@ def skip_reasons(
     calls: DataFrame,
     include_non_migrating: bool = False,
     served: DataFrame | None = None,
+    too_deep: DataFrame | None = None,
 ) -> DataFrame:
     """Items with ``skip_reason``; NULL means the item is part of the report.
 
-    ``items.fetch_status`` is ok, denied, deleted, unavailable or error:<type>.
+    ``items.fetch_status`` is ok, denied, deleted, unavailable, too_deep or error:<type>.
     ``expressions`` holds one row or more per item that yielded something to
     inspect (M expressions or references). ``served`` holds the items a frame
     answered: whether their definition could be fetched does not matter.
+    ``too_deep`` holds the items with a document that cannot be read.
     """
     inspected = F.col("item_type").isin(fv.INSPECTED_TYPES)
     todo = items.filter(inspected).select(*KEYS)
@@ -72,12 +74,16 @@ def skip_reasons(
     if served is not None:
         found = found.join(served.select(*KEYS).distinct().withColumn("_served", F.lit(True)), KEYS, "left")
         status = F.when(F.col("_served"), F.lit("ok")).otherwise(status)
+    if too_deep is not None:
+        found = found.join(too_deep.select(*KEYS).withColumn("_deep", F.lit(True)), KEYS, "left")
+        status = F.when(F.col("_deep") & (status == "ok"), F.lit("too_deep")).otherwise(status)
     reason = (
         F.when(~inspected, F.lit("type_not_inspected"))
         .when(status == "denied", F.lit("permission_denied"))
         .when(status == "deleted", F.lit("deleted_during_scan"))
         .when(status == "unavailable", F.lit("definition_unavailable"))
         .when(status.startswith("error:"), F.concat(F.lit("error: "), F.substring(status, F.lit(7), F.length(status))))
+        .when((status == "too_deep") & F.col("_has_calls").isNull(), F.lit("definition_nested_too_deeply"))
         .when(F.col("_has_expr").isNull(), F.lit("definition_parsed_but_no_expressions"))
         .when(F.col("_has_calls").isNull(), F.lit("no_external_connectors"))
     )

@@ -76,7 +76,7 @@ def scan_items(
     every = m_calls.unionByName(ref_calls, allowMissingColumns=True)
     gateways = gateway_states(items, datasources, fv.DATASET_TYPES)
     yielded = parsed.select(*KEYS).unionByName(refs.select(*KEYS))
-    skips = impact.skip_reasons(items, yielded, every, include_non_migrating, frame_expressions)
+    skips = impact.skip_reasons(items, yielded, every, include_non_migrating, frame_expressions, extract.too_deep(readable))
     kept = impact.relevant(every, include_non_migrating)
     return ImpactReport(
         items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections

@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_each
-from ..functions.text import looks_like_m, non_empty, read_json
+from ..functions.text import VARIANT_DEPTH, looks_like_m, non_empty, read_json
 
 # Items stay VARIANT: their shape differs between export versions, and keys
 # that differ only in case (m, M) must stay apart.
 EXPORT_SCHEMA = "id STRING, name STRING, datasets ARRAY<VARIANT>, dataflows ARRAY<VARIANT>"
+# The fields that are looked at, for documents that nest too deeply for VARIANT elsewhere.
+_FIELDS = (
+    "id STRING, name STRING,"
+    " datasets ARRAY<STRUCT<id STRING, name STRING, tables ARRAY<STRUCT<name STRING, source ARRAY<STRUCT<expression STRING>>>>,"
+    " expressions ARRAY<STRUCT<name STRING, expression STRING>>>>,"
+    " dataflows ARRAY<STRUCT<id STRING, objectId STRING, name STRING, document STRING, queries ARRAY<MAP<STRING, STRING>>,"
+    " entities ARRAY<STRUCT<name STRING, partitions ARRAY<STRUCT<expression STRING>>>>>>"
+)
 
 
 def text_at(node: Column, path: str) -> Column:
@@ -26,11 +34,19 @@ def array_at(node: Column, path: str) -> Column:
 
 
 def export_items(payloads: DataFrame) -> DataFrame:
-    """Workspace documents (``payload`` JSON text) to one row per dataset or dataflow."""
-    ws = payloads.select(read_json(F.col("payload"), EXPORT_SCHEMA).alias("w"))
+    """Workspace documents (``payload`` JSON text) to one row per dataset or dataflow.
+
+    A document that nests too deeply for VARIANT is read by the fields that are
+    looked at; its nodes have no others.
+    """
+    payload = F.col("payload")
+    may_be_deep = F.regexp_count(payload, F.lit(r"[\[{]")) > VARIANT_DEPTH
+    unread = F.col("w.datasets").isNull() | F.col("w.dataflows").isNull()
+    ws = payloads.select("payload", read_json(payload, EXPORT_SCHEMA).alias("w")).select(
+        "w", F.when(unread & may_be_deep, read_json(payload, _FIELDS)).alias("f"))
     keys = [
-        F.coalesce("w.id", F.lit("")).alias("workspace_id"),
-        F.coalesce("w.name", F.lit("")).alias("workspace_name"),
+        F.coalesce("w.id", "f.id", F.lit("")).alias("workspace_id"),
+        F.coalesce("w.name", "f.name", F.lit("")).alias("workspace_name"),
     ]
 
     def item(kind):
@@ -47,13 +63,13 @@ def export_items(payloads: DataFrame) -> DataFrame:
         return shape
 
     def listed(name, kind):
-        found = F.transform(F.col(name), item(kind))
+        nodes = F.coalesce(F.col(f"w.{name}"), F.transform(F.col(f"f.{name}"), F.to_variant_object))
         none = F.array().cast(
             "array<struct<item_id:string,item_name:string,item_type:string,node:variant>>"
         )
-        return F.coalesce(found, none)
+        return F.coalesce(F.transform(nodes, item(kind)), none)
 
-    both = F.concat(listed("w.datasets", "SemanticModel"), listed("w.dataflows", "Dataflow"))
+    both = F.concat(listed("datasets", "SemanticModel"), listed("dataflows", "Dataflow"))
     return explode_each(ws, keys, both, "_no", "i").select("workspace_id", "workspace_name", "i.*")
 
 

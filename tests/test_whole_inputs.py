@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from estatelens.functions import classify
-from estatelens.operators import activities, extract, running, validation
+from estatelens.operators import activities, extract, impact, running, validation
 from estatelens.sources import scanner
 from queryset import queries
 
@@ -49,6 +49,46 @@ def test_deep_activities_are_read(spark):
     assert activities.flatten_activities(activities.activity_documents(df)).count() == 301
 
 
+def containers(levels):
+    node = {"name": "leaf", "type": "Script"}
+    text = json.dumps(node)
+    for i in range(levels):
+        text = f'{{"name": "n{i}", "type": "ForEach", "typeProperties": {{"activities": [{text}]}}}}'
+    return f'{{"properties": {{"activities": [{text}]}}}}'
+
+
+def envelope_of(path, text):
+    return json.dumps({"definition": {"parts": [{"path": path, "payload": base64.b64encode(text.encode()).decode()}]}})
+
+
+def test_documents_nested_too_deeply_have_their_own_reason(spark):
+    model = '{"model": {"expressions": [{"name": "e", "expression": ' + "[" * 5000 + "]" * 5000 + "}]}}"
+    rows = [("w", "p400", "DataPipeline", envelope_of("pipeline-content.json", containers(400))),
+            ("w", "p5000", "DataPipeline", envelope_of("pipeline-content.json", containers(5000))),
+            ("w", "m5000", "SemanticModel", envelope_of("model.bim", model)),
+            ("w", "bad", "DataPipeline", envelope_of("pipeline-content.json", "[" * 5000))]
+    definitions = spark.createDataFrame(rows, "workspace_id string, item_id string, item_type string, definition string")
+    assert activities.flatten_activities(activities.activity_documents(definitions)).groupBy("item_id").count().collect() == [("p400", 401)]
+    assert sorted(r.item_id for r in extract.too_deep(definitions).collect()) == ["m5000", "p5000"]
+    items = definitions.select("workspace_id", "item_id", F.col("item_id").alias("item_name"), "item_type", F.lit("ok").alias("fetch_status"))
+    skips = impact.skip_reasons(items, definitions.limit(0), definitions.limit(0).select(
+        "workspace_id", "item_id", F.lit("none").alias("migration"), F.lit(False).alias("custom_dsn")), too_deep=extract.too_deep(definitions))
+    assert {r.item_id: r.skip_reason for r in skips.collect()} == {
+        "p400": "definition_parsed_but_no_expressions", "bad": "definition_parsed_but_no_expressions",
+        "p5000": "definition_nested_too_deeply", "m5000": "definition_nested_too_deeply"}
+
+
+def test_a_deep_item_of_an_export_costs_nothing(spark):
+    deep = "[" * 5000 + "]" * 5000
+    payload = ('{"id": "w", "name": "ws", "datasets": [{"id": "a", "name": "A", "x": ' + deep + '}, {"id": "b", "expressions": '
+               '[{"name": "e", "expression": "let x = 1"}]}], "dataflows": [{"objectId": "c", "name": "C", "queries": [{"name": "q", "M": "let y = 2"}]}]}')
+    items = scanner.export_items(spark.createDataFrame([(payload,)], "payload string"))
+    assert [(r.workspace_id, r.item_id, r.item_name, r.item_type) for r in items.collect()] == [
+        ("w", "a", "A", "SemanticModel"), ("w", "b", "", "SemanticModel"), ("w", "c", "C", "Dataflow")]
+    assert [(r.item_id, r.expr_name, r.expression) for r in scanner.export_expressions(items).collect()] == [
+        ("b", "shared:e", "let x = 1"), ("c", "q", "let y = 2")]
+
+
 def test_error_of_an_old_request(spark):
     day = dt.datetime(2024, 1, 1)
     history = spark.createDataFrame(
