@@ -28,7 +28,7 @@ ship(__name__)
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, as ranks
-SLICE_CHARS = 4_000_000  # text held as Python words at once, unless one text is longer
+SLICE_CHARS = 4_000_000  # text whose ids are held at once, unless one text is longer
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, nth bigint, ids binary")
 _SCHEMA = pa.schema([
@@ -63,7 +63,8 @@ def _to_pieces(capacity: int, vocabulary: str, with_ids: bool):
             for a, b in _slices(texts):
                 rows = []
                 met = np.zeros(capacity + 1, np.int64)
-                for doc_id, ids in zip(doc_ids[a:b], encoder.encode_many(texts[a:b], END_ID)):
+                for doc_id, text in zip(doc_ids[a:b], texts[a:b]):
+                    ids = encoder.encode(text, END_ID)
                     for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                         raw = ids[start:start + length].astype("<u4").tobytes()
                         rows.append((doc_id, piece, start, length, zlib.crc32(raw), block, int(met[length]),

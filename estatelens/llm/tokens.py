@@ -1,10 +1,8 @@
-"""Byte-level BPE ids of whole texts, with a bounded cache of the words met."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
 import base64
-import itertools
-import re
 
 import numpy as np
 
@@ -12,16 +10,9 @@ from .common import ship
 
 ship(__name__)
 
-CACHE_WORDS = 1 << 18
-_IRREGULAR = re.compile(r"^\s|\s\s|\s$|\x00|[^\S \n]")
-
 
 class Encoder:
-    """Ids of texts; texts of single spaces and line ends go word by word through a cache.
-
-    The vocabulary's own pre-split cuts before every space or line end that a word follows, so words can be encoded
-    apart. Any other text (runs of white space, tabs, NUL) is encoded whole, with the same ids.
-    """
+    """Ids of texts by a vocabulary's ranks; special tokens inside a text are plain text."""
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -31,49 +22,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.line_end = ranks[b"\n"]
-        self._clear()
-
-    def _clear(self):
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words in one call, one word a line."""
-        got = np.array(self.bpe.encode_ordinary("\n".join(words)), np.uint32)
-        ends = np.append(np.flatnonzero(got == self.line_end), len(got))
-        lengths = np.diff(ends, prepend=-1) - 1
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.flat = np.concatenate([self.flat, got[got != self.line_end]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
 
-    def encode_many(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """One array of ids per text, with `end` behind it."""
-        split = [None if _IRREGULAR.search(t) or not t else
-                 t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") for t in texts]
-        if len(self.index) > CACHE_WORDS:
-            self._clear()
-        met = set(itertools.chain.from_iterable(w for w in split if w))
-        met.discard("\n")
-        if new := sorted(met.difference(self.index)):
-            self._learn(new)
-        index = self.index | {"\n": -1}
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(np.array([*self.bpe.encode_ordinary(text), end], np.uint32))
-                continue
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            is_end = at < 0
-            at[is_end] = 0
-            lengths = np.where(is_end, 1, self.first[at + 1] - self.first[at])
-            stop = np.cumsum(lengths)
-            ids = np.empty(stop[-1] + 1, np.uint32)
-            ids[:-1] = self.flat[np.minimum(
-                np.arange(stop[-1]) + np.repeat(self.first[at] - stop + lengths, lengths), len(self.flat) - 1)] \
-                if len(self.flat) else self.line_end
-            ids[(stop - 1)[is_end]] = self.line_end
-            ids[-1] = end
-            out.append(ids)
-        return out
+    def encode(self, text: str, end: int) -> np.ndarray:
+        """The text's ids with `end` behind them."""
+        return np.append(self.bpe.encode_to_numpy(text, disallowed_special=()), np.uint32(end))
