@@ -433,6 +433,17 @@ def release_totals(releases: DataFrame) -> DataFrame:
     ).agg(F.sum("d").alias("downloads"))
 
 
+def release_list(releases: DataFrame) -> DataFrame:
+    """Each release with its name, date, link and downloads."""
+    downloads = F.aggregate(
+        "assets", F.lit(0).cast("bigint"), lambda acc, a: acc + F.coalesce(a["download_count"], F.lit(0))
+    )
+    return releases.select(
+        F.col("tag_name").alias("tag"), "name", F.col("published_at").alias("published"),
+        F.coalesce(downloads, F.lit(0)).alias("downloads"), F.col("html_url").alias("url"),
+    )
+
+
 def top_referrers(referrers: DataFrame, n: int = 3) -> DataFrame:
     """The strongest referrers as numbered rows (referrer, count)."""
     first = referrers.orderBy(F.desc("count"), "referrer").limit(n)

@@ -544,5 +544,7 @@ def releases(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     tag = F.concat(F.lit("v"), F.year("o_orderdate"), F.lit("."), F.month("o_orderdate"))
     return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        tag.alias("tag_name"), "assets"
+        tag.alias("tag_name"), F.concat(F.lit("release "), "o_orderkey").alias("name"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("published_at"),
+        F.concat(F.lit("https://releases.test/"), "o_orderkey").alias("html_url"), "assets",
     )

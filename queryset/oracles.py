@@ -811,6 +811,39 @@ oracle("stream_late_rows", """SELECT 'scans' AS stream, count(*)::BIGINT AS inpu
 oracle("stream_latest_run", """SELECT 'ws-' || o_custkey AS workspace_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run_id,
   arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority, min(o_orderdate) AS first_run_at, max(o_orderdate) AS last_run_at,
   count(*)::BIGINT AS run_count FROM orders GROUP BY 1""")
+
+
+def _cells(section: str, entry: str, body: str, numbers: str, texts: str = "") -> str:
+    """One row per cell of a section: numbers as DOUBLE, texts as they are."""
+    cells = [f"{{'name': '{c}', 'number': {c}::DOUBLE, 'text': NULL::VARCHAR}}" for c in numbers.split()]
+    cells += [f"{{'name': '{c}', 'number': NULL::DOUBLE, 'text': {_shown(c)}}}" for c in texts.split()]
+    return (f"SELECT '{section}' AS section, {entry} AS entry, r.name AS name, r.number AS number, r.text AS text "
+            f"FROM (SELECT *, unnest([{', '.join(cells)}]) AS r FROM ({body}))")
+
+
+def _shown(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if column in ("timestamp", "day", "published") else f"{column}::VARCHAR"
+
+
+ORACLES["sink_snapshot"] = "\nUNION ALL ".join([
+    _cells("reach", "''", ORACLES["reach"], "scans users workspaces tenants versions"),
+    _cells("resolution", "''", ORACLES["resolution_rollup"],
+           "resolved_pinned resolved_high resolved_medium resolved_custom_dsn resolved_artifacts return_scans"),
+    _cells("value", "''", ORACLES["value_rollup"], "hours_saved inspected sempy_used_pct median_coverage"),
+    _cells("trend", _shown("day"), ORACLES["daily_trend"], "scans workspaces"),
+    _cells("versions", "version", ORACLES["version_adoption"], "scans workspaces tenants"),
+    _cells("per_workspace", "workspace", ORACLES["workspace_progress"],
+           "run_count first_pinned current_pinned resolved_pinned coverage", "timestamp is_first version"),
+    _cells("skip_reasons", "reason", ORACLES["skip_reason_rollup"], "items"),
+    _cells("state_backends", "backend", ORACLES["backend_split"], "scans"),
+    _cells("first_vs_return", "is_first_run", ORACLES["first_vs_return"], "scans"),
+    _cells("github", "''", ORACLES["clones_patch"], "clones unique_cloners views unique_viewers total_release_downloads stargazers", "timestamp"),
+    _cells("clones_history", _shown("day"), """SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS count, count(DISTINCT user_id) AS uniques
+FROM events WHERE event_type = 'click' GROUP BY 1""", "count uniques"),
+    _cells("releases", "url", """SELECT 'v' || year(o_orderdate) || '.' || month(o_orderdate) AS tag, 'release ' || o_orderkey AS name, o_orderdate AS published,
+  (SELECT coalesce(sum(l_quantity::BIGINT), 0) FROM lineitem WHERE l_orderkey = o_orderkey) AS downloads, 'https://releases.test/' || o_orderkey AS url FROM orders""",
+           "downloads", "tag name published"),
+])
 PARTS["every_piece"] = PARTS["pieces"].replace("WHERE item_type IN ('SemanticModel', 'Dataflow')", "")
 PARTS["every_expr"] = PARTS["texts"].replace("FROM pieces", "FROM every_piece")
 PARTS["every_call"] = PARTS["mcalls"].replace("FROM exprs", "FROM every_expr")

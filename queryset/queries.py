@@ -14,6 +14,7 @@ from estatelens.operators import (
 from estatelens.plans import estate, record, snapshot
 from estatelens.sources import connections, frames, refreshes, scanner
 from estatelens.session import work_folder
+from estatelens.sinks import committed
 from estatelens.sources import items as item_sources
 from estatelens.streaming import metrics, streams
 
@@ -143,19 +144,31 @@ def src_partitions_frame(spark, sf):
 
 @query
 def sink_calls(spark, sf):
-    return impact.call_table(fx.plain_items(spark, sf), risky(spark, sf, excerpts=True))
+    """Written, committed and read back."""
+    folder = work_folder(spark)
+    snapshot.write_calls(impact.call_table(fx.plain_items(spark, sf), risky(spark, sf, excerpts=True)), folder)
+    return committed.read(spark, folder)
 
 
 @query
 def sink_validation(spark, sf):
+    """Written, committed and read back."""
+    folder = work_folder(spark)
     kinds = impact.connector_lists(impact.relevant(all_calls(spark, sf)), ORDER)
-    return validation.validation_table(
-        fx.validation_results(spark, sf), kinds, fx.plain_items(spark, sf))
+    snapshot.write_validation(validation.validation_table(
+        fx.validation_results(spark, sf), kinds, fx.plain_items(spark, sf)), folder)
+    return committed.read(spark, folder)
 
 
 @query
 def sink_snapshot(spark, sf):
-    return snapshot.snapshot(fx.facts(spark, sf))
+    """Facts are stored once, every section reads them; the snapshot is written, committed and read back."""
+    folder = work_folder(spark)
+    fx.facts(spark, sf).write.parquet(f"{folder}-facts")
+    facts = spark.read.parquet(f"{folder}-facts")
+    rows = snapshot.snapshot(facts, fx.traffic_log(spark, sf), fx.daily_clones(spark, sf), fx.releases(spark, sf))
+    snapshot.write_snapshot(rows, folder)
+    return committed.read(spark, folder)
 
 
 @query

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.catalog import fixed_values as fv
+from estatelens.sinks import committed
 from estatelens.operators import delivery, events, impact, running, runstate, validation
 from estatelens.plans import estate
 from estatelens.sources.items import gateway_states
@@ -304,11 +305,14 @@ def test_tenant_usage_and_snapshot(facts, tmp_path):
     from estatelens.plans import snapshot
     row = events.tenant_usage(facts).first()
     assert (row.tenant_hash, row.tenant_id, row.scans, row.workspaces) == ("t", "", 3, 2)
-    sections = snapshot.snapshot(facts)
-    snapshot.write_snapshot(sections, str(tmp_path / "snap"))
-    back = facts.sparkSession.read.json(str(tmp_path / "snap"))
+    cells = snapshot.snapshot(facts)
+    folder = str(tmp_path / "snap")
+    snapshot.write_snapshot(cells, folder, "monday")
+    back = committed.read(facts.sparkSession, folder)
     assert {r.section for r in back.select("section").distinct().collect()} >= {"reach", "trend", "per_workspace", "versions"}
-    assert back.count() == sections.count()
+    assert sorted(map(str, back.collect())) == sorted(map(str, cells.collect()))
+    found = {(r.section, r.entry, r.name): (r.number, r.text) for r in back.collect()}
+    assert found["reach", "", "scans"] == (3.0, None) and found["per_workspace", "w", "is_first"] == (None, "False")
 
 
 def test_percentiles_against_brute_force(spark):
