@@ -107,6 +107,24 @@ def tmsl_shared_entries(doc: Column) -> Column:
     )))
 
 
+def written_expressions(doc: Column) -> Column:
+    """(expr_name, is_list, expression) of every partition of every table and every shared expression, whatever its kind."""
+    def entry(name, value):
+        return F.struct(name.alias("expr_name"), F.schema_of_variant(value).startswith("ARRAY").alias("is_list"),
+                        join_lines(value).alias("expression"))
+
+    def of_table(t):
+        return F.transform(t["partitions"], lambda p: entry(
+            F.concat(F.coalesce(t["name"], F.lit("?")), F.lit("."), F.coalesce(p["name"], F.lit(""))), p["source"]["expression"]))
+
+    none = F.array().cast("array<struct<expr_name:string,is_list:boolean,expression:string>>")
+    tables = F.filter(_model(doc, "tables"), lambda t: t["partitions"].isNotNull())
+    shared = F.transform(_model(doc, "expressions"), lambda e: entry(
+        F.concat(F.lit("shared:"), F.coalesce(e["name"], F.lit("?"))), e["expression"]))
+    every = F.concat(F.coalesce(F.flatten(F.transform(tables, of_table)), none), F.coalesce(shared, none))
+    return F.filter(every, lambda e: e["expression"].isNotNull())
+
+
 def tmdl_entries(text: Column, path: Column) -> Column:
     """Blocks from a ``source =`` line to the next one or the next unindented line."""
     lines = F.regexp_replace(F.regexp_replace(text, _NEWLINES, "\n"), r"\n\z", "")

@@ -118,6 +118,29 @@ def sums_in_ranges(
     return summed.drop(*[f"{p}{out}" for p in ("_v_", "_s_") for out in sums])
 
 
+def carried(
+    rows: DataFrame, cut: bool, keys: list[str], order: list[str], values: dict[str, Column], back: bool = False, strict: bool = False
+) -> DataFrame:
+    """The last non-NULL value up to each row, over rows that ``in_ranges`` has placed; ``back``: the next one from it on.
+
+    ``strict`` leaves the row itself out. An as-of join is this over the union of both sides: time follows the rows,
+    however many of one side meet how many of the other.
+    """
+    places = [F.col(c).desc_nulls_last() if back else F.col(c).asc_nulls_first() for c in order]
+    frame = Window.partitionBy(*keys, *(["_range"] if cut else [])).orderBy(*places).rowsBetween(
+        Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    inside = {out: F.last(v, ignorenulls=True).over(frame) for out, v in values.items()}
+    if not cut:
+        return rows.withColumns(inside)
+    pick = F.min_by if back else F.max_by
+    totals = {f"_t_{out}": pick(v, F.when(v.isNotNull(), F.struct(*order))) for out, v in values.items()}
+    before = Window.partitionBy(*keys).orderBy(F.col("_range").desc() if back else F.col("_range").asc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    over = {f"_s_{out}": F.last(f"_t_{out}", ignorenulls=True).over(before) for out in values}
+    found = with_earlier(rows, keys, totals, over)
+    return found.withColumns({out: F.coalesce(v, F.col(f"_s_{out}")) for out, v in inside.items()}).drop(*over)
+
+
 def running_sums(
     df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], range_rows: int = RANGE_ROWS
 ) -> DataFrame:

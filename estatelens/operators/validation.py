@@ -15,6 +15,7 @@ from ..catalog import fixed_values as fv
 from ..functions import classify
 from ..functions.numbers import pct_change, seconds_between
 from ..functions.text import non_empty
+from .running import RANGE_ROWS, carried, in_ranges
 
 KEYS = ["workspace_id", "item_id"]
 _ENTRY = ["request_id", "status", "start_time", "end_time", "error_text"]
@@ -75,6 +76,36 @@ def new_refresh_since(history: DataFrame, cutover: Column) -> DataFrame:
     return picked.select(*KEYS, "pre", F.when(~same, F.col("latest")).alias("post"))
 
 
+def refreshes_around(
+    cutovers: DataFrame, history: DataFrame, max_wait_minutes: int = 30, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """(keys, cutover, pre, post) for any number of cutovers per item, in one sweep.
+
+    ``pre`` and ``post`` are those of ``last_refresh_before`` and
+    ``first_terminal_after``. Cutovers (keys, ``cutover``) and entries are laid
+    into one order per item; what came last and what comes next is carried along,
+    so no cutover is paired with every entry of its item.
+    """
+    marks = cutovers.select(*KEYS, F.col("cutover").alias("start_time"), F.lit(0).alias("_kind"))
+    rows = history.select(*KEYS, *_ENTRY, F.lit(1).alias("_kind")).unionByName(marks, allowMissingColumns=True)
+    order = ["start_time", "_kind", "request_id"]  # an entry of the very time of a cutover comes after it
+    placed, cut = in_ranges(rows, KEYS, order, range_rows)
+    entry = F.when(F.col("_kind") == 1, _entry())
+    finished = F.when((F.col("_kind") == 1) & F.col("status").isin(fv.TERMINAL_STATUSES), _entry())
+    swept = carried(placed, cut, KEYS, order, {"pre": entry})
+    swept = carried(swept, cut, KEYS, order, {"_next": finished}, back=True)
+    # The next finished entry of another request, noted where the request changes.
+    swept = carried(swept, cut, KEYS, order, {"_after": finished}, back=True, strict=True)
+    changes = F.when(finished.isNotNull() & ~F.col("_after.request_id").eqNullSafe(F.col("request_id")), F.col("_after"))
+    swept = carried(swept, cut, KEYS, order, {"_other": changes}, back=True)
+    first = F.when(F.col("_next.request_id").eqNullSafe(F.col("pre.request_id")), F.col("_other")).otherwise(F.col("_next"))
+    deadline = F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(max_wait_minutes))
+    found = swept.filter("_kind = 0").withColumn("_first", first)
+    return found.select(
+        *KEYS, F.col("start_time").alias("cutover"), "pre",
+        F.when(F.col("_first.start_time") <= deadline, F.col("_first")).alias("post"))
+
+
 def refresh_seconds(entry: str) -> Column:
     return seconds_between(F.col(f"{entry}.start_time"), F.col(f"{entry}.end_time"))
 

@@ -32,7 +32,11 @@ def _needed(body: str) -> list[str]:
 
 def oracle(name: str, body: str) -> None:
     ctes = ",\n".join(f"{n} AS ({PARTS[n]})" for n in _needed(body))
-    ORACLES[name] = f"WITH {ctes}\n{body}" if ctes else body
+    inner = body.strip()
+    if ctes and inner.startswith("WITH "):
+        ORACLES[name] = f"WITH {ctes},\n{inner[5:]}"
+    else:
+        ORACLES[name] = f"WITH {ctes}\n{body}" if ctes else body
 
 
 def _lit(s: str) -> str:
@@ -295,7 +299,9 @@ _BIM = "k % 10 IN (0, 2, 4) AND expression IS NOT NULL"
 oracle("expr_tmsl_partitions", f"SELECT workspace_id, item_id, 'T' || k || '.P' AS expr_name, expression FROM texts WHERE {_BIM}")
 _SHARED = "'\"x\" meta [IsParameterQuery=true]'"
 oracle("expr_tmsl_shared", f"SELECT workspace_id, item_id, 'shared:Param' AS expr_name, {_SHARED} AS expression FROM texts WHERE {_BIM} AND k % 4 = 0")
-oracle("expr_join_lines", f"SELECT workspace_id, item_id, k % 4 = 0 AS is_list, expression FROM texts WHERE {_BIM}")
+oracle("expr_join_lines", f"""SELECT workspace_id, item_id, 'T' || k || '.P' AS expr_name, k % 4 = 0 AS is_list, expression FROM texts WHERE {_BIM}
+UNION ALL SELECT workspace_id, item_id, 'C.Calc', false, 'Sql.Database(1)' FROM texts WHERE {_BIM}
+UNION ALL SELECT workspace_id, item_id, 'shared:Param', false, {_SHARED} FROM texts WHERE {_BIM} AND k % 4 = 0""")
 _TMDL = """SELECT workspace_id, item_id, 'definition/T.tmdl' AS expr_name,
   repeat(chr(9), 4) || replace(expression, chr(10), chr(10) || repeat(chr(9), 4)) || chr(10) AS expression
 FROM texts WHERE k % 10 IN (1, 3) AND expression IS NOT NULL"""
@@ -525,6 +531,14 @@ PARTS["newest"] = """
 SELECT * FROM refreshes QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY start_time DESC, request_id DESC) = 1"""
 _CHOSEN = "workspace_id, item_id, request_id, status, start_time"
 oracle("last_refresh_before", f"SELECT {_CHOSEN} FROM pre")
+oracle("refreshes_around", f"""
+WITH cuts AS (SELECT workspace_id, item_id, {_CUT} + to_days(d::INTEGER) AS cutover FROM base, (SELECT unnest(range(-4, 6)) AS d)),
+befores AS (SELECT c.*, r.request_id AS pre_request FROM cuts c LEFT JOIN refreshes r ON r.item_id = c.item_id AND r.start_time < c.cutover
+  QUALIFY row_number() OVER (PARTITION BY c.item_id, c.cutover ORDER BY r.start_time DESC NULLS LAST, r.request_id DESC) = 1)
+SELECT b.workspace_id, b.item_id, b.cutover, pre_request, r.request_id AS post_request, r.status AS post_status
+FROM befores b LEFT JOIN refreshes r ON r.item_id = b.item_id AND r.start_time >= b.cutover AND r.start_time <= b.cutover + INTERVAL {WAIT_MINUTES} MINUTE
+  AND r.status IN ('Completed', 'Failed', 'Disabled') AND r.request_id IS DISTINCT FROM pre_request
+QUALIFY row_number() OVER (PARTITION BY b.item_id, b.cutover ORDER BY r.start_time NULLS LAST, r.request_id) = 1""")
 oracle("first_terminal_after", f"SELECT {_CHOSEN} FROM post")
 PARTS["outcomes"] = f"""
 SELECT *, CASE WHEN outcome = 'failed' THEN coalesce(nullif(error_text, ''), 'Refresh status: ' || post_status) END AS failure,

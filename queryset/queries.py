@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estatelens.catalog import fixed_values as fv
 from estatelens.functions import classify, text
+from estatelens.functions.arrays import explode_each
 from estatelens.functions.numbers import seconds_between
 from estatelens.operators import (
     activities, calls, delivery, events, extract, impact, runstate, validation,
@@ -203,10 +204,9 @@ def expr_tmsl_shared(spark, sf):
 
 @query
 def expr_join_lines(spark, sf):
-    table = F.get(F.col("doc")["model"]["tables"], F.lit(0))
-    source = F.get(table["partitions"], F.lit(0))["source"]["expression"]
-    return _bim_docs(spark, sf).select(*ITEM, F.schema_of_variant(source).startswith("ARRAY").alias("is_list"),
-                        extract.join_lines(source).alias("expression")).filter("expression IS NOT NULL")
+    """Every partition and every shared expression of every model, as a list of lines or as one text."""
+    return explode_each(
+        _bim_docs(spark, sf), ITEM, extract.written_expressions(F.col("doc")), "_no", "e").select(*ITEM, "e.*")
 
 
 @query
@@ -652,6 +652,17 @@ def first_terminal_after(spark, sf):
         *ITEM, "post.request_id", "post.status", "post.start_time")
 
 
+@query
+def refreshes_around(spark, sf):
+    """Ten cutovers per item, a day apart."""
+    cutovers = fx.validation_items(spark, sf).select(
+        "workspace_id", "item_id", F.explode(F.sequence(F.lit(-4), F.lit(5))).alias("d")).select(
+        "workspace_id", "item_id", (fx.cutover() + F.make_dt_interval(F.col("d"))).alias("cutover"))
+    rows = validation.refreshes_around(cutovers, fx.refresh_history(spark, sf), fx.WAIT_MINUTES)
+    return rows.select(*ITEM, "cutover", F.col("pre.request_id").alias("pre_request"), F.col("post.request_id").alias("post_request"),
+                       F.col("post.status").alias("post_status"))
+
+
 @query
 def no_new_refresh(spark, sf):
     return validation.validate(

@@ -98,3 +98,27 @@ def test_state_after_resets_against_a_plain_walk(spark, range_rows):
         own = sorted((r for r in rows if r[0] == ws), key=lambda r: (r[2], r[3]))
         for n, r in enumerate(own, 1):
             assert plain[r[3]] == (n, own[0][3], own[-1][2])
+
+
+@pytest.mark.parametrize("range_rows", [1, 9, 100_000])
+def test_refreshes_around_many_cutovers_against_pairs(spark, range_rows):
+    from estatelens.operators import validation
+
+    rng = random.Random(range_rows)
+    history = [("w", rng.choice(["hot", "hot", "hot", "b"]), f"r{rng.randint(0, 40)}", rng.choice(["Completed", "Failed", "InProgress"]),
+                START + dt.timedelta(minutes=rng.randint(0, 200)), None, None) for _ in range(300)]
+    history = list({(h[1], h[2], h[4]): h for h in history}.values())
+    cuts = [("w", i, START + dt.timedelta(minutes=m)) for i in ("hot", "b", "none") for m in rng.sample(range(-5, 210), 10)]
+    entry = "workspace_id string, item_id string, request_id string, status string, start_time timestamp, end_time timestamp, error_text string"
+    got = validation.refreshes_around(
+        spark.createDataFrame(cuts, "workspace_id string, item_id string, cutover timestamp"), spark.createDataFrame(history, entry), 30, range_rows)
+    rows = got.collect()
+    assert len(rows) == len(cuts)
+    for r in rows:
+        own = sorted((h for h in history if h[1] == r.item_id), key=lambda h: (h[4], h[2]))
+        before = [h for h in own if h[4] < r.cutover]
+        previous = before[-1][2] if before else None
+        after = [h for h in own if r.cutover <= h[4] <= r.cutover + dt.timedelta(minutes=30)
+                 and h[3] != "InProgress" and h[2] != previous]
+        assert (r.pre and r.pre.request_id) == previous
+        assert (r.post and (r.post.request_id, r.post.start_time)) == (after and (after[0][2], after[0][4]) or None)
