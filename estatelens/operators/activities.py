@@ -17,6 +17,7 @@ from ..functions.arrays import explode_each
 from ..functions.text import base64_alphabet, decode_base64, non_empty, read_json
 from ..sources.scanner import array_at, text_at
 from .extract import ENVELOPE
+from .rules import first_rules
 
 _NODES = "array<struct<path:array<int>,node:variant>>"
 
@@ -189,6 +190,23 @@ def ref_migration(kind: Column, prefix: Column, rules=None) -> Column:
     return case.otherwise("none")
 
 
+def migration_rules(spark, rules=None) -> DataFrame:
+    """The catalog's containment rules as rows: (rule_no, field, needle, bucket)."""
+    rules = fv.CONNECTOR_RULES if rules is None else rules
+    rows = [(i, field, needle, bucket) for i, (kind, _, family, bucket) in enumerate(rules, start=1)
+            for field, needle in (("_kind", kind.lower()), ("_prefix", family))]
+    return spark.createDataFrame(rows, "rule_no bigint, field string, needle string, bucket string")
+
+
+def ref_migrations(resolved: DataFrame, rules: DataFrame) -> DataFrame:
+    """``ref_migration`` by a table of rules of any length; adds ``migration``."""
+    seen = resolved.withColumns({
+        "_kind": F.lower("connector_kind"), "_prefix": F.coalesce(F.lower("connector_prefix"), F.lit(""))})
+    buckets = rules.groupBy("rule_no").agg(F.min("bucket").alias("migration"))
+    return first_rules(seen, ["_kind", "_prefix"], rules, "rule_no").join(buckets, "rule_no", "left").select(
+        *resolved.columns, F.coalesce("migration", F.lit("none")).alias("migration"))
+
+
 def refs_to_calls(resolved: DataFrame, rules=None) -> DataFrame:
     """References as call rows: never pinned, no custom DSN, gateway unknown."""
     where = F.concat(

@@ -96,6 +96,27 @@ def distinct_counts(
     )
 
 
+def daily_sketches(rows: DataFrame, lg_size: int = 12, **columns: str) -> DataFrame:
+    """Per day the scans and a HyperLogLog sketch of each column's values: a table to store, some KB a day.
+
+    Sketches of days (or of parts of a day that came later) add up, so a question over any span reads days, not events.
+    """
+    return rows.groupBy(day()).agg(
+        F.count("*").alias("scans"),
+        *[F.hll_sketch_agg(F.coalesce(F.col(c), F.lit("")), F.lit(lg_size)).alias(out) for out, c in columns.items()])
+
+
+def counts_from_sketches(sketches: DataFrame, columns: list[str], days: int | None = None, as_of=None) -> DataFrame:
+    """Scans and approximate distinct values of the last ``days`` days (all, if none), from stored sketches."""
+    wanted = sketches
+    if days is not None:
+        now = sketches.agg(F.max("day")).scalar() if as_of is None else F.date_trunc("day", F.lit(as_of))
+        wanted = sketches.filter(F.col("day") > now - F.make_dt_interval(F.lit(days)))
+    return wanted.agg(
+        F.coalesce(F.sum("scans"), F.lit(0)).alias("scans"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns])
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact discrete percentiles per group, by rank selection over value ranges.
 

@@ -383,6 +383,12 @@ _REF = "workspace_id, item_id, activity_name, activity_type, role, connection_id
 oracle("ref_connection_id", f"SELECT {_REF} FROM found_refs")
 oracle("resolve_connection", f"SELECT {_REF}, connector_prefix, connector_kind FROM resolved_refs")
 oracle("ref_migration", "SELECT workspace_id, item_id, connector_kind, migration FROM rcalls")
+ORACLES["ref_migration_table"] = ORACLES["ref_migration"]
+oracle("first_rules", r"""
+WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS needle FROM w WHERE len(w) >= 3),
+r AS (SELECT needle, min(item_id)::BIGINT AS rule_no FROM p GROUP BY 1)
+SELECT d.doc_id, (SELECT min(rule_no) FROM r WHERE contains(lower(d.text), needle))::BIGINT AS rule_no FROM documents d""")
 oracle("activity_calls", f"SELECT {_CALL_COLS} FROM rcalls")
 
 # --- 2.5 ------------------------------------------------------------------------------
@@ -733,6 +739,10 @@ def _recent(days: int) -> str:
 
 oracle("adoption_30d", f"""SELECT count(*)::BIGINT AS scans, count(DISTINCT tenant_hash)::BIGINT AS tenants,
   count(DISTINCT workspace_id)::BIGINT AS workspaces FROM progress WHERE {_recent(30)}""")
+oracle("adoption_approx", """SELECT span::BIGINT AS days, count(*)::BIGINT AS scans, true AS tenants_close, true AS workspaces_close,
+  count(DISTINCT tenant_hash)::BIGINT AS tenants, count(DISTINCT workspace_id)::BIGINT AS workspaces
+FROM progress, (SELECT unnest([30, 365, 20000]) AS span)
+WHERE date_trunc('day', ts) > (SELECT max(date_trunc('day', ts)) FROM progress) - to_days(span) GROUP BY 1""")
 oracle("tenant_usage", """SELECT tenant_hash, '' AS tenant_id, count(*)::BIGINT AS scans, count(DISTINCT workspace_id)::BIGINT AS workspaces,
   min(ts) AS first_seen, max(ts) AS last_seen FROM progress GROUP BY 1""")
 oracle("first_run_impact", """SELECT ts AS timestamp, tenant_hash, workspace_id, first_risk_high AS high_risk, first_pinned_odbc AS pinned_odbc,

@@ -10,7 +10,7 @@ from estatelens.functions import classify, text
 from estatelens.functions.arrays import explode_each
 from estatelens.functions.numbers import seconds_between
 from estatelens.operators import (
-    activities, calls, delivery, events, extract, impact, runstate, validation,
+    activities, calls, delivery, events, extract, impact, rules, runstate, validation,
 )
 from estatelens.plans import estate, record, snapshot
 from estatelens.sources import connections, frames, refreshes, scanner
@@ -396,6 +396,28 @@ def ref_migration(spark, sf):
     return ref_calls(spark, sf).select(*ITEM, "connector_kind", "migration")
 
 
+@query
+def ref_migration_table(spark, sf):
+    """The same buckets from a table of rules: the catalog's, then thousands of others that name customers."""
+    others = fx.table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 1000).alias("rule_no"), F.lit("_kind").alias("field"),
+        F.concat(F.lit("customer "), "c_custkey").alias("needle"), F.lit("other").alias("bucket"))
+    table = activities.migration_rules(spark).unionByName(others)
+    resolved = activities.resolve_connections(refs(spark, sf), flat_connections(spark, sf))
+    return activities.ref_migrations(resolved, table).select(*ITEM, "connector_kind", "migration")
+
+
+@query
+def first_rules(spark, sf):
+    """The first of some thousand phrases (three words of a benchmark item) that a document contains."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    phrases = fx.table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 3).select(
+        "item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("needle"))
+    table = phrases.select(F.col("item_id").cast("bigint").alias("rule_no"), F.lit("text").alias("field"), "needle")
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return rules.first_rules(docs, ["text"], table).select("doc_id", "rule_no")
+
+
 @query
 def activity_calls(spark, sf):
     return ref_calls(spark, sf).select(
@@ -841,7 +863,20 @@ def adoption_30d(spark, sf):
 
 @query
 def adoption_approx(spark, sf):
-    return events.adoption(fx.facts(spark, sf), days=20000, exact=False)
+    """Spans answered from a stored table of daily sketches, beside the exact counts: within 5 % or not."""
+    kinds = {"tenants": "tenant_hash", "workspaces": "workspace_id"}
+    facts, folder = fx.facts(spark, sf).select("timestamp", *kinds.values()), work_folder(spark)
+    committed.write(events.daily_sketches(facts, **kinds), folder)
+    sketches = committed.read(spark, folder)
+    last_day = F.date_trunc("day", facts.agg(F.max("timestamp")).scalar())
+    spans = []
+    for days in (30, 365, 20000):
+        exact = events.distinct_counts(facts.filter(F.date_trunc("day", "timestamp") > last_day - F.make_dt_interval(F.lit(days))), [], **kinds)
+        near = events.counts_from_sketches(sketches, list(kinds), days)
+        both = near.select(F.lit(days).cast("bigint").alias("days"), "scans", *[
+            (F.abs(F.col(c) - exact.select(c).scalar()) <= 0.05 * exact.select(c).scalar()).alias(f"{c}_close") for c in kinds])
+        spans.append(both.withColumn("tenants", exact.select("tenants").scalar()).withColumn("workspaces", exact.select("workspaces").scalar()))
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
 @query
