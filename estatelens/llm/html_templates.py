@@ -1,22 +1,26 @@
 """Main text of web pages: what a site repeats is found by counting element subtrees per host.
 
-Every element's subtree is hashed (tag, texts, children). A hash that stands on MIN_PAGES pages of a host, however
-large the host is, is repeated; it is the site's template and is deleted with all below it, if MIN_PAGES of these pages
-have a text of their own beside what is repeated. Elements that say by tag, role or class that they are no content go
-in any case. What is left of the article is the main text.
+Every element's subtree is hashed (tag, texts, children). A container whose hash stands on MIN_PAGES differing pages of
+a host, however large the host is, and leaves OWN_SHARE of their main text beside it, is the site's template and is
+deleted with all below it. Blocks of text (paragraphs, headings, lists, tables and the like) are templates only outside article
+and main, and only at the same place of the tree: an article may say what other articles say. Elements that say by tag
+or role that they are no content go in any case; those that only their class or id names so, and forms, go unless they
+hold the article or half of the page's text. What is left of the article is the main text.
 
 Defined results: a null or empty html has the text ''; pages without a host are a host of their own; pages of a host
-with the same main text count once, and pages of which less than OWN_SHARE is their own (articles copied with another
-date or a few edits) do not count, so a copied article is no template; words, list items and parts of tables are no
-template by themselves, only within one; repeated rows give repeated rows; an empty table gives no rows; extra columns
-do not matter. Broken mark-up never fails: unclosed elements end with their parent, an unclosed tag at the end is no
-text. Work and memory are linear in the page, nesting included.
+with the same main text count once; a page of which templates would leave less than OWN_SHARE is a copy of what others
+print, and keeps those of at least that share, or all if that is not enough; words, list items and parts of tables are no template by themselves, only within one;
+repeated rows give repeated rows; an empty table gives no rows; extra columns do not matter. Broken mark-up never
+fails: unclosed elements end with their parent, an unclosed tag at the end is no text. Work and memory are linear in
+the page, nesting included.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +34,7 @@ from .toxicity import in_slices
 ship(__name__)
 
 MIN_PAGES = 3  # different pages of the host that hold the subtree
-OWN_SHARE = 0.1  # of a page's main text that stands outside repeated subtrees, if the page counts
+OWN_SHARE = 0.1  # of a page's main text that templates leave, or they stay
 PART_BYTES = 1_000_000  # pages parsed at once, unless one is longer
 
 # Element kinds of HTML.
@@ -40,8 +44,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split())
 NO_CONTENT = frozenset(
-    "head nav footer aside form button select option input menu dialog canvas object audio video map fieldset "
+    "head nav footer aside button select option input menu dialog canvas object audio video map "
     "script style noscript template textarea title iframe svg noembed noframes".split())
+MAY_HOLD_ARTICLE = frozenset("form fieldset".split())  # no content, unless the article is inside
 NO_CONTENT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NO_CONTENT_WORDS = frozenset(
@@ -49,6 +54,10 @@ NO_CONTENT_WORDS = frozenset(
     "cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup paywall sidebar aside "
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended "
     "widget footer masthead comment comments commentlist respond disqus replies toolbar skip login".split())
+BESIDE_WORDS = frozenset(  # what may stand beside them in one name
+    "box block wrapper wrap container area list bar section region zone slot unit panel link links icon icons button "
+    "buttons item items top bottom left right inner outer site page global primary secondary main sticky fixed floating "
+    "form feed row column content post posts article articles entry story user reader header group holder text".split())
 CLOSED_BY = {  # an opening tag ends an open element of these, unless one of the second set stands between
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -58,6 +67,8 @@ CLOSED_BY = {  # an opening tag ends an open element of these, unless one of the
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = ("html", "body", "main", "article")
 NO_TEMPLATE = INLINE.union(ROOTS, "li dt dd td th tr thead tbody tfoot caption".split())  # not by themselves
+TEXT_BLOCKS = HEADINGS.union("p blockquote pre ul ol dl table figure figcaption address details summary center".split())
+HARD, SOFT = 1, 2  # no content in any case; unless the article is inside
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -67,16 +78,24 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"
 _WORD = re.compile(r"[a-z]+")
 
 
-def _no_content(tag: str, attributes: str) -> bool:
+def _names_no_content(name: str) -> bool:
+    """One class or id: all its words say so, or stand beside one that does."""
+    words = _WORD.findall(name)
+    return not NO_CONTENT_WORDS.isdisjoint(words) and all(w in NO_CONTENT_WORDS or w in BESIDE_WORDS for w in words)
+
+
+def _no_content(tag: str, attributes: str) -> int:
+    """HARD, SOFT or 0."""
     if tag in NO_CONTENT:
-        return True
+        return HARD
+    soft = tag in MAY_HOLD_ARTICLE
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "role" and value in NO_CONTENT_ROLES:
-            return True
-        if name in ("class", "id") and not NO_CONTENT_WORDS.isdisjoint(_WORD.findall(value)):
-            return tag not in ("html", "body", "main")
-    return False
+            return HARD
+        if name in ("class", "id") and tag not in ROOTS:
+            soft = soft or any(map(_names_no_content, value.split()))
+    return SOFT if soft else 0
 
 
 class Page:
@@ -84,17 +103,23 @@ class Page:
 
     def __init__(self, source: str):
         self.texts: list[str | None] = []  # None: a block begins or ends here
-        self.elements: list[tuple[str, int, int, int, bool]] = []  # tag, first text, end, hash, no content
-        self._open: list[list] = []  # tag, first text, parts of the hash, no content
+        self.elements: list[tuple[str, int, int, int | None, int]] = []  # tag, first text, end, template key, no content
+        self._open: list[list] = []  # tag, first text, parts of the hash, no content, place, children, inside the article
+        self._root = ["", 0, [], 0, 0, 0, False]
         self._read(source)
 
     def _close(self) -> None:
-        tag, first, parts, gone = self._open.pop()
+        tag, first, parts, gone, place, _, in_article = self._open.pop()
         if tag not in INLINE:
             self.texts.append(None)
         digest = xxhash.xxh64_intdigest(f"{tag}\x00" + "\x01".join(parts))
         if parts:
-            self.elements.append((tag, first, len(self.texts), digest - (1 << 63), gone))
+            key = None
+            if tag in TEXT_BLOCKS:
+                key = None if in_article else (digest ^ place) - (1 << 63)
+            elif tag not in NO_TEMPLATE:
+                key = digest - (1 << 63)
+            self.elements.append((tag, first, len(self.texts), key, gone))
             if self._open:
                 self._open[-1][2].append(str(digest))
 
@@ -140,12 +165,20 @@ class Page:
                 self._close_paragraph()
             if tag not in INLINE:
                 self.texts.append(None)
-            self._open.append([tag, len(self.texts), [], _no_content(tag, m["attributes"])])
+            self._begin(tag, _no_content(tag, m["attributes"]))
         if at < len(source):
             self._text(source[at:])
         while self._open:
             self._close()
 
+    def _begin(self, tag: str, no_content: int) -> None:
+        """Opens an element; its place is that of its parent, its number among the siblings and its tag."""
+        parent = self._open[-1] if self._open else self._root
+        place, number, in_article = parent[4], parent[5], parent[6] or parent[0] in ("article", "main")
+        parent[5] += 1
+        place = xxhash.xxh64_intdigest(f"{place}/{number}{tag}")
+        self._open.append([tag, len(self.texts), [], no_content, place, 0, in_article])
+
     def _close_paragraph(self) -> None:
         """A block ends an open paragraph, and with it what is open inside."""
         for depth in range(len(self._open) - 1, -1, -1):
@@ -158,32 +191,36 @@ class Page:
             return
 
     def subtrees(self) -> tuple[dict[int, int], int]:
-        """Hash of each element that may be a template, with the characters of main text right in it; those of the page."""
+        """Key of each element that may be a template, with the characters of main text in it; those of the page."""
         kept, gone = self._kept(frozenset())
-        able = sorted((first, -i, end, digest) for i, (tag, first, end, digest, _) in enumerate(self.elements)
-                      if tag not in NO_TEMPLATE and first < end and not gone[first])  # parents come before children
-        chars, total, at, inside = {x[-1]: 0 for x in able}, 0, 0, []
-        for i, text in enumerate(self.texts):
-            while inside and inside[-1][0] <= i:
-                inside.pop()
-            while at < len(able) and able[at][0] == i:
-                inside.append(able[at][2:])
-                at += 1
-            if text and kept[i]:
-                n = len(text.strip())
-                total += n
-                if inside:
-                    chars[inside[-1][1]] += n
-        return chars, total
+        able = sorted((first, -i, end, key) for i, (_, first, end, key, _) in enumerate(self.elements)
+                      if key is not None and first < end and not gone[first])  # parents come before children
+        before = self._chars_before(kept)
+        return {key: before[end] - before[first] for first, _, end, key in able}, before[-1]
+
+    def _chars_before(self, kept) -> list[int]:
+        """Characters of the kept texts before each text, and of all at the end."""
+        return list(itertools.accumulate(
+            (len(t.strip()) if t and k else 0 for t, k in zip(self.texts, kept)), initial=0))
 
     def _kept(self, templates: frozenset[int]) -> tuple[bytearray, bytearray]:
         """Which texts are main text; which are in templates or elements of no content."""
         gone, keep, heading = (bytearray(len(self.texts) + 1) for _ in range(3))
-        articles, mains, headers = [], [], []
-        for tag, first, end, digest, no_content in reversed(self.elements):  # parents come before children
+        articles, mains, headers, soft = [], [], [], False
+        for tag, first, end, key, no_content in reversed(self.elements):  # parents come before children
+            if first < end and not gone[first]:
+                if no_content == HARD:
+                    gone[first:end] = b"\x01" * (end - first)
+                soft = soft or no_content == SOFT
+        before = self._chars_before(not g for g in gone) if soft else None
+        roots = sorted(first for tag, first, end, *_ in self.elements if tag in ("article", "main")) if soft else []
+        for tag, first, end, key, no_content in reversed(self.elements):
             if first == end or gone[first]:
                 continue
-            if no_content or tag not in NO_TEMPLATE and digest in templates:
+            if no_content == SOFT and not (bisect_left(roots, first) < bisect_left(roots, end)
+                                           or 2 * (before[end] - before[first]) > before[-1]):
+                gone[first:end] = b"\x01" * (end - first)
+            elif key is not None and key in templates:
                 gone[first:end] = b"\x01" * (end - first)
             elif tag == "article":
                 articles.append((first, end))
@@ -205,6 +242,12 @@ class Page:
     def text(self, templates: frozenset[int]) -> str:
         """The main text without templates and elements of no content; blocks joined by line ends."""
         kept, _ = self._kept(templates)
+        if templates:
+            found, total = self.subtrees()
+            small = frozenset(k for k in templates if found.get(k, 0) < OWN_SHARE * total)
+            for spared in (small, frozenset()):
+                if self._chars_before(kept)[-1] < OWN_SHARE * total:
+                    kept, _ = self._kept(spared)
         blocks, run = [], []
         for i, text in enumerate([*self.texts, None]):
             if text is None:
@@ -271,13 +314,9 @@ def site_templates(pages: DataFrame) -> DataFrame:
         _subtrees, "host bigint, page bigint, copy bigint, total bigint, found array<struct<subtree bigint, chars bigint>>"))
     rows = found.select("host", "page", "copy", "total", F.explode("found").alias("f")).select(
         "host", "page", "copy", "total", "f.*")
-    marked = stored(rows.join(repeated(rows), ["host", "subtree"]).distinct().groupBy("host", "page").agg(
-        F.first("copy").alias("copy"), (F.first("total") - F.sum("chars")).alias("own"), F.first("total").alias("total"),
-        F.collect_list("subtree").alias("subtrees")))
-    counted = marked.where((F.col("total") > 0) & (F.col("own") >= OWN_SHARE * F.col("total")))
-    templates = repeated(counted.select("host", "copy", F.explode("subtrees").alias("subtree")))
-    return marked.select("host", "page", F.explode("subtrees").alias("subtree")).join(
-        templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("_templates"))
+    part = rows.where(F.col("total") - F.col("chars") >= OWN_SHARE * F.col("total"))
+    return rows.select("host", "page", "subtree").distinct().join(
+        repeated(part), ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("_templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -65,3 +65,74 @@ def test_templates_of_hosts_with_one_title(spark):
     texts = {r.page_id: r.text for r in html_templates.extract(pages).collect()}
     assert texts[3] == "Head 3\nA text of its own, number 3"
     assert texts[103] == f"{copied[3:-4]}\nDate 3"  # the copies differ by less than a tenth
+
+
+ARTICLE = "<h1>Title</h1><p>The text of an article about ships and rivers.</p>"
+
+
+@pytest.mark.parametrize("source, text", [
+    ('<div class="content no-sidebar">{}</div>', "Title\nThe text of an article about ships and rivers."),
+    ('<article class="post has-comments">{}</article>', "Title\nThe text of an article about ships and rivers."),
+    ('<form id="aspnetForm"><div class="page">{}<form class="x"><p>mail</p></form></div></form>', None),
+    ('<form><main>{}</main></form>', "Title\nThe text of an article about ships and rivers."),
+    ('<main>{}<section id="related-work"><p>Others wrote</p></section><p class="share-price">It rose</p></main>',
+     "Title\nThe text of an article about ships and rivers.\nOthers wrote\nIt rose"),
+    ('<div class="sidebar"><article>{}</article></div>', "Title\nThe text of an article about ships and rivers."),
+    ('<main>{}<div class="cookie-notice">We use</div><ul class="share-buttons"><li>a</ul><div id="user-comments">1st</div></main>',
+     "Title\nThe text of an article about ships and rivers."),
+    ('<main>{}<form><p>mail</p></form><div class="related posts">More</div></main>',
+     "Title\nThe text of an article about ships and rivers."),
+])
+def test_class_words_and_forms_spare_the_article(source, text):
+    got = Page(source.format(ARTICLE)).text(frozenset())
+    assert got == text if text is not None else got.startswith("Title\nThe text of an article about ships and rivers.")
+
+
+def run(spark, bodies):
+    rows = [(i, f"http://a.example/{i}", b) for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return [r.text for r in sorted(html_templates.extract(pages).collect())]
+
+
+def test_articles_may_cite_the_same_paragraph(spark):
+    quote = "<p>We hold these truths to be self-evident.</p>"
+    parts = [f"<article><h2>Part {i}</h2><p>Own words of part {i}.</p>{quote}<p>End {i}.</p></article>" for i in range(5)]
+    assert run(spark, parts) == [f"Part {i}\nOwn words of part {i}.\n{quote[3:-4]}\nEnd {i}." for i in range(5)]
+    # without article and main a paragraph is a template only at one place of the tree
+    loose = [f"<h2>Part {i}</h2>" + "<p>Some more.</p>" * i + f"<p>Own words of part {i}.</p>{quote}" for i in range(4)]
+    assert all(t.endswith(quote[3:-4]) for t in run(spark, loose))
+    placed = [f"<div><p>Printed by the site</p><p>Own words of part {i}, and more of them.</p></div>" for i in range(4)]
+    assert run(spark, placed) == [f"Own words of part {i}, and more of them." for i in range(4)]
+
+
+def test_copies_of_an_article_in_parts_keep_their_text(spark):
+    body = "".join(f"<div><p>Part {k} of a long article that other pages print too.</p></div>" for k in range(4))
+    texts = run(spark, [f"<article>{body}<p>{i}</p></article>" for i in range(4)])
+    assert all(t.count("long article") == 4 for t in texts)
+
+
+def plain_templates(pages):
+    """Template keys per page of one host, by plain sets."""
+    seen = {}
+    for page in pages:
+        found, total = page.subtrees()
+        for key, chars in found.items():
+            if total - chars >= html_templates.OWN_SHARE * total:
+                seen.setdefault(key, set()).add(page.text(frozenset()))
+    return frozenset(k for k, texts in seen.items() if len(texts) >= html_templates.MIN_PAGES)
+
+
+def test_random_sites_against_a_plain_version(spark):
+    import random
+
+    rng = random.Random(7)
+    blocks = ["<div>Sold here</div>", "<section><p>On all pages</p></section>", "<p>Loose line</p>", "<h2>Head</h2>", "<div class=ad>x</div>"]
+
+    def body():
+        inner = "".join(rng.choice([*blocks, f"<p>own {rng.random()}</p>", f"<div>own {rng.random()}</div>"]) for _ in range(rng.randint(1, 8)))
+        return inner if rng.random() < 0.5 else f"<article>{inner}</article>{rng.choice(blocks)}"
+
+    bodies = [body() for _ in range(60)]
+    pages = [Page(b) for b in bodies]
+    templates = plain_templates(pages)
+    assert run(spark, bodies) == [p.text(templates) for p in pages]
