@@ -6,6 +6,9 @@ documents. All but the last return the columns of documents; the last one return
 
 from __future__ import annotations
 
+import gc
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,21 @@ from estatelens.llm.common import shared_folder, table
 ORACLE_SQL = None  # stages 2 to 5 have no SQL form; tests/llm/test_pipeline.py runs them against plain versions
 
 
+def stage(function):
+    """A stage that first lets go of shuffle files of earlier ones, whose results are written by then.
+
+    Executors drop a shuffle once the driver has collected what refers to it, which alone would take half an hour.
+    """
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Documents whose texts changed: n_chars follows the text."""
     if "n_chars" in columns:
@@ -22,16 +40,19 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(columns)
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, of hosts that pass them."""
     return host_rules.judge(docs, keep_text=True).where("kept").select(docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     return icws.without_near_duplicates(docs)
 
 
+@stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 400-byte strings that start elsewhere too; bytes of cut characters go as well.
 
@@ -42,6 +63,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _with_length(cut.where(~gone).withColumnRenamed("kept_text", "text"), docs.columns)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark's passages; a document of nothing else goes."""
     cut = fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -49,6 +71,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _with_length(cut.where(~gone), docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences."""
     return bin_slack.pack(docs)
@@ -66,8 +89,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, apply in STAGES:
         path = shared_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
