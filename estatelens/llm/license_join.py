@@ -1,12 +1,15 @@
 """License statements in texts, in DataFrame functions only: phrases, and an exact set-similarity join.
 
-Text blocks (lines) and statement templates are token sets in one order, rarest token first by its count over all
-blocks. A block that holds the needed share of a template has one of the template's first |T| - need + 1 tokens
-(prefix filter), is long enough (length filter), and has enough tokens left behind its first match (positional
-filter). What passes is compared in full, so the join is exact.
+Text blocks and statement templates are token sets in one order, rarest token first by its count over all blocks. A
+block is a run of words across line ends, twice as long as the longest template; the next one begins half a block
+later, so a statement wrapped over lines lies whole in some block. A block that holds the needed share of a template
+has one of the template's first |T| - need + 1 tokens (prefix filter), is long enough (length filter), and has enough
+tokens left behind its first match (positional filter). What passes is compared in full, so the join is exact. Of
+templates that hardly differ (a license and its variants) a block has the one that it holds best, then the longest.
 
 Defined results: a null or empty text has no words, labels '' and score 0; repeated rows are scanned one by one; an
-empty table gives no rows; extra columns pass through unless they clash with the result, which then wins.
+empty table gives no rows; other columns pass through whatever their names are, unless they clash with the result,
+which then wins.
 """
 
 from __future__ import annotations
@@ -35,11 +38,21 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
             "that the following conditions are met"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9  # share of a template's tokens that a block must hold
+ALIKE = 0.6  # Jaccard similarity of templates of which a block has only the best
 
 
 def words_of(text: Column) -> Column:
@@ -73,59 +86,86 @@ def _phrase_places(words: Column) -> Column:
     return F.filter(places, lambda p: p.isNotNull())
 
 
+def needed(words: list[str], threshold: float) -> int:
+    return math.ceil(threshold * len(words) - 1e-9)
+
+
+def half_block(templates: list[tuple[str, str]]) -> int:
+    """Words of half a block: those of the longest template, repeated ones counted."""
+    return max(len("".join(c if not c.isascii() or c.isalnum() else " " for c in text).split()) for _, text in templates)
+
+
+def alike(sets: list[tuple[str, list[str]]]) -> list[tuple[int, list[int]]]:
+    """Of each template those that hardly differ from it, itself left out."""
+    def similarity(a: list[str], b: list[str]) -> float:
+        return len(set(a) & set(b)) / len(set(a) | set(b))
+
+    return [(i, [j for j, (_, b) in enumerate(sets) if j != i and similarity(a, b) >= ALIKE]) for i, (_, a) in enumerate(sets)]
+
+
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
     """Columns of docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    sets = template_sets(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    sets, half = template_sets(templates), half_block(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
     result = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    value = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in docs.columns if c not in (*result, text)]
     none = F.lit([]).cast("array<struct<start:bigint,label:string>>")
-    of_words = let(words_of(value), lambda w: F.struct(
+    # A block with the needed share of a template has one of these, as many of its longest words as it may lack and one.
+    telling = sorted({w for _, words in sets for w in sorted(words, key=lambda w: (-len(w), w))[:len(words) - needed(words, threshold) + 1]})
+
+    def blocks(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(half)), lambda i: F.slice(words, i + 1, F.lit(2 * half)))
+        told = F.filter(runs, lambda run: F.arrays_overlap(run, F.lit(telling)))
+        return F.transform(told, lambda run: F.array_intersect(run, F.lit(vocabulary)))
+
+    of_words = let(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.struct(
         F.size(w).cast("bigint").alias("n_words"),
-        F.when((F.size(w) > 0) & F.array_contains(w, "license"), _phrase_places(w)).otherwise(none).alias("places")))
-    blocks = F.filter(
-        F.transform(F.split(value, "\n"), lambda line: F.array_intersect(words_of(line), F.lit(vocabulary))),
-        lambda tokens: F.size(tokens) > 0)
+        F.when((F.size(w) > 0) & F.array_contains(w, "license"), _phrase_places(w)).otherwise(none).alias("places"),
+        F.when(F.arrays_overlap(w, F.lit(telling)), blocks(w)).otherwise(F.lit([]).cast("array<array<string>>")).alias("blocks")))
     # One pass over the texts: a document's places, and of its blocks the words that occur in some template.
-    rows = stored(
-        docs.drop(*result).withColumn("_w", of_words).withColumn("_blocks", blocks)
-        .withColumn("_row", F.monotonically_increasing_id()).drop(text))
-    lines = rows.select("_row", F.explode("_blocks").alias("_tokens"))
-    counted = lines.select(F.explode("_tokens").alias("token")).groupBy("token").count()
+    own = F.struct(*kept) if kept else F.lit(None).cast("struct<_:int>")
+    rows = stored(docs.select(own.alias("own"), of_words.alias("w"), F.monotonically_increasing_id().alias("row")))
+    lines = rows.select("row", F.posexplode("w.blocks").alias("block_no", "tokens"))
+    counted = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
     frequency = {r["token"]: r["count"] for r in counted.collect()}  # at most one row per template word
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
     prefixes = []
-    for number, (label, words) in enumerate(sets):
+    for number, (_, words) in enumerate(sets):
         tokens = sorted(words, key=rank.__getitem__)
-        need = math.ceil(threshold * len(tokens) - 1e-9)
+        need = needed(words, threshold)
         prefix = tokens[:len(tokens) - need + 1]
-        prefixes += [(token, i, number, label, need, prefix, tokens) for i, token in enumerate(prefix)]
-    least = min(p[4] for p in prefixes)
+        prefixes += [(token, i, number, need, prefix, tokens) for i, token in enumerate(prefix)]
+    least = min(p[3] for p in prefixes)
     starts = spark.createDataFrame(
-        prefixes, "_token string, _i int, _template int, _label string, _need int, _prefix array<string>, "
-        "_of array<string>")
-    ordered = lines.select("_row", F.array_intersect(F.lit(order), "_tokens").alias("_block")).where(
-        F.size("_block") >= least)
+        prefixes, "token string, i int, template int, need int, prefix array<string>, of array<string>")
+    ordered = lines.select("row", "block_no", F.array_intersect(F.lit(order), "tokens").alias("block")).where(
+        F.size("block") >= least)
     some = F.lit([w for w in order if w in {p[0] for p in prefixes}])
-    exploded = ordered.select("_row", "_block", F.explode(F.array_intersect(some, F.col("_block"))).alias("_token"))
-    first = F.get(F.array_intersect("_prefix", "_block"), F.lit(0)) == F.col("_token")
-    behind = F.least(F.size("_of") - F.col("_i") - 1, F.size("_block") - F.array_position("_block", F.col("_token")))
-    candidates = exploded.join(F.broadcast(starts), "_token").where(  # a bounded side: a row per prefix word
-        first & (F.size("_block") >= F.col("_need")) & (behind + 1 >= F.col("_need")))
-    overlap = F.size(F.array_intersect("_of", "_block"))
-    found = (
-        candidates.where(overlap >= F.col("_need")).groupBy("_row")
-        .agg(F.collect_set("_label").alias("_more"), F.max(overlap / F.size("_of")).alias("_share")))
-    places, base = F.col("_w.places"), F.array_sort(F.array_distinct(F.col("_w.places.label")))
+    exploded = ordered.select("row", "block_no", "block", F.explode(F.array_intersect(some, F.col("block"))).alias("token"))
+    first = F.get(F.array_intersect("prefix", "block"), F.lit(0)) == F.col("token")
+    behind = F.least(F.size("of") - F.col("i") - 1, F.size("block") - F.array_position("block", F.col("token")))
+    candidates = exploded.join(F.broadcast(starts), "token").where(  # a bounded side: a row per prefix word
+        first & (F.size("block") >= F.col("need")) & (behind + 1 >= F.col("need")))
+    overlap = F.size(F.array_intersect("of", "block"))
+    held = candidates.where(overlap >= F.col("need")).groupBy("row", "block_no").agg(F.collect_list(F.struct(
+        (overlap / F.size("of")).alias("share"), F.size("of").alias("size"), "template")).alias("held"))
+    rivals = F.create_map(*[F.lit(x) for number, others in alike(sets) for x in (number, F.lit(others).cast("array<int>"))])
+    labels = F.array(*[F.lit(label) for label, _ in sets])
+    best = F.filter("held", lambda x: ~F.exists("held", lambda y: (y > x) & F.array_contains(
+        F.element_at(rivals, x["template"]), y["template"])))
+    found = held.select("row", F.explode(best).alias("b")).groupBy("row").agg(
+        F.collect_set(F.get(labels, F.col("b.template"))).alias("more"), F.max("b.share").alias("share"))
+    places, base = F.col("w.places"), F.array_sort(F.array_distinct(F.col("w.places.label")))
     empty = F.lit([]).cast("array<string>")
-    return rows.join(found, "_row", "left").select(
-        *(F.col(c) for c in rows.columns if not c.startswith("_")),
-        F.col("_w.n_words").alias("n_words"), F.size(places).cast("bigint").alias("n_base"),
-        F.array_min("_w.places.start").alias("first_word"), F.array_max("_w.places.start").alias("last_word"),
+    return rows.join(found, "row", "left").select(
+        *(F.col("own").getField(c).alias(c) for c in kept),
+        F.col("w.n_words").alias("n_words"), F.size(places).cast("bigint").alias("n_base"),
+        F.array_min("w.places.start").alias("first_word"), F.array_max("w.places.start").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.coalesce("_more", empty))), ",").alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"))
+        F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", empty))), ",").alias("labels"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))

@@ -65,8 +65,11 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_SETS = license_join.template_sets(license_join.TEMPLATES)
 _TEMPLATE_ROWS = ", ".join(
-    f"({n}, '{label}', {words!r})" for n, (label, words) in enumerate(license_join.template_sets(license_join.TEMPLATES)))
+    f"({n}, '{label}', {words!r}, {others!r}::INTEGER[])"
+    for (n, others), (label, words) in zip(license_join.alike(_SETS), _SETS))
+_HALF = license_join.half_block(license_join.TEMPLATES)
 ORACLES["op5_license_join"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 low AS (SELECT r, doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d),
@@ -76,11 +79,14 @@ s AS (SELECT r, i, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM p WINDOW
 h AS (SELECT r, i, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache'
         WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM s),
 base AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM h WHERE label IS NOT NULL GROUP BY r),
-t(n, label, words) AS (VALUES """ + _TEMPLATE_ROWS + r"""),
-b AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM low),
-bt AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM b),
-o AS (SELECT r, label, len(words) AS size, len(list_intersect(bt.w, words)) AS n FROM bt, t),
-m AS (SELECT r, list(DISTINCT label) AS labels, max(n::DOUBLE / size) AS share FROM o WHERE n >= ceil(0.9 * size - 1e-9) GROUP BY r)
+t(n, label, words, others) AS (VALUES """ + _TEMPLATE_ROWS + r"""),
+b AS (SELECT r, w, unnest(range(0, len(w), """ + str(_HALF) + r""")) AS pos FROM w),
+bt AS (SELECT r, pos, list_distinct(w[pos + 1:pos + """ + str(2 * _HALF) + r"""]) AS w FROM b),
+o AS (SELECT r, pos, t.n AS k, label, others, len(words) AS size, len(list_intersect(bt.w, words)) AS n FROM bt, t),
+k AS (SELECT *, n::DOUBLE / size AS share FROM o WHERE n >= ceil(0.9 * size - 1e-9)),
+g AS (SELECT x.r, x.label, x.share FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.r = x.r AND y.pos = x.pos
+        AND list_contains(x.others, y.k) AND (y.share > x.share OR (y.share = x.share AND (y.size > x.size OR (y.size = x.size AND y.k > x.k)))))),
+m AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM g GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
   coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,
   coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), 'string_agg', ','), '') AS labels,

@@ -55,6 +55,11 @@ LICENSED = [
 ]
 
 
+LICENSED += [
+    "\n".join(t.split()) for _, t in license_join.TEMPLATES] + [t.replace(" ", "\n * ", 9) for _, t in license_join.TEMPLATES] + [
+    "Licensed under CC BY-SA 4.0", "all rights reserved " * 40 + "\nlicensed\nunder\ncc by 4.0 " + "x " * 90]
+
+
 def plain_labels(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
@@ -63,13 +68,16 @@ def plain_labels(text):
         p = phrase.split()
         found += [(i, label) for i in range(len(words)) if words[i:i + len(p)] == p]
     labels, best = {x for _, x in found}, 0.0
-    for line in lower.split("\n"):
-        block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for label, tokens in license_join.template_sets(license_join.TEMPLATES):
-            share = len(block & set(tokens)) / len(tokens)
-            if share >= 0.9 - 1e-9:
-                labels.add(label)
-                best = max(best, share)
+    sets = license_join.template_sets(license_join.TEMPLATES)
+    half = license_join.half_block(license_join.TEMPLATES)
+    for at in range(0, len(words), half):
+        block = set(words[at:at + 2 * half])
+        held = [(len(block & set(t)) / len(t), len(t), k) for k, (_, t) in enumerate(sets)]
+        held = [x for x in held if x[0] >= 0.9 - 1e-9]
+        for x in held:
+            if not any(y > x and y[2] in dict(license_join.alike(sets))[x[2]] for y in held):
+                labels.add(sets[x[2]][0])
+                best = max(best, x[0])
     starts = sorted(i for i, _ in found)
     return (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None,
             ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), 1.0 if starts else best)
@@ -83,6 +91,16 @@ def test_licenses_against_plain_python(spark, docs, folder):
         got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
         assert got == plain_labels(text), text
     assert license_join.scan(docs([])).count() == 0
+    for i, (label, _) in enumerate(license_join.TEMPLATES):  # wrapped statements
+        assert label in rows[14 + i].labels.split(",") and rows[14 + i].score >= 0.9
+    assert rows[len(LICENSED) - 2].labels == "cc-by-sa"
+
+
+def test_other_columns_pass_whatever_their_names(spark):
+    names = ["_w", "_row", "own", "row", "tokens", "block", "token", "held", "labels"]
+    df = spark.createDataFrame([(1, "MIT License", *names)], ["doc_id", "text", *names])
+    row = license_join.scan(df).first()
+    assert all(row[n] == n for n in names[:-1]) and row.labels == "mit" and row.doc_id == 1
 
 
 @pytest.mark.parametrize("name, texts", [("op4_host_rules", ODD), ("op5_license_join", LICENSED)])
