@@ -51,6 +51,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def own_columns(docs: DataFrame, *without: str) -> tuple[Column, list[Column]]:
+    """The columns of docs but some, as one struct `own` that nothing can clash with, and those columns out of it."""
+    names = [c for c in docs.columns if c not in without]
+    held = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)]
+    own = F.struct(*held) if held else F.struct(F.lit(None).cast("int").alias("none"))
+    return own.alias("own"), [F.col(f"own.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

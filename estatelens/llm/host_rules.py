@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, stored
+from .common import let, own_columns, SPACE, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -59,16 +59,17 @@ def _measures(text: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs and one struct `rules` of measures and failures."""
-    m = F.col("_m")
-    counts = docs.withColumn("_m", _measures(F.coalesce(F.col(text), F.lit(""))))
+    m = F.col("m")
+    own, columns = own_columns(docs, "rules")
+    counts = docs.select(own, _measures(F.coalesce(F.col(text), F.lit(""))).alias("m"))
     base = (m["w"]["n_words"] < MIN_WORDS) | (100 * m["w"]["n_repeat_words"] > int(100 * MAX_REPEAT_SHARE) * m["w"]["n_words"])
-    return counts.withColumn("rules", F.struct(
+    return counts.select(*columns, F.struct(
         m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"),
         base.alias("base_failed"),
         (m["n_symbols"] > MAX_SYMBOL_SHARE * m["word_chars"]).alias("symbols_failed"),
         (m["n_dup_lines"] > MAX_DUP_LINE_SHARE * m["n_lines"]).alias("lines_failed"),
-    )).drop("_m")
+    ).alias("rules"))
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
@@ -105,6 +106,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep_text:
     measured = measure(docs, text)
     measured = stored(measured if keep_text else measured.drop(text))
     bad = host_rates(measured, host).where(F.col("rate") > MAX_HOST_RATE).select(
-        F.col("host").alias("_host"), F.lit(True).alias("_bad_host"))
-    joined = measured.join(bad, F.col(host) == F.col("_host"), "left")
-    return joined.withColumn("kept", ~F.col("rules.base_failed") & F.col("_bad_host").isNull()).drop("_host", "_bad_host")
+        F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    own, columns = own_columns(measured, "kept")
+    joined = measured.select(own, F.col(host).alias("of_host"), F.col("rules.base_failed").alias("failed")).join(
+        bad, F.col("of_host") == F.col("bad_host"), "left")
+    return joined.select(*columns, (~F.col("failed") & F.col("bad").isNull()).alias("kept"))

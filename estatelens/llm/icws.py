@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import DOC_END, ask, mixed, pack, to_blocks, unpack, unpacked, word_hashes
-from .common import partitions_for, ship, stored
+from .common import own_columns, partitions_for, ship, stored
 from .fm_index import _TO_WORDS as WORD_BYTES
 
 ship(__name__)
@@ -359,14 +359,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Columns of docs without the text, with class_id, class_size and n_links (leaders and members of its text)."""
-    rows = docs.drop("class_id", "class_size", "n_links", "h", "first_h").withColumn(
-        "h", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).drop("text")
-    return rows.join(classes(docs, threshold).drop("first_h"), "h").drop("h")
+    own, columns = own_columns(docs, "text", "class_id", "class_size", "n_links")
+    rows = docs.select(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"))
+    return rows.join(classes(docs, threshold), "h").select(*columns, "class_id", "class_size", "n_links")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one with the smallest doc_id, and of equal rows one."""
-    first = classes(docs, threshold).where(F.col("h") == F.col("first_h")).select("h", F.col("class_id").alias("_first"))
-    keyed = docs.withColumn("_h", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(first, (F.col("_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_h", "doc_id"]).select(docs.columns)
+    first = classes(docs, threshold).where(F.col("h") == F.col("first_h")).select(
+        F.col("h").alias("first_h"), F.col("class_id").alias("first_id"))
+    own, columns = own_columns(docs)
+    keyed = docs.select(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"), F.col("doc_id").alias("id"))
+    kept = keyed.join(first, (F.col("h") == F.col("first_h")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return kept.dropDuplicates(["h", "id"]).select(*columns)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, let, lower_ascii, stored
+from .common import NOT_ALNUM, let, lower_ascii, own_columns, stored
 
 # Phrases and the label of each.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
     sets, half = template_sets(templates), half_block(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
     result = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kept = [c for c in docs.columns if c not in (*result, text)]
+    own, kept = own_columns(docs, *result, text)
     none = F.lit([]).cast("array<struct<start:bigint,label:string>>")
     # A block with the needed share of a template has one of these, as many of its longest words as it may lack and one.
     telling = sorted({w for _, words in sets for w in sorted(words, key=lambda w: (-len(w), w))[:len(words) - needed(words, threshold) + 1]})
@@ -126,8 +126,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
         F.when((F.size(w) > 0) & F.array_contains(w, "license"), _phrase_places(w)).otherwise(none).alias("places"),
         F.when(F.arrays_overlap(w, F.lit(telling)), blocks(w)).otherwise(F.lit([]).cast("array<array<string>>")).alias("blocks")))
     # One pass over the texts: a document's places, and of its blocks the words that occur in some template.
-    own = F.struct(*kept) if kept else F.lit(None).cast("struct<_:int>")
-    rows = stored(docs.select(own.alias("own"), of_words.alias("w"), F.monotonically_increasing_id().alias("row")))
+    rows = stored(docs.select(own, of_words.alias("w"), F.monotonically_increasing_id().alias("row")))
     lines = rows.select("row", F.posexplode("w.blocks").alias("block_no", "tokens"))
     counted = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
     frequency = {r["token"]: r["count"] for r in counted.collect()}  # at most one row per template word
@@ -163,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
     places, base = F.col("w.places"), F.array_sort(F.array_distinct(F.col("w.places.label")))
     empty = F.lit([]).cast("array<string>")
     return rows.join(found, "row", "left").select(
-        *(F.col("own").getField(c).alias(c) for c in kept),
+        *kept,
         F.col("w.n_words").alias("n_words"), F.size(places).cast("bigint").alias("n_base"),
         F.array_min("w.places.start").alias("first_word"), F.array_max("w.places.start").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),

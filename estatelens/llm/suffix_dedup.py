@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ask, mixed, text_blocks, texts_of, unpacked
-from .common import partitions_for, ship, stored
+from .common import own_columns, partitions_for, ship, stored
 
 ship(__name__)
 
@@ -318,9 +318,10 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Columns of docs without the text, with n_bytes, n_removed, n_spans, kept_sha256; on request `kept`, the bytes
     that stay, and `kept_text`, their whole characters (a cut may fall inside one)."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.drop(*RESULT, "h", "kept", "kept_text").withColumns(
-        {"h": F.unhex(F.md5(text)), "n_bytes": F.octet_length(text).cast("bigint"), "_sha": F.sha2(text, 256)})
-    rows = own if keep_text else own.drop("text")
+    own, own_names = own_columns(docs, *RESULT, "text", *(["kept", "kept_text"] if keep_text else []))
+    keyed = docs.select(own, F.unhex(F.md5(text)).alias("h"), F.octet_length(text).cast("bigint").alias("n_bytes"),
+                        F.sha2(text, 256).alias("_sha"), F.col("text").alias("text"))
+    rows = keyed if keep_text else keyed.drop("text")
     long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
     blocks = stored(text_blocks(long, "h", "binary", chars=BLOCK_CHARS))
     answered = blocks.join(ask(blocks, _places_question, _places_answer), "block")
@@ -333,14 +334,14 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     found = blocks.join(per_block, "block").mapInArrow(
         _cut, "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string").select(
         "h", *(F.col(c).alias(f"_{c}") for c in columns[1:]))
-    copies = own.where(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    copies = keyed.where(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")
     copied = F.col("_copies").isNotNull()
     kept = [
         F.when(copied, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("text").cast("binary"))).alias("kept"),
         F.when(copied, F.lit("")).otherwise(F.coalesce("_kept_text", "text")).alias("kept_text"),
     ] if keep_text else []
     return rows.join(copies, "h", "left").join(found, "h", "left").select(
-        *(c for c in docs.columns if c not in ("text", "kept", "kept_text", "h", *RESULT)), "n_bytes",
+        *own_names, "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept_sha256", "_sha")).alias("kept_sha256"),

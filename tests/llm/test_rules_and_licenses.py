@@ -111,3 +111,20 @@ def test_sql_twins_on_odd_texts(spark, docs, folder, name, texts):
     columns = ", ".join(QUERIES[name](spark, sf).columns)
     want = con.sql(f"SELECT {columns} FROM ({ORACLES[name]}) ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in QUERIES[name](spark, sf).orderBy("doc_id").collect()] == want
+
+
+def test_clashing_columns_pass_every_operator(spark):
+    """Names that the operators use inside come back as they went in."""
+    from estatelens.llm import host_rules, icws, suffix_dedup
+
+    names = ["h", "first_h", "_h", "_first", "_host", "_bad_host", "_m", "_sha", "_copies", "_kept", "own", "bad", "m", "of_host", "key",
+             "node", "root", "id", "first_id", "with.dot", "block"]
+    text = "one two three four five six seven eight nine ten " * 60
+    rows = [(i, text if i < 2 else f"text number {i} " * 40, "src", *names) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    results = [host_rules.judge(df, keep_text=True), host_rules.judge(df), icws.near_duplicates(df), icws.without_near_duplicates(df),
+               suffix_dedup.dedup(df), suffix_dedup.dedup(df, keep_text=True), license_join.scan(df)]
+    for result in results:
+        got = [r.asDict() for r in result.collect()]
+        assert len(got) == (3 if result is results[3] else 4)
+        assert all(r[n] == n for r in got for n in names), result.columns
