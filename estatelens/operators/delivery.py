@@ -60,9 +60,9 @@ def delivery_health(attempts: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failed"),
         F.max(F.when(ok, F.col("at"))).alias("last_ok_at"),
         F.max_by(failure, F.when(~ok, at)).alias("_last"),
-    ).withColumn("_k", F.lit(1))
-    waiting = pending_envelopes(attempts).agg(F.count("*").alias("backlog")).withColumn("_k", F.lit(1))
-    return head.join(waiting, "_k").select(
+    )
+    backlog = pending_envelopes(attempts).agg(F.count("*")).scalar()
+    return head.withColumn("backlog", backlog).select(
         "attempts", "delivered", "failed", "last_ok_at",
         F.col("_last.at").alias("last_failure_at"),
         F.col("_last.status").alias("last_failure_status"),

@@ -199,10 +199,11 @@ def scan_totals(per_artifact: DataFrame, skips: DataFrame, connections: DataFram
         F.coalesce(F.sum("pinned_odbc"), F.lit(0)).alias("pinned_odbc"),
         F.coalesce(F.sum("pinned_at_risk"), F.lit(0)).alias("pinned_at_risk"),
         F.coalesce(F.sum("custom_dsn"), F.lit(0)).alias("custom_dsn"),
-    ).withColumn("_k", F.lit(1))
-    skipped = skips.agg(F.count("skip_reason").alias("skipped")).withColumn("_k", F.lit(1))
-    listed = connections.agg(F.count("*").alias("connections")).withColumn("_k", F.lit(1))
-    return main.join(skipped, "_k").join(listed, "_k").drop("_k")
+    )
+    return main.withColumns({
+        "skipped": skips.agg(F.count("skip_reason")).scalar(),
+        "connections": connections.agg(F.count("*")).scalar(),
+    })
 
 
 def pinned_at_risk(per_artifact: DataFrame) -> DataFrame:
@@ -284,11 +285,11 @@ def kpi_cards(per_artifact: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce(F.sum("custom_dsn"), F.lit(0)).alias("custom_dsn"),
         F.count_if(risk == "high").alias("will_fail"),
         F.count_if(risk.isin("medium", "unknown")).alias("needs_review"),
-    ).withColumn("_k", F.lit(1))
-    cover = coverage(items).withColumn("_k", F.lit(1))
+    )
+    cover = coverage(items).select(F.struct("total_items", "inspected_items", "score_pct")).scalar()
     return (
-        head.join(cover, "_k")
-        .drop("_k", "not_inspected_items", "other_items")
+        head.withColumn("_cover", cover)
+        .select(*head.columns, "_cover.*")
         .withColumns({
             "will_fail_tone": F.when(F.col("will_fail") > 0, F.lit("high")).otherwise("low"),
             "needs_review_tone": F.when(F.col("needs_review") > 0, F.lit("medium")).otherwise("low"),
@@ -314,6 +315,31 @@ def connector_groups(calls: DataFrame, show_non_migrating: bool = False) -> Data
     )
 
 
+def connector_groups_of_items(calls: DataFrame, gateways: DataFrame) -> DataFrame:
+    """``connector_groups`` of calls that have no risk yet.
+
+    Calls are first counted per item and connector under each gateway state,
+    map-side; the gateway, which belongs to the item, is joined to those counts.
+    """
+    states = {"with": F.lit(True), "without": F.lit(False), "unknown": F.lit(None).cast("boolean")}
+    kinds = {"ok": "ok", "warn": "warn", "fail": "fail", "na": "none"}
+    counts = []
+    for state, gateway in states.items():
+        kind = classify.status_kind(classify.call_risk(F.col("migration"), F.col("implementation"), F.col("custom_dsn"), gateway))
+        counts += [F.count_if(kind == value).alias(f"_{out}_{state}") for out, value in kinds.items()]
+    per_item = calls.groupBy(*KEYS, "connector_kind").agg(
+        F.bool_or("is_migrating").alias("any_migrating"), F.count("*").alias("calls"), *counts)
+    gateway = F.col("has_gateway")
+
+    def known(out: str) -> Column:
+        return F.when(gateway, F.col(f"_{out}_with")).when(~gateway, F.col(f"_{out}_without")).otherwise(F.col(f"_{out}_unknown"))
+
+    return per_item.join(gateways.select(*KEYS, "has_gateway"), KEYS, "left").groupBy("connector_kind").agg(
+        F.bool_or("any_migrating").alias("any_migrating"), F.sum("calls").alias("calls"),
+        *[F.sum(known(out)).alias(out) for out in kinds],
+    ).orderBy(*_group_order())
+
+
 def _group_order():
     return [F.desc("any_migrating"), F.desc("calls"), F.asc("connector_kind")]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +19,26 @@ CALL_ORDER = ["part_idx", "expr_idx", "call_pos"]
 @dataclass(frozen=True)
 class ImpactReport:
     """The tables of one scan. ``calls`` feeds most outputs: persist it when
-    several are asked for."""
+    several are asked for. ``served`` holds the items that partition frames
+    answered; ``connections_error`` says why a listing is missing."""
 
     items: DataFrame
     calls: DataFrame
     artifacts: DataFrame
     skips: DataFrame
     connections: DataFrame
+    served: DataFrame | None = None
+    scope: str = "workspace"
+    connections_error: str = ""
 
     def summary(self) -> DataFrame:
         return impact.scan_totals(self.artifacts, self.skips, self.connections)
 
-    def filtered(self, risk) -> DataFrame:
-        return impact.filtered_calls(self.calls, risk)
+    def filtered(self, risk) -> ImpactReport:
+        """The report of the calls of the requested risks; items left without calls fall out of its artifacts."""
+        calls = impact.filtered_calls(self.calls, risk)
+        gateways = calls.select(*KEYS, "has_gateway").distinct()
+        return replace(self, calls=calls, artifacts=impact.artifacts(calls, gateways))
 
     def table(self) -> DataFrame:
         return impact.call_table(self.items, self.calls)
@@ -79,7 +86,8 @@ def scan_items(
     skips = impact.skip_reasons(items, yielded, every, include_non_migrating, frame_expressions, extract.too_deep(readable))
     kept = impact.relevant(every, include_non_migrating)
     return ImpactReport(
-        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections
+        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections,
+        None if frame_expressions is None else frame_expressions.select(*KEYS).distinct(),
     )
 
 
@@ -105,5 +113,5 @@ def scan_tenant(
     skips = impact.skip_reasons(items, expressions, every, include_non_migrating)
     kept = impact.relevant(every, include_non_migrating)
     return ImpactReport(
-        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections
+        items, impact.with_risk(kept, gateways), impact.artifacts(kept, gateways), skips, connections, scope="tenant"
     )

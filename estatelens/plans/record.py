@@ -39,6 +39,10 @@ def scan_records(report: ImpactReport, run_id: Column, ts: Column, tenant_hash:
     for part in (per_workspace, kinds, skipped):
         rows = rows.join(part, "workspace_id", "left")
     listed = report.connections.agg(F.count("*")).scalar()
+    served = F.lit(0).cast("bigint")
+    if report.served is not None:
+        hits = report.served.groupBy("workspace_id").agg(F.count_distinct("item_id").alias("_hits"))
+        rows, served = rows.join(hits, "workspace_id", "left"), F.coalesce("_hits", F.lit(0))
     return rows.select(
         "workspace_id", tenant_hash.alias("tenant_hash"), ts.alias("ts"), run_id.alias("run_id"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
@@ -48,4 +52,7 @@ def scan_records(report: ImpactReport, run_id: Column, ts: Column, tenant_hash:
         F.col("inspected_items").alias("inspected_artifacts"),
         F.col("score_pct").cast("double").alias("coverage_score_pct"),
         listed.alias("fabric_connection_count"),
+        F.lit(report.connections_error).alias("fabric_connections_error"),
+        F.lit(report.scope).alias("scope"),
+        served.alias("sempy_hits"),
     )

@@ -881,8 +881,12 @@ SELECT c.workspace_id, 'run-' || c.workspace_id AS run_id, coalesce(a.artifacts_
   coalesce(po, 0)::BIGINT AS pinned_odbc, coalesce(pr, 0)::BIGINT AS pinned_at_risk, coalesce(cd, 0)::BIGINT AS custom_dsn,
   coalesce(s.n, 0)::BIGINT AS skipped_count, c.inspected::BIGINT AS inspected_artifacts,
   round_even(100.0 * c.inspected / c.total, 0)::DOUBLE AS coverage_score_pct, (SELECT count(*) FROM supplier)::BIGINT AS fabric_connection_count,
+  'workspace' AS scope, coalesce(f.hits, 0)::BIGINT AS sempy_hits, '' AS fabric_connections_error,
   coalesce(k.pairs, '') AS counts_by_connector, coalesce(s.pairs, '') AS skipped_by_reason
 FROM cover c LEFT JOIN (
+  SELECT workspace_id, count(DISTINCT item_id) AS hits FROM texts WHERE item_type = 'SemanticModel' AND
+    ((k % 3 = 0 AND k % 5 <> 0 AND expression IS NOT NULL) OR (k % 6 = 0 AND k % 12 <> 0)) GROUP BY 1) f USING (workspace_id)
+LEFT JOIN (
   SELECT workspace_id, count(*) AS artifacts_scanned, count(*) FILTER (worst_risk = 'high') AS risk_high,
     count(*) FILTER (worst_risk = 'medium') AS risk_medium, count(*) FILTER (worst_risk = 'low') AS risk_low,
     count(*) FILTER (worst_risk = 'unknown') AS risk_unknown, count(*) FILTER (worst_risk = 'na') AS risk_na,
@@ -898,7 +902,8 @@ oracle("scan_record_events", """SELECT k, v, count(*)::BIGINT AS n FROM (
   UNION ALL SELECT 'is_first_run', 'True' FROM record_rows UNION ALL SELECT 'current_risk_high', risk_high::VARCHAR FROM record_rows
   UNION ALL SELECT 'first_risk_high', risk_high::VARCHAR FROM record_rows UNION ALL SELECT 'resolved_risk_high', '0' FROM record_rows
   UNION ALL SELECT 'impacted_count', migrating_artifacts::VARCHAR FROM record_rows
-  UNION ALL SELECT 'skipped_count', skipped_count::VARCHAR FROM record_rows) GROUP BY 1, 2""")
+  UNION ALL SELECT 'skipped_count', skipped_count::VARCHAR FROM record_rows UNION ALL SELECT 'scope', scope FROM record_rows
+  UNION ALL SELECT 'sempy_hits', sempy_hits::VARCHAR FROM record_rows) GROUP BY 1, 2""")
 PARTS["exported_calls"] = """
 SELECT workspace_id, item_id, migration, fn = 'Odbc.DataSource' AS custom_dsn,
   CASE WHEN trap = 3 THEN '2.0' WHEN pin > 0 THEN pin || '.0' ELSE '' END AS implementation

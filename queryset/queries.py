@@ -628,7 +628,7 @@ def kpi_cards(spark, sf):
 
 @query
 def connector_groups(spark, sf):
-    return impact.connector_groups(risky(spark, sf, everything=True), show_non_migrating=True)
+    return impact.connector_groups_of_items(all_calls(spark, sf), fx.gateways(spark, sf))
 
 
 @query
@@ -1152,7 +1152,8 @@ def estate_scan(spark, sf):
 
 def scan_records(spark, sf) -> DataFrame:
     report = estate.ImpactReport(
-        fx.plain_items(spark, sf), risky(spark, sf), artifact_rows(spark, sf), skips(spark, sf), flat_connections(spark, sf))
+        fx.plain_items(spark, sf), risky(spark, sf), artifact_rows(spark, sf), skips(spark, sf), flat_connections(spark, sf),
+        served=frames.frame_expressions(fx.partition_frame(spark, sf), fx.shared_frame(spark, sf), ITEM))
     return record.scan_records(
         report, F.concat(F.lit("run-"), "workspace_id"), F.lit("2024-05-01").cast("timestamp"), F.lit("t1"))
 
@@ -1168,7 +1169,7 @@ def scan_record(spark, sf):
         "workspace_id", "run_id", "artifacts_scanned", "risk_high", "risk_medium", "risk_low", "risk_unknown", "risk_na",
         "total_calls", "migrating_artifacts", "pinned_odbc", "pinned_at_risk", "custom_dsn", "skipped_count",
         *_long("inspected_artifacts"), "coverage_score_pct", "fabric_connection_count",
-        shown("counts_by_connector"), shown("skipped_by_reason"))
+        "scope", "sempy_hits", "fabric_connections_error", shown("counts_by_connector"), shown("skipped_by_reason"))
 
 
 @query
@@ -1177,7 +1178,7 @@ def scan_record_events(spark, sf):
     facts = runstate.scan_facts(runstate.with_state(scan_records(spark, sf)))
     bags = runstate.scan_events(facts)
     wanted = ["workspace_id", "run_count", "is_first_run", "current_risk_high", "first_risk_high", "resolved_risk_high",
-              "impacted_count", "skipped_count"]
+              "impacted_count", "skipped_count", "scope", "sempy_hits"]
     return bags.select(F.explode(F.map_filter("custom_dimensions", lambda k, v: k.isin(wanted))).alias("k", "v")).groupBy(
         "k", "v").agg(F.count("*").alias("n"))
 

@@ -359,4 +359,6 @@ def test_estate_scan_keeps_every_item(spark):
     report = estate.scan_items(items, definitions, flatten_connections(fx.raw_connections(spark, sf)), fx.datasources(spark, sf))
     totals = report.summary().first()
     assert totals.artifacts + totals.skipped == items.count()
-    assert report.filtered("will_fail").filter("risk <> 'high'").count() == 0
+    failing = report.filtered("will_fail")
+    assert failing.calls.filter("risk <> 'high'").count() == 0 and failing.artifacts.filter("worst_risk <> 'high'").count() == 0
+    assert failing.artifacts.count() == failing.calls.select("workspace_id", "item_id").distinct().count()
