@@ -79,12 +79,15 @@ def deep_sites(source: str) -> str:
     return let("deep", f"struct({known})", f"transform(deep.heads, deep_head -> {site})")
 
 
-def _found_sites(expressions: DataFrame, excerpts: bool) -> DataFrame:
-    """Call sites with ``_tail`` (argument text; NULL for calls that nest deeply or never close, which have ``_deep``)."""
+def _found_sites(expressions: DataFrame, excerpts: bool, keep_all: bool = False) -> DataFrame:
+    """Call sites with ``_tail`` (argument text; NULL for calls that nest deeply or never close, which have ``_deep``).
+
+    With ``keep_all`` every expression leaves a row, and ``_is_call`` says which rows are external calls.
+    """
     may_call = F.col("expression").contains(".") & F.col("expression").contains("(")
     source = F.col("_hidden")
     tails = F.regexp_extract_all(source, F.lit(_CALL_WINDOW), F.lit(2))
-    hidden = expressions.filter(may_call).withColumn(
+    hidden = (expressions if keep_all else expressions.filter(may_call)).withColumn(
         "_hidden", text.hide_strings(F.col("expression"))
     ).withColumn("_tails", tails)
     is_hard = F.exists("_tails", lambda t: t == "")
@@ -100,14 +103,20 @@ def _found_sites(expressions: DataFrame, excerpts: bool) -> DataFrame:
         ]
     base = [c for c in expressions.columns if c != "expression"]
     site = F.col("_site")
-    rows = (
-        explode_each(hidden, [*base, "_hidden"], F.arrays_zip(*found), "_pos", "_site")
-        .withColumn("m_function", F.regexp_extract(site["head"], r"^[A-Za-z0-9.]+", 0))
-        .withColumn("prefix", F.lower(F.substring_index("m_function", ".", 1)))
-        .filter(~F.col("prefix").isin(fv.BUILTIN_PREFIXES))
-    )
+    sites = F.arrays_zip(*found)
+    if keep_all:
+        exploded = hidden.select(*base, "_hidden", F.posexplode_outer(F.when(may_call, sites)).alias("_pos", "_site"))
+    else:
+        exploded = explode_each(hidden, [*base, "_hidden"], sites, "_pos", "_site")
+    rows = exploded.withColumn("m_function", F.regexp_extract(site["head"], r"^[A-Za-z0-9.]+", 0)).withColumn(
+        "prefix", F.lower(F.substring_index("m_function", ".", 1)))
+    is_call = ~F.col("prefix").isin(fv.BUILTIN_PREFIXES)
+    if not keep_all:
+        rows = rows.filter(is_call)
     out = [*base, F.col("_pos").alias("call_pos"), "m_function", "prefix", "_hidden",
            text.reveal_strings(text.non_empty(site["tail"])).alias("_tail"), site["deep"].alias("_deep")]
+    if keep_all:
+        out.append(F.coalesce(is_call, F.lit(False)).alias("_is_call"))
     if excerpts:
         around = F.concat(site["before"], site["head"], site["after"])
         out.append(text.reveal_strings(around).alias("around"))
@@ -181,6 +190,17 @@ def scan_expressions(
     })
 
 
+def expression_yields(expressions: DataFrame, keys: list[str], rules=None, names=None) -> DataFrame:
+    """Per expression and call (keys, ``is_call``, ``is_relevant``), expressions without calls included, in one pass.
+
+    What asks both which items have expressions and what their calls are reads the texts once.
+    """
+    sites = classify_sites(_found_sites(expressions, False, keep_all=True), rules, names)
+    wanted = (F.col("migration") != "none") | F.col("custom_dsn")
+    return site_details(sites).select(
+        *keys, F.col("_is_call").alias("is_call"), (F.col("_is_call") & F.coalesce(wanted, F.lit(False))).alias("is_relevant"))
+
+
 def migrating_calls(calls: DataFrame) -> DataFrame:
     return calls.filter("migration <> 'none'")
 

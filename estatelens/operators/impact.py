@@ -63,13 +63,30 @@ def skip_reasons(
     answered: whether their definition could be fetched does not matter.
     ``too_deep`` holds the items with a document that cannot be read.
     """
+    rows = expressions.select(*KEYS, F.lit(False).alias("is_call"), F.lit(False).alias("is_relevant")).unionByName(
+        calls.select(*KEYS, F.lit(True).alias("is_call"), is_relevant().alias("is_relevant")))
+    return skip_reasons_of(items, rows, include_non_migrating, served, too_deep)
+
+
+def skip_reasons_of(
+    items: DataFrame,
+    yields: DataFrame,
+    include_non_migrating: bool = False,
+    served: DataFrame | None = None,
+    too_deep: DataFrame | None = None,
+) -> DataFrame:
+    """``skip_reasons`` from rows (keys, ``is_call``, ``is_relevant``) of everything that was inspected.
+
+    ``calls.expression_yields`` makes them in one pass over the texts; they are
+    reduced to items, map-side, and meet the inventory in one join.
+    """
     inspected = F.col("item_type").isin(fv.INSPECTED_TYPES)
-    todo = items.filter(inspected).select(*KEYS)
-    has_expr = expressions.select(*KEYS).groupBy(*KEYS).agg(F.lit(True).alias("_has_expr"))
-    per_item = calls.groupBy(*KEYS).agg(
-        F.lit(True).alias("_has_calls"), F.bool_or(is_relevant()).alias("_relevant")
+    found = yields.groupBy(*KEYS).agg(
+        F.lit(True).alias("_has_expr"),
+        F.when(F.bool_or("is_call"), F.lit(True)).alias("_has_calls"),
+        F.bool_or("is_relevant").alias("_relevant"),
     )
-    found = todo.join(has_expr, KEYS, "left").join(per_item, KEYS, "left")
+    found = items.select(*KEYS).distinct().join(found, KEYS, "left") if served is not None or too_deep is not None else found
     status = F.col("fetch_status")
     if served is not None:
         found = found.join(served.select(*KEYS).distinct().withColumn("_served", F.lit(True)), KEYS, "left")

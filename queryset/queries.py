@@ -82,8 +82,9 @@ def artifact_rows(spark, sf, everything=False) -> DataFrame:
 
 
 def skips(spark, sf) -> DataFrame:
-    found = fx.expressions(spark, sf).select(*ITEM).unionByName(refs(spark, sf).select(*ITEM))
-    return impact.skip_reasons(fx.plain_items(spark, sf), found, all_calls(spark, sf))
+    of_refs = ref_calls(spark, sf).select(*ITEM, F.lit(True).alias("is_call"), impact.is_relevant().alias("is_relevant"))
+    yields = calls.expression_yields(fx.expressions(spark, sf), ITEM).unionByName(of_refs)
+    return impact.skip_reasons_of(fx.plain_items(spark, sf), yields)
 
 
 # --- 2.1 sources and sinks --------------------------------------------------------
