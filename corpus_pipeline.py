@@ -6,28 +6,23 @@ documents. All but the last return the columns of documents; the last one return
 
 from __future__ import annotations
 
-import gc
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm import bin_slack, fm_index, host_rules, icws, suffix_dedup
-from estatelens.llm.common import shared_folder, table
+from estatelens.llm.common import let_go, shared_folder, table
 
 ORACLE_SQL = None  # stages 2 to 5 have no SQL form; tests/llm/test_pipeline.py runs them against plain versions
 
 
 def stage(function):
-    """A stage that first lets go of shuffle files of earlier ones, whose results are written by then.
-
-    Executors drop a shuffle once the driver has collected what refers to it, which alone would take half an hour.
-    """
+    """A stage that first lets go of shuffle files of earlier ones, whose results are written by then."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        let_go(spark)
         return function(spark, docs, sf_dir)
 
     return run_stage

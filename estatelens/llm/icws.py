@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import DOC_END, ask, mixed, pack, to_blocks, unpack, unpacked, word_hashes
-from .common import own_columns, partitions_for, ship, stored
+from .common import let_go, own_columns, partitions_for, ship, stored
 from .fm_index import _TO_WORDS as WORD_BYTES
 
 ship(__name__)
@@ -284,12 +284,14 @@ def links(buckets: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
     popular = buckets.join(sizes, ["band", "key"]).groupBy("h").agg(F.sum(F.col("n") - 1).alias("popular"))
     members = stored(buckets.select("band", "key", "h", "weight").join(popular, "h"))
+    let_go(buckets.sparkSession)
     leaders = members.groupBy("band", "key").agg(F.max(F.struct("popular", "h", "weight")).alias("l"))
     alike = F.least("weight", "l.weight") >= F.greatest("weight", "l.weight") * (threshold - 1e-9)
     edges = members.join(leaders, ["band", "key"]).where((F.col("h") != F.col("l.h")) & alike).groupBy("h").agg(
         F.max("l").alias("l")).select("h", F.col("l.h").alias("leader"))
     near = compare(stored(edges), vectors).where(F.col("similarity") >= threshold).select("h", "leader")
     found = stored(near)
+    let_go(buckets.sparkSession)
 
     roots = components(found, "h", "leader")
     rooted = members.join(roots, F.col("h") == F.col("node"), "left").select(
@@ -335,17 +337,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     answered = blocks.join(ask(blocks, _frequency_question, _frequency_answer(n_docs)), "block", "left")
     sampled = stored(answered.mapInArrow(
         _samples, "block bigint, h binary, keys array<bigint>, weight double, codes binary"))
+    let_go(docs.sparkSession)
     buckets = sampled.select("h", "weight", F.posexplode("keys").alias("band", "key")).groupBy("band", "key", "h").agg(
         F.min("weight").alias("weight"))
     met = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(buckets.join(met, ["band", "key"]))
+    let_go(docs.sparkSession)
     place = F.struct("block", "codes")
     wanted = (
         sampled.join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min_by(place, "block").alias("p"))
         .groupBy("p.block").agg(F.collect_list(F.struct("h", F.col("p.codes").alias("codes"))).alias("wanted")))
     vectors = stored(blocks.join(wanted, "block").mapInArrow(
         _vectors, "h binary, shingle binary, times binary, codes binary"))
+    let_go(docs.sparkSession)
     near = stored(links(shared, vectors, threshold))
+    let_go(docs.sparkSession)
     degree = near.select(F.explode(F.array("h", "leader")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     roots = components(near, "h", "leader")
     texts = keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
