@@ -69,8 +69,33 @@ def test_ngrams_stay_inside_their_text():
 
 
 def test_votes_against_plain_neighbours():
-    space = quality_knn.Space.fit(np.random.default_rng(0).random((60, 40)).astype(np.float32), np.arange(60) % 3 > 0)
-    assert space.vectors.shape == (60, 40) and np.allclose(np.linalg.norm(space.vectors, axis=1), 1, atol=1e-4)
+    rng = random.Random(1)
+    words = ["river", "stone", "maple", "bread", "cheap", "bonus", "|", "%%", "Prize!", "хлеб"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    texts += texts[:30]  # ties
+    labels = np.array([i % 3 > 0 for i in range(len(texts))])
+    space = quality_knn.Space.fit(quality_knn.term_shares(texts), labels)
+    asked = texts[:20] + ["", "river river", "unknown words only", "bonus " * 500]
+    got = space.score(asked)
+    known = [v.astype(np.float64) for v in space.vectors]
+    for text, score in zip(asked, got):
+        vector = quality_knn._to_unit(quality_knn.weighted(quality_knn.term_shares([text]), space.idf) @ space.axes)[0]
+        cosines = [float(np.float32(vector @ v)) for v in space.vectors]
+        nearest = sorted(range(len(known)), key=lambda i: (-round(cosines[i], 5), i))[:quality_knn.NEIGHBOURS]
+        weights = [max(cosines[i], 0.0) for i in nearest]
+        votes = sum(w for w, i in zip(weights, nearest) if labels[i])
+        assert abs(score - (votes / sum(weights) if sum(weights) > 0 else 0)) < 0.08
+    exact = [s for s, t in zip(got, asked) if t and t in texts]
+    assert len(exact) >= 10
+
+
+def test_repeated_ids_take_the_least_text(spark, docs):
+    from estatelens.llm.labelled import training_sample
+
+    rows = docs(["b", "x"]).unionByName(docs(["a", None])).unionByName(docs(["c"]))
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id bigint, toxic int")
+    found = training_sample(rows, labels, "toxic", 7, 6, 10).collect()
+    assert {(r.doc_id, r.text) for r in found} <= {(0, "a"), (1, "")}
 
 
 def test_quality_by_wording_alone(spark, docs, folder):
