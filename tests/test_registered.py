@@ -19,6 +19,8 @@ SAMPLE = [
     "strings_for_key", "mask_strings", "calls_all", "redact_secrets", "activity_calls", "portal_link", "skip_reason",
     "kpi_cards", "tenant_rollup", "no_new_refresh", "baseline_reset", "scan_event", "pending_retries", "reach_from_log",
     "duration_percentiles", "clones_wide", "stream_latest_run", "stream_first_terminal", "estate_scan",
+    "refreshes_around", "first_rules", "adoption_approx", "stream_late_rows", "sink_snapshot", "expr_join_lines",
+    "ref_migration_table", "value_rollup", "connector_groups", "scan_record", "arg_window",
 ]
 NAMES = list(entry_module.oracle_sql()) if os.environ.get("FULL_CHECK") else SAMPLE
 
