@@ -437,6 +437,11 @@ def states(spark, sf) -> DataFrame:
     return runstate.with_state(scans(spark, sf))
 
 
+def newest_scan(spark, sf):
+    """The time of the newest scan, read from the one column that holds it."""
+    return table(spark, sf, "orders").agg(F.max("o_orderdate")).scalar()
+
+
 def resets(spark, sf) -> DataFrame:
     """Reset markers: a few scans of some workspaces."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -859,7 +859,7 @@ def session_rollup(spark, sf):
 
 @query
 def adoption_30d(spark, sf):
-    return events.adoption(fx.facts(spark, sf))
+    return events.adoption(fx.facts(spark, sf), as_of=fx.newest_scan(spark, sf))
 
 
 @query
@@ -897,12 +897,12 @@ def improvement(spark, sf):
 
 @query
 def connector_mix(spark, sf):
-    return events.connector_mix(fx.facts(spark, sf))
+    return events.connector_mix(fx.facts(spark, sf), as_of=fx.newest_scan(spark, sf))
 
 
 @query
 def stay_at_risk(spark, sf):
-    return events.stay_at_risk(fx.facts(spark, sf))
+    return events.stay_at_risk(fx.facts(spark, sf), as_of=fx.newest_scan(spark, sf))
 
 
 @query
@@ -938,7 +938,7 @@ def value_rollup(spark, sf):
 
 @query
 def daily_trend(spark, sf):
-    return events.daily_trend(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.daily_trend(fx.facts(spark, sf), as_of=fx.newest_scan(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
@@ -1013,7 +1013,7 @@ def days_to_return(spark, sf):
 
 @query
 def volume_30d(spark, sf):
-    return events.volume(fx.facts(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return events.volume(fx.facts(spark, sf), as_of=fx.newest_scan(spark, sf)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query
