@@ -23,6 +23,7 @@ ship(__name__)
 
 DOC_END = b"\x01"
 BLOCK_CHARS = 4_000_000
+BLOCKS_PER_SHARD = 8  # blocks whose distinct keys make up a shard, at most
 TEXT_LEVEL = 4  # blocks are written once, and shuffled once more
 
 
@@ -112,14 +113,20 @@ def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def shards_for(blocks: DataFrame) -> int:
+    """Shards that written blocks ask: as many as shuffle partitions, or as the blocks call for."""
+    return max(partitions_for(blocks.sparkSession), -(-blocks.count() // BLOCKS_PER_SHARD))
+
+
 def ask_shards(blocks: DataFrame, question: Callable, answer: Callable) -> DataFrame:
     """Rows (block, replies): replies is an array of (shard, reply) of the answers to a block's questions.
 
     question(row, shards) gives (shard, bytes) pairs; answer(list of such bytes of one shard) gives as many byte
-    strings. A shard holds a fixed part of the hash space: with the session's partitions, its size stays, however
-    large the input is.
+    strings. A shard is a part of the hash space; there are as many as the session has shuffle partitions, and more
+    where the (written) blocks are many, so that a shard holds what some BLOCKS_PER_SHARD blocks ask, however large the
+    input is and whatever that setting says.
     """
-    shards = partitions_for(blocks.sparkSession)
+    spark, shards = blocks.sparkSession, shards_for(blocks)
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +142,8 @@ def ask_shards(blocks: DataFrame, question: Callable, answer: Callable) -> DataF
         return part.assign(question=answer(part["question"].to_list())).rename(columns={"question": "reply"})
 
     asked = blocks.mapInArrow(questions, "block bigint, shard int, question binary")
+    if shards > partitions_for(spark):
+        asked = asked.repartition(shards, "shard")
     replies = asked.groupBy("shard").applyInPandas(answers, "block bigint, shard int, reply binary")
     return replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "reply"))).alias("replies"))
 

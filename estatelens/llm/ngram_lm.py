@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import (
-    ask, ask_shards, mixed, pack, packed_keys, shard_bounds, text_blocks, texts_of, unpack, unpacked, unpacked_keys,
+    ask, ask_shards, mixed, pack, packed_keys, shard_bounds, shards_for, text_blocks, texts_of, unpack, unpacked, unpacked_keys,
 )
-from .common import partitions_for, ship, stored
+from .common import ship, stored
 from .labelled import fold
 
 ship(__name__)
@@ -393,5 +393,5 @@ def score(docs: DataFrame) -> DataFrame:
     answers = ask_shards(blocks, _trigram_question, _trigram_answer)
     joined = blocks.join(words.withColumnRenamed("replies", "word_replies"), "block").join(answers, "block")
     return joined.mapInArrow(
-        _scores(partitions_for(docs.sparkSession), n_docs, n_tokens, n_words),
+        _scores(shards_for(blocks), n_docs, n_tokens, n_words),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
