@@ -12,18 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm import bin_slack, fm_index, host_rules, icws, suffix_dedup
-from estatelens.llm.common import let_go, shared_folder, table
+from estatelens.llm.common import drop_tables, let_go, noted_tables, shared_folder, table
 
 ORACLE_SQL = None  # stages 2 to 5 have no SQL form; tests/llm/test_pipeline.py runs them against plain versions
 
 
+_TABLES: list[str] = []  # intermediate tables of the stages so far
+
+
 def stage(function):
-    """A stage that first lets go of shuffle files of earlier ones, whose results are written by then."""
+    """A stage that first lets go of what earlier ones needed, whose results are written by then.
+
+    Their shuffle files and, but for the first stage, which may begin another run, their intermediate tables go; tables
+    that the documents still read (a result that was not written) stay.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if function is not quality_rules.__wrapped__:
+            _TABLES[:] = drop_tables(spark, _TABLES, docs)
+        else:
+            _TABLES.clear()
         let_go(spark)
-        return function(spark, docs, sf_dir)
+        with noted_tables() as begun:
+            result = function(spark, docs, sf_dir)
+        _TABLES.extend(begun)
+        return result
 
     return run_stage
 

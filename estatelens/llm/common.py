@@ -6,6 +6,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,35 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    for held in _NOTED:
+        held.append(path)
+    return path
+
+
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted_tables():
+    """The paths of the intermediate tables that are begun inside, as a list."""
+    held: list[str] = []
+    _NOTED.append(held)
+    try:
+        yield held
+    finally:
+        _NOTED.remove(held)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Deletes intermediate tables, but those that `needed` reads; returns what stays."""
+    files = needed.inputFiles()
+    stay = [p for p in paths if any(p.rsplit("/", 1)[-1] in f for f in files)]
+    for p in paths:
+        if p not in stay:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return stay
 
 
 def stored(df: DataFrame) -> DataFrame:

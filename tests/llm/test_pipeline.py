@@ -48,6 +48,19 @@ def test_stages_against_plain_versions(spark, docs, folder):
     assert corpus_pipeline.run(spark, sf).count() == len(got["best-fit packing"])
 
 
+def test_tables_of_earlier_stages_go_once_their_result_is_written(spark, docs, folder):
+    texts, item, _ = make_corpus()
+    sf = folder(documents=docs(texts), benchmark=spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    (_, first), (_, second), *_ = corpus_pipeline.STAGES
+    lazy = first(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    begun = list(corpus_pipeline._TABLES)
+    unwritten = second(spark, lazy, sf)  # reads tables of the first stage, which stay
+    assert begun and set(begun) <= set(corpus_pipeline._TABLES)
+    want = sorted(r.doc_id for r in unwritten.collect())
+    assert sorted(r.doc_id for r in second(spark, spark.read.parquet(_written(lazy)), sf).collect()) == want
+    assert not set(begun) & set(corpus_pipeline._TABLES)
+
+
 def _written(df):
     path = corpus_pipeline.shared_folder(df.sparkSession)
     df.write.parquet(path)
