@@ -168,3 +168,30 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role,
+  coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM t),
+crc AS (SELECT conv_id, base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)),
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) % 4 AS h FROM ids),
+r AS (SELECT t.* FROM t JOIN crc USING (conv_id) WHERE p > h
+  UNION ALL SELECT crc.conv_id, t.p, t.role, t.text FROM crc JOIN t ON t.conv_id = crc.base WHERE t.p <= h),
+k AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(role || chr(1) || text), '') OVER w AS key,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own FROM k GROUP BY 1, 2
+  UNION ALL SELECT '', 0, min(conv_id), count(*), 0 FROM ids HAVING count(*) > 0),
+c AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (key)),
+s AS (SELECT left(key, 32 * d) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM a) GROUP BY 1),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (
+  SELECT ids.conv_id, coalesce(arg_max(k.key, k.depth), '') AS key FROM ids LEFT JOIN k USING (conv_id) GROUP BY 1) GROUP BY 1)
+SELECT a.conv_id, a.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, a.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM a JOIN s USING (key) LEFT JOIN n up ON a.depth > 0 AND up.key = left(a.key, length(a.key) - 32) LEFT JOIN e USING (key)
+"""

@@ -97,3 +97,13 @@ def test_query_against_a_plain_version(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = sorted((tuple(r) for r in queries.op13_prefix_trie(spark, sf).collect()), key=str)
     assert got == sorted(plain(rows), key=str)
+
+
+def test_query_against_its_twin(spark):
+    from queryset import check as twins
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op13_prefix_trie(spark, sf).toArrow()
+    want = twins.sql_engine(sf).sql(queries.ORACLES["op13_prefix_trie"]).to_arrow_table()
+    assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in want.schema} | {"ends_sha256": str(got.schema.field("ends_sha256").type)}
+    assert twins.rows_of(got) == twins.rows_of(want)
