@@ -48,3 +48,14 @@ def test_sketches_of_days_add_up(spark):
     exact = rows.filter("timestamp >= '2024-01-04'").agg(F.count("*"), F.count_distinct("tenant")).first()
     assert week.scans == exact[0] and abs(week.tenants - exact[1]) <= 0.05 * exact[1]
     assert tuple(events.counts_from_sketches(parts.limit(0), ["tenants"]).first()) == (0, 0)
+
+
+def test_many_blocks_of_rules_are_one_python_step(spark, monkeypatch):
+    """A step per block would have as many workers, each with its automaton, at work in one task."""
+    monkeypatch.setattr(rules, "BLOCK_CHARS", 200)
+    table = spark.range(300).select("id", F.lit("text"), F.concat(F.lit("no "), "id", F.lit(";"))).toDF("rule_no", "field", "needle")
+    rows = spark.createDataFrame([(1, "no 7; no 3;"), (2, "no 299;"), (2, "no 299;"), (3, None), (4, "no")], "id int, text string")
+    out = rules.first_rules(rows, ["text"], table)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, out.collect()), key=str) == [
+        (1, "no 7; no 3;", 3), (2, "no 299;", 299), (2, "no 299;", 299), (3, None, None), (4, "no", None)]
