@@ -181,7 +181,7 @@ def resolved_map(first: Column, current: Column) -> Column:
         )
 
     kinds = F.array_union(F.map_keys(first), F.map_keys(current))
-    return F.map_from_arrays(kinds, F.transform(kinds, minus))
+    return _once(kinds, lambda names: F.map_from_arrays(names, F.transform(names, minus)))
 
 
 def resolved_by_connector(states: DataFrame) -> DataFrame:
@@ -248,21 +248,37 @@ def scan_facts(states: DataFrame) -> DataFrame:
     return rows.withColumns(flags).drop(*internal)
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often body, or a lambda inside it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _safe_keys(counts: Column) -> Column:
-    """Keys made safe for property names; of names that collide the later wins."""
-    def is_last(entry, i):
-        later = F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
-        return ~F.exists(later, lambda x: x["key"] == entry["key"])
+    """Keys made safe for property names; of names that collide the later wins.
 
-    entries = F.transform(
-        F.map_entries(counts), lambda e: F.struct(safe_key(e["key"]).alias("key"), e["value"].alias("value"))
-    )
-    return F.map_from_entries(F.filter(entries, is_last))
+    The names are made once; only a map in which some collide looks for the later ones.
+    """
+    def last_ones(m):
+        entries = F.arrays_zip(m["names"].alias("key"), m["amounts"].alias("value"))
+
+        def is_last(name, i):
+            return ~F.array_contains(F.slice(m["names"], i + 2, F.size(m["names"])), name)
+
+        kept = F.filter(F.transform(m["names"], lambda n, i: F.when(is_last(n, i), i)), lambda i: i.isNotNull())
+        return _once(entries, lambda e: F.map_from_entries(F.transform(kept, lambda i: F.get(e, i))))
+
+    def named(m):
+        differ = F.size(F.array_distinct(m["names"])) == F.size(m["names"])
+        return F.when(differ, F.map_from_arrays(m["names"], m["amounts"])).otherwise(last_ones(m))
+
+    return _once(counts, lambda c: _once(F.struct(
+        F.transform(F.map_keys(c), safe_key).alias("names"), F.map_values(c).alias("amounts")), named))
 
 
 def _prefixed(column: str, prefix: str) -> Column:
-    named = F.transform_keys(column, lambda k, v: F.concat(F.lit(prefix), k))
-    return F.transform_values(named, lambda k, v: v.cast("string"))
+    return F.map_from_arrays(
+        F.transform(F.map_keys(column), lambda k: F.concat(F.lit(prefix), k)),
+        F.transform(F.map_values(column), lambda v: v.cast("string")))
 
 
 def _text(value: Column) -> Column:
@@ -276,8 +292,9 @@ def scan_events(facts: DataFrame, name: str = fv.SCAN_EVENT) -> DataFrame:
     bag = F.create_map(*[part for c in flat for part in (F.lit(c), _text(F.col(c)))])
     none = F.create_map().cast("map<string,string>")
     maps = [F.coalesce(_prefixed(c, p), none) for c, p in FACT_MAPS.items()]
-    bag = reduce(F.map_concat, maps, bag)
-    return facts.select("timestamp", F.lit(name).alias("name"), bag.alias("custom_dimensions"))
+    bag = F.map_concat(bag, *maps)
+    # As the one element of an array the bag is made once per row: conditions on it do not carry its expression downwards.
+    return facts.select("timestamp", F.lit(name).alias("name"), F.explode_outer(F.array(bag)).alias("custom_dimensions"))
 
 
 def validation_events(results: DataFrame, base: DataFrame) -> DataFrame:

@@ -802,9 +802,9 @@ def hours_saved(spark, sf):
 
 @query
 def scan_event(spark, sf):
-    return fx.scan_log(spark, sf).select(
-        F.element_at("custom_dimensions", F.lit("run_id")).alias("run_id"),
-        F.explode("custom_dimensions").alias("key", "value"))
+    """The run id is read before the bag is taken apart, so that no bag travels with each of its properties."""
+    log = fx.scan_log(spark, sf).select(F.element_at("custom_dimensions", F.lit("run_id")).alias("run_id"), "custom_dimensions")
+    return log.select("run_id", F.explode_outer("custom_dimensions").alias("key", "value")).filter("key IS NOT NULL")
 
 
 @query
@@ -1180,7 +1180,8 @@ def scan_record_events(spark, sf):
     bags = runstate.scan_events(facts)
     wanted = ["workspace_id", "run_count", "is_first_run", "current_risk_high", "first_risk_high", "resolved_risk_high",
               "impacted_count", "skipped_count", "scope", "sempy_hits"]
-    return bags.select(F.explode(F.map_filter("custom_dimensions", lambda k, v: k.isin(wanted))).alias("k", "v")).groupBy(
+    kept = F.map_filter("custom_dimensions", lambda k, v: k.isin(wanted))
+    return bags.select(F.explode_outer(kept).alias("k", "v")).filter("k IS NOT NULL").groupBy(
         "k", "v").agg(F.count("*").alias("n"))
 
 
