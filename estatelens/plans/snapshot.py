@@ -64,8 +64,11 @@ def snapshot(
 
 
 def write_snapshot(snapshot_rows: DataFrame, folder: str, version: str | None = None) -> int:
-    """The snapshot as a committed table, a few files."""
-    return committed.write(snapshot_rows.coalesce(4), folder, version)
+    """The snapshot as a committed table, in files of an even size, few where it is small.
+
+    The sections are made in as many tasks as they have; only their cells are dealt anew for writing.
+    """
+    return committed.write(snapshot_rows.hint("rebalance"), folder, version)
 
 
 def write_calls(call_table: DataFrame, folder: str, version: str | None = None) -> int:
