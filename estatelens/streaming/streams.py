@@ -171,8 +171,13 @@ def first_terminal(
 
 
 def scan_calls(expressions: DataFrame) -> DataFrame:
-    """The expression scan on newly arriving definitions: stateless, fixed catalogs."""
-    return scan_expressions(expressions)
+    """The expression scan on newly arriving definitions: stateless, fixed catalogs.
+
+    Texts arrive in any number of files, one large one at worst, so they are dealt out before they are parsed.
+    """
+    spark = expressions.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return scan_expressions(expressions.repartition(width))
 
 
 def drain(
