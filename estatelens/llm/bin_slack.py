@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ ship(__name__)
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, as ranks
-SLICE_CHARS = 4_000_000  # text whose ids are held at once, unless one text is longer
+SLICE_CHARS = 4_000_000  # text that is held as strings and ids at once, unless one text is longer
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, nth bigint, ids binary")
 _SCHEMA = pa.schema([
@@ -42,15 +43,16 @@ def cuts(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n_ids, capacity))]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of texts of the given sizes; a span ends with the text that fills it."""
     begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, chars in enumerate(sizes.tolist()):
+        size += chars
         if size >= SLICE_CHARS:
             yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _to_pieces(capacity: int, vocabulary: str, with_ids: bool):
@@ -58,13 +60,13 @@ def _to_pieces(capacity: int, vocabulary: str, with_ids: bool):
         encoder = Encoder(vocabulary)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(sizes):
+                doc_ids, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
                 rows = []
                 met = np.zeros(capacity + 1, np.int64)
-                for doc_id, text in zip(doc_ids[a:b], texts[a:b]):
-                    ids = encoder.encode(text, END_ID)
+                for doc_id, text in zip(doc_ids, texts):
+                    ids = encoder.encode(text or "", END_ID)
                     for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                         raw = ids[start:start + length].astype("<u4").tobytes()
                         rows.append((doc_id, piece, start, length, zlib.crc32(raw), block, int(met[length]),
@@ -126,6 +128,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return places
 
 
+_AT = ["block", "length", "nth"]  # names a piece
+
+
 def _placed(places: list[tuple]):
     table = np.array(sorted(places), np.int64).reshape(-1, 6)
 
@@ -137,22 +142,25 @@ def _placed(places: list[tuple]):
             rank = batch.column("rank").to_numpy()
             _, first, _, sequence, many, offset = table[np.searchsorted(keys, length * base + rank, "right") - 1].T
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")),
+                [*(batch.column(c) for c in _AT),
                  pa.array(sequence + (rank - first) // many), pa.array(offset + (rank - first) % many * length)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
+                names=[*_AT, "sequence_id", "offset"])
 
     return run
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, ids (32-bit little endian), sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, ids (32-bit little endian), sequence_id, offset.
+
+    Places are found for the names of pieces alone; the ids join them in the JVM and pass no Python worker again.
+    """
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_to_pieces(capacity, vocabulary, with_ids), PIECES))
     per_block = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    ranked = pieces.join(starts, ["block", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank").mapInArrow(
-        _placed(plan(histogram, capacity)),
-        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, "
-        "sequence_id bigint, offset bigint")
+    ranked = pieces.select(_AT).join(starts, ["block", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    placed = ranked.select(*_AT, "rank").mapInArrow(
+        _placed(plan(histogram, capacity)), "block bigint, length bigint, nth bigint, sequence_id bigint, offset bigint")
+    return pieces.join(placed, _AT).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")

@@ -61,3 +61,14 @@ def test_plan_places_every_piece_once():
 
 def test_empty_table(docs):
     assert bin_slack.pack(docs([])).count() == 0
+
+
+def test_ids_pass_python_once(spark):
+    """Behind the tokeniser only names of pieces go to Python workers; ids there are held twice, in Arrow buffers of 10,000 rows."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "word " * 5000), (3, "word " * 5000)], "doc_id bigint, text string")
+    out = bin_slack.pack(docs)
+    steps = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in line]
+    assert len(steps) == 1 and "ids" not in steps[0]
+    rows = out.collect()
+    assert all(len(r.ids) == 4 * r.length for r in rows)
+    assert sum(r.length for r in rows if r.doc_id == 3) == 2 * (max(r.start + r.length for r in rows if r.doc_id == 3))
