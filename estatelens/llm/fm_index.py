@@ -219,12 +219,32 @@ class Queries:
 RESULT = "n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 
 
-def _search(columns: list[str], queries):
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the spans' words and what stands between them; spans that overlap or touch are one."""
+    if text is None or not spans:
+        return text
+    raw, kept, at, last = text.encode("utf-8", "surrogatepass"), [], 0, -1
+    places = [m.span() for m in _WORD.finditer(raw.translate(_TO_WORDS))]
+    for first, end in sorted(spans):
+        if first > last:
+            kept.append(raw[at:places[first][0]])
+        if end > last:
+            at, last = places[end - 1][1], end
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def _search(columns: list[str], queries, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Queries(queries.value)
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in in_slices(batches, 8_000_000):
-            found = known.search([t or "" for t in batch.column("text").to_pylist()])
+            texts = batch.column("text").to_pylist()
+            found = known.search([t or "" for t in texts])
+            if cut:
+                earlier = batch.column("_spans").to_pylist() if "_spans" in batch.schema.names else [()] * len(texts)
+                gone = [[*((s["first"], s["end"]) for s in a), *x[1]] for a, x in zip(earlier, found)]
+                at = batch.schema.get_field_index("text")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(map(_without, texts, gone), batch.column(at).type))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array([x[0] for x in found], pa.int64()),
                  pa.array([[{"first": a, "end": b} for a, b in x[1]] for x in found], span),
@@ -247,8 +267,11 @@ def _query_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Columns of docs (the text on request), n_words, spans (merged, in words from 0), items of every document."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False, cut: bool = False) -> DataFrame:
+    """Columns of docs (the text on request), n_words, spans (merged, in words from 0), items of every document.
+
+    With `cut` the last pass takes the words of all spans out of the text it keeps, so no other Python step holds texts.
+    """
     spark = docs.sparkSession
     found = docs.drop("n_words", "spans", "items", "_spans", "_items")
     blocks, first = _query_blocks(benchmark), True
@@ -258,7 +281,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False)
         source = found if first else found.drop("n_words").withColumnsRenamed({"spans": "_spans", "items": "_items"})
         kept = [f for f in source.schema if f.name != "text" or keep_text or following is not None]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), RESULT])
-        found = source.mapInArrow(_search([f.name for f in kept], spark.sparkContext.broadcast(block)), schema)
+        search = _search([f.name for f in kept], spark.sparkContext.broadcast(block), cut and following is None)
+        found = source.mapInArrow(search, schema)
         if not first:
             found = found.withColumns({
                 "spans": _merged(F.concat("_spans", "spans")),
@@ -281,22 +305,4 @@ def _merged(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents with the text of all hit spans cut out; documents without a hit are left as they are."""
-
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        out = []
-        for text, cut in zip(texts, spans):
-            if text is None or not len(cut):
-                out.append(text)
-                continue
-            raw, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
-            lower = raw.translate(_TO_WORDS)
-            places = [m.span() for m in _WORD.finditer(lower)]
-            for span in cut:
-                kept.append(raw[at:places[span["first"]][0]])
-                at = places[span["end"] - 1][1]
-            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass"))
-        return type(texts)(out, dtype=object)
-
-    found = contaminated(docs, benchmark, keep_text=True)
-    return found.withColumn("text", F.when(F.size("spans") > 0, without("text", "spans")).otherwise(F.col("text")))
+    return contaminated(docs, benchmark, keep_text=True, cut=True)
