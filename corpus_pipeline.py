@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm import bin_slack, fm_index, host_rules, icws, suffix_dedup
-from estatelens.llm.common import drop_tables, let_go, noted_tables, shared_folder, table
+from estatelens.llm.common import SPACE, drop_tables, let_go, noted_tables, shared_folder, table
 
 ORACLE_SQL = None  # stages 2 to 5 have no SQL form; tests/llm/test_pipeline.py runs them against plain versions
 
@@ -63,12 +63,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that start elsewhere too; bytes of cut characters go as well.
+    """Documents without the 400-byte strings and the passages of over 50 words that start elsewhere too; bytes of cut
+    characters go as well.
 
     A document of which nothing is left has no text to train on and goes.
     """
-    cut = suffix_dedup.dedup(docs, keep_text=True)
-    gone = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
+    cut = suffix_dedup.dedup(docs, keep_text=True, passages="cut").drop("n_passages")
+    gone = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(rf"[^{SPACE}]")
     return _with_length(cut.where(~gone).withColumnRenamed("kept_text", "text"), docs.columns)
 
 

@@ -11,6 +11,10 @@
    has LENGTH bytes are repeats; so are the windows of a segment that stands at several places.
 4. The ranges are merged per text. Copies of a text share its result, and have it whole removed if it is long enough.
 
+On request passages of WORDS words that start elsewhere too are found as well, whatever bytes they have and whatever
+white space parts their words: the same steps with words, known by 64-bit hashes, for bytes. A task ranks the suffixes
+of such segments by 1, 2, 4 ... WORDS words.
+
 A text is known by its hash (MD5), so copies cost one row per task. Equal windows always meet, hence nothing is lost;
 a clash of key hashes only makes unequal segments meet, which the suffix order tells apart.
 
@@ -29,17 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ask, mixed, text_blocks, texts_of, unpacked
-from .common import own_columns, partitions_for, ship, stored
+from .common import SPACE, own_columns, partitions_for, ship, stored
 
 ship(__name__)
 
 LENGTH = 400
 K = 128
+WORDS = 51  # words `[^\x20\x09-\x0D]+` of a passage: over 50
+WORD_K = 8
 BLOCK_CHARS = 6_000_000
 HASHED_AT_ONCE = 1_000_000  # bytes, unless one text is longer
 BATCH = 1_000_000  # bytes of segments sorted at once, unless one group is larger
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Hashes:
@@ -51,7 +58,7 @@ class Hashes:
         self.back = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE, np.uint64)), dtype=np.uint64)
         self.sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], dtype=np.uint64))
 
-    def of(self, start: np.ndarray, length: int) -> np.ndarray:
+    def of(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         raw = (self.sums[start + length] - self.sums[start]) * self.back[start]
         raw ^= raw >> np.uint64(32)
         raw *= np.uint64(0xD6E8FEB86659FD93)
@@ -75,33 +82,46 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], so_far[width - 1:width - 1 + n])
 
 
-def runs_of_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first start, last start, key) of the windows by anchor and side."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    begins = np.append(0, ends[:-1])
+def words_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of joined texts start and end, and how many each text has."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    inside = _IN_WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[begins[sizes > 0]] = inside[begins[sizes > 0]]
+    last[ends[sizes > 0] - 1] = inside[ends[sizes > 0] - 1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.diff(np.searchsorted(start, np.append(0, ends)))
+
+
+def runs_of_windows(hashes: Hashes, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first start, last start, key) of the windows by anchor and side, in bytes or words of the texts."""
+    n = len(hashes.sums) - 1
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
+    if n < length:
         return none, none, none, none
-    hashes = Hashes(data)
-    grams = hashes.of_all(K)
-    low = np.uint64((1 << int(len(data)).bit_length()) - 1)
-    anchor = sliding_least(grams & ~low | np.arange(len(grams), dtype=np.uint64), LENGTH - K + 1) & low
+    grams = hashes.of_all(k)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    anchor = sliding_least(grams & ~low | np.arange(len(grams), dtype=np.uint64), length - k + 1) & low
     start = np.arange(len(anchor))
-    text = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, ends[-1])))[:len(anchor)]
-    inside = start + LENGTH <= ends[text]
+    text = np.repeat(np.arange(len(sizes)), sizes)[:len(anchor)]
+    inside = start + length <= ends[text]
     start, text, anchor = start[inside], text[inside], anchor[inside].astype(np.int64)
     if not len(start):
         return none, none, none, none
-    side = (LENGTH - K) // 2
+    side = (length - k) // 2
     right = start > anchor - side
     run = anchor * 2 + right
     at = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     last = np.append(at[1:], len(start)) - 1
     a, r = anchor[at], right[at]
     key = np.empty(len(at), np.uint64)
-    key[~r] = hashes.of(a[~r] - side, side + K)
-    key[r] = hashes.of(a[r], LENGTH - side + 1) ^ np.uint64(_BASE)
+    key[~r] = hashes.of(a[~r] - side, side + k)
+    key[r] = hashes.of(a[r], length - side + 1) ^ np.uint64(_BASE)
     t = text[at]
     return t, start[at] - begins[t], start[last] - begins[t], key.view(np.int64)
 
@@ -182,32 +202,58 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a:a + n]) for a, n in zip(begins.tolist(), sizes.tolist())]
 
 
+def repeated_words(segments: list[bytes]) -> list[np.ndarray]:
+    """The same for segments of words' hashes: the window starts whose WORDS words stand at another start."""
+    codes = np.frombuffer(b"".join(segments), np.uint64)
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments)) // 8
+    begins = np.cumsum(sizes) - sizes
+    rank, ranked = np.unique(codes, return_inverse=True)[1], 1
+    while ranked < WORDS:  # ranks by some words and by as many further on, at most, are ranks by both
+        step = min(ranked, WORDS - ranked)
+        pair = rank * (rank.max() + 1)
+        pair[:-step] += rank[step:]
+        rank, ranked = np.unique(pair, return_inverse=True)[1], ranked + step
+    window = np.arange(len(codes)) + WORDS <= np.repeat(begins + sizes, sizes)
+    hit = window & (np.bincount(rank[window], minlength=len(codes))[rank] > 1)
+    return [np.flatnonzero(hit[a:a + n]) for a, n in zip(begins.tolist(), sizes.tolist())]
+
+
 def _texts_of(row) -> tuple[list[bytes], list[bytes]]:
     """Names and bytes of the distinct texts of a block."""
     texts = dict(zip(*texts_of(row)))
     return list(texts), list(texts.values())
 
 
-def _block_runs(names: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first start, last start, key, place) of all runs; the texts are hashed some at a time."""
-    parts, begin, size = [], 0, 0
+def _word_hashes(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    start, end, _ = words_of(data, np.array([len(data)]))
+    return Hashes(data).of(start, end - start)
+
+
+def _block_runs(names: list[bytes], texts: list[bytes], passages: bool) -> tuple[np.ndarray, ...]:
+    """(text number, first start, last start, key, place, whether in words) of all runs; the texts are hashed some at a time."""
+    none = np.zeros(0, np.int64)
+    parts, begin, size = [(none, none, none, none, none.astype(bool))], 0, 0
     for i, text in enumerate(texts):
         size += len(text)
         if size >= HASHED_AT_ONCE or i + 1 == len(texts):
-            number, first, last, key = runs_of_windows(texts[begin:i + 1])
-            parts.append((number + begin, first, last, key.view(np.uint64)))
+            data = np.frombuffer(b"".join(texts[begin:i + 1]), np.uint8)
+            sizes = np.fromiter(map(len, texts[begin:i + 1]), np.int64, i + 1 - begin)
+            hashes = Hashes(data)
+            number, first, last, key = runs_of_windows(hashes, sizes, LENGTH, K)
+            parts.append((number + begin, first, last, key, np.zeros(len(key), bool)))
+            if passages:
+                start, end, counts = words_of(data, sizes)
+                number, first, last, key = runs_of_windows(Hashes(hashes.of(start, end - start)), counts, WORDS, WORD_K)
+                parts.append((number + begin, first, last, ~key, np.ones(len(key), bool)))
             begin, size = i + 1, 0
-    number, first, last, key = (np.concatenate(x) for x in zip(*parts))
+    number, first, last, key, words = (np.concatenate(x) for x in zip(*parts))
     name = np.array([int.from_bytes(h[:8], "little") for h in names], np.uint64)
-    return number, first, last, key, mixed(name[number] + first.astype(np.uint64) * np.uint64(_BASE))
+    return number, first, last, key.view(np.uint64), mixed(name[number] + first.astype(np.uint64) * np.uint64(_BASE)), words
 
 
-def _places_question(row):
-    """Keys of the block, each with its least and greatest place."""
-    names, texts = _texts_of(row)
-    if not texts:
-        return np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]
-    *_, key, place = _block_runs(names, texts)
+def _asked(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of a block, each with its least and greatest place."""
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
     new = np.append(True, key[1:] != key[:-1])[:len(key)]
@@ -215,6 +261,11 @@ def _places_question(row):
     return key[ends], [place[ends]]
 
 
+def _places_question(row, passages: bool):
+    _, _, _, key, place, _ = _block_runs(*_texts_of(row), passages)
+    return _asked(key, place)
+
+
 def _places_answer(questions: list[bytes]) -> list[bytes]:
     """For every key sent whether it stands at two places or more."""
     asked = [unpacked(q, np.uint64) for q in questions]
@@ -228,121 +279,155 @@ def _places_answer(questions: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(back, np.cumsum([len(k) for k, _ in asked])[:-1])]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             names, texts = _texts_of(row)
-            sent, _ = _places_question(row)
+            number, first, last, key, place, words = _block_runs(names, texts, passages)
+            sent, _ = _asked(key, place)
             repeated = np.frombuffer(b"".join(r["reply"] for r in row["replies"].as_py() or ()), np.uint8) > 0
             if not repeated.any():
                 continue
-            number, first, last, key, _ = _block_runs(names, texts)
             chosen = np.flatnonzero(np.isin(key, sent[repeated]))
-            places: dict[tuple[int, bytes], tuple[list[bytes], list[int]]] = {}
-            for k, n, a, b in zip(key[chosen].view(np.int64).tolist(), number[chosen].tolist(), first[chosen].tolist(),
-                                  (last[chosen] + LENGTH).tolist()):
-                owners, starts = places.setdefault((k, texts[n][a:b]), ([], []))
+            chosen = chosen[np.lexsort((number[chosen], words[chosen]))]
+            places: dict[tuple[bool, int, bytes], tuple[list[bytes], list[int]]] = {}
+            hashed, hashes = -1, b""
+            for w, k, n, a, b in zip(words[chosen].tolist(), key[chosen].view(np.int64).tolist(), number[chosen].tolist(),
+                                     first[chosen].tolist(), last[chosen].tolist()):
+                if w and n != hashed:
+                    hashed, hashes = n, _word_hashes(texts[n]).tobytes()
+                segment = hashes[8 * a:8 * (b + WORDS)] if w else texts[n][a:b + LENGTH]
+                owners, starts = places.setdefault((w, k, segment), ([], []))
                 owners.append(names[n])
                 starts.append(a)
             found = list(places.items())
             for part in (found[i:i + 4096] for i in range(0, len(found), 4096)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
+                    [pa.array([x[0][0] for x in part], pa.bool_()), pa.array([x[0][1] for x in part], pa.int64()),
+                     pa.array([x[0][2] for x in part], pa.binary()),
                      pa.array([x[1][0] for x in part], pa.list_(pa.binary())), pa.array([x[1][1] for x in part], pa.list_(pa.int64())),
-                     pa.array([row["block"].as_py()] * len(part), pa.int64())], names=["key", "segment", "h", "first", "block"])
+                     pa.array([row["block"].as_py()] * len(part), pa.int64())],
+                    names=["words", "key", "segment", "h", "first", "block"])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and segment: groups are gathered up to BATCH bytes, equal segments once."""
+    """Rows come sorted by unit, key and segment: groups are gathered up to BATCH bytes, equal segments once."""
     segments: list[bytes] = []
     places: list[dict[tuple[bytes, int], int]] = []
-    size, last_key = 0, None
+    size, last_key = 0, (False, None)
 
     def solved() -> pa.RecordBatch:
-        found = []
-        for segment, owners, starts in zip(segments, places, repeated_starts(segments)):
+        found, words = [], last_key[0]
+        unit, length, repeated = (8, WORDS, repeated_words) if words else (1, LENGTH, repeated_starts)
+        for segment, owners, starts in zip(segments, places, repeated(segments)):
             spans = []
             if len(owners) > 1:
-                spans = [(0, len(segment))]
+                spans = [(0, len(segment) // unit)]
             elif len(starts):
                 cut = np.flatnonzero(np.append(True, np.diff(starts) > 1))
-                spans = list(zip(starts[cut].tolist(), (starts[np.append(cut[1:], len(starts)) - 1] + LENGTH).tolist()))
-            found += [(h, block, first + a, first + b) for (h, first), block in owners.items() for a, b in spans]
-        h, block, begin, end = zip(*found) if found else ((),) * 4
+                spans = list(zip(starts[cut].tolist(), (starts[np.append(cut[1:], len(starts)) - 1] + length).tolist()))
+            found += [(h, block, words, first + a, first + b) for (h, first), block in owners.items() for a, b in spans]
+        h, block, unit, begin, end = zip(*found) if found else ((),) * 5
         return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.binary()), *(pa.array(x, pa.int64()) for x in (block, begin, end))], names=["h", "block", "begin", "end"])
+            [pa.array(h, pa.binary()), pa.array(block, pa.int64()), pa.array(unit, pa.bool_()),
+             *(pa.array(x, pa.int64()) for x in (begin, end))], names=["h", "block", "words", "begin", "end"])
 
     for batch in batches:
-        for key, segment, owners, starts, block in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
-            if key != last_key and size >= BATCH:
+        for words, key, segment, owners, starts, block in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+            if (words, key) != last_key and size >= BATCH or segments and words != last_key[0]:
                 yield solved()
                 segments, places, size = [], [], 0
-            if key != last_key or not segments or segments[-1] != segment:
+            if (words, key) != last_key or not segments or segments[-1] != segment:
                 segments.append(segment)
                 places.append({})
                 size += len(segment)
             for place in zip(owners, starts):
                 places[-1].setdefault(place, block)  # copies of a text stand at one place
-            last_key = key
+            last_key = (words, key)
     if segments:
         yield solved()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([begin, end])
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch], cut_passages: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             texts, rows = dict(zip(*_texts_of(row))), []
             for found in row["found"].as_py():
-                data, spans = texts[found["h"]], []
-                for r in sorted(found["ranges"], key=lambda r: r["begin"]):
-                    if spans and r["begin"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r["end"])
-                    else:
-                        spans.append([r["begin"], r["end"]])
+                data = texts[found["h"]]
+                passages = _merged((r["begin"], r["end"]) for r in found["ranges"] if r["words"])
+                spans = _merged((r["begin"], r["end"]) for r in found["ranges"] if not r["words"])
+                if passages and cut_passages:
+                    start, end, _ = words_of(np.frombuffer(data, np.uint8), np.array([len(data)]))
+                    spans = _merged(spans + [[int(start[a]), int(end[b - 1])] for a, b in passages])
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                rows.append((found["h"], sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-            h, removed, n, sha, kept = zip(*rows) if rows else ((),) * 5
+                rows.append((found["h"], sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept, len(passages)))
+            h, removed, n, sha, kept, n_passages = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.binary()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
-                names=["h", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+                 pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                 pa.array(n_passages, pa.int64())],
+                names=["h", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "n_passages"])
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, keep_text: bool = False, passages: str | None = None) -> DataFrame:
     """Columns of docs without the text, with n_bytes, n_removed, n_spans, kept_sha256; on request `kept`, the bytes
-    that stay, and `kept_text`, their whole characters (a cut may fall inside one)."""
+    that stay, and `kept_text`, their whole characters (a cut may fall inside one).
+
+    passages: "count" adds n_passages, the runs of words in passages of WORDS words that start elsewhere too; "cut"
+    removes them as well, from their first word to their last one, with what stands there. Copies of a text of so many
+    words are one passage each, and go whole.
+    """
     text = F.coalesce("text", F.lit(""))
-    own, own_names = own_columns(docs, *RESULT, "text", *(["kept", "kept_text"] if keep_text else []))
+    counted = ["n_passages"] if passages else []
+    own, own_names = own_columns(docs, *RESULT, "text", *counted, *(["kept", "kept_text"] if keep_text else []))
+    wordy = text.rlike(rf"\A[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{WORDS - 1}}}[^{SPACE}]") if passages else F.lit(False)
     keyed = docs.select(own, F.unhex(F.md5(text)).alias("h"), F.octet_length(text).cast("bigint").alias("n_bytes"),
-                        F.sha2(text, 256).alias("_sha"), F.col("text").alias("text"))
+                        F.sha2(text, 256).alias("_sha"), wordy.alias("_wordy"), F.col("text").alias("text"))
     rows = keyed if keep_text else keyed.drop("text")
-    long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
+    least = min(LENGTH, 2 * WORDS - 1) if passages else LENGTH
+    long = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("text")).where(F.octet_length("text") >= least)
     blocks = stored(text_blocks(long, "h", "binary", chars=BLOCK_CHARS))
-    answered = blocks.join(ask(blocks, _places_question, _places_answer), "block")
-    segments = answered.mapInArrow(_segments, "key bigint, segment binary, h array<binary>, first array<bigint>, block bigint")
-    ranges = segments.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key", "segment").mapInArrow(
-        _ranges, "h binary, block bigint, begin bigint, end bigint")
-    per_text = ranges.groupBy("h").agg(F.min("block").alias("block"), F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    answered = blocks.join(ask(blocks, lambda row: _places_question(row, bool(passages)), _places_answer), "block")
+    segments = answered.mapInArrow(
+        lambda batches: _segments(batches, bool(passages)),
+        "words boolean, key bigint, segment binary, h array<binary>, first array<bigint>, block bigint")
+    ranges = segments.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("words", "key", "segment").mapInArrow(
+        _ranges, "h binary, block bigint, words boolean, begin bigint, end bigint")
+    per_text = ranges.groupBy("h").agg(F.min("block").alias("block"), F.collect_set(F.struct("words", "begin", "end")).alias("ranges"))
     per_block = per_text.groupBy("block").agg(F.collect_list(F.struct("h", "ranges")).alias("found"))
-    columns = ["h", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if keep_text else [])]
+    columns = ["h", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if keep_text else []), *counted]
     found = blocks.join(per_block, "block").mapInArrow(
-        _cut, "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string").select(
+        lambda batches: _cut(batches, passages == "cut"),
+        "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string, n_passages bigint").select(
         "h", *(F.col(c).alias(f"_{c}") for c in columns[1:]))
-    copies = keyed.where(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    long_enough = F.col("n_bytes") >= LENGTH
+    copies = keyed.where(long_enough | F.col("_wordy")).groupBy("h").agg(F.count("*").alias("_copies")).where("_copies > 1")
     copied = F.col("_copies").isNotNull()
+    gone = copied if passages == "cut" else copied & long_enough
     kept = [
-        F.when(copied, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("text").cast("binary"))).alias("kept"),
-        F.when(copied, F.lit("")).otherwise(F.coalesce("_kept_text", "text")).alias("kept_text"),
+        F.when(gone, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("text").cast("binary"))).alias("kept"),
+        F.when(gone, F.lit("")).otherwise(F.coalesce("_kept_text", "text")).alias("kept_text"),
     ] if keep_text else []
+    n_passages = F.when(copied & F.col("_wordy"), 1).otherwise(F.coalesce("_n_passages", F.lit(0))).cast("bigint") if passages else None
     return rows.join(copies, "h", "left").join(found, "h", "left").select(
         *own_names, "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept_sha256", "_sha")).alias("kept_sha256"),
-        *kept)
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept_sha256", "_sha")).alias("kept_sha256"),
+        *kept, *([n_passages.alias("n_passages")] if passages else []))

@@ -61,6 +61,16 @@ def test_tables_of_earlier_stages_go_once_their_result_is_written(spark, docs, f
     assert not set(begun) & set(corpus_pipeline._TABLES)
 
 
+def test_passages_of_over_50_words_go_whatever_their_bytes(spark, docs):
+    words = [f"w{i}" for i in range(51)]
+    passage, other = " ".join(words), " ".join(words[:50])
+    texts = ["first " + passage, passage + "\nlast one", "\n" + "\n".join(words) + "\n", other + " x", "y " + other]
+    assert len(passage) < 400
+    left = {r.doc_id: r for r in corpus_pipeline.repeated_strings(spark, docs(texts), "").collect()}
+    assert {i: r.text for i, r in left.items()} == {0: "first ", 1: "\nlast one", 3: texts[3], 4: texts[4]}
+    assert all(r.n_chars == len(r.text) for r in left.values())
+
+
 def _written(df):
     path = corpus_pipeline.shared_folder(df.sparkSession)
     df.write.parquet(path)
