@@ -203,9 +203,10 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
 
 
 def repeated_words(segments: list[bytes]) -> list[np.ndarray]:
-    """The same for segments of words' hashes: the window starts whose WORDS words stand at another start."""
-    codes = np.frombuffer(b"".join(segments), np.uint64)
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments)) // 8
+    """The same in words: the window starts whose WORDS words stand at another start of any segment."""
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    start, end, sizes = words_of(data, np.fromiter(map(len, segments), np.int64, len(segments)))
+    codes = Hashes(data).of(start, end - start)
     begins = np.cumsum(sizes) - sizes
     rank, ranked = np.unique(codes, return_inverse=True)[1], 1
     while ranked < WORDS:  # ranks by some words and by as many further on, at most, are ranks by both
@@ -224,12 +225,6 @@ def _texts_of(row) -> tuple[list[bytes], list[bytes]]:
     return list(texts), list(texts.values())
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    start, end, _ = words_of(data, np.array([len(data)]))
-    return Hashes(data).of(start, end - start)
-
-
 def _block_runs(names: list[bytes], texts: list[bytes], passages: bool) -> tuple[np.ndarray, ...]:
     """(text number, first start, last start, key, place, whether in words) of all runs; the texts are hashed some at a time."""
     none = np.zeros(0, np.int64)
@@ -292,12 +287,12 @@ def _segments(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.
             chosen = np.flatnonzero(np.isin(key, sent[repeated]))
             chosen = chosen[np.lexsort((number[chosen], words[chosen]))]
             places: dict[tuple[bool, int, bytes], tuple[list[bytes], list[int]]] = {}
-            hashed, hashes = -1, b""
+            split, parts = -1, []
             for w, k, n, a, b in zip(words[chosen].tolist(), key[chosen].view(np.int64).tolist(), number[chosen].tolist(),
                                      first[chosen].tolist(), last[chosen].tolist()):
-                if w and n != hashed:
-                    hashed, hashes = n, _word_hashes(texts[n]).tobytes()
-                segment = hashes[8 * a:8 * (b + WORDS)] if w else texts[n][a:b + LENGTH]
+                if w and n != split:
+                    split, parts = n, texts[n].split()
+                segment = b" ".join(parts[a:b + WORDS]) if w else texts[n][a:b + LENGTH]
                 owners, starts = places.setdefault((w, k, segment), ([], []))
                 owners.append(names[n])
                 starts.append(a)
@@ -319,11 +314,11 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solved() -> pa.RecordBatch:
         found, words = [], last_key[0]
-        unit, length, repeated = (8, WORDS, repeated_words) if words else (1, LENGTH, repeated_starts)
+        length, repeated = (WORDS, repeated_words) if words else (LENGTH, repeated_starts)
         for segment, owners, starts in zip(segments, places, repeated(segments)):
             spans = []
             if len(owners) > 1:
-                spans = [(0, len(segment) // unit)]
+                spans = [(0, segment.count(b" ") + 1 if words else len(segment))]
             elif len(starts):
                 cut = np.flatnonzero(np.append(True, np.diff(starts) > 1))
                 spans = list(zip(starts[cut].tolist(), (starts[np.append(cut[1:], len(starts)) - 1] + length).tolist()))

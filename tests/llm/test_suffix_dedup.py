@@ -121,3 +121,10 @@ def test_passage_of_51_words_below_400_bytes(docs):
     found = {r.doc_id: r for r in suffix_dedup.dedup(docs(texts), passages="count").collect()}
     assert [(found[i].n_removed, found[i].n_passages) for i in range(4)] == [(0, 1), (0, 1), (0, 0), (0, 0)]
     assert suffix_dedup.dedup(docs([]), keep_text=True, passages="cut").count() == 0
+
+
+def test_op8_counts_passages_beside_its_contract(spark, docs, folder):
+    passage = " ".join(f"w{i}" for i in range(51))
+    found = QUERIES["op8_suffix_dedup"](spark, folder(documents=docs(["a " + passage, passage + " b", "c " + passage[:-4] + " d"])))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"]
+    assert sorted((r.doc_id, r.n_removed, r.n_passages) for r in found.collect()) == [(0, 0, 1), (1, 0, 1), (2, 0, 0)]
